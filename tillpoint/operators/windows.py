@@ -78,3 +78,49 @@ def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame
             .join(F.broadcast(offsets), "_grn_pid", "inner")
             .withColumn(out, F.col("_grn_off") + local + 1)
             .drop("_grn_id", "_grn_pid", "_grn_off"))
+
+
+def prev_within_key(df: DataFrame, key: str, ts: str, tie: str, out: str,
+                    bucket: str = "hour") -> DataFrame:
+    """Add ``out`` = ``lag(ts)`` within ``key`` in ``(ts, tie)`` order, split by
+    time bucket like :func:`next_within_key`."""
+    b = "_pwk_bucket"
+    with_bucket = df.withColumn(b, F.date_trunc(bucket, F.col(ts)))
+    in_bucket = with_bucket.withColumn(
+        "_pwk_lag", F.lag(F.col(ts)).over(Window.partitionBy(key, b).orderBy(ts, tie)))
+    lasts = with_bucket.groupBy(key, b).agg(F.max(ts).alias("_pwk_last"))
+    preceding = lasts.select(
+        key, b, F.lag("_pwk_last").over(Window.partitionBy(key).orderBy(b)).alias("_pwk_prev"))
+    return (in_bucket.join(preceding, [key, b], "left")
+            .withColumn(out, F.coalesce(F.col("_pwk_lag"), F.col("_pwk_prev")))
+            .drop(b, "_pwk_lag", "_pwk_prev"))
+
+
+def carry_forward_max(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str,
+                      bucket: str = "hour") -> DataFrame:
+    """Add ``out`` = running ``max(value)`` over the key's rows up to this one
+    in ``(ts, tie)`` order, split by time bucket: a running max inside each
+    (key, bucket) plus the max of all earlier buckets of the key, taken from
+    the one-row-per-bucket table."""
+    b = "_cfm_bucket"
+    with_bucket = df.withColumn(b, F.date_trunc(bucket, F.col(ts)))
+    running = Window.partitionBy(key, b).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_bucket = with_bucket.withColumn("_cfm_in", F.max(value).over(running))
+    per_bucket = with_bucket.groupBy(key, b).agg(F.max(value).alias("_cfm_b"))
+    earlier = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(key, b, F.max("_cfm_b").over(earlier).alias("_cfm_carry"))
+    return (in_bucket.join(carry, [key, b], "left")
+            .withColumn(out, F.greatest(F.col("_cfm_in"), F.col("_cfm_carry")))
+            .drop(b, "_cfm_in", "_cfm_carry"))
+
+
+def gap_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, out: str,
+                 bucket: str = "hour") -> DataFrame:
+    """Gap-and-island sessions: a row opens a new session when it is the key's
+    first row or comes ``gap_seconds`` or more after the previous row. Adds
+    ``out`` = the start time of the row's session (a session key)."""
+    with_prev = prev_within_key(df, key, ts, tie, "_gs_prev", bucket)
+    elapsed = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_gs_prev").cast("timestamp")))
+    opens = F.col("_gs_prev").isNull() | (elapsed >= F.lit(int(gap_seconds * 1_000_000)))
+    flagged = with_prev.withColumn("_gs_start", F.when(opens, F.col(ts)))
+    return carry_forward_max(flagged, key, ts, tie, "_gs_start", out, bucket).drop("_gs_prev", "_gs_start")

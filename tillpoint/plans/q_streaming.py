@@ -1 +1,58 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered stateful / streaming queries (ST1-ST3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillpoint.plans.present import flat
+from tillpoint.plans.registry import register
+from tillpoint.plans.sqlviews import with_views
+from tillpoint.streaming import live_totals, lockouts, sessions
+
+
+@register("lockouts")
+def lockouts_account(t):
+    """ST1 with the account preset over every login attempt. A sequential
+    fold: checked rows-only here and against a plain fold in the tests."""
+    return flat(lockouts.detect_lockouts(t.auth_attempts, lockouts.ACCOUNT))
+
+
+@register("sessions", with_views("""
+WITH a AS (SELECT user_id, ts, event_id,
+                  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+b AS (SELECT *, CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN ts END AS start FROM a),
+c AS (SELECT *, max(start) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_start FROM b)
+SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_activity,
+       CAST(count(*) AS BIGINT) AS requests,
+       strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
+FROM c GROUP BY user_id, session_start"""))
+def activity_sessions(t):
+    """ST2 batch: idle-timeout sessions over all activity (events)."""
+    return flat(sessions.activity_sessions(t.raw("events")))
+
+
+@register("stream_daily_totals", with_views("""
+SELECT strftime(CAST(completed_at + INTERVAL 8 HOUR AS DATE), '%Y-%m-%d') AS day, service_type,
+       CAST(SUM(amount) AS DOUBLE) AS total, CAST(count(*) AS BIGINT) AS requests
+FROM digital_service_requests
+WHERE status = 'Completed' AND completed_at IS NOT NULL
+GROUP BY 1, 2""", "digital_service_requests"))
+def stream_daily_totals(t):
+    """ST3: the streaming query drained with availableNow, read back."""
+    return flat(live_totals.run_daily_totals(t.spark, t.data_dir))
+
+
+@register("stream_sessions")
+def stream_sessions(t):
+    """ST2 streaming form (session_window); open sessions at the watermark
+    are not emitted in append mode, so this is checked rows-only."""
+    spark = t.spark
+    out = live_totals.scratch_path(spark, "sessions")
+    activity = live_totals.events_stream(spark, t.data_dir).select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    q = (sessions.session_stream(activity).writeStream.outputMode("append").format("parquet")
+         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start(f"{out}/table"))
+    q.awaitTermination()
+    return flat(spark.read.parquet(f"{out}/table"))

@@ -88,7 +88,11 @@ def _mobile_of_user():
 
 
 def digital_service_requests(t) -> DataFrame:
-    e = t.raw("events")
+    return requests_from_events(t.raw("events"))
+
+
+def requests_from_events(e: DataFrame) -> DataFrame:
+    """The request adapter over any events DataFrame, batch or streaming."""
     gcash = _is_gcash_event()
     tail = F.col("event_id") % 10
     done = tail < 8
