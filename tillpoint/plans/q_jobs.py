@@ -1 +1,401 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered data-change jobs (DM1-DM11, SC2) with their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillpoint import params as P
+from tillpoint.jobs import audit as AU
+from tillpoint.jobs import imports as IM
+from tillpoint.jobs import reference as RF
+from tillpoint.jobs import requests as RQ
+from tillpoint.jobs import sales_ingest as SI
+from tillpoint.plans import inputs as IN
+from tillpoint.plans.present import flat
+from tillpoint.plans.registry import register
+from tillpoint.plans.sqlviews import with_views
+from tillpoint.sinks import export as X
+from tillpoint.sources import catalog as C
+from tillpoint.sources.csv_import import read_inventory_csv
+from tillpoint.streaming.live_totals import scratch_path
+
+_NORM = """CASE WHEN lower(trim(coalesce({x}, ''))) IN ('low stock', 'low-stock') THEN 'Low Stock'
+     WHEN lower(trim(coalesce({x}, ''))) IN ('out of stock', 'out-of-stock') THEN 'Out of Stock' ELSE 'In Stock' END"""
+
+
+def _jsnum(x: str) -> str:
+    t = f"trim(coalesce({x}, ''))"
+    return (f"CASE WHEN {t} = '' THEN 0.0 "
+            f"WHEN regexp_matches({t}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST({t} AS DOUBLE) "
+            f"WHEN regexp_matches({t}, '^[+-]?Infinity$') THEN CASE WHEN starts_with({t}, '-') THEN '-inf'::DOUBLE "
+            f"ELSE 'inf'::DOUBLE END END")
+
+
+def _preview_ctes(clean: bool) -> str:
+    return f"""{IN.import_rows_sql(clean).strip()},
+inv_bc AS (SELECT trim(barcode) AS bc, id AS bc_id FROM inventory_items),
+by_name AS (SELECT lower(name) AS nm, min(id) AS m_id, arg_min(barcode, id) AS m_barcode FROM inventory_items GROUP BY 1),
+base AS (SELECT file, row_number, trim(barcode) AS raw_barcode, trim(name) AS name, trim(category) AS category,
+                trim(supplier) AS supplier, stock_quantity AS stock_text, unit_price AS unit_text,
+                selling_price AS sell_text, reorder_level AS reorder_text, trim(status) AS status_raw FROM rows),
+matched AS (SELECT b.*, CASE WHEN raw_barcode <> '' THEN i.bc_id ELSE n.m_id END AS existing_id,
+                   trim(CASE WHEN raw_barcode <> '' THEN raw_barcode ELSE COALESCE(n.m_barcode, '') END) AS barcode
+            FROM base b LEFT JOIN inv_bc i ON b.raw_barcode <> '' AND b.raw_barcode = i.bc
+                        LEFT JOIN by_name n ON b.raw_barcode = '' AND lower(b.name) = n.nm),
+nums AS (SELECT m.*, {_jsnum('unit_text')} AS unit_price, {_jsnum('sell_text')} AS selling_price,
+                {_jsnum('stock_text')} AS stock_num, {_jsnum('reorder_text')} AS reorder_num FROM matched m),
+chk AS (SELECT n.*, o.id AS owner_id, c.category_name AS cat
+        FROM nums n LEFT JOIN inv_bc o0 ON o0.bc = n.barcode LEFT JOIN (SELECT id FROM inventory_items) o ON o.id = o0.bc_id
+        LEFT JOIN (SELECT DISTINCT category_name FROM categories) c ON c.category_name = n.category),
+err AS (SELECT *, CASE
+          WHEN barcode = '' THEN 'Barcode is required.'
+          WHEN owner_id IS NOT NULL AND owner_id <> COALESCE(existing_id, 0) THEN 'Barcode already exists.'
+          WHEN name = '' THEN 'Product name is required.'
+          WHEN category = '' THEN 'Category is required.'
+          WHEN cat IS NULL THEN 'Choose a valid category from Settings.'
+          WHEN NOT (COALESCE(isfinite(unit_price), false) AND unit_price >= 0
+                    AND COALESCE(isfinite(selling_price), false) AND selling_price >= 0)
+            THEN 'Unit Price and Selling Price must be valid non-negative numbers.'
+          WHEN NOT (COALESCE(isfinite(stock_num), false) AND stock_num = floor(stock_num) AND stock_num >= 0
+                    AND COALESCE(isfinite(reorder_num), false) AND reorder_num = floor(reorder_num) AND reorder_num >= 0)
+            THEN 'Stock Quantity and Reorder Level must be non-negative whole numbers.'
+          WHEN status_raw <> '' AND lower(status_raw) NOT IN ('in stock', 'low stock', 'low-stock', 'out of stock', 'out-of-stock')
+            THEN 'Status must be In Stock, Low Stock, or Out of Stock.'
+        END AS error0 FROM chk),
+firsts AS (SELECT file, barcode, min(row_number) AS first_row FROM err WHERE error0 IS NULL GROUP BY 1, 2),
+preview AS (SELECT e.*, CASE WHEN e.error0 IS NULL AND e.row_number <> f.first_row THEN 'Barcode is duplicated in this CSV.'
+                             ELSE e.error0 END AS msg
+            FROM err e LEFT JOIN firsts f ON f.file = e.file AND f.barcode = e.barcode)"""
+
+
+def _preview_df(t, clean: bool):
+    return IM.preview_import(IN.import_rows(t, clean), t.inventory_items, t.categories)
+
+
+def _valid_only(df):
+    ok = F.col("error").isNull()
+    return df.select(*[F.when(ok, F.col(c)).alias(c) if c in ("status", "stock_quantity", "unit_price",
+                                                              "selling_price", "reorder_level") else F.col(c)
+                       for c in df.columns])
+
+
+@register("import_preview", with_views(f"""
+WITH {_preview_ctes(False)}
+SELECT file, CAST(row_number AS BIGINT) AS row_number, barcode, name, category, supplier,
+       CASE WHEN msg IS NULL THEN {_NORM.format(x='status_raw')} END AS status,
+       CASE WHEN msg IS NULL THEN CAST(stock_num AS BIGINT) END AS stock_quantity,
+       CASE WHEN msg IS NULL THEN unit_price END AS unit_price,
+       CASE WHEN msg IS NULL THEN selling_price END AS selling_price,
+       CASE WHEN msg IS NULL THEN CAST(reorder_num AS BIGINT) END AS reorder_level,
+       existing_id,
+       CASE WHEN msg IS NOT NULL THEN 'Row ' || CAST(row_number AS VARCHAR) || ': ' || msg END AS error
+FROM preview""", "inventory_items", "categories"))
+def import_preview(t):
+    """DM1 over an import made from every inventory row."""
+    return flat(_valid_only(_preview_df(t, clean=False)))
+
+
+@register("import_preview_summary", with_views(f"""
+WITH {_preview_ctes(False)}
+SELECT file, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE msg IS NULL AND existing_id IS NULL) AS BIGINT) AS new_products,
+       CAST(count(*) FILTER (WHERE msg IS NULL AND existing_id IS NOT NULL) AS BIGINT) AS existing_products,
+       CAST(count(*) FILTER (WHERE msg IS NOT NULL) AS BIGINT) AS errors
+FROM preview GROUP BY file""", "inventory_items", "categories"))
+def import_preview_summary(t):
+    """AG13 over the DM1 preview."""
+    return flat(IM.preview_summary(_preview_df(t, clean=False)))
+
+
+@register("import_errors_top12", with_views(f"""
+WITH {_preview_ctes(False)}
+SELECT CAST(row_number AS BIGINT) AS row_number, 'Row ' || CAST(row_number AS VARCHAR) || ': ' || msg AS error
+FROM preview WHERE msg IS NOT NULL ORDER BY row_number LIMIT 12""", "inventory_items", "categories"))
+def import_errors_top12(t):
+    """SO12: the first 12 preview errors (the rest are only counted)."""
+    p = _preview_df(t, clean=False)
+    return flat(p.filter(F.col("error").isNotNull()).orderBy("file", "row_number").limit(12)
+                .select("row_number", "error"))
+
+
+@register("import_apply_skip", with_views(f"""
+WITH {_preview_ctes(True)},
+ok AS (SELECT * FROM preview WHERE (SELECT count(*) FROM preview WHERE msg IS NOT NULL) = 0)
+SELECT CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM inventory_items i WHERE trim(i.barcode) = ok.barcode)) AS BIGINT) AS created,
+       CAST(0 AS BIGINT) AS updated,
+       CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM inventory_items i WHERE trim(i.barcode) = ok.barcode)) AS BIGINT) AS skipped
+FROM ok""", "inventory_items", "categories"))
+def import_apply_skip(t):
+    """DM2 in skip mode: created / updated / skipped."""
+    _, summary = IM.apply_import(_preview_df(t, clean=True), t.inventory_items, "skip")
+    return flat(summary)
+
+
+@register("import_apply_update", with_views(f"""
+WITH {_preview_ctes(True)},
+ok AS (SELECT * FROM preview WHERE (SELECT count(*) FROM preview WHERE msg IS NOT NULL) = 0),
+typed AS (SELECT file, row_number, barcode, name, category, supplier, {_NORM.format(x='status_raw')} AS status,
+                 CAST(stock_num AS INTEGER) AS stock_quantity, CAST(unit_price AS DECIMAL(18,2)) AS unit_price,
+                 CAST(selling_price AS DECIMAL(18,2)) AS selling_price, CAST(reorder_num AS INTEGER) AS reorder_level
+          FROM ok),
+upd AS (SELECT i.id, p.barcode, p.name, p.category, p.supplier, p.status, p.stock_quantity, p.unit_price,
+               p.selling_price, p.reorder_level
+        FROM typed p JOIN inventory_items i ON trim(i.barcode) = p.barcode),
+ins AS (SELECT p.* FROM typed p WHERE NOT EXISTS (SELECT 1 FROM inventory_items i WHERE trim(i.barcode) = p.barcode)),
+allrows AS (
+  SELECT id, barcode, name, category, supplier, status, stock_quantity, unit_price, selling_price, reorder_level
+  FROM inventory_items WHERE id NOT IN (SELECT id FROM upd)
+  UNION ALL SELECT * FROM upd
+  UNION ALL SELECT (SELECT max(id) FROM inventory_items) + row_number() OVER (ORDER BY file, row_number),
+                   barcode, name, category, supplier, status, stock_quantity, unit_price, selling_price, reorder_level
+  FROM ins)
+SELECT id, barcode, name, category, supplier, status, CAST(stock_quantity AS BIGINT) AS stock_quantity,
+       CAST(unit_price AS DOUBLE) AS unit_price, CAST(selling_price AS DOUBLE) AS selling_price,
+       CAST(reorder_level AS BIGINT) AS reorder_level
+FROM allrows""", "inventory_items", "categories"))
+def import_apply_update(t):
+    """DM2 in update mode: the inventory after the import."""
+    new_inventory, _ = IM.apply_import(_preview_df(t, clean=True), t.inventory_items, "update")
+    return flat(new_inventory)
+
+
+@register("csv_import_parse")
+def csv_import_parse(t):
+    """SC2 round trip: write the inventory export as one CSV file, read it
+    back with the exact reader, and preview it (every row must match an
+    existing item). Rows-only: the file exists only at run time."""
+    folder = scratch_path(t.spark, "csv-import")
+    X.export_inventory_csv(t, folder, single_file=True)
+    rows = read_inventory_csv(t.spark, f"{folder}/*.txt")
+    preview = IM.preview_import(rows, t.inventory_items, t.categories)
+    return flat(IM.preview_summary(preview).drop("file"))
+
+
+@register("item_edits")
+def item_edits(t):
+    """DM11: an admin edit of every item (barcodes of stock-7 items moved to
+    the next item's barcode, which must be refused) and a user status edit."""
+    i = t.inventory_items
+    nxt = F.concat(F.lit("480"), F.lpad((F.col("id") + 1).cast("string"), 10, "0"))
+    edits = i.select("id", F.when(F.col("stock_quantity") == 7, nxt).otherwise(F.col("barcode")).alias("barcode"),
+                     "name", "category", "supplier", F.col("stock_quantity").cast("string").alias("stock_text"),
+                     (F.col("unit_price") * 2).cast("string").alias("unit_price_text"),
+                     F.col("selling_price").cast("string").alias("selling_price_text"),
+                     F.col("reorder_level").cast("string").alias("reorder_text"),
+                     F.col("status").alias("status_text"))
+    admin_inv, admin_rejects = IM.apply_item_edits(edits, i, t.categories, "Admin")
+    user_inv, _ = IM.apply_item_edits(edits.withColumn("status_text", F.lit("Sold out")), i, t.categories, "User")
+    return flat(admin_rejects.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+                .unionByName(user_inv.groupBy(F.col("status").alias("error")).agg(F.count(F.lit(1)).alias("n")))
+                .unionByName(admin_inv.agg(F.lit("rows").alias("error"), F.count(F.lit(1)).alias("n"))))
+
+
+def _ingest(t):
+    return SI.ingest_sales(IN.carts(t), t.inventory_items, t.sales, t.digital_service_requests)
+
+
+_INGEST_CTES = f"""{IN.CART_LINES_SQL.strip()},
+pl AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY pos_key, inventory_item_id, quantity, price) - 1 AS pos
+       FROM plines),
+plk AS (SELECT * FROM pl WHERE inventory_item_id IS NOT NULL AND inventory_item_id <> 0 AND quantity > 0),
+chk AS (SELECT plk.*, ii.id AS inv_id, ii.name AS inv_name, {_NORM.format(x='ii.status')} AS inv_status
+        FROM plk LEFT JOIN inventory_items ii ON ii.id = plk.inventory_item_id),
+bad AS (SELECT cart_id, arg_min(CASE WHEN inv_id IS NULL THEN 'One of the sale items does not exist.'
+                                     ELSE inv_name || ' is marked out of stock.' END, pos) AS error
+        FROM chk WHERE inv_id IS NULL OR inv_status = 'Out of Stock' GROUP BY cart_id),
+nl AS (SELECT cart_id, count(*) AS n FROM (SELECT cart_id FROM plk UNION ALL SELECT cart_id FROM dlines) GROUP BY cart_id),
+verdict AS (SELECT o.o_orderkey AS cart_id, 'Staff ' || CAST(o.o_custkey % 5 AS VARCHAR) AS employee_name,
+                   CASE WHEN nl.n IS NULL THEN 'Add at least one item to the sale.' ELSE bad.error END AS error
+            FROM orders o LEFT JOIN nl ON nl.cart_id = o.o_orderkey LEFT JOIN bad ON bad.cart_id = o.o_orderkey),
+acc AS (SELECT cart_id, employee_name,
+               (SELECT max(id) FROM sales) + row_number() OVER (ORDER BY cart_id) AS sale_id
+        FROM verdict WHERE error IS NULL)"""
+
+
+@register("sale_ingest_lines", with_views(f"""
+WITH {_INGEST_CTES}
+SELECT acc.sale_id, chk.inventory_item_id, chk.inv_name AS item_name, CAST(chk.pos AS BIGINT) AS line_no,
+       CAST(CAST(chk.quantity AS INTEGER) AS BIGINT) AS quantity,
+       CAST(CAST(chk.price AS DECIMAL(18,2)) AS DOUBLE) AS price,
+       CAST(CAST(chk.quantity * chk.price AS DECIMAL(18,2)) AS DOUBLE) AS total
+FROM chk JOIN acc ON acc.cart_id = chk.cart_id""", "inventory_items", "sales"))
+def sale_ingest_lines(t):
+    """DM3: product lines of the accepted sales."""
+    return flat(_ingest(t).sale_items)
+
+
+@register("sale_ingest_rejects", with_views(f"""
+WITH {_INGEST_CTES}
+SELECT cart_id, error FROM verdict WHERE error IS NOT NULL""", "inventory_items", "sales"))
+def sale_ingest_rejects(t):
+    """DM3: rejected carts with the reference's message."""
+    return flat(_ingest(t).rejects)
+
+
+@register("sale_ingest_requests", with_views(f"""
+WITH {_INGEST_CTES},
+d AS (SELECT acc.sale_id, acc.employee_name, dl.* FROM dlines dl JOIN acc ON acc.cart_id = dl.cart_id),
+n AS (SELECT d.*, (SELECT max(id) FROM digital_service_requests) + row_number() OVER (ORDER BY sale_id) AS rid FROM d)
+SELECT rid AS id, 'EL' || CASE WHEN rid < 10000 THEN lpad(CAST(rid AS VARCHAR), 4, '0') ELSE CAST(rid AS VARCHAR) END AS request_code,
+       'eload' AS service_type, 'Pending' AS status, mobile_number, CAST(CAST(quantity * price AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+       '' AS request_kind, network, 'regular' AS load_type, load_value, '' AS reference_no, '' AS notes,
+       employee_name AS requested_by_name, sale_id
+FROM n""", "inventory_items", "sales", "digital_service_requests"))
+def sale_ingest_requests(t):
+    """DM3: the Pending eLoad requests opened by the accepted sales."""
+    return flat(_ingest(t).requests)
+
+
+@register("sale_ingest_sales", with_views(f"""
+WITH {_INGEST_CTES},
+tot AS (SELECT cart_id, SUM(CAST(quantity * price AS DECIMAL(38,2))) AS total FROM (
+          SELECT cart_id, quantity, price FROM plk
+          UNION ALL SELECT cart_id, quantity, price FROM dlines) GROUP BY cart_id)
+SELECT acc.sale_id AS id,
+       'S' || CASE WHEN acc.sale_id < 10000 THEN lpad(CAST(acc.sale_id AS VARCHAR), 4, '0') ELSE CAST(acc.sale_id AS VARCHAR) END AS transaction_code,
+       strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d') AS sale_date, o.o_orderpriority AS payment_method,
+       acc.employee_name, CAST(CAST(COALESCE(tot.total, 0) AS DECIMAL(18,2)) AS DOUBLE) AS total_amount, acc.cart_id
+FROM acc JOIN orders o ON o.o_orderkey = acc.cart_id LEFT JOIN tot ON tot.cart_id = acc.cart_id""",
+                                          "inventory_items", "sales"))
+def sale_ingest_sales(t):
+    """DM3: the accepted sales with codes and totals."""
+    return flat(_ingest(t).sales)
+
+
+@register("request_transition", with_views(f"""
+WITH {IN.TRANSITION_COMMANDS_SQL.strip()},
+c AS (SELECT cmds.*, r.status AS s_status, r.service_type AS s_service,
+             CASE WHEN trim(cmds.reference_no) <> '' THEN trim(cmds.reference_no) ELSE trim(COALESCE(r.reference_no, '')) END AS eff_ref
+      FROM cmds LEFT JOIN digital_service_requests r ON r.id = cmds.request_id),
+m AS (SELECT *, CASE WHEN s_status IS NULL THEN 'Request not found.'
+                     WHEN action = 'complete' THEN CASE WHEN s_status = 'Completed' THEN 'This request is already completed.'
+                                                        WHEN s_status = 'Failed' THEN 'This request was marked as failed.'
+                                                        WHEN lower(s_service) = 'gcash' AND eff_ref = '' THEN 'GCash completion requires a reference number.' END
+                     ELSE CASE WHEN s_status = 'Completed' THEN 'Completed requests cannot be marked as failed.'
+                               WHEN s_status = 'Failed' THEN 'This request is already marked as failed.'
+                               WHEN trim(reason) = '' THEN 'Failure reason is required.' END END AS msg0
+      FROM c),
+w AS (SELECT request_id, command_id AS w_cmd, ts AS w_ts, action AS w_action FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, command_id) AS rn FROM m WHERE msg0 IS NULL)
+      WHERE rn = 1)
+SELECT m.command_id, m.request_id,
+       CASE WHEN m.command_id = w.w_cmd THEN 'applied'
+            WHEN w.w_cmd IS NOT NULL AND (m.ts > w.w_ts OR (m.ts = w.w_ts AND m.command_id > w.w_cmd)) THEN
+              CASE WHEN m.action = 'complete' THEN CASE WHEN w.w_action = 'complete' THEN 'This request is already completed.'
+                                                        ELSE 'This request was marked as failed.' END
+                   ELSE CASE WHEN w.w_action = 'complete' THEN 'Completed requests cannot be marked as failed.'
+                             ELSE 'This request is already marked as failed.' END END
+            ELSE m.msg0 END AS outcome
+FROM m LEFT JOIN w ON w.request_id = m.request_id""", "digital_service_requests"))
+def request_transition(t):
+    """DM5: two commands per request, outcome per command."""
+    _, outcomes = RQ.apply_transitions(t.digital_service_requests, IN.transition_commands(t))
+    return flat(outcomes)
+
+
+@register("request_create")
+def request_create(t):
+    """DM4: re-enter every request as a new one (numbers typed with dashes,
+    amounts as text) and check each against the creation rules."""
+    r = t.digital_service_requests
+    inputs = r.select(F.col("id").alias("input_id"), "service_type",
+                      F.concat(F.substring("mobile_number", 1, 4), F.lit("-"), F.expr("substr(mobile_number, 5)")).alias("mobile_number"),
+                      F.when(F.col("status") == P.FAILED, F.lit("abc")).otherwise(F.col("amount").cast("string")).alias("amount"),
+                      F.col("request_kind").alias("cash_flow"), F.col("reference_no").alias("reference_number"),
+                      F.lower("network").alias("network"), "load_type",
+                      F.when(F.col("status") == P.PENDING, F.lit("")).otherwise(F.col("load_value")).alias("load_value"),
+                      F.lit("").alias("notes"), F.col("requested_by_name"))
+    new, rejects = RQ.create_requests(inputs, r)
+    return flat(new.groupBy("service_type", "status").agg(F.count(F.lit(1)).alias("n"))
+                .unionByName(rejects.groupBy(F.col("error").alias("service_type"))
+                             .agg(F.lit("rejected").alias("status"), F.count(F.lit(1)).alias("n"))))
+
+
+@register("rename_cascade", with_views("""
+WITH smap AS (SELECT supplier_name AS old, upper(supplier_name) || ' TRADING' AS new FROM suppliers),
+cmap AS (SELECT category_name AS old, lower(category_name) || ' goods' AS new FROM categories)
+SELECT i.id, COALESCE(CASE WHEN s.old <> s.new THEN s.new END, i.supplier) AS supplier,
+       COALESCE(CASE WHEN c.old <> c.new THEN c.new END, i.category) AS category
+FROM inventory_items i LEFT JOIN smap s ON s.old = i.supplier LEFT JOIN cmap c ON c.old = i.category""",
+                                       "inventory_items", "suppliers", "categories"))
+def rename_cascade(t):
+    """DM6: rename every supplier and category; the inventory follows."""
+    s_ren = t.suppliers.select("supplier_id", F.concat(F.upper("supplier_name"), F.lit(" TRADING")).alias("new_name"))
+    c_ren = t.categories.select("category_id", F.concat(F.lower("category_name"), F.lit(" goods")).alias("new_name"))
+    _, inv, _ = RF.rename_suppliers(s_ren, t.suppliers, t.inventory_items)
+    _, inv, _ = RF.rename_categories(c_ren, t.categories, inv)
+    return flat(inv.select("id", "supplier", "category"))
+
+
+@register("supplier_removed", with_views("""
+WITH gone AS (SELECT s_name AS name FROM supplier WHERE s_acctbal < 0)
+SELECT i.id, CASE WHEN i.supplier IN (SELECT name FROM gone) THEN '' ELSE i.supplier END AS supplier
+FROM inventory_items i""", "inventory_items"))
+def supplier_removed(t):
+    """DM7: remove the suppliers with a negative balance; their items keep a
+    blank supplier."""
+    removed = t.raw("supplier").filter(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("supplier_id"))
+    _, inv = RF.remove_suppliers(removed, t.suppliers, t.inventory_items)
+    return flat(inv.select("id", "supplier"))
+
+
+@register("users_upsert")
+def users_upsert(t):
+    """DM10: replay every customer as a user change (later changes win;
+    customers with a negative balance become inactive) and revoke the
+    devices of inactive users."""
+    c = t.raw("customer")
+    changes = c.select(F.concat(F.lit(" User"), F.col("c_custkey").cast("string")).alias("username"),
+                       F.concat(F.col("c_name"), F.lit(" ")).alias("full_name"),
+                       F.when(F.col("c_mktsegment") == "BUILDING", F.lit("user")).otherwise(F.lit("admin")).alias("role"),
+                       F.when(F.col("c_acctbal") < 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
+                       F.lit(1).alias("ts"))
+    users, devices, rejects = RF.upsert_users(changes, t.users, t.user_devices, P.DEVICE_NOW)
+    return flat(users.groupBy("role", "is_active").agg(F.count(F.lit(1)).alias("n"))
+                .unionByName(devices.agg(F.lit("revoked").alias("role"), F.lit(0).alias("is_active"),
+                                         F.count_if(F.col("revoked_at").isNotNull()).alias("n"))))
+
+
+@register("integrity_audit", with_views(f"""
+WITH promos AS (SELECT network_name, CAST(COALESCE(CAST(regexp_extract_all(promo_name, '(\\d+(\\.\\d+)?)', 1)[-1] AS DOUBLE), 0.0) AS DECIMAL(18,2)) AS selling_price
+                FROM (VALUES {", ".join(f"('{n}', '{p}')" for n, ps in C.DEFAULT_NETWORKS.items() for p in ps)}) v(network_name, promo_name)),
+lines AS (SELECT sale_id, total FROM sale_items UNION ALL SELECT sale_id, total FROM sale_digital_items),
+per_sale AS (SELECT sale_id, SUM(total) AS t FROM lines GROUP BY sale_id)
+SELECT 'duplicate_barcode' AS rule, CAST((SELECT count(*) FROM (SELECT trim(barcode) FROM inventory_items GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS violations
+UNION ALL SELECT 'duplicate_transaction_code', (SELECT count(*) FROM (SELECT transaction_code FROM sales GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_request_code', (SELECT count(*) FROM (SELECT request_code FROM digital_service_requests GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_category_name_nocase', (SELECT count(*) FROM (SELECT lower(category_name) FROM categories GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_supplier_name', (SELECT count(*) FROM (SELECT supplier_name FROM suppliers GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_username_nocase', (SELECT count(*) FROM (SELECT lower(username) FROM users GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_network_name_nocase', (SELECT count(*) FROM (SELECT lower(network_name) FROM (SELECT DISTINCT network_name FROM promos) GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'orphan_sale_item_sale', (SELECT count(*) FROM sale_items si WHERE si.sale_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sales s WHERE s.id = si.sale_id))
+UNION ALL SELECT 'orphan_sale_item_product', (SELECT count(*) FROM sale_items si WHERE si.inventory_item_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM inventory_items i WHERE i.id = si.inventory_item_id))
+UNION ALL SELECT 'orphan_digital_item_sale', (SELECT count(*) FROM sale_digital_items d WHERE d.sale_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sales s WHERE s.id = d.sale_id))
+UNION ALL SELECT 'orphan_device_user', (SELECT count(*) FROM user_devices d WHERE d.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = d.user_id))
+UNION ALL SELECT 'unknown_inventory_category', (SELECT count(*) FROM inventory_items i WHERE i.category IS NOT NULL AND NOT EXISTS (SELECT 1 FROM categories c WHERE c.category_name = i.category))
+UNION ALL SELECT 'sale_total_not_lines', (SELECT count(*) FROM sales s LEFT JOIN per_sale p ON p.sale_id = s.id WHERE s.total_amount <> COALESCE(p.t, 0))
+UNION ALL SELECT 'multiple_active_devices', (SELECT count(*) FROM (SELECT user_id FROM user_devices WHERE revoked_at IS NULL GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'promo_price_not_positive', (SELECT count(*) FROM promos WHERE selling_price <= 0)""",
+                                        "inventory_items", "sales", "sale_items", "sale_digital_items",
+                                        "digital_service_requests", "categories", "suppliers", "users", "user_devices"))
+def integrity_audit(t):
+    """DM8: constraint checks as counts."""
+    return flat(AU.integrity_audit(t, C.default_promos(t.spark)))
+
+
+@register("barcode_backfill", with_views(f"""
+WITH {IN.BACKFILL_ITEMS_SQL.strip()},
+base AS (SELECT id, trim(barcode) AS code FROM items),
+firsts AS (SELECT code, min(id) AS first_id FROM base WHERE code <> '' GROUP BY code),
+t1 AS (SELECT b.id, b.code, (b.code <> '' AND b.id = f.first_id) AS keeps, 'LEGACY-' || CAST(b.id AS VARCHAR) AS legacy
+       FROM base b LEFT JOIN firsts f ON f.code = b.code),
+lost AS (SELECT DISTINCT k.id FROM t1 k JOIN t1 l ON NOT l.keeps AND l.legacy = k.code AND l.id < k.id WHERE k.keeps),
+t2 AS (SELECT t1.id, t1.code, t1.legacy, (t1.keeps AND lost.id IS NULL) AS keeps FROM t1 LEFT JOIN lost ON lost.id = t1.id),
+pos AS (SELECT *, row_number() OVER (ORDER BY id) AS p FROM t2),
+clash AS (SELECT DISTINCT a.id FROM pos a JOIN pos k ON k.keeps AND a.legacy = k.code AND k.id < a.id WHERE NOT a.keeps)
+SELECT id, code AS old_barcode,
+       CASE WHEN keeps THEN code WHEN id IN (SELECT id FROM clash) THEN legacy || '-' || CAST(p AS VARCHAR) ELSE legacy END AS barcode
+FROM pos""", "inventory_items"))
+def barcode_backfill(t):
+    """DM9 / WN3: unique barcodes for items with blank or repeated ones."""
+    return flat(IM.barcode_backfill(IN.backfill_items(t)))
