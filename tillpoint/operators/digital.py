@@ -17,7 +17,8 @@ from tillpoint.functions.dates import (date_lit, local_day, local_day_is, local_
 from tillpoint.operators.sales import calendar, report_product_logs
 from tillpoint.operators.windows import global_row_number
 
-_ZERO = F.lit(0).cast("decimal(18,2)")
+def _zero():
+    return F.lit(0).cast("decimal(18,2)")
 
 
 def _report_view(t, service: str) -> DataFrame:
@@ -91,14 +92,14 @@ def logs_summary(t, day: str) -> DataFrame:
     st = F.lower(F.coalesce(F.col("status"), F.lit("")))
     prod = report_product_logs(t).filter(F.col("sale_date") == date_lit(day))
     prod_count = prod.select(F.count(F.lit(1))).scalar()
-    prod_total = prod.select(F.coalesce(F.sum("total_amount"), _ZERO)).scalar()
+    prod_total = prod.select(F.coalesce(F.sum("total_amount"), _zero())).scalar()
     aggs = [prod_count.alias("product_count"), prod_total.alias("product_total")]
     for svc in ("eload", "gcash"):
         is_svc = F.col("service_type") == svc
         for label, cond in (("", F.lit(True)), ("_completed", st == "completed"), ("_failed", st == "failed")):
             hit = is_svc & cond
             aggs.append(F.count_if(hit).alias(f"{svc}{label}_count"))
-            aggs.append(F.coalesce(F.sum(F.when(hit, F.col("amount"))), _ZERO).alias(f"{svc}{label}_total"))
+            aggs.append(F.coalesce(F.sum(F.when(hit, F.col("amount"))), _zero()).alias(f"{svc}{label}_total"))
     return logs.agg(*aggs)
 
 
@@ -120,9 +121,9 @@ def chart_month(t, as_of: str) -> DataFrame:
     cal = calendar(t.spark, first, n)
     return (cal.join(dig, "day", "left").join(prod, "day", "left")
                .select(F.dayofmonth("day").alias("day_of_month"), "day",
-                       F.coalesce("gcash", _ZERO).alias("gcash"),
-                       F.coalesce("load", _ZERO).alias("load"),
-                       F.coalesce("products", _ZERO).alias("products")))
+                       F.coalesce("gcash", _zero()).alias("gcash"),
+                       F.coalesce("load", _zero()).alias("load"),
+                       F.coalesce("products", _zero()).alias("products")))
 
 
 def month_totals(t, as_of: str) -> DataFrame:
@@ -142,13 +143,14 @@ def pending_counts(t) -> DataFrame:
                  F.count_if(pending).alias("total_pending"))
 
 
-QUEUE_ORDER = (F.when(F.col("status") == P.PENDING, 0).otherwise(1).asc(),
-               F.col("requested_at").desc(), F.col("id").desc())
+def queue_order():
+    return [F.when(F.col("status") == P.PENDING, 0).otherwise(1).asc(),
+            F.col("requested_at").desc(), F.col("id").desc()]
 
 
 def request_queue(t) -> DataFrame:
     """SO4: the whole board in queue order, with its position."""
-    return global_row_number(t.digital_service_requests, list(QUEUE_ORDER), "queue_pos")
+    return global_row_number(t.digital_service_requests, queue_order(), "queue_pos")
 
 
 def pending_top(t, k: int = 5) -> DataFrame:

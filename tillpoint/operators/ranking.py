@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tillpoint.functions.text import short_label
 from tillpoint.operators.windows import global_row_number
 
-_ZERO = F.lit(0).cast("decimal(18,2)")
+def _zero():
+    return F.lit(0).cast("decimal(18,2)")
 
 
 def item_totals(t) -> DataFrame:
@@ -28,18 +29,19 @@ def item_totals(t) -> DataFrame:
                              .otherwise(F.lit(0.0)).alias("average_price")))
 
 
-RANK_ORDER = (F.col("quantity_sold").desc(), F.col("revenue").desc(), F.col("id").asc())
+def rank_order():
+    return [F.col("quantity_sold").desc(), F.col("revenue").desc(), F.col("id").asc()]
 
 
 def best_selling(t) -> DataFrame:
     """AG6 + WN1: every sold item with its rank (quantity, revenue desc, id)."""
-    return global_row_number(item_totals(t), list(RANK_ORDER), "rank")
+    return global_row_number(item_totals(t), rank_order(), "rank")
 
 
 def best_selling_top(t, k: int = 8) -> DataFrame:
     """SO11: the first ``k`` of the ranking as a top-k (no full rank needed),
     with the chart's 20-character label."""
-    top = item_totals(t).orderBy(*RANK_ORDER).limit(k)
+    top = item_totals(t).orderBy(*rank_order()).limit(k)
     return top.select("id", "name", short_label(F.col("name")).alias("label"),
                       "quantity_sold", "revenue")
 
@@ -49,7 +51,7 @@ def best_selling_totals(t) -> DataFrame:
     it = item_totals(t)
     order = F.struct((-F.col("quantity_sold")).alias("q"), (-F.col("revenue")).alias("r"), F.col("id").alias("i"))
     return it.agg(F.coalesce(F.sum("quantity_sold"), F.lit(0)).cast("bigint").alias("total_units"),
-                  F.coalesce(F.sum("revenue"), _ZERO).alias("total_revenue"),
+                  F.coalesce(F.sum("revenue"), _zero()).alias("total_revenue"),
                   F.min_by("id", order).alias("top_item_id"),
                   F.min_by("name", order).alias("top_item_name"))
 
@@ -59,7 +61,7 @@ def category_revenue(t) -> DataFrame:
     per_item = t.sale_items.groupBy("inventory_item_id").agg(F.sum("total").alias("revenue"))
     inv = t.inventory_items.select("id", "category")
     return (per_item.join(inv, per_item.inventory_item_id == inv.id, "inner")
-                    .groupBy("category").agg(F.coalesce(F.sum("revenue"), _ZERO).alias("revenue")))
+                    .groupBy("category").agg(F.coalesce(F.sum("revenue"), _zero()).alias("revenue")))
 
 
 def category_share(t) -> DataFrame:

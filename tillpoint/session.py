@@ -26,6 +26,7 @@ _DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.files.maxPartitionBytes": "128MB",
 }
 

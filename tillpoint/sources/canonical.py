@@ -15,7 +15,10 @@ from tillpoint.functions.normalize import derive_legacy_status, padded_code, sal
 from tillpoint.operators.windows import next_within_key
 
 MONEY = "decimal(18,2)"
-_SHIFT = F.expr(f"INTERVAL {P.REQUEST_SHIFT_DAYS} DAYS")
+
+
+def _shift():
+    return F.expr(f"INTERVAL {P.REQUEST_SHIFT_DAYS} DAYS")
 # -- fixed values: adapter choices ------------------------------------------
 _GCASH_EVENTS = ("purchase", "signup")
 _NETWORK_BY_USER_MOD6 = ("TM", "GLOBE", "SMART", "TNT", "SUN", "DITO")
@@ -96,7 +99,7 @@ def requests_from_events(e: DataFrame) -> DataFrame:
     gcash = _is_gcash_event()
     tail = F.col("event_id") % 10
     done = tail < 8
-    shifted = F.col("ts") - _SHIFT
+    shifted = F.col("ts") - _shift()
     whole_value = F.floor(F.col("value")).cast("bigint").cast("string")
     return e.select(
         F.col("event_id").alias("id"),

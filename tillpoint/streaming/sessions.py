@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tillpoint import params as P
 from tillpoint.operators.windows import gap_sessions
 
-IDLE = F.expr(f"INTERVAL {P.SESSION_IDLE_MINUTES} MINUTES")
+def _idle():
+    return F.expr(f"INTERVAL {P.SESSION_IDLE_MINUTES} MINUTES")
 
 
 def activity_sessions(activity: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -25,7 +26,7 @@ def activity_sessions(activity: DataFrame, key: str = "user_id", ts: str = "ts",
                           P.SESSION_IDLE_MINUTES * 60, "session_start")
     return (marked.groupBy(key, "session_start")
             .agg(F.max(ts).alias("last_activity"), F.count(F.lit(1)).alias("requests"))
-            .withColumn("expires_at", F.col("last_activity") + IDLE))
+            .withColumn("expires_at", F.col("last_activity") + _idle()))
 
 
 def session_stream(activity: DataFrame, key: str = "user_id", ts: str = "ts",
@@ -36,4 +37,4 @@ def session_stream(activity: DataFrame, key: str = "user_id", ts: str = "ts",
             .groupBy(key, F.session_window(ts, gap).alias("session"))
             .agg(F.count(F.lit(1)).alias("requests"), F.max(ts).alias("last_activity"))
             .select(key, F.col("session.start").alias("session_start"), "last_activity",
-                    (F.col("last_activity") + IDLE).alias("expires_at"), "requests"))
+                    (F.col("last_activity") + _idle()).alias("expires_at"), "requests"))
