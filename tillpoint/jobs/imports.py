@@ -162,6 +162,11 @@ def apply_import(preview: DataFrame, inventory: DataFrame, mode: str = "skip") -
     again by barcode at apply time; new ones get ids after the current
     maximum, numbered in file / row order.
     """
+    from tillpoint.session import cut_lineage
+
+    # the preview feeds five passes below (gate, dedupe, classify, numbering,
+    # counts): write it once instead of recomputing its joins each time
+    preview = cut_lineage(preview)
     n_errors = preview.filter(F.col("error").isNotNull()).select(F.count(F.lit(1))).scalar()
     products = preview.filter(F.col("error").isNull() & (n_errors == 0))
     # the same barcode in two files of one batch: the first file / row wins

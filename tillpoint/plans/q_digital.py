@@ -170,15 +170,20 @@ inv AS (SELECT count(*) AS total,
                           WHEN lower(trim(coalesce(status, ''))) IN ('out of stock', 'out-of-stock') THEN 'Out of Stock'
                           ELSE 'In Stock' END AS st FROM inventory_items))"""
 
-_SALES_NUMS = f"""
-sm AS (SELECT COALESCE(SUM(total_amount) FILTER (WHERE sale_date = DATE '{AS_OF}'), 0) AS today_total,
-              count(*) FILTER (WHERE sale_date = DATE '{AS_OF}') AS today_transactions,
-              COALESCE(SUM(total_amount) FILTER (WHERE sale_date >= DATE '{WEEK_FROM}'), 0) AS weekly_total,
+def _sales_nums(as_of: str) -> str:
+    week_from = shift_days(as_of, -6)
+    return f"""
+sm AS (SELECT COALESCE(SUM(total_amount) FILTER (WHERE sale_date = DATE '{as_of}'), 0) AS today_total,
+              count(*) FILTER (WHERE sale_date = DATE '{as_of}') AS today_transactions,
+              COALESCE(SUM(total_amount) FILTER (WHERE sale_date >= DATE '{week_from}'), 0) AS weekly_total,
               COALESCE(SUM(total_amount), 0) AS total_revenue,
-              COALESCE(SUM(total_amount) FILTER (WHERE sale_date >= DATE '{WEEK_FROM}' AND sale_date <= DATE '{AS_OF}'), 0) AS week_series_total
+              COALESCE(SUM(total_amount) FILTER (WHERE sale_date >= DATE '{week_from}' AND sale_date <= DATE '{as_of}'), 0) AS week_series_total
        FROM sales)"""
 
 
+_SALES_NUMS = _sales_nums(AS_OF)
+
+
 @register("dashboard_metrics", with_views(f"""
 WITH {_CHART}, {_MONTH_TOTALS.strip()}, {_INV_STATUS.strip()}, {_SALES_NUMS.strip()},
 cat AS (SELECT ii.category AS category, SUM(si.total) AS revenue
@@ -247,8 +252,10 @@ def board_fingerprint(t):
     return flat(D.board_fingerprint(t))
 
 
-@register("notifications", with_views(f"""
-WITH {_INV_STATUS.strip()}, {_SALES_NUMS.strip()},
+def notifications_sql(as_of: str) -> str:
+    """ST4 feed for ``as_of`` as SQL (without the canonical views)."""
+    return f"""
+WITH {_INV_STATUS.strip()}, {_sales_nums(as_of).strip()},
 pend AS (SELECT count(*) FILTER (WHERE status = 'Pending' AND service_type = 'eload') AS e,
                 count(*) FILTER (WHERE status = 'Pending' AND service_type = 'gcash') AS g,
                 count(*) FILTER (WHERE status = 'Pending') AS tot FROM digital_service_requests)
@@ -273,6 +280,25 @@ SELECT 4, 'success', 'Today''s sales',
        '₱' || format('{{:,.2f}}', CAST(today_total AS DOUBLE)) || ' across ' || CAST(today_transactions AS VARCHAR)
          || ' transaction' || CASE WHEN today_transactions = 1 THEN '' ELSE 's' END || '.',
        CAST(NULL AS VARCHAR)
-FROM sm""", "digital_service_requests", "inventory_items", "sales"))
+FROM sm"""
+
+
+@register("notifications", with_views(notifications_sql(AS_OF), "digital_service_requests", "inventory_items", "sales"))
 def notifications(t):
     return flat(DB.notifications(t, AS_OF))
+
+
+PREV_DAY = shift_days(AS_OF, -1)
+
+
+@register("alerts_new", with_views(f"""
+WITH cur AS ({notifications_sql(AS_OF)}),
+prev AS ({notifications_sql(PREV_DAY)})
+SELECT * FROM cur
+WHERE NOT EXISTS (SELECT 1 FROM prev WHERE prev.title = cur.title AND prev.message = cur.message
+                  AND prev.tone = cur.tone AND prev.link IS NOT DISTINCT FROM cur.link)""",
+                                   "digital_service_requests", "inventory_items", "sales"))
+def alerts_new(t):
+    """ST5: today's alerts that were not already shown yesterday."""
+    from tillpoint.streaming.alerts import new_alerts
+    return flat(new_alerts(DB.notifications(t, AS_OF), DB.notifications(t, PREV_DAY)))

@@ -42,20 +42,22 @@ def sales(t) -> DataFrame:
 def inventory_items(t) -> DataFrame:
     p = t.raw("part")
     s = t.raw("supplier")
-    # one scalar subquery (a distributed count), not a cross join
+    # one scalar subquery (a distributed count), evaluated in a projection
+    # before the equi-join, not a cross join
     n_suppliers = s.select(F.count(F.lit(1))).scalar()
-    qty = (p.p_size - 1).cast("int")
-    unit = p.p_retailprice.cast(MONEY)
-    return (p.join(s, s.s_suppkey == p.p_partkey % n_suppliers, "inner")
-             .select(p.p_partkey.alias("id"),
-                     F.concat(F.lit("480"), F.lpad(p.p_partkey.cast("string"), 10, "0")).alias("barcode"),
-                     F.concat(p.p_name, F.lit(" ("), p.p_brand, F.lit(")")).alias("name"),
-                     p.p_type.alias("category"),
-                     s.s_name.alias("supplier"),
+    qty = (F.col("p_size") - 1).cast("int")
+    unit = F.col("p_retailprice").cast(MONEY)
+    keyed = p.withColumn("_supp_key", F.col("p_partkey") % n_suppliers)
+    return (keyed.join(s.select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("_supp_key"), "inner")
+             .select(F.col("p_partkey").alias("id"),
+                     F.concat(F.lit("480"), F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("barcode"),
+                     F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")")).alias("name"),
+                     F.col("p_type").alias("category"),
+                     F.col("s_name").alias("supplier"),
                      derive_legacy_status(qty, F.lit(_REORDER_LEVEL)).alias("status"),
                      qty.alias("stock_quantity"),
                      unit.alias("unit_price"),
-                     (unit + (p.p_partkey % 20).cast(MONEY)).cast(MONEY).alias("selling_price"),
+                     (unit + (F.col("p_partkey") % 20).cast(MONEY)).cast(MONEY).alias("selling_price"),
                      F.lit(_REORDER_LEVEL).alias("reorder_level")))
 
 
