@@ -73,7 +73,7 @@ def logs_digital(t, day: str) -> DataFrame:
 def logs_products(t, day: str) -> DataFrame:
     """NE2 flattened: the day's product logs, one row per line, with the
     line amount recomputed as quantity x price."""
-    logs = report_product_logs(t).filter(F.col("sale_date") == date_lit(day))
+    logs = report_product_logs(t, F.col("sale_date") == date_lit(day))
     lines = t.sale_items.join(logs.select(F.col("log_id").alias("sale_id")), "sale_id", "left_semi")
     return (logs.join(lines, logs.log_id == lines.sale_id, "inner")
                 .select("log_id", "transaction_code", "sale_date", "employee_name", "time_stamp",
@@ -90,7 +90,7 @@ def logs_summary(t, day: str) -> DataFrame:
     """
     logs = logs_digital(t, day)
     st = F.lower(F.coalesce(F.col("status"), F.lit("")))
-    prod = report_product_logs(t).filter(F.col("sale_date") == date_lit(day))
+    prod = report_product_logs(t, F.col("sale_date") == date_lit(day))
     prod_count = prod.select(F.count(F.lit(1))).scalar()
     prod_total = prod.select(F.coalesce(F.sum("total_amount"), _zero())).scalar()
     aggs = [prod_count.alias("product_count"), prod_total.alias("product_total")]
@@ -108,8 +108,8 @@ def chart_month(t, as_of: str) -> DataFrame:
     Products totals (zero filled). Digital amounts count once completed, on
     the local day of completion."""
     first, nxt, n = month_start(as_of), next_month_start(as_of), month_length(as_of)
-    prod = (report_product_logs(t)
-            .filter((F.col("sale_date") >= date_lit(first)) & (F.col("sale_date") < date_lit(nxt)))
+    in_month = (F.col("sale_date") >= date_lit(first)) & (F.col("sale_date") < date_lit(nxt))
+    prod = (report_product_logs(t, in_month)
             .groupBy(F.col("sale_date").alias("day")).agg(F.sum("total_amount").alias("products")))
     svc = F.lower(F.coalesce(F.col("service_type"), F.lit("")))
     dig = (t.digital_service_requests

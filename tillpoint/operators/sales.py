@@ -17,14 +17,20 @@ SALE_COLUMNS = ("id", "transaction_code", "sale_date", "payment_method", "employ
                 "total_amount", "created_at")
 
 
-def report_product_logs(t) -> DataFrame:
+def report_product_logs(t, sale_filter=None) -> DataFrame:
     """SC3 / JN1: sales that have product lines, with the sum of those lines.
 
     Sales without product lines (digital-only sales) drop out, as in the
-    reference's inner join.
+    reference's inner join. ``sale_filter`` (a predicate on the sales
+    columns, e.g. one day or one month) is applied to the sales first and
+    reaches the lines through a semi join, so only the matching sales'
+    lines are aggregated.
     """
-    per_sale = t.sale_items.groupBy("sale_id").agg(F.sum("total").alias("lines_total"))
-    s = t.sales
+    s = t.sales if sale_filter is None else t.sales.filter(sale_filter)
+    lines = t.sale_items
+    if sale_filter is not None:
+        lines = lines.join(s.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
+    per_sale = lines.groupBy("sale_id").agg(F.sum("total").alias("lines_total"))
     return (s.join(per_sale, s.id == per_sale.sale_id, "inner")
              .select(s.id.alias("log_id"), s.transaction_code, s.sale_date, s.employee_name,
                      s.created_at.alias("time_stamp"),
