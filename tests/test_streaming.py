@@ -24,3 +24,48 @@ def test_session_gap_edge(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
     got = sorted((r["user_id"], r["session_start"], r["requests"]) for r in sessions.activity_sessions(df).collect())
     assert got == [(1, t0, 2), (1, t0 + dt.timedelta(minutes=60) - dt.timedelta(microseconds=1), 1), (2, t0, 1)]
+
+
+def test_lockout_stream_matches_batch(spark):
+    import os
+    import random
+    import tempfile
+
+    from tillpoint.streaming.lockouts import ACCOUNT, detect_lockouts, lockout_stream
+
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1, 8)
+    rows = []
+    for key in ["a", "b", "c", "hot", "hot"]:
+        t = t0 + dt.timedelta(minutes=rnd.randint(0, 100))
+        for _ in range(40):
+            t += dt.timedelta(seconds=rnd.choice([5, 20, 60, 300, 901]))
+            rows.append((key, t, rnd.random() < 0.08))
+    rows.sort(key=lambda r: r[1])
+    folder = tempfile.mkdtemp(prefix="attempts-", dir=os.environ.get("TILLPOINT_SCRATCH"))
+    # three files in time order, read one per micro-batch
+    for i, chunk in enumerate((rows[:60], rows[60:130], rows[130:])):
+        spark.createDataFrame(chunk, "key string, ts timestamp_ntz, success boolean") \
+             .withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1) \
+             .write.mode("overwrite").parquet(f"{folder}/in/part={i}")
+    schema = "key string, ts timestamp, success boolean, part int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = (lockout_stream(stream.select("key", "ts", "success"), ACCOUNT).writeStream.outputMode("append")
+         .format("parquet").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True)
+         .start(f"{folder}/out"))
+    q.awaitTermination()
+    streamed = sorted((r["key"], r["locked_at"].replace(tzinfo=None), r["failures"])
+                      for r in spark.read.parquet(f"{folder}/out").collect())
+    batch = sorted((r["key"], r["locked_at"], r["failures"])
+                   for r in detect_lockouts(spark.createDataFrame(rows, "key string, ts timestamp_ntz, success boolean")).collect())
+    assert streamed == batch and batch
+
+
+def test_alert_feed_appends_only_new(spark):
+    from tillpoint.operators.dashboard import notifications
+    from tillpoint.sources.tables import Tables
+    from tillpoint.streaming.alerts import run_alert_feed
+
+    seen = run_alert_feed(spark, SMALL, "2000-06-15")
+    feed = notifications(Tables(spark, SMALL), "2000-06-15")
+    assert sorted(seen.select("title", "message").collect()) == sorted(feed.select("title", "message").collect())
