@@ -191,3 +191,24 @@ def board_fingerprint(t) -> DataFrame:
     two snapshots differ exactly when some request's key differs."""
     return request_fingerprints(t).agg(F.count(F.lit(1)).alias("requests"),
                                        F.bit_xor(F.xxhash64("fingerprint")).alias("board_hash"))
+
+
+def log_search(t, day: str, query: str) -> DataFrame:
+    """FL6: the day's product, eLoad and GCash logs whose search text
+    (lower-cased, per kind) contains the trimmed, lower-cased query."""
+    needle = query.strip().lower()
+
+    def text(*cols):
+        return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]))
+    products = report_product_logs(t, F.col("sale_date") == date_lit(day)).select(
+        F.lit("product").alias("kind"), F.col("transaction_code").alias("code"),
+        text("transaction_code", "employee_name").alias("search_text"))
+    logs = logs_digital(t, day)
+    eload = logs.filter(F.col("service_type") == "eload").select(
+        F.lit("eload").alias("kind"), F.col("request_code").alias("code"),
+        text("request_code", "number", "requested_by", "completed_by").alias("search_text"))
+    gcash = logs.filter(F.col("service_type") == "gcash").select(
+        F.lit("gcash").alias("kind"), F.col("request_code").alias("code"),
+        text("request_code", "number", "reference_no", "requested_by", "completed_by").alias("search_text"))
+    every = products.unionByName(eload).unionByName(gcash)
+    return every if not needle else every.filter(F.col("search_text").contains(needle))

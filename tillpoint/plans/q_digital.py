@@ -302,3 +302,25 @@ def alerts_new(t):
     """ST5: today's alerts that were not already shown yesterday."""
     from tillpoint.streaming.alerts import new_alerts
     return flat(new_alerts(DB.notifications(t, AS_OF), DB.notifications(t, PREV_DAY)))
+
+
+SEARCH_QUERY = " Staff 1 "
+
+
+@register("log_search", with_views(f"""
+WITH {_LOGS_DIGITAL}, {_RPL.strip()},
+every AS (
+  SELECT 'product' AS kind, transaction_code AS code, lower(transaction_code || ' ' || COALESCE(employee_name, '')) AS search_text
+  FROM rpl WHERE sale_date = DATE '{LOG_DAY}'
+  UNION ALL
+  SELECT 'eload', request_code, lower(request_code || ' ' || COALESCE(number, '') || ' ' || COALESCE(requested_by, '') || ' ' || COALESCE(completed_by, ''))
+  FROM day_logs WHERE service_type = 'eload'
+  UNION ALL
+  SELECT 'gcash', request_code, lower(request_code || ' ' || COALESCE(number, '') || ' ' || COALESCE(reference_no, '') || ' '
+                                      || COALESCE(requested_by, '') || ' ' || COALESCE(completed_by, ''))
+  FROM day_logs WHERE service_type = 'gcash')
+SELECT * FROM every WHERE contains(search_text, '{SEARCH_QUERY.strip().lower()}')""",
+                                   "digital_service_requests", "sales", "sale_items"))
+def log_search(t):
+    """FL6: search the day's logs."""
+    return flat(D.log_search(t, LOG_DAY, SEARCH_QUERY))

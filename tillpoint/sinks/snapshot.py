@@ -33,12 +33,13 @@ def table_checksum(df: DataFrame) -> DataFrame:
 def write_snapshot(t, folder: str, as_of: str) -> DataFrame:
     """Write every table under ``folder`` and the manifest next to them;
     returns the manifest as a DataFrame (table, rows, checksum)."""
+    from tillpoint.sources.store import CanonicalTables, write_canonical
+
     spark: SparkSession = t.spark
-    parts = []
-    for name in SNAPSHOT_TABLES:
-        path = f"{folder}/{name}"
-        getattr(t, name).write.mode("overwrite").parquet(path)
-        parts.append(table_checksum(spark.read.parquet(path)).select(F.lit(name).alias("table"), "rows", "checksum"))
+    write_canonical(t, folder, SNAPSHOT_TABLES)
+    stored = CanonicalTables(spark, folder)
+    parts = [table_checksum(getattr(stored, name)).select(F.lit(name).alias("table"), "rows", "checksum")
+             for name in SNAPSHOT_TABLES]
     manifest = parts[0]
     for p in parts[1:]:
         manifest = manifest.unionByName(p)
@@ -55,7 +56,10 @@ def verify_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     ok`` (ok = matches the stored manifest)."""
     stored = spark.read.json(f"{folder}/_manifest")
     names = SNAPSHOT_TABLES
-    parts = [table_checksum(spark.read.parquet(f"{folder}/{n}")).select(F.lit(n).alias("table"),
+    from tillpoint.sources.store import CanonicalTables
+
+    stored_tables = CanonicalTables(spark, folder)
+    parts = [table_checksum(getattr(stored_tables, n)).select(F.lit(n).alias("table"),
                                                                          F.col("rows").alias("rows_now"),
                                                                          F.col("checksum").alias("checksum_now"))
              for n in names]
