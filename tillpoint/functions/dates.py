@@ -28,12 +28,36 @@ def local_timestamp_text(ts) -> Column:
     return F.coalesce(F.date_format(shifted, "MMM d, yyyy, h:mm a"), F.lit("-"))
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal parsed from text: no time zone is involved
+    (a Python ``datetime`` literal would be read in the driver's zone)."""
+    text = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def as_utc_instant(ntz) -> Column:
+    """TIMESTAMP_NTZ holding UTC wall time -> TIMESTAMP of that UTC instant,
+    whatever the session time zone (a plain cast would read the wall time
+    in the session zone)."""
+    c = _col(ntz)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+def utc_wall(instant) -> Column:
+    """TIMESTAMP instant -> TIMESTAMP_NTZ of its UTC wall time (inverse of
+    :func:`as_utc_instant`), independent of the session time zone."""
+    from pyspark.sql import SparkSession
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), _col(instant).cast("timestamp_ntz"))
+
+
 def local_day_range(ts, start_day: str, end_day: str) -> Column:
     """``start_day <= local_day(ts) < end_day`` as a range on the bare column."""
     start = _dt.datetime.fromisoformat(start_day) - _dt.timedelta(hours=P.LOCAL_OFFSET_HOURS)
     end = _dt.datetime.fromisoformat(end_day) - _dt.timedelta(hours=P.LOCAL_OFFSET_HOURS)
     c = _col(ts)
-    return (c >= F.lit(start).cast("timestamp_ntz")) & (c < F.lit(end).cast("timestamp_ntz"))
+    return (c >= ntz_lit(start)) & (c < ntz_lit(end))
 
 
 def local_day_is(ts, day: str) -> Column:

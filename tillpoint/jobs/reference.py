@@ -7,11 +7,10 @@ mapping has one row per renamed supplier / category).
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillpoint.functions.dates import ntz_lit
 from tillpoint.functions.normalize import js_trim, normalize_role, text_or_empty
 
 # -- fixed values: messages -------------------------------------------------
@@ -117,7 +116,7 @@ def upsert_users(changes: DataFrame, users: DataFrame, devices: DataFrame, now:
         (max_id + F.col("_n")).alias("id"), "username", "full_name", "role", "is_active")
     new_users = existing.unionByName(fresh)
     inactive = new_users.filter(F.col("is_active") == 0).select(F.col("id").alias("_uid"))
-    stamp = F.lit(_dt.datetime.fromisoformat(now)).cast("timestamp_ntz")
+    stamp = ntz_lit(now)
     new_devices = (devices.join(inactive, devices.user_id == inactive._uid, "left")
                    .withColumn("revoked_at", F.when(F.col("_uid").isNotNull() & F.col("revoked_at").isNull(), stamp)
                                .otherwise(F.col("revoked_at"))).drop("_uid"))

@@ -10,12 +10,11 @@ Later commands see the terminal state and are refused with its message.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint import params as P
+from tillpoint.functions.dates import ntz_lit
 from tillpoint.functions.normalize import js_trim, name_or_system, normalize_service_type, padded_code, text_or_empty
 from tillpoint.functions.text import ph_mobile
 from tillpoint.jobs.imports import js_number
@@ -129,4 +128,4 @@ def apply_transitions(requests: DataFrame, commands: DataFrame) -> tuple[DataFra
 
 
 def now_ts(value: str):
-    return F.lit(_dt.datetime.fromisoformat(value)).cast("timestamp_ntz")
+    return ntz_lit(value)

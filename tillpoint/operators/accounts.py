@@ -7,14 +7,14 @@ users without a device).
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillpoint.functions.dates import ntz_lit
+
 
 def _ts(now: str):
-    return F.lit(_dt.datetime.fromisoformat(now)).cast("timestamp_ntz")
+    return ntz_lit(now)
 
 
 def expiry_sweep(devices: DataFrame, now: str) -> DataFrame:

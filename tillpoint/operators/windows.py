@@ -120,7 +120,8 @@ def gap_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float,
     first row or comes ``gap_seconds`` or more after the previous row. Adds
     ``out`` = the start time of the row's session (a session key)."""
     with_prev = prev_within_key(df, key, ts, tie, "_gs_prev", bucket)
-    elapsed = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_gs_prev").cast("timestamp")))
-    opens = F.col("_gs_prev").isNull() | (elapsed >= F.lit(int(gap_seconds * 1_000_000)))
+    # NTZ - NTZ is a day-time interval: no time zone (or DST) is involved
+    gap = F.expr(f"INTERVAL '{int(round(gap_seconds * 1_000_000))}' MICROSECOND")
+    opens = F.col("_gs_prev").isNull() | ((F.col(ts) - F.col("_gs_prev")) >= gap)
     flagged = with_prev.withColumn("_gs_start", F.when(opens, F.col(ts)))
     return carry_forward_max(flagged, key, ts, tie, "_gs_start", out, bucket).drop("_gs_prev", "_gs_start")

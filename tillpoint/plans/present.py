@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpoint.functions.dates import iso, ts_text
+from tillpoint.functions.dates import iso, ts_text, utc_wall
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -23,8 +23,10 @@ def flat(df: DataFrame) -> DataFrame:
         dt = f.dataType
         if isinstance(dt, T.DateType):
             c = iso(c)
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(dt, T.TimestampNTZType):
             c = ts_text(c)
+        elif isinstance(dt, T.TimestampType):
+            c = ts_text(utc_wall(c))   # instants print as UTC wall time in any session zone
         elif isinstance(dt, (T.DecimalType, T.FloatType)):
             c = c.cast("double")
         elif isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillpoint.functions.dates import as_utc_instant
 from tillpoint.plans.present import flat
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
@@ -51,7 +52,7 @@ def stream_sessions(t):
     spark = t.spark
     out = live_totals.scratch_path(spark, "sessions")
     activity = live_totals.events_stream(spark, t.data_dir).select(
-        "user_id", F.col("ts").cast("timestamp").alias("ts"))
+        "user_id", as_utc_instant(F.col("ts")).alias("ts"))
     q = (sessions.session_stream(activity).writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start(f"{out}/table"))
     q.awaitTermination()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint import params as P
+from tillpoint.functions.dates import as_utc_instant, utc_wall
 from tillpoint.session import ensure_checkpoint_dir
 from tillpoint.sources.canonical import requests_from_events
 
@@ -32,13 +33,13 @@ def events_stream(spark: SparkSession, data_dir: str, files_per_trigger: int | N
 def daily_totals(requests: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Completed amounts per local completion day and service (stream or batch)."""
     done = (requests.filter((F.col("status") == P.COMPLETED) & F.col("completed_at").isNotNull())
-            .withColumn("completed_ts", F.col("completed_at").cast("timestamp")))
+            .withColumn("completed_ts", as_utc_instant(F.col("completed_at"))))
     if done.isStreaming:
         done = done.withWatermark("completed_ts", watermark)
     offset = f"{24 - P.LOCAL_OFFSET_HOURS} hours"
     return (done.groupBy(F.window("completed_ts", "1 day", startTime=offset).alias("w"), "service_type")
             .agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("requests"))
-            .select(F.to_date(F.col("w.start") + F.expr(f"INTERVAL {P.LOCAL_OFFSET_HOURS} HOURS")).alias("day"),
+            .select(F.to_date(utc_wall(F.col("w.start")) + F.expr(f"INTERVAL {P.LOCAL_OFFSET_HOURS} HOURS")).alias("day"),
                     "service_type", "total", "requests"))
 
 
