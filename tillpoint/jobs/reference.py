@@ -121,3 +121,91 @@ def upsert_users(changes: DataFrame, users: DataFrame, devices: DataFrame, now:
                    .withColumn("revoked_at", F.when(F.col("_uid").isNotNull() & F.col("revoked_at").isNull(), stamp)
                                .otherwise(F.col("revoked_at"))).drop("_uid"))
     return new_users, new_devices, rejects
+
+
+# -- fixed values: more messages ----------------------------------------------
+MSG_NETWORK_REQUIRED = "Network name is required."
+MSG_NETWORK_EXISTS = "Network already exists."
+MSG_NETWORK_NOT_FOUND = "Network not found."
+MSG_PROMO_REQUIRED = "Promo name is required."
+MSG_PROMO_PRICE = "Selling price must be greater than zero."
+
+
+def _new_ids(accepted: DataFrame, existing: DataFrame, id_col: str, order: list, out: str) -> DataFrame:
+    from tillpoint.operators.windows import global_row_number
+    max_id = existing.select(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+    return global_row_number(accepted, order, "_n").withColumn(out, max_id + F.col("_n")).drop("_n")
+
+
+def _unique_names(inputs: DataFrame, key, taken: DataFrame, exists_msg: str) -> DataFrame:
+    """Error when the case-folded name is already stored, or was used by an
+    earlier input of the same batch (inputs are applied in ``input_id`` order)."""
+    from tillpoint.operators.windows import first_by_order
+    keyed = inputs.withColumn("_k", key)
+    firsts = first_by_order(keyed.filter(F.col("error").isNull()).select("input_id", "_k"), ["_k"],
+                            [F.col("input_id")], "_first")
+    return (keyed.join(taken.select(F.col("_k").alias("_taken")).distinct(), F.col("_k") == F.col("_taken"), "left")
+                 .join(firsts.select("input_id", "_first"), "input_id", "left")
+                 .withColumn("error", F.when(F.col("error").isNotNull(), F.col("error"))
+                             .when(F.col("_taken").isNotNull() | ~F.coalesce(F.col("_first"), F.lit(True)),
+                                   F.lit(exists_msg)))
+                 .drop("_k", "_taken", "_first"))
+
+
+def create_suppliers(inputs: DataFrame, suppliers: DataFrame):
+    """DM10: ``inputs(input_id, supplier_name, contact_no, address)``; names
+    are trimmed and required (suppliers may share a name). Like the other
+    creates, returns ``(new_table, rejects(input_id, error),
+    created(input_id, new_id))``."""
+    c = inputs.select("input_id", *[js_trim(text_or_empty(F.col(x))).alias(x)
+                                    for x in ("supplier_name", "contact_no", "address")])
+    c = c.withColumn("error", F.when(F.col("supplier_name") == "", F.lit(MSG_SUPPLIER_REQUIRED)))
+    ok = _new_ids(c.filter(F.col("error").isNull()), suppliers, "supplier_id", [F.col("input_id")], "supplier_id")
+    return (suppliers.unionByName(ok.select(*suppliers.columns)),
+            c.filter(F.col("error").isNotNull()).select("input_id", "error"),
+            ok.select("input_id", F.col("supplier_id").alias("new_id")))
+
+
+def create_categories(inputs: DataFrame, categories: DataFrame):
+    """DM10: ``inputs(input_id, category_name)``; unique ignoring case."""
+    c = inputs.select("input_id", js_trim(text_or_empty(F.col("category_name"))).alias("category_name"))
+    c = c.withColumn("error", F.when(F.col("category_name") == "", F.lit(MSG_CATEGORY_REQUIRED)))
+    c = _unique_names(c, F.lower(F.col("category_name")),
+                      categories.select(F.lower(F.col("category_name")).alias("_k")), MSG_CATEGORY_EXISTS)
+    ok = _new_ids(c.filter(F.col("error").isNull()), categories, "category_id", [F.col("input_id")], "category_id")
+    return (categories.unionByName(ok.select(*categories.columns)),
+            c.filter(F.col("error").isNotNull()).select("input_id", "error"),
+            ok.select("input_id", F.col("category_id").alias("new_id")))
+
+
+def create_networks(inputs: DataFrame, networks: DataFrame):
+    """DM10: ``inputs(input_id, network_name)``; upper-cased, unique ignoring case."""
+    c = inputs.select("input_id", F.upper(js_trim(text_or_empty(F.col("network_name")))).alias("network_name"))
+    c = c.withColumn("error", F.when(F.col("network_name") == "", F.lit(MSG_NETWORK_REQUIRED)))
+    c = _unique_names(c, F.lower(F.col("network_name")),
+                      networks.select(F.lower(F.col("network_name")).alias("_k")), MSG_NETWORK_EXISTS)
+    ok = _new_ids(c.filter(F.col("error").isNull()), networks, "network_id", [F.col("input_id")], "network_id")
+    return (networks.unionByName(ok.select(*networks.columns)),
+            c.filter(F.col("error").isNotNull()).select("input_id", "error"),
+            ok.select("input_id", F.col("network_id").alias("new_id")))
+
+
+def create_promos(inputs: DataFrame, promos: DataFrame, networks: DataFrame):
+    """DM10: ``inputs(input_id, network_id, promo_name, selling_price text)``:
+    the network must exist, a name is required, the price must be > 0."""
+    from tillpoint.jobs.imports import js_number
+    nets = networks.select(F.col("network_id").alias("_nid"), "network_name")
+    price = js_number(F.col("selling_price"))
+    c = (inputs.join(nets, F.col("network_id") == F.col("_nid"), "left")
+         .select("input_id", "network_id", "network_name",
+                 js_trim(text_or_empty(F.col("promo_name"))).alias("promo_name"), price.alias("price"),
+                 F.col("_nid").isNotNull().alias("_known")))
+    c = c.withColumn("error", F.when(~F.col("_known"), F.lit(MSG_NETWORK_NOT_FOUND))
+                     .when(F.col("promo_name") == "", F.lit(MSG_PROMO_REQUIRED))
+                     .when(~(F.coalesce(F.col("price"), F.lit(0.0)) > 0), F.lit(MSG_PROMO_PRICE))).drop("_known")
+    ok = _new_ids(c.filter(F.col("error").isNull()), promos, "promo_id", [F.col("input_id")], "promo_id")
+    new = ok.select("network_id", "network_name", "promo_id", "promo_name",
+                    F.col("price").cast("decimal(18,2)").alias("selling_price"))
+    return (promos.unionByName(new.select(*promos.columns)),
+            c.filter(F.col("error").isNotNull()).select("input_id", "error"),
+            ok.select("input_id", F.col("promo_id").alias("new_id")))

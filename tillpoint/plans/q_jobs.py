@@ -399,3 +399,117 @@ FROM pos""", "inventory_items"))
 def barcode_backfill(t):
     """DM9 / WN3: unique barcodes for items with blank or repeated ones."""
     return flat(IM.barcode_backfill(IN.backfill_items(t)))
+
+
+@register("schema_backfill", with_views("""
+SELECT id, 'LEGACY-' || CAST(id AS VARCHAR) AS barcode, name, category, '' AS supplier,
+       CASE WHEN stock_quantity <= 0 THEN 'Out of Stock' WHEN stock_quantity <= reorder_level THEN 'Low Stock'
+            ELSE 'In Stock' END AS status,
+       CAST(stock_quantity AS BIGINT) AS stock_quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+       CAST(selling_price AS DOUBLE) AS selling_price, CAST(reorder_level AS BIGINT) AS reorder_level
+FROM inventory_items""", "inventory_items"))
+def schema_backfill(t):
+    """DM9: an inventory table from before the supplier, status and barcode
+    columns existed, brought up to the canonical schema."""
+    from tillpoint.jobs.schema import backfill_schema
+    old = t.inventory_items.drop("supplier", "status", "barcode")
+    return flat(backfill_schema(old, "inventory_items"))
+
+
+def _network_table(spark):
+    """The seeded networks (6 rows) from the fixed catalogue."""
+    return C.default_promos(spark).select("network_id", "network_name").distinct()
+
+
+_REF_INPUTS_SQL = """
+cat_in AS (SELECT p_partkey AS input_id,
+                  trim(CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN upper(p_type) ELSE ' ' END) AS name
+           FROM part),
+net_in AS (SELECT c_custkey AS input_id,
+                  upper(trim(CASE WHEN c_nationkey = 0 THEN ' globe ' WHEN c_nationkey = 1 THEN '' ELSE lower(c_mktsegment) END)) AS name
+           FROM customer),
+sup_in AS (SELECT n_nationkey AS input_id, trim(CASE WHEN n_regionkey = 0 THEN '  ' ELSE n_name || ' supply ' END) AS name
+           FROM nation),
+pro_in AS (SELECT o_orderkey AS input_id, o_custkey % 8 AS network_id, trim(o_orderpriority) AS name,
+                  CASE WHEN o_orderstatus = 'P' THEN '0' ELSE CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) END AS price
+           FROM orders)"""
+
+
+def _unique_sql(kind: str, inp: str, taken: str, required: str, exists: str, max_id: str) -> str:
+    return f"""
+{kind}_chk AS (SELECT input_id, name, CASE WHEN name = '' THEN '{required}' END AS e0 FROM {inp}),
+{kind}_first AS (SELECT lower(name) AS k, min(input_id) AS first_id FROM {kind}_chk WHERE e0 IS NULL GROUP BY 1),
+{kind}_res AS (SELECT c.input_id, CASE WHEN e0 IS NOT NULL THEN e0
+                                      WHEN lower(c.name) IN ({taken}) OR c.input_id <> f.first_id THEN '{exists}' END AS error
+               FROM {kind}_chk c LEFT JOIN {kind}_first f ON f.k = lower(c.name)),
+{kind}_out AS (SELECT '{kind}' AS kind, input_id, error,
+                      CASE WHEN error IS NULL THEN ({max_id}) + row_number() OVER (PARTITION BY error IS NULL ORDER BY input_id) END AS new_id
+               FROM {kind}_res)"""
+
+
+_NETS_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(C.DEFAULT_NETWORKS, start=1))
+
+
+@register("reference_create", with_views(f"""
+WITH {_REF_INPUTS_SQL.strip()},
+nets AS (SELECT * FROM (VALUES {_NETS_SQL}) v(network_id, network_name)),
+{_unique_sql('category', 'cat_in', 'SELECT lower(category_name) FROM categories', 'Category name is required.',
+             'Category name already exists.', 'SELECT max(category_id) FROM categories').strip()},
+{_unique_sql('network', 'net_in', 'SELECT lower(network_name) FROM nets', 'Network name is required.',
+             'Network already exists.', 'SELECT max(network_id) FROM nets').strip()},
+sup_res AS (SELECT input_id, CASE WHEN name = '' THEN 'Supplier name is required.' END AS error FROM sup_in),
+supplier_out AS (SELECT 'supplier' AS kind, input_id, error,
+                        CASE WHEN error IS NULL THEN (SELECT max(supplier_id) FROM suppliers)
+                             + row_number() OVER (PARTITION BY error IS NULL ORDER BY input_id) END AS new_id FROM sup_res),
+pro_res AS (SELECT p.input_id, CASE WHEN n.network_id IS NULL THEN 'Network not found.'
+                                    WHEN p.name = '' THEN 'Promo name is required.'
+                                    WHEN NOT (COALESCE(TRY_CAST(p.price AS DOUBLE), 0) > 0) THEN 'Selling price must be greater than zero.' END AS error
+            FROM pro_in p LEFT JOIN nets n ON n.network_id = p.network_id),
+promo_out AS (SELECT 'promo' AS kind, input_id, error,
+                     CASE WHEN error IS NULL THEN 24 + row_number() OVER (PARTITION BY error IS NULL ORDER BY input_id) END AS new_id
+              FROM pro_res)
+SELECT kind, input_id, error, CAST(new_id AS BIGINT) AS new_id FROM category_out
+UNION ALL SELECT kind, input_id, error, CAST(new_id AS BIGINT) FROM network_out
+UNION ALL SELECT kind, input_id, error, CAST(new_id AS BIGINT) FROM supplier_out
+UNION ALL SELECT kind, input_id, error, CAST(new_id AS BIGINT) FROM promo_out""", "categories", "suppliers"))
+def reference_create(t):
+    """DM10: create suppliers, categories, eLoad networks and promos from
+    inputs derived from whole tables (blank, duplicate, unknown-network and
+    zero-price inputs included); one row per input with its new id or error."""
+    part, cust, nation, orders = t.raw("part"), t.raw("customer"), t.raw("nation"), t.raw("orders")
+    cat_in = part.select(F.col("p_partkey").alias("input_id"),
+                         F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))
+                          .when(F.col("p_size") % 3 == 1, F.upper("p_type")).otherwise(F.lit(" ")).alias("category_name"))
+    net_in = cust.select(F.col("c_custkey").alias("input_id"),
+                         F.when(F.col("c_nationkey") == 0, F.lit(" globe ")).when(F.col("c_nationkey") == 1, F.lit(""))
+                          .otherwise(F.lower("c_mktsegment")).alias("network_name"))
+    sup_in = nation.select(F.col("n_nationkey").alias("input_id"),
+                           F.when(F.col("n_regionkey") == 0, F.lit("  "))
+                            .otherwise(F.concat(F.col("n_name"), F.lit(" supply "))).alias("supplier_name"),
+                           F.lit("").alias("contact_no"), F.lit("").alias("address"))
+    pro_in = orders.select(F.col("o_orderkey").alias("input_id"), (F.col("o_custkey") % 8).alias("network_id"),
+                           F.col("o_orderpriority").alias("promo_name"),
+                           F.when(F.col("o_orderstatus") == "P", F.lit("0"))
+                            .otherwise(F.floor(F.col("o_totalprice") / 1000).cast("bigint").cast("string")).alias("selling_price"))
+    return flat(_reference_outcomes(t, cat_in, net_in, sup_in, pro_in))
+
+
+def _reference_outcomes(t, cat_in, net_in, sup_in, pro_in):
+    """New rows carry their input id and new id; rejects carry the message."""
+    promos = C.default_promos(t.spark).select("network_id", "network_name", "promo_id", "promo_name", "selling_price")
+    networks = _network_table(t.spark)
+    parts = []
+    for kind, fn, inp, old, args in (
+            ("category", RF.create_categories, cat_in, t.categories, ()),
+            ("network", RF.create_networks, net_in, networks, ()),
+            ("supplier", RF.create_suppliers, sup_in, t.suppliers, ()),
+            ("promo", RF.create_promos, pro_in, promos, (networks,))):
+        _, rej, made = fn(inp, old, *args)
+        parts.append(made.select(F.lit(kind).alias("kind"), "input_id", F.lit(None).cast("string").alias("error"),
+                                 "new_id"))
+        parts.append(rej.select(F.lit(kind).alias("kind"), "input_id", "error",
+                                F.lit(None).cast("bigint").alias("new_id")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
