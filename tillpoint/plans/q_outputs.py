@@ -37,7 +37,8 @@ _NETS_SQL = """nets AS (SELECT upper(trim(network)) AS network_name, count(*) AS
 
 @register("eload_default_prices", with_views(f"""
 WITH {_promos_sql()}, {_NETS_SQL}
-SELECT p.network_id, p.network_name, p.promo_id, p.promo_name, CAST(p.selling_price AS DOUBLE) AS selling_price,
+SELECT CAST(p.network_id AS BIGINT) AS network_id, p.network_name, CAST(p.promo_id AS BIGINT) AS promo_id, p.promo_name,
+       CAST(p.selling_price AS DOUBLE) AS selling_price,
        CAST(COALESCE(n.requests, 0) AS BIGINT) AS requests
 FROM promos p LEFT JOIN nets n ON n.network_name = p.network_name""", "digital_service_requests"))
 def eload_default_prices(t):
@@ -52,7 +53,7 @@ def eload_default_prices(t):
 
 @register("eload_catalog", with_views(f"""
 WITH {_promos_sql()}, {_NETS_SQL}
-SELECT n.network_name, CAST(n.requests AS BIGINT) AS requests, p.promo_id, p.promo_name,
+SELECT n.network_name, CAST(n.requests AS BIGINT) AS requests, CAST(p.promo_id AS BIGINT) AS promo_id, p.promo_name,
        CAST(p.selling_price AS DOUBLE) AS selling_price
 FROM nets n LEFT JOIN promos p ON p.network_name = n.network_name""", "digital_service_requests"))
 def eload_catalog(t):
