@@ -21,4 +21,8 @@ def test_snapshot_round_trip_and_pruning(spark, tables):
     assert DB.dashboard_metrics(stored, P.AS_OF).collect() == DB.dashboard_metrics(tables, P.AS_OF).collect()
     assert sorted(R.best_selling(stored).collect()) == sorted(R.best_selling(tables).collect())
     plan = stored.sales.filter(F.col("sale_date") == date_lit(P.AS_OF))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(sale_date" in plan
+    assert "PushedFilters: [IsNotNull(sale_date), EqualTo(sale_date" in plan
+    month = stored.sales_in_months(P.AS_OF, P.AS_OF)
+    assert "PartitionFilters: [isnotnull(sale_month" in month._jdf.queryExecution().executedPlan().toString()
+    assert month.filter(F.col("sale_date") == date_lit(P.AS_OF)).count() == \
+        tables.sales.filter(F.col("sale_date") == date_lit(P.AS_OF)).count()

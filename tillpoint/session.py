@@ -77,3 +77,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor does not force recomputation from the source tables."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tillpoint`` importable in Python workers (what ``--py-files``
+    does at submit time): zip the package once per SparkContext and register
+    it with ``addPyFile``. Needed only by the operators that run Python on
+    executors (the exact CSV reader, the streaming lockout state)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="tillpoint-pyfiles-")
+    zip_path = os.path.join(out_dir, "tillpoint.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)

@@ -131,6 +131,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_inventory_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Exact mode: one whole file per row, parsed on the executors."""
+    from tillpoint.session import ship_package
+    ship_package(spark)
     files = (spark.read.text(paths, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), "value"))
     return files.mapInPandas(_parse_batches, OUTPUT_SCHEMA)

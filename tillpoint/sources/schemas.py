@@ -44,5 +44,7 @@ SCHEMAS = {
     "auth_attempts": _s(("key", T.StringType()), ("ts", _TS), ("success", T.BooleanType())),
 }
 
-# how the engine lays out tables it writes: partition columns per table
-PARTITIONS = {"sales": ["sale_date"]}
+# how the engine lays out tables it writes: a derived partition column per
+# table (monthly folders) and the sort order inside the files (so Parquet
+# min/max statistics skip row groups for day ranges inside a month)
+PARTITIONS = {"sales": ("sale_month", "date_format(sale_date, 'yyyy-MM')", ["sale_date", "id"])}

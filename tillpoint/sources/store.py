@@ -3,8 +3,10 @@ shop's loaders), read with explicit schemas.
 
 ``CanonicalTables`` has the same attributes as ``Tables`` (``sales``,
 ``inventory_items``, ...), so every operator runs on either. ``sales`` is
-partitioned by ``sale_date``: the day, week and month filters of the
-reports become partition filters at the scan.
+stored in monthly folders (``sale_month``) with rows sorted by
+``sale_date``: ``sales_in_months`` turns a date range into a partition
+filter, and inside a month the pushed ``sale_date`` filter skips row groups
+by their min/max statistics.
 """
 
 from __future__ import annotations
@@ -27,6 +29,14 @@ class CanonicalTables:
             self._cache[name] = df.select(*schema.fieldNames())
         return self._cache[name]
 
+    def sales_in_months(self, first_day: str, last_day: str) -> DataFrame:
+        """``sales`` limited to the months overlapping a date range (a
+        partition filter on the folder column), for callers that know it."""
+        from pyspark.sql import functions as F
+        df = self.spark.read.schema(SCHEMAS["sales"]).parquet(f"{self.data_dir}/sales")
+        months = F.col("sale_month").between(first_day[:7], last_day[:7])
+        return df.filter(months).select(*SCHEMAS["sales"].fieldNames())
+
     def raw(self, name: str) -> DataFrame:
         raise KeyError(f"{name!r} is a driver table; canonical storage holds only the shop tables")
 
@@ -42,8 +52,12 @@ def write_canonical(tables, folder: str, names=None) -> None:
         df = getattr(tables, name).select(*SCHEMAS[name].fieldNames())
         writer = df.write.mode("overwrite")
         if name in PARTITIONS:
-            # range-partition on (day, id): each task writes a few days, and a
-            # day holding a third of the rows is still split over many tasks
-            df = df.repartitionByRange(*PARTITIONS[name], "id")
-            writer = df.write.mode("overwrite").partitionBy(*PARTITIONS[name])
+            from pyspark.sql import functions as F
+            column, expr, order = PARTITIONS[name]
+            # range-partition on the sort order: each task writes a slice of
+            # days, and a month or day holding a third of the rows is still
+            # split over many tasks; rows are sorted inside each file
+            df = (df.withColumn(column, F.expr(expr)).repartitionByRange(*order)
+                  .sortWithinPartitions(*order))
+            writer = df.write.mode("overwrite").partitionBy(column)
         writer.parquet(f"{folder}/{name}")

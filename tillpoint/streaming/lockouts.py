@@ -154,6 +154,9 @@ def lockout_stream(attempts: DataFrame, preset: Preset = ACCOUNT) -> DataFrame:
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    from tillpoint.session import ship_package
+    ship_package(attempts.sparkSession)
+
     def step(key, batches, state):
         prev = state.get if state.exists else (None, 0, None)
         frames = [b for b in batches]
