@@ -63,3 +63,17 @@ def test_random_histories_match_plain_fold(spark):
                 want.append((key, conv(a), conv(b), n))
         assert locks(spark, rows, preset) == sorted(want)
         assert want, f"fixture should produce some locks for {preset}"
+
+
+def test_large_chunks_use_the_streaming_fold(spark):
+    rnd = random.Random(5)
+    rows = []
+    for key in ["hot", "hot", "k1", "k2"]:
+        t = T0 + dt.timedelta(minutes=rnd.randint(0, 300))
+        for _ in range(80):
+            t += dt.timedelta(seconds=rnd.choice([5, 20, 60, 200, 901]))
+            rows.append((key, t, rnd.random() < 0.1))
+    df = attempts(spark, rows)
+    both = sorted(tuple(r) for r in detect_lockouts(df, ACCOUNT, array_limit=4).collect())
+    arrays = sorted(tuple(r) for r in detect_lockouts(df, ACCOUNT).collect())
+    assert both == arrays and arrays

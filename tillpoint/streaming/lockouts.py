@@ -93,17 +93,67 @@ def _fold(attempts, preset: Preset):
     return F.aggregate(attempts, init, step)
 
 
-def detect_lockouts(attempts: DataFrame, preset: Preset = ACCOUNT) -> DataFrame:
+# chunks up to this many attempts are folded as one in-memory array
+ARRAY_FOLD_LIMIT = 100_000
+
+
+def detect_lockouts(attempts: DataFrame, preset: Preset = ACCOUNT,
+                    array_limit: int = ARRAY_FOLD_LIMIT) -> DataFrame:
     """Batch ST1: every lock event ``(key, locked_at, locked_until, failures)``.
 
     ``attempts`` has ``key``, ``ts`` (TIMESTAMP_NTZ) and ``success``.
+    Chunks of at most ``array_limit`` attempts are folded JVM-side over a
+    sorted array. Larger chunks (a key attacked without a quiet quarter
+    hour) are never gathered: they are range-partitioned, sorted, and folded
+    by a streaming pass that carries the three-value state from one Arrow
+    batch to the next, so a task's memory does not grow with the chunk.
     """
     chunked = gap_sessions(attempts.select("key", "ts", "success"), "key", "ts", "success",
                            preset.quiet_seconds, "chunk")
-    folded = (chunked.groupBy("key", "chunk")
+    sizes = chunked.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("_size"))
+    tagged = chunked.join(sizes, ["key", "chunk"], "inner")
+    small = tagged.filter(F.col("_size") <= array_limit)
+    folded = (small.groupBy("key", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct("ts", "success"))).alias("attempts"))
-              .select("key", _fold(F.col("attempts"), preset)["locks"].alias("locks")))
-    return folded.select("key", F.inline("locks"))
+              .select("key", _fold(F.col("attempts"), preset)["locks"].alias("locks"))
+              .select("key", F.inline("locks")))
+    big = tagged.filter(F.col("_size") > array_limit).drop("_size")
+    return folded.unionByName(_stream_fold_sorted(big, preset))
+
+
+def _stream_fold_sorted(rows: DataFrame, preset: Preset) -> DataFrame:
+    """Fold large chunks without holding them in memory.
+
+    Rows are hash-partitioned by (key, chunk), so each chunk is whole in one
+    task, and sorted inside the partition by (key, chunk, ts); the task then
+    reads Arrow batches in that order and carries the fold state from batch
+    to batch, resetting it when the chunk changes. A chunk is inherently
+    sequential, but its size no longer bounds the task's memory."""
+    from tillpoint.session import ship_package
+    ship_package(rows.sparkSession)
+
+    def fold_partition(batches):
+        current, state = None, (None, 0, None)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            micros = pd.to_datetime(pdf["ts"]).astype("int64") // 1000
+            out = []
+            for (key, chunk), grp in pdf.groupby(["key", "chunk"], sort=False):
+                if (key, chunk) != current:
+                    current, state = (key, chunk), (None, 0, None)
+                rows_ = list(zip(micros.loc[grp.index].tolist(), grp["success"].astype(bool).tolist()))
+                state, events = fold_rows(state, rows_, preset)
+                out.extend((key, a, b, n) for a, b, n in events)
+            if out:
+                yield pd.DataFrame({"key": [o[0] for o in out],
+                                    "locked_at": pd.to_datetime([o[1] for o in out], unit="us"),
+                                    "locked_until": pd.to_datetime([o[2] for o in out], unit="us"),
+                                    "failures": [o[3] for o in out]})
+
+    ordered = (rows.repartition("key", "chunk")
+               .sortWithinPartitions("key", "chunk", "ts", "success"))
+    return ordered.mapInPandas(fold_partition, LOCK_SCHEMA)
 
 
 # -- streaming form -----------------------------------------------------------
