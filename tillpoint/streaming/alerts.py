@@ -35,14 +35,16 @@ def run_alert_feed(spark: SparkSession, data_dir: str, as_of: str, out_dir: str
     table (after draining, when ``trigger_seconds`` is None)."""
     out = out_dir or scratch_path(spark, "alerts")
     seen_path = f"{out}/seen"
+    # one folder per micro-batch epoch, written in overwrite mode: a batch
+    # replayed after a failure rewrites its own folder instead of appending
+    # the same alerts twice
     empty = notifications(Tables(spark, data_dir), as_of, settings, role).limit(0)
-    empty.write.mode("append").parquet(seen_path)
+    empty.write.mode("overwrite").parquet(f"{seen_path}/epoch=-1")
 
-    def on_batch(batch: DataFrame, _epoch: int) -> None:
+    def on_batch(batch: DataFrame, epoch: int) -> None:
         current = notifications(Tables(spark, data_dir), as_of, settings, role)
-        seen = spark.read.parquet(seen_path)
-        fresh = new_alerts(current, seen).withColumn("epoch", F.lit(_epoch))
-        fresh.drop("epoch").write.mode("append").parquet(seen_path)
+        seen = spark.read.parquet(seen_path).filter(F.col("epoch") < epoch).drop("epoch")
+        new_alerts(current, seen).write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
 
     writer = (events_stream(spark, data_dir).writeStream.foreachBatch(on_batch)
               .option("checkpointLocation", f"{out}/_checkpoint"))
@@ -50,4 +52,4 @@ def run_alert_feed(spark: SparkSession, data_dir: str, as_of: str, out_dir: str
         writer.trigger(availableNow=True).start().awaitTermination()
     else:
         writer.trigger(processingTime=f"{trigger_seconds} seconds").start()
-    return spark.read.parquet(seen_path)
+    return spark.read.parquet(seen_path).drop("epoch")
