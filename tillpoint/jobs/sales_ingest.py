@@ -74,11 +74,15 @@ def _digital_lines(carts: DataFrame) -> DataFrame:
 
 
 def ingest_sales(carts: DataFrame, inventory: DataFrame, sales: DataFrame, requests: DataFrame) -> IngestResult:
-    products = _product_lines(carts)
-    digital = _digital_lines(carts)
+    from tillpoint.session import cut_lineage
+
     inv = inventory.select(F.col("id").alias("inventory_item_id"), F.col("name").alias("inv_name"),
                            normalize_item_status(F.col("status")).alias("inv_status"))
-    checked = products.join(inv, "inventory_item_id", "left")
+    # the exploded, looked-up lines feed the verdict, both numbering passes
+    # and every output: write them once rather than re-exploding the carts
+    checked = cut_lineage(_product_lines(carts).join(inv, "inventory_item_id", "left"))
+    digital = cut_lineage(_digital_lines(carts))
+    products = checked.drop("inv_name", "inv_status")
     bad_msg = (F.when(F.col("inv_name").isNull() & F.col("inv_status").isNull(), F.lit(MSG_UNKNOWN))
                 .when(F.col("inv_status") == P.OUT_OF_STOCK, F.concat(F.col("inv_name"), F.lit(MSG_OUT_OF_STOCK))))
     first_bad = (checked.withColumn("_msg", bad_msg).filter(F.col("_msg").isNotNull())
