@@ -106,7 +106,9 @@ def carry_forward_max(df: DataFrame, key: str, ts: str, tie: str, value: str, ou
     with_bucket = df.withColumn(b, F.date_trunc(bucket, F.col(ts)))
     running = Window.partitionBy(key, b).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_bucket = with_bucket.withColumn("_cfm_in", F.max(value).over(running))
-    per_bucket = with_bucket.groupBy(key, b).agg(F.max(value).alias("_cfm_b"))
+    # the bucket's max is the running max at its last row: taking it from the
+    # windowed rows lets both branches share one plan (and its shuffle)
+    per_bucket = in_bucket.groupBy(key, b).agg(F.max("_cfm_in").alias("_cfm_b"))
     earlier = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(key, b, F.max("_cfm_b").over(earlier).alias("_cfm_carry"))
     return (in_bucket.join(carry, [key, b], "left")
