@@ -12,7 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FILE = "generated.csv"
+
+def _file_of_item():
+    """One import file per category, as a shop importing several CSVs."""
+    return F.concat(F.lit("import-"), F.lower(F.col("category")), F.lit(".csv"))
+
+
+_FILE_SQL = "'import-' || lower(category) || '.csv'"
 
 
 def import_rows(t, clean: bool) -> DataFrame:
@@ -38,7 +44,7 @@ def import_rows(t, clean: bool) -> DataFrame:
     status = F.when(q == 5, F.lit("low-stock")).otherwise(F.col("status"))
     if not clean:
         status = F.when(q == 7, F.lit("Discontinued")).otherwise(status)
-    return i.select(F.lit(FILE).alias("file"), (F.col("id") + 2).cast("int").alias("row_number"),
+    return i.select(_file_of_item().alias("file"), (F.col("id") + 2).cast("int").alias("row_number"),
                     barcode.alias("barcode"), name.alias("name"), category.alias("category"),
                     F.col("supplier"), stock.alias("stock_quantity"), unit.alias("unit_price"),
                     F.col("selling_price").cast("string").alias("selling_price"), reorder.alias("reorder_level"),
@@ -65,7 +71,7 @@ def import_rows_sql(clean: bool) -> str:
         status = ("CASE WHEN stock_quantity = 7 THEN 'Discontinued' WHEN stock_quantity = 5 THEN 'low-stock' "
                   "ELSE status END")
     return f"""
-rows AS (SELECT '{FILE}' AS file, CAST(id + 2 AS INTEGER) AS row_number, {barcode} AS barcode, {name} AS name,
+rows AS (SELECT {_FILE_SQL} AS file, CAST(id + 2 AS INTEGER) AS row_number, {barcode} AS barcode, {name} AS name,
                 {category} AS category, supplier, {stock} AS stock_quantity, {unit} AS unit_price,
                 CAST(selling_price AS VARCHAR) AS selling_price,
                 CASE WHEN stock_quantity = 11 THEN '1e1' ELSE '10' END AS reorder_level, {status} AS status

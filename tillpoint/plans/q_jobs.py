@@ -110,7 +110,7 @@ def import_preview_summary(t):
 @register("import_errors_top12", with_views(f"""
 WITH {_preview_ctes(False)}
 SELECT CAST(row_number AS BIGINT) AS row_number, 'Row ' || CAST(row_number AS VARCHAR) || ': ' || msg AS error
-FROM preview WHERE msg IS NOT NULL ORDER BY row_number LIMIT 12""", "inventory_items", "categories"))
+FROM preview WHERE msg IS NOT NULL ORDER BY file, row_number LIMIT 12""", "inventory_items", "categories"))
 def import_errors_top12(t):
     """SO12: the first 12 preview errors (the rest are only counted)."""
     p = _preview_df(t, clean=False)
