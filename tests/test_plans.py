@@ -18,7 +18,7 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["report_product_logs", "best_selling", "category_revenue", "cart_totals"])
+@pytest.mark.parametrize("name", ["report_product_logs", "best_selling_top8", "category_revenue", "cart_totals"])
 def test_line_aggregates_are_partial_before_the_shuffle(spark, name):
     plan = _plan(E.queries()[name](spark, SMALL))
     assert "partial_sum" in plan
