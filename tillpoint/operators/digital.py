@@ -178,12 +178,7 @@ def recent_resolved(t, as_of: str, k: int = 10) -> DataFrame:
 
 def request_fingerprints(t) -> DataFrame:
     """AG14: per-request change key ``id:status:ref:completed:failed:reason``."""
-    def txt(c):
-        return F.coalesce(F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
-    fp = F.concat_ws(":", F.col("id").cast("string"), F.col("status"),
-                     F.coalesce(F.col("reference_no"), F.lit("")), txt("completed_at"), txt("failed_at"),
-                     F.coalesce(F.col("failed_reason"), F.lit("")))
-    return t.digital_service_requests.select("id", fp.alias("fingerprint"))
+    return fingerprints_of(t.digital_service_requests)
 
 
 def board_fingerprint(t) -> DataFrame:
@@ -212,3 +207,24 @@ def log_search(t, day: str, query: str) -> DataFrame:
         text("request_code", "number", "reference_no", "requested_by", "completed_by").alias("search_text"))
     every = products.unionByName(eload).unionByName(gcash)
     return every if not needle else every.filter(F.col("search_text").contains(needle))
+
+
+def fingerprints_of(requests: DataFrame) -> DataFrame:
+    """AG14 per-request keys for any requests table (see ``request_fingerprints``)."""
+    def txt(c):
+        return F.coalesce(F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    fp = F.concat_ws(":", F.col("id").cast("string"), F.col("status"),
+                     F.coalesce(F.col("reference_no"), F.lit("")), txt("completed_at"), txt("failed_at"),
+                     F.coalesce(F.col("failed_reason"), F.lit("")))
+    return requests.select("id", fp.alias("fingerprint"))
+
+
+def fingerprint_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """AG14 diff: requests added, removed or changed between two boards (a
+    full outer join on id of the two fingerprint sets)."""
+    b = fingerprints_of(before).withColumnRenamed("fingerprint", "before")
+    a = fingerprints_of(after).withColumnRenamed("fingerprint", "after")
+    change = (F.when(F.col("before").isNull(), F.lit("added"))
+               .when(F.col("after").isNull(), F.lit("removed"))
+               .when(F.col("before") != F.col("after"), F.lit("changed")))
+    return b.join(a, "id", "full").withColumn("change", change).filter(F.col("change").isNotNull())

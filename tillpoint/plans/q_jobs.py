@@ -513,3 +513,12 @@ def _reference_outcomes(t, cat_in, net_in, sup_in, pro_in):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("request_board_diff")
+def request_board_diff(t):
+    """AG14: what changed on the request board after the DM5 commands."""
+    from tillpoint.operators.digital import fingerprint_diff
+    after, _ = RQ.apply_transitions(t.digital_service_requests, IN.transition_commands(t))
+    return flat(fingerprint_diff(t.digital_service_requests, after).groupBy("change")
+                .agg(F.count(F.lit(1)).alias("requests")))
