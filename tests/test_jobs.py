@@ -164,3 +164,11 @@ def test_transition_commands(spark):
                    6: "Completed requests cannot be marked as failed.", 7: "Request not found."}
     state = {r["id"]: (r["status"], r["reference_no"]) for r in new.collect()}
     assert state[1] == ("Completed", "R9") and state[2][0] == "Failed" and state[3][0] == "Completed"
+
+
+def test_preview_with_duplicated_stored_barcode(spark):
+    inv = inventory(spark).unionByName(spark.createDataFrame(
+        [(4, "111", "Coke copy", "Drinks", "", "In Stock", 5, Dm(10), Dm(12), 2)], INV_SCHEMA))
+    p = IM.preview_import(rows(spark, [("111", "Coke", "Drinks", "", "1", "1", "1", "", "")]), inv, categories(spark))
+    r = p.first()
+    assert p.count() == 1 and r["existing_id"] == 1 and r["error"] == "Row 2: Barcode already exists."

@@ -65,7 +65,10 @@ def validate_products(rows: DataFrame, inventory: DataFrame, categories: DataFra
                       existing_id: Column, check_duplicates: bool) -> DataFrame:
     """The shared DM1 / DM11 rule chain over ``rows`` that already carry the
     candidate ``existing_id``. Adds typed product columns and ``error``."""
-    owners = inventory.select(js_trim(F.col("barcode")).alias("_owner_barcode"), F.col("id").alias("_owner_id"))
+    # one row per stored barcode (stored barcodes should be unique, but Spark
+    # enforces nothing): "owned by another item" holds if any owner differs
+    owners = (inventory.groupBy(js_trim(F.col("barcode")).alias("_owner_barcode"))
+              .agg(F.min("id").alias("_owner_id"), F.max("id").alias("_owner_max")))
     cats = categories.select(F.col("category_name").alias("_cat")).distinct()
     r = (rows.withColumn("_existing", existing_id)
              .join(owners, F.col("barcode") == F.col("_owner_barcode"), "left")
@@ -75,7 +78,9 @@ def validate_products(rows: DataFrame, inventory: DataFrame, categories: DataFra
     whole = lambda v: _finite(v) & (v == F.floor(v)) & (v >= 0)
     status_raw = js_trim(text_or_empty(F.col("status_text")))
     error = (F.when(F.col("barcode") == "", F.lit(MSG_BARCODE_REQUIRED))
-              .when(F.col("_owner_id").isNotNull() & (F.col("_owner_id") != F.coalesce(F.col("_existing"), F.lit(0))),
+              .when(F.col("_owner_id").isNotNull()
+                    & ((F.col("_owner_id") != F.coalesce(F.col("_existing"), F.lit(0)))
+                       | (F.col("_owner_max") != F.coalesce(F.col("_existing"), F.lit(0)))),
                     F.lit(MSG_BARCODE_TAKEN))
               .when(F.col("name") == "", F.lit(MSG_NAME_REQUIRED))
               .when(F.col("category") == "", F.lit(MSG_CATEGORY_REQUIRED))
@@ -89,7 +94,7 @@ def validate_products(rows: DataFrame, inventory: DataFrame, categories: DataFra
               .withColumn("reorder_level", F.when(whole(reorder), reorder.cast("bigint")))
               .withColumn("status", normalize_item_status(status_raw))
               .withColumnRenamed("_existing", "existing_id")
-              .drop("_owner_barcode", "_owner_id", "_cat"))
+              .drop("_owner_barcode", "_owner_id", "_owner_max", "_cat"))
     if not check_duplicates:
         return typed
     valid = typed.filter(F.col("error").isNull())
@@ -112,8 +117,8 @@ def preview_import(rows: DataFrame, inventory: DataFrame, categories: DataFrame)
     bad_rows = (rows.join(parse_bad, "file").filter(F.col("_file_bad") & F.col("error").isNotNull())
                 .select("file", "row_number", F.col("error")))
 
-    inv_barcode = inventory.select(js_trim(F.col("barcode")).alias("_bc"), F.col("id").alias("_bc_id"),
-                                   F.col("barcode").alias("_bc_barcode"))
+    inv_barcode = (inventory.groupBy(js_trim(F.col("barcode")).alias("_bc"))
+                   .agg(F.min("id").alias("_bc_id")))
     by_name = (inventory.groupBy(F.lower(F.col("name")).alias("_nm"))
                .agg(F.min_by(F.struct("id", "barcode"), F.col("id")).alias("_m")))
     base = ok_rows.select(
@@ -131,7 +136,7 @@ def preview_import(rows: DataFrame, inventory: DataFrame, categories: DataFrame)
     with_barcode = matched.withColumn(
         "barcode", js_trim(F.when(F.col("raw_barcode") != "", F.col("raw_barcode"))
                            .otherwise(F.coalesce(F.col("_m.barcode"), F.lit("")))))
-    prepared = with_barcode.withColumn("_match_id", existing).drop("_bc", "_bc_id", "_bc_barcode", "_nm", "_m")
+    prepared = with_barcode.withColumn("_match_id", existing).drop("_bc", "_bc_id", "_nm", "_m")
     checked = validate_products(prepared, inventory, categories, F.col("_match_id"),
                                 check_duplicates=True).drop("_match_id")
     out = checked.select("file", "row_number", *PRODUCT_COLUMNS, "existing_id",
@@ -172,7 +177,7 @@ def apply_import(preview: DataFrame, inventory: DataFrame, mode: str = "skip") -
     # the same barcode in two files of one batch: the first file / row wins
     first = first_by_order(products, ["barcode"], [F.col("file"), F.col("row_number")], "_first")
     products = first.filter(F.col("_first")).drop("_first")
-    inv_codes = inventory.select(F.col("id").alias("_id"), js_trim(F.col("barcode")).alias("_bc"))
+    inv_codes = inventory.groupBy(js_trim(F.col("barcode")).alias("_bc")).agg(F.min("id").alias("_id"))
     classified = products.join(inv_codes, F.col("barcode") == F.col("_bc"), "left")
     updates = classified.filter(F.col("_id").isNotNull())
     inserts = classified.filter(F.col("_id").isNull())
