@@ -54,3 +54,20 @@ def test_export_then_import_update_changes_nothing(spark, tables):
     old = sorted(tables.inventory_items.select(*cols).collect())
     new = sorted(new_inv.select(*cols).collect())
     assert old == new
+
+
+def test_sales_export_file_order_and_quoting(spark, tables):
+    import glob
+
+    from tillpoint.sinks.export import SALES_HEADER
+
+    folder = scratch_path(spark, "sales-export")
+    X.export_sales_csv(tables, folder, single_file=True)
+    files = sorted(glob.glob(f"{folder.replace('file:', '')}/part-*"))
+    assert len(files) == 1
+    lines = open(files[0], encoding="utf-8").read().splitlines()
+    assert lines[0] == ",".join(SALES_HEADER)
+    assert len(lines) == tables.sales.count() + 1
+    dates = [line.split(",")[1] for line in lines[1:]]
+    assert dates == sorted(dates, reverse=True)
+    assert all(line.count('"') % 2 == 0 for line in lines)
