@@ -37,6 +37,9 @@ def integrity_audit(t, promos: DataFrame) -> DataFrame:
     multi_active = (active.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
                     .agg(F.count_if(F.col("n") > 1).alias("violations")))
     rules = [
+        ("duplicate_inventory_id", _dup_keys(inv, F.col("id"))),
+        ("duplicate_sale_id", _dup_keys(sales, F.col("id"))),
+        ("duplicate_request_id", _dup_keys(req, F.col("id"))),
         ("duplicate_barcode", _dup_keys(inv, js_trim(F.col("barcode")))),
         ("duplicate_transaction_code", _dup_keys(sales, F.col("transaction_code"))),
         ("duplicate_request_code", _dup_keys(req, F.col("request_code"))),

@@ -361,7 +361,10 @@ WITH promos AS (SELECT network_name, CAST(COALESCE(CAST(regexp_extract_all(promo
                 FROM (VALUES {", ".join(f"('{n}', '{p}')" for n, ps in C.DEFAULT_NETWORKS.items() for p in ps)}) v(network_name, promo_name)),
 lines AS (SELECT sale_id, total FROM sale_items UNION ALL SELECT sale_id, total FROM sale_digital_items),
 per_sale AS (SELECT sale_id, SUM(total) AS t FROM lines GROUP BY sale_id)
-SELECT 'duplicate_barcode' AS rule, CAST((SELECT count(*) FROM (SELECT trim(barcode) FROM inventory_items GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS violations
+SELECT 'duplicate_inventory_id' AS rule, CAST((SELECT count(*) FROM (SELECT id FROM inventory_items GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS violations
+UNION ALL SELECT 'duplicate_sale_id', (SELECT count(*) FROM (SELECT id FROM sales GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_request_id', (SELECT count(*) FROM (SELECT id FROM digital_service_requests GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_barcode', (SELECT count(*) FROM (SELECT trim(barcode) FROM inventory_items GROUP BY 1 HAVING count(*) > 1))
 UNION ALL SELECT 'duplicate_transaction_code', (SELECT count(*) FROM (SELECT transaction_code FROM sales GROUP BY 1 HAVING count(*) > 1))
 UNION ALL SELECT 'duplicate_request_code', (SELECT count(*) FROM (SELECT request_code FROM digital_service_requests GROUP BY 1 HAVING count(*) > 1))
 UNION ALL SELECT 'duplicate_category_name_nocase', (SELECT count(*) FROM (SELECT lower(category_name) FROM categories GROUP BY 1 HAVING count(*) > 1))
