@@ -26,3 +26,19 @@ def test_snapshot_round_trip_and_pruning(spark, tables):
     assert "PartitionFilters: [isnotnull(sale_month" in month._jdf.queryExecution().executedPlan().toString()
     assert month.filter(F.col("sale_date") == date_lit(P.AS_OF)).count() == \
         tables.sales.filter(F.col("sale_date") == date_lit(P.AS_OF)).count()
+
+
+def test_reports_agree_on_stored_tables(spark, tables):
+    from tillpoint.operators import digital as D
+    from tillpoint.operators import inventory as I
+    from tillpoint.operators import recommend as RC
+    from tillpoint.operators import sales as S
+
+    folder = scratch_path(spark, "store-reports")
+    write_snapshot(tables, folder, P.AS_OF)
+    stored = CanonicalTables(spark, folder)
+    for build in (lambda t: D.chart_month(t, P.AS_OF), lambda t: D.logs_summary(t, P.AS_OF),
+                  lambda t: R.category_share(t), lambda t: S.sales_metrics(t, P.AS_OF),
+                  lambda t: I.list_inventory(t, "brand#1"), lambda t: RC.recommendations(t, P.AS_OF),
+                  lambda t: D.request_queue(t)):
+        assert sorted(build(stored).collect()) == sorted(build(tables).collect())
