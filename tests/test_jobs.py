@@ -172,3 +172,14 @@ def test_preview_with_duplicated_stored_barcode(spark):
     p = IM.preview_import(rows(spark, [("111", "Coke", "Drinks", "", "1", "1", "1", "", "")]), inv, categories(spark))
     r = p.first()
     assert p.count() == 1 and r["existing_id"] == 1 and r["error"] == "Row 2: Barcode already exists."
+
+
+def test_duplicate_rules_by_grouping_set(spark):
+    from tillpoint.jobs.audit import _dup_keys, _dup_keys_by_set
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, None), (4, None), (5, "c"), (5, "c")],
+                               "id long, code string")
+    got = {rule: d.first()["violations"] for rule, d in
+           _dup_keys_by_set(df, {"dup_id": F.col("id"), "dup_code": F.col("code")})}
+    want = {"dup_id": _dup_keys(df, F.col("id")).first()["violations"],
+            "dup_code": _dup_keys(df, F.col("code")).first()["violations"]}
+    assert got == want == {"dup_id": 2, "dup_code": 3}

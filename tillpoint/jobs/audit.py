@@ -19,6 +19,20 @@ def _dup_keys(df: DataFrame, key) -> DataFrame:
             .agg(F.count_if(F.col("n") > 1).alias("violations")))
 
 
+def _dup_keys_by_set(df: DataFrame, keys: dict) -> list:
+    """Several ``_dup_keys`` rules over one table in one pass: one grouping
+    set per key, told apart by ``grouping_id()`` (so a NULL key group is not
+    confused with an aggregated-away column). Returns ``[(rule, df)]``."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    m = len(names)
+    groups = (df.select(*[c.alias(n) for c, n in zip(keys.values(), names)])
+              .groupingSets([[n] for n in names], *names)
+              .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid")))
+    counts = groups.agg(*[F.count_if((F.col("_gid") == (2 ** m - 1) - 2 ** (m - 1 - i)) & (F.col("_n") > 1))
+                          .alias(f"_r{i}") for i in range(m)])
+    return [(rule, counts.select(F.col(f"_r{i}").alias("violations"))) for i, rule in enumerate(keys)]
+
+
 def _orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     p = parent.select(F.col(parent_key).alias("_pk"))
     return (child.filter(F.col(child_key).isNotNull())
@@ -37,12 +51,12 @@ def integrity_audit(t, promos: DataFrame) -> DataFrame:
     multi_active = (active.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
                     .agg(F.count_if(F.col("n") > 1).alias("violations")))
     rules = [
-        ("duplicate_inventory_id", _dup_keys(inv, F.col("id"))),
-        ("duplicate_sale_id", _dup_keys(sales, F.col("id"))),
-        ("duplicate_request_id", _dup_keys(req, F.col("id"))),
-        ("duplicate_barcode", _dup_keys(inv, js_trim(F.col("barcode")))),
-        ("duplicate_transaction_code", _dup_keys(sales, F.col("transaction_code"))),
-        ("duplicate_request_code", _dup_keys(req, F.col("request_code"))),
+        *_dup_keys_by_set(inv, {"duplicate_inventory_id": F.col("id"),
+                                "duplicate_barcode": js_trim(F.col("barcode"))}),
+        *_dup_keys_by_set(sales, {"duplicate_sale_id": F.col("id"),
+                                  "duplicate_transaction_code": F.col("transaction_code")}),
+        *_dup_keys_by_set(req, {"duplicate_request_id": F.col("id"),
+                                "duplicate_request_code": F.col("request_code")}),
         ("duplicate_category_name_nocase", _dup_keys(cats, F.lower(F.col("category_name")))),
         ("duplicate_supplier_name", _dup_keys(t.suppliers, F.col("supplier_name"))),
         ("duplicate_username_nocase", _dup_keys(t.users, F.lower(F.col("username")))),
