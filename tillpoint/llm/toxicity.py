@@ -28,8 +28,8 @@ from tillpoint.llm.common import byte_buffer, col, fold, prepare, row_hash, slic
 
 #: Bounded training sample: at most so many labelled documents of each class, of at
 #: most so many characters each.
-SAMPLE = {0: 3600, 1: 1200}
-SAMPLE_CHARS = 20_000
+SAMPLE = {0: 2000, 1: 800}
+SAMPLE_CHARS = 12_000
 GRAMS = (3, 4, 5, 6)
 BITS = 21
 EPOCHS = 30
@@ -54,10 +54,10 @@ def gram_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(n):
             h = h * np.uint64(0x100000001B3) + buf[j : j + size].astype(np.uint64) + np.uint64(1)
         at = np.flatnonzero(before[n - 1 : n - 1 + size] == before[1 : 1 + size])  # no edge inside
-        out_w.append(owner[at])
-        out_f.append((((h[at] + np.uint64(n)) * _MULT) >> np.uint64(64 - BITS)).astype(np.int64))
+        out_w.append(owner[at].astype(np.int32))
+        out_f.append((((h[at] + np.uint64(n)) * _MULT) >> np.uint64(64 - BITS)).astype(np.int32))
     if not out_w:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(out_w), np.concatenate(out_f)
 
 
