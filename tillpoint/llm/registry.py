@@ -3,11 +3,12 @@ parameters, and the pipeline; and their DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from tillpoint.llm import toxicity
+from tillpoint.llm import simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_simhash_near_dedup": simhash.op4,
         "op5_toxicity": toxicity.op5,
     }
 
