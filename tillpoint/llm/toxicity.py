@@ -33,7 +33,8 @@ SAMPLE_CHARS = 12_000
 GRAMS = (3, 4, 5, 6)
 BITS = 21
 EPOCHS = 30
-BACKGROUND = 0.05
+BACKGROUND = 0.3
+L2 = 4.0
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,7 +193,7 @@ def train(sample: list[tuple[str, int]]) -> dict | None:
         post, fwd, bwd, psi = chain.marginals(word_e[ids], trans, start)
         miss = gold_place - post
         by_word = np.bincount(ids, weights=miss[chain.place], minlength=len(words))
-        g = np.bincount(f, weights=by_word[w], minlength=1 << BITS) - 0.05 * weights
+        g = np.bincount(f, weights=by_word[w], minlength=1 << BITS) - L2 * weights
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         weights += 0.15 * (m1 / (1 - 0.9**it)) / (np.sqrt(m2 / (1 - 0.99**it)) + 1e-3)
         a, s, b = fwd[prev], psi[later], bwd[later]
