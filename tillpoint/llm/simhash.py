@@ -38,6 +38,9 @@ from tillpoint.llm.components import components
 SHINGLE_WORDS = 3
 DISTANCE = 2
 SEED = 42
+#: The plan is made for at least so many fingerprints: a smaller input would get wide
+#: parts whose candidates grow with the square of the input.
+DESIGN = 1 << 24
 
 
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -112,9 +115,11 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """[(bits, threshold)] of least estimated cost: rows probed, and 65 rows for each
-    fingerprint expected to have a candidate partner in the part."""
+def plan(n: int, both: np.ndarray, distance: int = DISTANCE, design: int | None = None) -> list[tuple[list[int], int]]:
+    """[(bits, threshold)] of least estimated cost for ``design`` fingerprints with the
+    bit statistics of the given ones: rows probed, and 65 rows for each fingerprint
+    expected to have a candidate partner in the part."""
+    design = design or n
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best = (math.inf, [])
@@ -129,8 +134,8 @@ def plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[
             row = {-1: 0.0}
             for t in range(distance + 1):
                 probes = sum(math.comb(len(bits), k) for k in range(t + 1))
-                partners = max(n - 1, 0) * within[: t + 1].sum()
-                row[t] = n * (probes + 65 * -math.expm1(-partners))
+                partners = max(design - 1, 0) * within[: t + 1].sum()
+                row[t] = design * (probes + 65 * -math.expm1(-partners))
             cost.append(row)
         # states: sum of the thresholds so far -> (cost, thresholds)
         states = {0: (0.0, [])}
@@ -189,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     n, both = bit_counts(classes)
     if n < 2:
         return rows.join(classes, "fp").select("doc_id", "fp", F.col("rep").alias("component_id"))
-    near = candidates(classes.select("fp"), plan(n, both))
+    near = candidates(classes.select("fp"), plan(n, both, DISTANCE, max(n, DESIGN)))
     roots = components(links(near))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
