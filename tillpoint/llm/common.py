@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.session import ensure_checkpoint_dir, ship_package
@@ -57,6 +57,19 @@ def row_hash(doc_id: Column, seed: int) -> Column:
     return F.xxhash64(doc_id, F.lit(seed))
 
 
+def bounded_sample(rows: DataFrame, key: str, limits: dict | int, seed: int) -> DataFrame:
+    """(doc_id, key): for each value of ``key`` the rows with the least hashes, at most
+    the value's limit. Rows that cannot be among them (by four times the expected
+    hash) go before the shuffle, so a frequent value is no large group."""
+    limit = F.lit(limits) if isinstance(limits, int) else F.coalesce(*[F.when(F.col(key) == k, F.lit(n)) for k, n in limits.items()])
+    rows = rows.select("doc_id", key).withColumn("_h", row_hash(F.col("doc_id"), seed))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    share = (F.col("_h").cast("double") + 2.0**63) / 2.0**64
+    near = rows.join(sizes, key).where(share * F.col("_n") < 4 * limit + 20)
+    order = Window.partitionBy(key).orderBy("_h", "doc_id")
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("doc_id", key)
+
+
 def slices(batches, column: str = "text", max_bytes: int = SLICE_BYTES):
     """Cut Arrow batches into runs of rows with about ``max_bytes`` of text, so a
     task's memory does not depend on the batch size; one longer text is a run."""

@@ -1,17 +1,25 @@
 """The ten operators' queries, each over its whole table with production
-parameters, and the pipeline; and their DuckDB SQL where SQL expresses them."""
+parameters, and their DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from tillpoint.llm import simhash, toxicity
+from tillpoint.llm import binary_output, decontam, langid, mixing, quality, simhash, substring, suffix_tree, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1,
+        "op2_quality_rules": quality.op2,
+        "op3_source_mix": mixing.op3,
         "op4_simhash_near_dedup": simhash.op4,
         "op5_toxicity": toxicity.op5,
+        "op6_benchmark_decontamination": decontam.op6,
+        "op7_token_records": binary_output.op7,
+        "op8_lm_scoring": suffix_tree.op8,
+        "op9_substring_dedup": substring.op9,
+        "op10_token_counts": token_counts.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mix": mixing.OP3_SQL}

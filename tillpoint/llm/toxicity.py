@@ -21,10 +21,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import byte_buffer, col, fold, prepare, row_hash, slices, texts
+from tillpoint.llm.common import bounded_sample, byte_buffer, col, fold, prepare, slices, table, texts
 
 #: Bounded training sample: at most so many labelled documents of each class, of at
 #: most so many characters each.
@@ -245,8 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int | None = 5) -> dic
         seen = seen.where(fold(F.col("doc_id"), held_out_mod) != 0)
     seen = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id")
-    w = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    chosen = seen.join(short, "doc_id", "left_semi").withColumn("h", row_hash(F.col("doc_id"), 5)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])).select("doc_id", "toxic")
+    chosen = bounded_sample(seen.join(short, "doc_id", "left_semi"), "toxic", SAMPLE, 5)
     ids = {r.doc_id: r.toxic for r in chosen.collect()}  # the size of SAMPLE at most
     if not ids:
         return None
@@ -288,7 +287,5 @@ def score(docs: DataFrame, model: dict | None, held_out_mod: int = 5, spans: boo
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    from tillpoint.llm.common import table
-
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
