@@ -196,10 +196,11 @@ WITH base AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 units AS (
-  SELECT skey, doc_id, size, CAST(count(*) * size AS BIGINT) AS words,
+  SELECT skey, doc_id, size, CAST(n * size AS BIGINT) AS words,
          CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
-  FROM base GROUP BY ALL),
-per AS (SELECT skey, CAST(sum(words) AS BIGINT) AS source_size, row_number() OVER (ORDER BY skey) - 1 AS idx FROM units GROUP BY skey),
+  FROM (SELECT skey, doc_id, size, count(*) AS n FROM base GROUP BY skey, doc_id, size)),
+sums AS (SELECT skey, CAST(sum(words) AS BIGINT) AS source_size FROM units GROUP BY skey),
+per AS (SELECT skey, source_size, row_number() OVER (ORDER BY skey) - 1 AS idx FROM sums),
 weighted AS (SELECT *, [3, 1, 2][CAST(idx % 3 + 1 AS BIGINT)] AS w, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM per),
 ordered AS (
   SELECT *, 2 * source_size / w AS ratio,
