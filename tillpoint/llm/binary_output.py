@@ -57,6 +57,10 @@ def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     return size + masked_crc(size).to_bytes(4, "little") + payload + masked_crc(payload).to_bytes(4, "little")
 
 
+def index_entry(doc_id: int | None, offset: int, n_tokens: int) -> bytes:
+    return _INDEX.pack(doc_id or 0, offset, n_tokens)
+
+
 def read_record(stream) -> tuple[int | None, np.ndarray] | None:
     """The next record's (doc_id, ids); None at the end; ValueError if damaged."""
     head = stream.read(12)
@@ -192,7 +196,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None) -
             for doc_id, ids in zip(col(b, "doc_id").to_pylist(), encode(texts(b), vocab)):
                 record = frame(doc_id, ids, width)
                 data.write(record)
-                index.write(_INDEX.pack(doc_id or 0, offset, len(ids)))
+                index.write(index_entry(doc_id, offset, len(ids)))
                 offset += len(record)
                 records += 1
                 tokens += len(ids)

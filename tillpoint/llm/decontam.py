@@ -35,7 +35,7 @@ from tillpoint.llm.common import col, prepare, slices, table, texts
 BLOCK = 48
 RANK = 64
 OVERSAMPLE = 16
-COSINE = 0.45
+COSINE = 0.35
 LCS_ALONE = 0.75
 LCS_WITH_ANSWER = 0.5
 ANSWER_FOUND = 0.75

@@ -286,6 +286,20 @@ def score(docs: DataFrame, model: dict | None, held_out_mod: int = 5, spans: boo
     return rows.mapInArrow(run, OUT)
 
 
+def without_toxic(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of ``docs`` not predicted toxic, all columns as they are."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for b in slices(batches, max_bytes=8 << 20):
+            yield b if model is None else b.filter(pa.array(score_texts(texts(b), model)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
