@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -87,53 +89,59 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CACHE: dict[tuple[str, bytes], bytes] = {}
+_CACHES: dict[str, dict[bytes, bytes]] = {}
 
 
-def _encode_words(words: list[str], tok) -> list[bytes]:
-    """Each word's ids as little-endian u32. Letters-only words are one pre-token
-    each and are encoded as one text, cut by pre-token; others one by one."""
-    out = []
-    for lo in range(0, len(words), 4096):
-        part = words[lo : lo + 4096]
-        enc = tok.encode(" ".join(part), add_special_tokens=False)
-        ids, owner = np.array(enc.ids, dtype="<u4"), np.array(enc.word_ids, dtype=np.int64)
-        if len(owner) and owner[-1] == len(part) - 1 and (np.diff(owner) <= 1).all() and owner[0] == 0:
-            edges = np.searchsorted(owner, np.arange(len(part) + 1))
-            out += [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-        else:
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(part, add_special_tokens=False)]
-    return out
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the
+    other bytes for the characters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
+
+
+_LETTERS = _byte_letters()
+
+
+def _simple(word: str) -> str | None:
+    """The model's input for a word of letters that normalisation leaves alone (one
+    pre-token); None for any other word."""
+    if word.isalpha():
+        if word.isascii():
+            return word
+        if word == word.lower() and unicodedata.is_normalized("NFC", word):
+            return word.encode().decode("latin-1").translate(_LETTERS)
+    return None
 
 
 def word_ids(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of distinct words, through the worker's cache."""
+    """Ids (little-endian u32) of distinct words, through the worker's cache. Simple
+    words, and simple words before a full stop or comma (a pre-token of its own), go
+    straight to the tokenizer's model; the rest through its whole chain."""
     tok = _tokenizer(path)
-    if len(_CACHE) > CACHE_WORDS:
-        _CACHE.clear()
-    found = [_CACHE.get((path, w)) for w in words]
-    missing = [i for i, x in enumerate(found) if x is None]
-    plain, marked, odd = [], [], []
-    for i in missing:
-        s = words[i].decode("utf-8", "replace")
-        if s.isalpha():
-            plain.append((i, s))
-        elif s[-1] in ".," and s[:-1].isalpha():
-            marked.append((i, s))
-        else:
-            odd.append((i, s))
-    stems = [s for _, s in plain] + [s[:-1] for _, s in marked]
-    ids = _encode_words(stems, tok) if stems else []
-    ends = {c: np.array(tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"} if marked else {}
-    for (i, _), x in zip(plain, ids):
-        found[i] = x
-    for (i, s), x in zip(marked, ids[len(plain) :]):
-        found[i] = x + ends[s[-1]]
-    if odd:
-        for (i, _), e in zip(odd, tok.encode_batch([s for _, s in odd], add_special_tokens=False)):
-            found[i] = np.array(e.ids, dtype="<u4").tobytes()
-    for i in missing:
-        _CACHE[(path, words[i])] = found[i]
+    tokenize = tok.model.tokenize
+    cache = _CACHES.setdefault(path, {})
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    found = list(map(cache.get, words))
+    odd, ends = [], {c: array("I", tok.encode(c.decode(), add_special_tokens=False).ids).tobytes() for c in (b".", b",")}
+    for i in [i for i, known in enumerate(found) if known is None]:
+        w = words[i]
+        mark = ends.get(w[-1:], b"")
+        stem = w[:-1] if mark else w
+        ids = cache.get(stem) if mark else None
+        if ids is None:
+            piece = _simple(stem.decode("utf-8", "replace"))
+            if piece is None:
+                odd.append(i)
+                continue
+            ids = cache[stem] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+        elif not _simple(stem.decode("utf-8", "replace")):
+            odd.append(i)
+            continue
+        found[i] = cache[w] = ids + mark
+    rest = tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False) if odd else []
+    for i, e in zip(odd, rest):
+        found[i] = cache[words[i]] = array("I", e.ids).tobytes()
     return found
 
 
@@ -187,7 +195,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None) -
         width = 2 if _tokenizer(vocab).get_vocab_size() <= 1 << 16 else 4
         seq = TaskContext.get().partitionId()
         name = f"part-{seq:07d}-{uuid.uuid4().hex}"
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=8 << 20):
             if data is None:
                 fs, base = file_system(folder)
                 fs.create_dir(base, recursive=True)

@@ -5,6 +5,7 @@
 2. The benchmark's TF-IDF passages get a randomised SVD: partitions of the benchmark
    add up their share of A'(A G) for a Gaussian G, and of (A Q)'(A Q) for the
    orthonormal basis Q; the driver only sees terms x (RANK + OVERSAMPLE) numbers.
+   Term frequencies are binary, so that a repeated word cannot drown the others.
 3. Every window of two blocks of every whole document is folded into the latent space
    and compared with every passage by cosine; COSINE or more makes a candidate.
 4. A candidate is checked on its words: the longest common subsequence of passage and
@@ -103,7 +104,9 @@ def frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int, np.ndarr
 
 
 def _tfidf(ws: list[bytes], vocab: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
-    v = np.bincount([vocab[w] for w in ws if w in vocab], minlength=len(idf)) * idf
+    v = np.zeros(len(idf))
+    at = [vocab[w] for w in set(ws) if w in vocab]
+    v[at] = idf[at]
     return v / (np.linalg.norm(v) or 1.0)
 
 
@@ -164,7 +167,7 @@ class Matcher:
         self.answers = [words_of(a) if a else w[-ANSWER_WORDS:] for (_, _, a), w in zip(items, self.words)]
         self.vocab = vocab
         self.terms = (idf[:, None] * space).astype(np.float32)
-        lat = np.array([np.bincount([vocab[w] for w in ws], minlength=len(idf)) @ self.terms for ws in self.words])
+        lat = np.array([self.terms[[vocab[w] for w in set(ws)]].sum(0) for ws in self.words])
         norm = np.linalg.norm(lat, axis=1, keepdims=True)
         self.items = (lat / np.where(norm > 1e-9, norm, np.inf)).astype(np.float32)
 
@@ -176,14 +179,16 @@ class Matcher:
         hit = np.flatnonzero(terms >= 0)
         if not len(hit):
             return out
+        width = len(self.terms)
+        pairs = np.unique(block[hit] * np.int64(width) + terms[hit])  # a term counts once a block
         vec = np.zeros((n_blocks + 1, self.terms.shape[1]), np.float32)
-        at, lo = np.unique(block[hit], return_index=True)
+        at, lo = np.unique(pairs // width, return_index=True)
         step = 1 << 16  # hits gathered at once
-        ends = np.append(lo[1:], len(hit))
+        ends = np.append(lo[1:], len(pairs))
         i = 0
         while i < len(at):
             j = max(i + 1, int(np.searchsorted(ends, lo[i] + step, side="right")))
-            part = self.terms[terms[hit[lo[i] : ends[j - 1]]]]
+            part = self.terms[pairs[lo[i] : ends[j - 1]] % width]
             vec[at[i:j]] = np.add.reduceat(part, lo[i:j] - lo[i], axis=0)
             i = j
         text_of = np.repeat(np.arange(len(raw)), np.diff(first))
