@@ -7,14 +7,20 @@
    orthonormal basis Q; the driver only sees terms x (RANK + OVERSAMPLE) numbers.
    Term frequencies are binary, so that a repeated word cannot drown the others.
 3. Every window of two blocks of every whole document is folded into the latent space
-   and compared with every passage by cosine; COSINE or more makes a candidate.
+   and compared with every passage by cosine; COSINE or more makes a candidate. The
+   window's length is taken before folding: what the space does not hold counts
+   against it, so a window of common words alone is near no passage. Terms of
+   more than COMMON_DF of all blocks are left out of the product, and each passage's
+   limit is lowered by what its own could add at most: no candidate is lost, and most
+   words need no vector. What is found gets its full cosine.
 4. A candidate is checked on its words: the longest common subsequence of passage and
    window (widened by the passage's length on both sides) covers LCS_ALONE of the
-   passage, or LCS_WITH_ANSWER of it while the answer (the ``answer`` column, else the
-   passage's last ANSWER_WORDS words) is found as well, which catches paraphrases.
+   passage, or LCS_WITH_ANSWER of it at a cosine of PARAPHRASE_COSINE or more while the
+   answer (the ``answer`` column, else the passage's last ANSWER_WORDS words) is found
+   as well, which catches paraphrases.
 
-The benchmark is a stated query set: it is taken in blocks of at most ITEM_WORDS
-words, each a pass over the documents, so what is broadcast stays bounded. Documents
+The benchmark is a stated query set: it is taken in blocks of at most ITEMS passages
+and ITEM_WORDS words, each a pass over the documents, so what is broadcast stays bounded. Documents
 are never shuffled. Case (A-Z) and ASCII punctuation do not count.
 
 Defined results: null or empty texts and passages match nothing; repeated rows give
@@ -34,13 +40,16 @@ from pyspark.sql import functions as F
 from tillpoint.llm.common import col, prepare, slices, table, texts
 
 BLOCK = 48
-RANK = 64
+RANK = 256
 OVERSAMPLE = 16
-COSINE = 0.35
+COSINE = 0.4
+PARAPHRASE_COSINE = 0.45
+COMMON_DF = 0.05
 LCS_ALONE = 0.75
 LCS_WITH_ANSWER = 0.5
 ANSWER_FOUND = 0.75
 ANSWER_WORDS = 8
+ITEMS = 1024
 ITEM_WORDS = 200_000
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -167,6 +176,13 @@ class Matcher:
         self.answers = [words_of(a) if a else w[-ANSWER_WORDS:] for (_, _, a), w in zip(items, self.words)]
         self.vocab = vocab
         self.terms = (idf[:, None] * space).astype(np.float32)
+        self.squares = idf**2
+        self.active = idf >= -np.log(COMMON_DF)
+        sets = [np.array([vocab[w] for w in set(ws)]) for ws in self.words]
+        self.length = np.array([np.sqrt(self.squares[at].sum()) for at in sets])
+
+        left_out = np.array([np.sqrt(self.squares[at[~self.active[at]]].sum()) for at in sets]) / np.maximum(self.length, 1e-12)
+        self.limit = COSINE - left_out
         lat = np.array([self.terms[[vocab[w] for w in set(ws)]].sum(0) for ws in self.words])
         norm = np.linalg.norm(lat, axis=1, keepdims=True)
         self.items = (lat / np.where(norm > 1e-9, norm, np.inf)).astype(np.float32)
@@ -181,6 +197,8 @@ class Matcher:
             return out
         width = len(self.terms)
         pairs = np.unique(block[hit] * np.int64(width) + terms[hit])  # a term counts once a block
+        square = np.append(np.bincount(pairs // width, weights=self.squares[pairs % width], minlength=n_blocks), 0.0)
+        pairs = pairs[self.active[pairs % width]]
         vec = np.zeros((n_blocks + 1, self.terms.shape[1]), np.float32)
         at, lo = np.unique(pairs // width, return_index=True)
         step = 1 << 16  # hits gathered at once
@@ -194,20 +212,24 @@ class Matcher:
         text_of = np.repeat(np.arange(len(raw)), np.diff(first))
         same = np.append(text_of[1:] == text_of[:-1], False)
         window = vec[:-1] + vec[1:] * same[:, None]
-        norm = np.linalg.norm(window, axis=1, keepdims=True)
-        cos = (window / np.where(norm > 1e-9, norm, np.inf)) @ self.items.T
-        for w, item in np.argwhere(cos >= COSINE):
+        norm = np.sqrt(square[:-1] + square[1:] * same)[:, None]
+        cos = (window @ self.items.T) / np.where(norm > 1e-9, norm, np.inf)
+        for w, item in np.argwhere(cos >= self.limit):
             d = int(text_of[w])
             mine, ws = self.words[item], lists[d]
             begin = int(w - first[d]) * BLOCK
+            both = set(mine) & set(ws[begin : begin + 2 * BLOCK])
+            cosine = float(self.squares[[self.vocab[x] for x in both]].sum() / max(norm[w, 0] * self.length[item], 1e-12))
+            if cosine < COSINE:
+                continue
             region = ws[max(0, begin - len(mine)) : begin + 2 * BLOCK + len(mine)]
             share = lcs(mine, region) / len(mine)
             if share < LCS_WITH_ANSWER:
                 continue
             answer = self.answers[item]
             found = bool(answer) and lcs(answer, region) >= ANSWER_FOUND * len(answer)
-            if share >= LCS_ALONE or found:
-                out[d][item] = max(out[d].get(item, (0.0, 0.0, False)), (float(cos[w, item]), share, found), key=lambda x: x[1:])
+            if share >= LCS_ALONE or (found and cosine >= PARAPHRASE_COSINE):
+                out[d][item] = max(out[d].get(item, (0.0, 0.0, False)), (cosine, share, found), key=lambda x: (x[1], x[2], x[0]))
         return out
 
 
@@ -232,7 +254,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame):
         n = len(words_of(r.text.encode()))
         if not n:
             continue
-        if block and size + n > ITEM_WORDS:
+        if block and (size + n > ITEM_WORDS or len(block) == ITEMS):
             yield build(block)
             block, size = [], 0
         block.append((r.item_id, r.text, r.answer))
