@@ -28,8 +28,8 @@ from tillpoint.llm.common import bounded_sample, byte_buffer, col, fold, prepare
 
 #: Bounded training sample: at most so many labelled documents of each class, of at
 #: most so many characters each.
-SAMPLE = {0: 2000, 1: 800}
-SAMPLE_CHARS = 12_000
+SAMPLE = {0: 1200, 1: 600}
+SAMPLE_CHARS = 8_000
 GRAMS = (3, 4, 5, 6)
 BITS = 21
 EPOCHS = 30
