@@ -14,7 +14,7 @@
    limit is lowered by what its own could add at most: no candidate is lost, and most
    words need no vector. What is found gets its full cosine.
 4. A candidate is checked on its words: the longest common subsequence of passage and
-   window (widened by the passage's length on both sides) covers LCS_ALONE of the
+   a stretch of the window (widened by the passage's length on both sides) covers LCS_ALONE of the
    passage, or LCS_WITH_ANSWER of it at a cosine of PARAPHRASE_COSINE or more while the
    answer (the ``answer`` column, else the passage's last ANSWER_WORDS words) is found
    as well, which catches paraphrases.
@@ -73,6 +73,15 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def closest(a: list, region: list) -> tuple[int, list]:
+    """The stretch of one and a half lengths of ``a`` in the region that shares the
+    longest common subsequence with it (a longer one would share common words by
+    chance), and that length."""
+    size, step = len(a) + len(a) // 2 + 1, max(1, len(a) // 4)
+    stretches = [region[i : i + size] for i in range(0, max(1, len(region) - size + step), step)]
+    return max(((lcs(a, s), s) for s in stretches), key=lambda x: x[0])
+
+
 def _flat(raw: list[bytes], vocab: dict[bytes, int]):
     """(words per text, term id or -1 of every word, block number of every word,
     first block of each text)."""
@@ -223,11 +232,12 @@ class Matcher:
             if cosine < COSINE:
                 continue
             region = ws[max(0, begin - len(mine)) : begin + 2 * BLOCK + len(mine)]
-            share = lcs(mine, region) / len(mine)
+            common, near = closest(mine, region)
+            share = common / len(mine)
             if share < LCS_WITH_ANSWER:
                 continue
             answer = self.answers[item]
-            found = bool(answer) and lcs(answer, region) >= ANSWER_FOUND * len(answer)
+            found = bool(answer) and lcs(answer, near) >= ANSWER_FOUND * len(answer)
             if share >= LCS_ALONE or (found and cosine >= PARAPHRASE_COSINE):
                 out[d][item] = max(out[d].get(item, (0.0, 0.0, False)), (cosine, share, found), key=lambda x: (x[1], x[2], x[0]))
         return out
