@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tillpoint import params as P
 
-# -- fixed values: whitespace removed by the reference's String.trim() -------
-_JS_WHITESPACE = " \t\n\r\f\u000b\u00a0\ufeff\u2028\u2029"
+# -- fixed values: white space that JavaScript's String.trim() removes --------
+JS_WHITESPACE = (" \t\n\r\f\u000b\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+                 + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def _col(c) -> Column:
@@ -20,8 +21,13 @@ def _col(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """Trim like JavaScript ``String.trim`` (spaces, tabs, line ends, NBSP, BOM)."""
-    return F.trim(_col(c), F.lit(_JS_WHITESPACE))
+    """Trim like JavaScript ``String.trim`` (ASCII and Unicode spaces, line ends, BOM)."""
+    return F.trim(_col(c), F.lit(JS_WHITESPACE))
+
+
+def ascii_lower(c) -> Column:
+    """A-Z to lower case and nothing else: how SQLite's LOWER, LIKE and NOCASE fold."""
+    return F.translate(_col(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def text_or_empty(c) -> Column:
@@ -107,15 +113,10 @@ def rate_limit_key(c) -> Column:
 
 
 # FN18 -----------------------------------------------------------------------
-def number_or_zero(c) -> Column:
-    """``Number(x || 0)`` for numeric columns: NULL becomes 0."""
-    return F.coalesce(_col(c), F.lit(0))
-
-
 def at_least_one(c) -> Column:
-    """``Math.max(1, Number(x) || 1)``."""
-    v = _col(c)
-    return F.greatest(F.lit(1), F.when(v.isNull() | (v == 0), F.lit(1)).otherwise(v))
+    """``Math.max(1, Number(x) || 1)``: NULL, zero and NaN count as one."""
+    v = _col(c).cast("double")
+    return F.greatest(F.lit(1.0), F.when(v.isNull() | (v == 0) | F.isnan(v), F.lit(1.0)).otherwise(v))
 
 
 def name_or_system(c) -> Column:

@@ -1,32 +1,34 @@
-"""SC2: product CSV import reader.
-
-Two modes:
-
-* ``read_inventory_csv`` (exact): each file is read whole
-  (``wholetext``), and a small per-file parser runs inside ``mapInPandas``
-  on the executors, many files in parallel. It keeps the reference's rules
-  that Spark's CSV reader does not: a quote anywhere opens a quoted run,
-  ``""`` inside quotes is one quote, a trailing ``\\r`` is dropped, rows
-  are numbered by record index + 2, blank rows are skipped, an over-wide
-  row is an error, an unclosed quote fails the file, headers are matched
-  by trimmed lower-case name in any order, and five headers are required.
-* ``read_inventory_csv_fast``: Spark's own multi-line CSV reader for very
-  large files, with the documented differences (blank lines and overflow
-  values are dropped silently, quotes inside unquoted fields are kept).
-
-Both return the same columns: ``file, row_number, barcode, name, category,
-supplier, stock_quantity, unit_price, selling_price, reorder_level, status,
-error`` (``row_number``/fields NULL on a file-level error).
+"""SC2: product CSV import reader, distributed over the lines of all files.
+
+No file is ever held by one task. Files are read line by line (large files
+in splits), and what quoting says about a line is arithmetic over the lines
+before it: a line starts inside a quoted value when an odd number of quotes
+precedes it in its file. That number, and the number of finished records, are
+prefix sums: inside a split by a window, across splits by a small table.
+
+* ``""`` inside quotes is one quote; a quote anywhere opens a quoted run;
+  commas and newlines inside quotes are text; a record's last value loses a
+  trailing ``\\r``.
+* The text of a file counts from its first to its last non-blank line,
+  trimmed. A file without one is empty; a file with an odd number of quotes
+  has an unclosed value; both are errors of the file.
+* Headers are matched by trimmed lower-case name in any order, per file; five
+  are required. Rows are numbered by record (the first row is 2), blank rows
+  are skipped, a row wider than the header is an error of the row.
+
+Output: ``file, row_number, barcode, name, category, supplier, stock_quantity,
+unit_price, selling_price, reorder_level, status, error`` (``row_number`` and
+the values are NULL on a file-level error).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillpoint.functions.normalize import JS_WHITESPACE, js_trim
+from tillpoint.session import cut_lineage
+
 # -- fixed values: import headers and messages --------------------------------
 FIELDS = ("barcode", "name", "category", "supplier", "stock quantity", "unit price",
           "selling price", "reorder level", "status")
@@ -36,119 +38,101 @@ MSG_UNCLOSED = "The CSV contains an unclosed quoted value."
 MSG_NO_ROWS = "The CSV does not contain any product rows."
 MSG_WIDE = "contains more values than the header row."
 
-OUTPUT_SCHEMA = ("file string, row_number int, barcode string, name string, category string, "
-                 "supplier string, stock_quantity string, unit_price string, selling_price string, "
-                 "reorder_level string, status string, error string")
-_COLS = ["file", "row_number", "barcode", "name", "category", "supplier", "stock_quantity",
-         "unit_price", "selling_price", "reorder_level", "status", "error"]
-_JS_SPACE = " \t\n\r\f\v\u00a0\ufeff\u2028\u2029"
-
-
-def split_records(text: str) -> list[list[str]]:
-    """The reference's record splitter (raises ValueError on an open quote)."""
-    rows, row, field = [], [], []
-    quoted = False
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if quoted:
-            if ch == '"' and i + 1 < n and text[i + 1] == '"':
-                field.append('"')
-                i += 2
-                continue
-            if ch == '"':
-                quoted = False
-            else:
-                field.append(ch)
-            i += 1
-            continue
-        if ch == '"':
-            quoted = True
-        elif ch == ",":
-            row.append("".join(field))
-            field = []
-        elif ch == "\n":
-            value = "".join(field)
-            row.append(value[:-1] if value.endswith("\r") else value)
-            rows.append(row)
-            row, field = [], []
-        else:
-            field.append(ch)
-        i += 1
-    if quoted:
-        raise ValueError(MSG_UNCLOSED)
-    if field or row:
-        value = "".join(field)
-        row.append(value[:-1] if value.endswith("\r") else value)
-        rows.append(row)
-    return rows
-
-
-def parse_file(path: str, content: str) -> list[tuple]:
-    """One file -> output rows (see module doc)."""
-    def file_error(msg):
-        return [(path, None, None, None, None, None, None, None, None, None, None, msg)]
-
-    text = (content or "")
-    if text.startswith("\ufeff"):
-        text = text[1:]
-    text = text.strip(_JS_SPACE)
-    if not text:
-        return file_error(MSG_EMPTY)
-    try:
-        records = split_records(text)
-    except ValueError as exc:
-        return file_error(str(exc))
-    headers = [h.strip(_JS_SPACE).lower() for h in records[0]]
-    missing = [h for h in REQUIRED if h not in headers]
-    if missing:
-        plural = "" if len(missing) == 1 else "s"
-        return file_error(f"Missing required column{plural}: {', '.join(missing)}.")
-    index = {h: headers.index(h) for h in FIELDS if h in headers}
-    out = []
-    for k, row in enumerate(records[1:]):
-        number = k + 2
-        if not any(v.strip(_JS_SPACE) for v in row):
-            continue
-        if len(row) > len(headers):
-            out.append((path, number) + (None,) * 9 + (f"Row {number}: {MSG_WIDE}",))
-            continue
-        values = tuple((row[index[h]] if h in index and index[h] < len(row) else "").strip(_JS_SPACE)
-                       for h in FIELDS)
-        out.append((path, number) + values + (None,))
-    if not out:
-        return file_error(MSG_NO_ROWS)
-    return out
-
-
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["value"]):
-            rows.extend(parse_file(path, content))
-        yield pd.DataFrame(rows, columns=_COLS)
+COLUMNS = [f.replace(" ", "_") for f in FIELDS]
+# one value up to its comma: plain characters and quoted runs ("" inside a
+# quoted run is two adjacent runs)
+_VALUE = r'((?:[^",]++|"[^"]*+")*+),'
+
+
+def _unquoted(raw: Column) -> Column:
+    """The text of one raw value: cut at its quotes, every second piece lies
+    inside them; an empty piece between two inside ones was a doubled quote."""
+    pieces = F.split(raw, '"', -1)
+    last = F.size(pieces) - 1
+    text = F.transform(pieces, lambda p, i: F.when((i % 2 == 0) & (i > 0) & (i < last) & (p == ""), F.lit('"')).otherwise(p))
+    return F.array_join(text, "")
+
+
+def record_values(record: Column) -> Column:
+    """The values of one record's text."""
+    raw = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_VALUE), 1)
+    values = F.transform(raw, _unquoted)
+    return F.transform(values, lambda v, i: F.when(i == F.size(values) - 1, F.regexp_replace(v, "\r\\z", "")).otherwise(v))
+
+
+def _running(rows: DataFrame, amount: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over the file's earlier lines. A split's
+    lines share a window (bounded by the split size); splits carry over through
+    one row each."""
+    inside = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (rows.groupBy("file", "split").agg(F.sum(amount).alias("_sum"))
+             .select("file", "split", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry")))
+    return (rows.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+            .join(carry, ["file", "split"]).withColumn(out, F.col("_carry") + F.col("_in")).drop("_in", "_carry"))
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, split, line, value``: every line with its place. A line's place is
+    its split's first byte and its order in the split."""
+    return spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"), "value")
+
+
+def records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(records, bad_files)`` of the lines: ``file, rec, record`` with the header
+    as record 0, and ``file, error`` for empty and unclosed files."""
+    place = F.struct("split", "line")
+    full = js_trim(F.col("value")) != ""
+    span = lines.groupBy("file").agg(
+        F.min(F.when(full, place)).alias("first"), F.max(F.when(full, place)).alias("last"),
+        F.sum(F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))).alias("quotes"))
+    bad = span.select("file", F.when(F.col("first").isNull(), F.lit(MSG_EMPTY)).when(F.col("quotes") % 2 == 1, F.lit(MSG_UNCLOSED)).alias("error"))
+    good = span.where("first is not null and quotes % 2 = 0").select("file", "first", "last")
+    text = lines.join(good, "file").where((place >= F.col("first")) & (place <= F.col("last")))
+    text = text.withColumn("value", F.when(place == F.col("first"), F.ltrim("value", F.lit(JS_WHITESPACE))).otherwise(F.col("value")))
+    text = text.withColumn("value", F.when(place == F.col("last"), F.rtrim("value", F.lit(JS_WHITESPACE))).otherwise(F.col("value")))
+    text = text.drop("first", "last").withColumn("quotes", F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))))
+    text = _running(text, "quotes", "quotes_before")
+    ends = ((F.col("quotes_before") + F.col("quotes")) % 2 == 0).cast("int")
+    text = _running(text.withColumn("ends", ends), "ends", "rec")
+    whole = (F.col("quotes_before") % 2 == 0) & (F.col("ends") == 1)
+    one = text.where(whole).select("file", "rec", F.col("value").alias("record"))
+    several = (text.where(~whole).groupBy("file", "rec")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "line", "value"))), lambda s: s["value"]), "\n").alias("record")))
+    return one.unionByName(several), bad.where("error is not null")
 
 
 def read_inventory_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Exact mode: one whole file per row, parsed on the executors."""
-    from tillpoint.session import ship_package
-    ship_package(spark)
-    files = (spark.read.text(paths, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("path"), "value"))
-    return files.mapInPandas(_parse_batches, OUTPUT_SCHEMA)
-
-
-def read_inventory_csv_fast(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Fast mode: Spark's CSV reader (see module doc for the differences).
-    Row numbers are not file positions here; they follow the reader's order."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-           .option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .csv(paths))
-    lower = {c.strip().lower(): c for c in raw.columns}
-
-    def pick(h):
-        return F.coalesce(F.col(f"`{lower[h]}`"), F.lit("")) if h in lower else F.lit("")
-    return raw.select(F.col("_metadata.file_path").alias("file"),
-                      (F.monotonically_increasing_id() + 2).cast("int").alias("row_number"),
-                      *[pick(h).alias(h.replace(" ", "_")) for h in FIELDS],
-                      F.lit(None).cast("string").alias("error"))
+    """Parsed rows of all files (see module doc)."""
+    # the lines feed the files' spans, both prefix sums and the records: they are
+    # written once, which also fixes the line order
+    lines = cut_lineage(read_lines(spark, paths))
+    found, bad = records(lines)
+    found = cut_lineage(found.withColumn("values", record_values(F.col("record"))).drop("record"))
+    header = found.where("rec = 0").select("file", F.transform("values", lambda v: F.lower(js_trim(v))).alias("headers"))
+    missing = F.filter(F.array(*[F.lit(h) for h in REQUIRED]), lambda h: ~F.array_contains(F.col("headers"), h))
+    header = header.withColumn("missing", missing)
+    unfit = header.where(F.size("missing") > 0).select(
+        "file", F.concat(F.lit("Missing required column"), F.when(F.size("missing") > 1, F.lit("s")).otherwise(F.lit("")),
+                         F.lit(": "), F.array_join("missing", ", "), F.lit(".")).alias("error"))
+    header = header.where(F.size("missing") == 0).select("file", F.size("headers").alias("width"), *[
+        F.array_position("headers", h).alias(f"_at_{h.replace(' ', '_')}") for h in FIELDS])
+    rows = found.where("rec > 0").join(header, "file").where(F.exists("values", lambda v: js_trim(v) != ""))
+    number = (F.col("rec") + 1).cast("int")
+    wide = F.size("values") > F.col("width")
+
+    def value(name: str) -> Column:
+        at = F.col(f"_at_{name}")
+        got = F.when((at > 0) & (at <= F.size("values")), js_trim(F.get("values", (at - 1).cast("int"))))
+        return F.when(~wide, F.coalesce(got, F.lit(""))).alias(name)
+
+    parsed = rows.select("file", number.alias("row_number"), *[value(c) for c in COLUMNS],
+                         F.when(wide, F.concat(F.lit("Row "), number.cast("string"), F.lit(f": {MSG_WIDE}"))).alias("error"))
+    # files of zero bytes have no line: they come from the listing
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), F.col("length"))
+    zero = listed.where("length = 0").select("file", F.lit(MSG_EMPTY).alias("error"))
+    rowless = header.select("file").join(rows.select("file").distinct(), "file", "left_anti").select("file", F.lit(MSG_NO_ROWS).alias("error"))
+    errors = bad.unionByName(unfit).unionByName(zero).unionByName(rowless)
+    return parsed.unionByName(errors, allowMissingColumns=True)
