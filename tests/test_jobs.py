@@ -65,23 +65,104 @@ def test_apply_is_all_or_nothing_and_modes(spark):
     bad = IM.preview_import(rows(spark, [("999", "X", "Drinks", "", "1", "-1", "1", "", "")]),
                             inventory(spark), categories(spark))
     inv, summary = IM.apply_import(bad, inventory(spark), "update")
-    assert tuple(summary.first()) == (0, 0, 0) and inv.count() == 3
+    assert tuple(summary.first()) == ("f.csv", 0, 0, 0) and inv.count() == 3
     good = IM.preview_import(rows(spark, [("999", "X", "Drinks", "", "1", "1", "2", "", ""),
                                           ("111", "Coke", "Drinks", "", "7", "1", "2", "", "")]),
                              inventory(spark), categories(spark))
     inv, summary = IM.apply_import(good, inventory(spark), "update")
-    assert tuple(summary.first()) == (1, 1, 0)
+    assert tuple(summary.first()) == ("f.csv", 1, 1, 0)
     by_id = {r["id"]: r for r in inv.collect()}
     assert by_id[4]["barcode"] == "999" and by_id[1]["name"] == "Coke" and by_id[1]["stock_quantity"] == 7
     _, summary = IM.apply_import(good, inventory(spark), "skip")
-    assert tuple(summary.first()) == (1, 0, 1)
+    assert tuple(summary.first()) == ("f.csv", 1, 0, 1)
+
+
+def test_files_are_applied_one_after_another(spark):
+    """One bad file does not block the others; a barcode in two files is new for the
+    first and existing for the second."""
+    data = rows(spark, [("999", "First", "Drinks", "", "1", "1", "2", "", ""), ("111", "Coke", "Drinks", "", "7", "1", "2", "", ""),
+                        ("999", "Second", "Drinks", "", "3000000000", "1", "2", "", ""), ("888", "X", "Drinks", "", "1", "0xFFFFFFFFFFFFFFFFFF", "2", "", "")])
+    named = data.withColumn("file", F.element_at(F.array(F.lit("a.csv"), F.lit("a.csv"), F.lit("b.csv"), F.lit("c.csv")), F.col("row_number") - 1))
+    preview = IM.preview_import(named, inventory(spark), categories(spark))
+    assert {r["file"]: r["error"] for r in preview.collect() if r["error"]} == {
+        "c.csv": "Row 5: Unit Price and Selling Price must be valid non-negative numbers."}
+    inv, summary = IM.apply_import(preview, inventory(spark), "update")
+    assert sorted(map(tuple, summary.collect())) == [("a.csv", 1, 1, 0), ("b.csv", 0, 1, 0), ("c.csv", 0, 0, 0)]
+    new = [r for r in inv.collect() if r["barcode"] == "999"]
+    assert [(r["id"], r["name"], r["stock_quantity"]) for r in new] == [(4, "Second", 3000000000)]
+    inv, summary = IM.apply_import(preview, inventory(spark), "skip")
+    assert sorted(map(tuple, summary.collect())) == [("a.csv", 1, 0, 1), ("b.csv", 0, 0, 1), ("c.csv", 0, 0, 0)]
+    assert [r["name"] for r in inv.collect() if r["barcode"] == "999"] == ["First"]
+
+
+def test_edits_keep_ids_and_barcodes_unique(spark):
+    cols = ("edit_id long, id long, barcode string, name string, category string, supplier string, stock_text string, "
+            "unit_price_text string, selling_price_text string, reorder_text string, status_text string")
+    tail = ("Drinks", "", "1", "1", "1", "0", "")
+    edits = spark.createDataFrame([(1, 1, "NEW", "one", *tail), (2, 3, "NEW", "two", *tail), (3, 1, "NEW", "three", *tail)], cols)
+    inv, rejects = IM.apply_item_edits(edits, inventory(spark), categories(spark), "Admin")
+    got = {r["id"]: (r["barcode"], r["name"]) for r in inv.collect()}
+    assert inv.count() == 3 and got[1] == ("NEW", "three") and got[3][0] == "333"
+    assert [(r["edit_id"], r["error"]) for r in rejects.collect()] == [(2, "Barcode already exists.")]
+
+
+def test_renames_never_multiply_rows(spark):
+    from tillpoint.jobs import reference as RF
+    suppliers = spark.createDataFrame([(1, "ACME", "", ""), (2, "ACME", "", ""), (3, "BETA", "", "")],
+                                      "supplier_id long, supplier_name string, contact_no string, address string")
+    ren = spark.createDataFrame([(1, 1, "ONE", "09"), (2, 2, "TWO", "x"), (3, 1, "UNO", "08"), (4, 3, "ONE", "y"), (5, 3, "ACME", "z")],
+                                "rename_id long, supplier_id long, new_name string, contact_no string")
+    table, inv, rejects = RF.rename_suppliers(ren, suppliers, inventory(spark))
+    assert {r["supplier_id"]: (r["supplier_name"], r["contact_no"]) for r in table.collect()} == {1: ("UNO", "08"), 2: ("TWO", "x"), 3: ("BETA", "")}
+    assert inv.count() == 3 and {r["supplier"] for r in inv.collect()} <= {"UNO", "TWO", ""}
+    assert sorted(r["rename_id"] for r in rejects.collect()) == [4, 5]
+
+
+def test_promos_and_settings(spark):
+    from tillpoint.jobs import reference as RF
+    promos = spark.createDataFrame([(1, "TM", 1, "EZ50", Dm(50)), (1, "TM", 2, "ALL20", Dm(20)), (2, "SUN", 3, "EZ50", Dm(50))],
+                                   "network_id long, network_name string, promo_id long, promo_name string, selling_price decimal(18,2)")
+    ch = spark.createDataFrame([(1, 1, "ALL20", "9"), (2, 2, " ALL25 ", "25"), (3, 3, "", "1"), (4, 9, "x", "1"), (5, 3, "EZ55", "Infinity"), (6, 1, "ALL25", "1")],
+                               "change_id long, promo_id long, promo_name string, selling_price string")
+    out, rejects = RF.update_promos(ch, promos)
+    assert {r["promo_id"]: (r["promo_name"], float(r["selling_price"])) for r in out.collect()} == {1: ("EZ50", 50.0), 2: ("ALL25", 25.0), 3: ("EZ50", 50.0)}
+    assert sorted(r["change_id"] for r in rejects.collect()) == [1, 3, 4, 5, 6]
+    left, missing = RF.remove_promos(spark.createDataFrame([(2,), (2,), (8,)], "promo_id long"), promos)
+    assert left.count() == 2 and [r["promo_id"] for r in missing.collect()] == [8]
+    settings = spark.createDataFrame([(1, "Shop", 1, 0)], "id int, store_name string, low_stock_alert int, weekly_sales_alert int")
+    changes = spark.createDataFrame([(1, "A", 0), (2, "B", None)], "ts int, store_name string, low_stock_alert int")
+    assert tuple(RF.update_settings(settings, changes).first()) == (1, "B", 0, 0)
+
+
+def test_only_users_of_the_batch_lose_their_devices(spark):
+    from tillpoint.jobs import reference as RF
+    users = spark.createDataFrame([(1, "ann", "Ann", "Admin", 1), (2, "bob", "Bob", "User", 0)],
+                                  "id long, username string, full_name string, role string, is_active int")
+    devices = spark.createDataFrame([(1, 1), (2, 2)], "id long, user_id long").withColumn("revoked_at", F.lit(None).cast("timestamp_ntz"))
+    changes = spark.createDataFrame([("Ann ", "Ann", "x", 0, 1), ("new", "New", "user", 0, 1)],
+                                    "username string, full_name string, role string, is_active int, ts int")
+    new_users, new_devices, _ = RF.upsert_users(changes, users, devices, "2024-01-25 00:00:00")
+    assert {r["id"]: r["is_active"] for r in new_users.collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r["user_id"]: r["revoked_at"] is not None for r in new_devices.collect()} == {1: True, 2: False}
+
+
+def test_request_amounts_that_cannot_be_stored_are_refused(spark):
+    inputs = spark.createDataFrame([(1, "Infinity"), (2, "1e30"), (3, "25"), (4, "abc"), (5, "-1")], "input_id long, amount string").select(
+        "*", F.lit("gcash").alias("service_type"), F.lit("09171234567").alias("mobile_number"),
+        *[F.lit("").alias(c) for c in ("cash_flow", "reference_number", "network", "load_type", "load_value", "notes", "requested_by_name")])
+    old = spark.createDataFrame([(7,)], "id long")
+    new, rejects = RQ.create_requests(inputs, old)
+    assert [(r["input_id"], r["id"], float(r["amount"])) for r in new.collect()] == [(3, 8, 25.0)]
+    assert {r["input_id"]: r["error"] for r in rejects.collect()} == {
+        1: "Amount must be greater than zero.", 2: "Amount must be greater than zero.", 4: "Amount must be greater than zero.",
+        5: "Enter a valid GCash amount."}
 
 
 def test_item_edits_owner_rule_and_user_status(spark):
-    edits = spark.createDataFrame([(1, "333", "Coke", "Drinks", "", "1", "1", "1", "0", "In Stock"),
-                                   (3, "333", "Coke", "Drinks", "", "1", "1", "1", "0", "Sold out"),
-                                   (9, "9", "X", "Drinks", "", "1", "1", "1", "0", "")],
-                                  "id long, barcode string, name string, category string, supplier string, "
+    edits = spark.createDataFrame([(1, 1, "333", "Coke", "Drinks", "", "1", "1", "1", "0", "In Stock"),
+                                   (2, 3, "333", "Coke", "Drinks", "", "1", "1", "1", "0", "Sold out"),
+                                   (3, 9, "9", "X", "Drinks", "", "1", "1", "1", "0", "")],
+                                  "edit_id long, id long, barcode string, name string, category string, supplier string, "
                                   "stock_text string, unit_price_text string, selling_price_text string, "
                                   "reorder_text string, status_text string")
     _, rejects = IM.apply_item_edits(edits, inventory(spark), categories(spark), "Admin")
@@ -107,7 +188,9 @@ def _reference_backfill(items):
 
 def test_barcode_backfill_matches_reference_walk(spark):
     items = [(1, None), (2, ""), (3, "A"), (4, "A"), (5, "LEGACY-7"), (6, " A "), (7, ""), (8, "LEGACY-3"),
-             (9, "B"), (10, "LEGACY-11"), (11, "B")]
+             (9, "B"), (10, "LEGACY-11"), (11, "B"), (12, "LEGACY-11-11"), (20, ""), (21, "LEGACY-20"), (22, "LEGACY-21"),
+             (23, "LEGACY-22"), (24, "LEGACY-23"), (25, "LEGACY-30"), (26, "LEGACY-25"), (27, "LEGACY-24"), (30, " ")]
+    items += [(i, f"LEGACY-{i - 1}") for i in range(31, 90)]
     got = {r["id"]: r["barcode"] for r in IM.barcode_backfill(
         spark.createDataFrame(items, "id long, barcode string")).collect()}
     assert got == _reference_backfill(items)

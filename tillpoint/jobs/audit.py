@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.normalize import js_trim
+from tillpoint.functions.normalize import ascii_lower, js_trim
 
 
 def _dup_keys(df: DataFrame, key) -> DataFrame:
@@ -34,9 +34,12 @@ def _dup_keys_by_set(df: DataFrame, keys: dict) -> list:
 
 
 def _orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Rows of ``child`` whose key has no parent: counted per key before the join,
+    so that a hot key is one row."""
     p = parent.select(F.col(parent_key).alias("_pk"))
-    return (child.filter(F.col(child_key).isNotNull())
-            .join(p, F.col(child_key) == F.col("_pk"), "left_anti").agg(F.count(F.lit(1)).alias("violations")))
+    keys = child.filter(F.col(child_key).isNotNull()).groupBy(child_key).agg(F.count(F.lit(1)).alias("_n"))
+    return (keys.join(p, F.col(child_key) == F.col("_pk"), "left_anti")
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")))
 
 
 def integrity_audit(t, promos: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def integrity_audit(t, promos: DataFrame) -> DataFrame:
                                   "duplicate_transaction_code": F.col("transaction_code")}),
         *_dup_keys_by_set(req, {"duplicate_request_id": F.col("id"),
                                 "duplicate_request_code": F.col("request_code")}),
-        ("duplicate_category_name_nocase", _dup_keys(cats, F.lower(F.col("category_name")))),
+        ("duplicate_category_name_nocase", _dup_keys(cats, ascii_lower(F.col("category_name")))),
         ("duplicate_supplier_name", _dup_keys(t.suppliers, F.col("supplier_name"))),
         ("duplicate_username_nocase", _dup_keys(t.users, F.lower(F.col("username")))),
         ("duplicate_network_name_nocase", _dup_keys(promos.select("network_name").distinct(), F.lower(F.col("network_name")))),
@@ -68,6 +71,7 @@ def integrity_audit(t, promos: DataFrame) -> DataFrame:
         ("unknown_inventory_category", _orphans(inv, "category", cats, "category_name")),
         ("sale_total_not_lines", mismatch),
         ("multiple_active_devices", multi_active),
+        ("duplicate_promo_of_network", _dup_keys(promos, F.struct("network_id", "promo_name"))),
         ("promo_price_not_positive", promos.agg(F.count_if(F.col("selling_price") <= 0).alias("violations"))),
     ]
     out = None

@@ -6,7 +6,8 @@ is an equi-join on the (unique) barcode; the match by name for a blank
 barcode joins a per-name aggregate (lowest id wins); the category check
 is a join on the category names. The first failing rule per row is an
 ordered ``when`` chain. "First valid row per barcode wins" is a grouped
-minimum joined back, not a per-barcode window.
+minimum joined back, not a per-barcode window. Uniqueness rules (barcodes
+of a batch, edits of one item) are keyed minimums and maximums as well.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.normalize import js_trim, normalize_item_status, text_or_empty
-from tillpoint.operators.windows import first_by_order, global_row_number
+from tillpoint.functions.normalize import ascii_lower, js_trim, normalize_item_status, text_or_empty
+from tillpoint.operators.windows import global_row_number
 
 # -- fixed values: validation messages ----------------------------------------
 MSG_BARCODE_REQUIRED = "Barcode is required."
@@ -48,104 +49,106 @@ def js_number(c) -> Column:
     t = js_trim(text_or_empty(c))
     inf = F.lit(float("inf"))
 
-    def radix(base):
-        return F.conv(F.substring(t, 3, 1 << 20), base, 10).cast("double")
+    def radix(base):  # digit by digit in DOUBLE: no length overflows
+        digits = F.filter(F.split(F.lower(F.substr(t, F.lit(3))), ""), lambda d: d != "")
+        return F.aggregate(digits, F.lit(0.0), lambda v, d: v * base + F.instr(F.lit("0123456789abcdef"), d) - 1)
     return (F.when(t == "", F.lit(0.0))
-             .when(t.rlike(_DECIMAL), t.cast("double"))
+             .when(t.rlike(_DECIMAL), t.try_cast("double"))
              .when(t.rlike(_INFINITY), F.when(t.startswith("-"), -inf).otherwise(inf))
              .when(t.rlike(_HEX), radix(16)).when(t.rlike(_BIN), radix(2)).when(t.rlike(_OCT), radix(8))
              .otherwise(F.lit(None).cast("double")))
 
 
+# what the stored columns hold: whole numbers of 64 bits, money of 16 digits
+WHOLE_LIMIT, MONEY_LIMIT = float(1 << 63), 1e16
+
+
 def _finite(v: Column) -> Column:
     return v.isNotNull() & (v != float("inf")) & (v != float("-inf"))
 
 
-def validate_products(rows: DataFrame, inventory: DataFrame, categories: DataFrame,
-                      existing_id: Column, check_duplicates: bool) -> DataFrame:
-    """The shared DM1 / DM11 rule chain over ``rows`` that already carry the
-    candidate ``existing_id``. Adds typed product columns and ``error``."""
-    # one row per stored barcode (stored barcodes should be unique, but Spark
-    # enforces nothing): "owned by another item" holds if any owner differs
-    owners = (inventory.groupBy(js_trim(F.col("barcode")).alias("_owner_barcode"))
-              .agg(F.min("id").alias("_owner_id"), F.max("id").alias("_owner_max")))
+def stored_codes(inventory: DataFrame) -> DataFrame:
+    """``_code, _id, _max``: the first and last item of each stored barcode (stored
+    barcodes should be unique, but nothing in Spark enforces it)."""
+    return (inventory.groupBy(js_trim(F.col("barcode")).alias("_code"))
+            .agg(F.min("id").alias("_id"), F.max("id").alias("_max")))
+
+
+def validate_products(rows: DataFrame, inventory: DataFrame, categories: DataFrame, existing_id) -> DataFrame:
+    """The shared DM1 / DM11 rule chain. ``existing_id`` is a Column, or a function
+    of the Column with the stored owner of the row's barcode. Adds typed product
+    columns, ``existing_id`` and ``error``; one join finds both the row's own item
+    and a barcode that another item owns."""
     cats = categories.select(F.col("category_name").alias("_cat")).distinct()
-    r = (rows.withColumn("_existing", existing_id)
-             .join(owners, F.col("barcode") == F.col("_owner_barcode"), "left")
+    r = (rows.join(stored_codes(inventory), F.col("barcode") == F.col("_code"), "left")
              .join(cats, F.col("category") == F.col("_cat"), "left"))
+    r = r.withColumn("existing_id", existing_id(F.col("_id")) if callable(existing_id) else existing_id)
     unit, sell = js_number(F.col("unit_price_text")), js_number(F.col("selling_price_text"))
     stock, reorder = js_number(F.col("stock_text")), js_number(F.col("reorder_text"))
-    whole = lambda v: _finite(v) & (v == F.floor(v)) & (v >= 0)
+    # a number too large to store is a row error like any other
+    whole = lambda v: F.coalesce(_finite(v) & (v >= 0) & (v < WHOLE_LIMIT) & (v % 1 == 0), F.lit(False))
+    price = lambda v: F.coalesce(_finite(v) & (v >= 0) & (v < MONEY_LIMIT), F.lit(False))
     status_raw = js_trim(text_or_empty(F.col("status_text")))
+    own = F.coalesce(F.col("existing_id"), F.lit(0))
     error = (F.when(F.col("barcode") == "", F.lit(MSG_BARCODE_REQUIRED))
-              .when(F.col("_owner_id").isNotNull()
-                    & ((F.col("_owner_id") != F.coalesce(F.col("_existing"), F.lit(0)))
-                       | (F.col("_owner_max") != F.coalesce(F.col("_existing"), F.lit(0)))),
-                    F.lit(MSG_BARCODE_TAKEN))
+              .when((F.col("_id") != own) | (F.col("_max") != own), F.lit(MSG_BARCODE_TAKEN))
               .when(F.col("name") == "", F.lit(MSG_NAME_REQUIRED))
               .when(F.col("category") == "", F.lit(MSG_CATEGORY_REQUIRED))
               .when(F.col("_cat").isNull(), F.lit(MSG_CATEGORY_UNKNOWN))
-              .when(~(_finite(unit) & (unit >= 0) & _finite(sell) & (sell >= 0)), F.lit(MSG_PRICES))
+              .when(~(price(unit) & price(sell)), F.lit(MSG_PRICES))
               .when(~(whole(stock) & whole(reorder)), F.lit(MSG_WHOLE))
               .when((status_raw != "") & ~F.lower(status_raw).isin(*STATUS_WORDS), F.lit(MSG_STATUS)))
-    typed = (r.withColumn("error", error)
-              .withColumn("unit_price", unit).withColumn("selling_price", sell)
-              .withColumn("stock_quantity", F.when(whole(stock), stock.cast("bigint")))
-              .withColumn("reorder_level", F.when(whole(reorder), reorder.cast("bigint")))
-              .withColumn("status", normalize_item_status(status_raw))
-              .withColumnRenamed("_existing", "existing_id")
-              .drop("_owner_barcode", "_owner_id", "_owner_max", "_cat"))
-    if not check_duplicates:
-        return typed
-    valid = typed.filter(F.col("error").isNull())
-    flagged = first_by_order(valid.select("file", "row_number", "barcode"), ["file", "barcode"],
-                             [F.col("row_number")], "_first")
-    return (typed.join(flagged.select("file", "row_number", "_first"), ["file", "row_number"], "left")
-                 .withColumn("error", F.when(F.col("error").isNull() & ~F.col("_first"), F.lit(MSG_DUPLICATE))
-                             .otherwise(F.col("error")))
-                 .drop("_first"))
+    return (r.withColumn("error", error)
+             .withColumn("unit_price", unit).withColumn("selling_price", sell)
+             .withColumn("stock_quantity", F.when(whole(stock), stock.try_cast("bigint")))
+             .withColumn("reorder_level", F.when(whole(reorder), reorder.try_cast("bigint")))
+             .withColumn("status", normalize_item_status(status_raw))
+             .drop("_code", "_id", "_max", "_cat"))
 
 
 def preview_import(rows: DataFrame, inventory: DataFrame, categories: DataFrame) -> DataFrame:
     """DM1: one output row per parsed CSV row.
 
     ``rows`` is SC2's output. A file with any parse error is not validated
-    (its rows carry only the parse errors), as in the reference.
+    (its rows carry only the parse errors), as in the reference. The checked rows
+    are written once; the duplicate rule reads back only their keys.
     """
-    parse_bad = rows.groupBy("file").agg(F.max(F.col("error").isNotNull()).alias("_file_bad"))
-    ok_rows = rows.join(parse_bad, "file").filter(~F.col("_file_bad") & F.col("row_number").isNotNull())
-    bad_rows = (rows.join(parse_bad, "file").filter(F.col("_file_bad") & F.col("error").isNotNull())
-                .select("file", "row_number", F.col("error")))
-
-    inv_barcode = (inventory.groupBy(js_trim(F.col("barcode")).alias("_bc"))
-                   .agg(F.min("id").alias("_bc_id")))
-    by_name = (inventory.groupBy(F.lower(F.col("name")).alias("_nm"))
-               .agg(F.min_by(F.struct("id", "barcode"), F.col("id")).alias("_m")))
-    base = ok_rows.select(
-        "file", "row_number",
-        js_trim(text_or_empty(F.col("barcode"))).alias("raw_barcode"),
-        js_trim(text_or_empty(F.col("name"))).alias("name"),
-        js_trim(text_or_empty(F.col("category"))).alias("category"),
-        js_trim(text_or_empty(F.col("supplier"))).alias("supplier"),
+    from tillpoint.session import cut_lineage
+
+    bad = rows.where("error is not null").select("file").distinct().withColumn("_bad", F.lit(True))
+    trimmed = {c: js_trim(text_or_empty(F.col(c))) for c in ("barcode", "name", "category", "supplier")}
+    base = rows.join(bad, "file", "left").where("_bad is null or error is not null").select(
+        "file", "row_number", F.col("error").alias("_parse"), trimmed["barcode"].alias("raw_barcode"),
+        *[trimmed[c].alias(c) for c in ("name", "category", "supplier")],
         F.col("stock_quantity").alias("stock_text"), F.col("unit_price").alias("unit_price_text"),
         F.col("selling_price").alias("selling_price_text"), F.col("reorder_level").alias("reorder_text"),
         F.col("status").alias("status_text"))
-    matched = (base.join(inv_barcode, (F.col("raw_barcode") != "") & (F.col("raw_barcode") == F.col("_bc")), "left")
-                   .join(by_name, (F.col("raw_barcode") == "") & (F.lower(F.col("name")) == F.col("_nm")), "left"))
-    existing = F.when(F.col("raw_barcode") != "", F.col("_bc_id")).otherwise(F.col("_m.id"))
-    with_barcode = matched.withColumn(
-        "barcode", js_trim(F.when(F.col("raw_barcode") != "", F.col("raw_barcode"))
-                           .otherwise(F.coalesce(F.col("_m.barcode"), F.lit("")))))
-    prepared = with_barcode.withColumn("_match_id", existing).drop("_bc", "_bc_id", "_nm", "_m")
-    checked = validate_products(prepared, inventory, categories, F.col("_match_id"),
-                                check_duplicates=True).drop("_match_id")
-    out = checked.select("file", "row_number", *PRODUCT_COLUMNS, "existing_id",
-                         F.when(F.col("error").isNotNull(),
-                                F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), F.col("error")))
-                          .alias("error"))
-    bad = bad_rows.select("file", "row_number", *[F.lit(None).alias(c) for c in PRODUCT_COLUMNS],
-                          F.lit(None).cast("bigint").alias("existing_id"), "error")
-    return out.unionByName(bad, allowMissingColumns=True)
+    by_name = (inventory.groupBy(ascii_lower(F.col("name")).alias("_nm"))
+               .agg(F.min_by(F.struct("id", "barcode"), F.col("id")).alias("_m")))
+    named = base.join(by_name, (F.col("raw_barcode") == "") & (ascii_lower(F.col("name")) == F.col("_nm")), "left")
+    named = named.withColumn("barcode", js_trim(F.when(F.col("raw_barcode") != "", F.col("raw_barcode"))
+                                                .otherwise(text_or_empty(F.col("_m.barcode")))))
+    checked = validate_products(named, inventory, categories,
+                                lambda owner: F.when(F.col("raw_barcode") != "", owner).otherwise(F.col("_m.id")))
+    checked = cut_lineage(checked.select("file", "row_number", "_parse", *PRODUCT_COLUMNS, "existing_id", "error"))
+    firsts = (checked.where("_parse is null and error is null").groupBy("file", "barcode")
+              .agg(F.min("row_number").alias("_first")))
+    checked = checked.join(firsts, ["file", "barcode"], "left")
+    error = F.when(F.col("error").isNull() & (F.col("row_number") != F.col("_first")), F.lit(MSG_DUPLICATE)).otherwise(F.col("error"))
+    parsed = F.col("_parse").isNull()
+    return checked.select(
+        "file", "row_number", *[F.when(parsed, F.col(c)).alias(c) for c in (*PRODUCT_COLUMNS, "existing_id")],
+        F.when(~parsed, F.col("_parse"))
+         .when(error.isNotNull(), F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), error)).alias("error"))
+
+
+def first_errors(preview: DataFrame, k: int = 12) -> DataFrame:
+    """SO12: the first ``k`` errors in file and row order, each with the number of
+    errors that are not shown ("and N more")."""
+    errors = preview.filter(F.col("error").isNotNull())
+    total = errors.select(F.count(F.lit(1))).scalar()
+    return (errors.orderBy("file", F.col("row_number").asc_nulls_first()).limit(k).select("file", "row_number", "error")
+            .withColumn("more", F.greatest(total - k, F.lit(0).cast("bigint"))))
 
 
 def preview_summary(preview: DataFrame) -> DataFrame:
@@ -159,116 +162,145 @@ def preview_summary(preview: DataFrame) -> DataFrame:
 
 
 def apply_import(preview: DataFrame, inventory: DataFrame, mode: str = "skip") -> tuple[DataFrame, DataFrame]:
-    """DM2: all-or-nothing apply of a preview. Returns ``(new_inventory,
-    summary)`` with ``created, updated, skipped``.
-
-    Any error in the preview blocks the whole import (the summary is then
-    all zeros and the inventory is unchanged). Existing products are found
-    again by barcode at apply time; new ones get ids after the current
-    maximum, numbered in file / row order.
+    """DM2: apply the previews of a batch of files, one file after another in
+    name order, each all or nothing. Returns ``(new_inventory, summary)`` with
+    one row a file: ``file, created, updated, skipped``.
+
+    A file with any error, or without a product, changes nothing (its counts are
+    zero); the other files are applied. A barcode in two files is a new product
+    of the first and an existing one for the second, so with ``update`` the last
+    file's values stay. New products get ids after the current maximum in file /
+    row order.
     """
     from tillpoint.session import cut_lineage
 
-    # the preview feeds five passes below (gate, dedupe, classify, numbering,
-    # counts): write it once instead of recomputing its joins each time
+    # the preview feeds the gate, the classes, the numbering and the counts:
+    # write it once instead of recomputing its joins each time
     preview = cut_lineage(preview)
-    n_errors = preview.filter(F.col("error").isNotNull()).select(F.count(F.lit(1))).scalar()
-    products = preview.filter(F.col("error").isNull() & (n_errors == 0))
-    # the same barcode in two files of one batch: the first file / row wins
-    first = first_by_order(products, ["barcode"], [F.col("file"), F.col("row_number")], "_first")
-    products = first.filter(F.col("_first")).drop("_first")
-    inv_codes = inventory.groupBy(js_trim(F.col("barcode")).alias("_bc")).agg(F.min("id").alias("_id"))
-    classified = products.join(inv_codes, F.col("barcode") == F.col("_bc"), "left")
-    updates = classified.filter(F.col("_id").isNotNull())
-    inserts = classified.filter(F.col("_id").isNull())
-
-    cols = ["id", *PRODUCT_COLUMNS]
-    inv = inventory.select(*cols)
-    money = "decimal(18,2)"
+    files = preview.groupBy("file").agg(F.max(F.col("error").isNotNull()).alias("bad"))
+    fit = files.where(~F.col("bad")).select("file")
+    codes = stored_codes(inventory).drop("_max")
+    place = F.struct("file", "row_number")
+    # one keyed pass: whether a product is stored, and the first and last place of
+    # its barcode in the batch
+    products = preview.join(fit, "file", "left_semi").join(codes, F.col("barcode") == F.col("_code"), "left").drop("_code")
+    values = F.struct(*PRODUCT_COLUMNS)
+    per_code = products.groupBy("barcode").agg(F.min("_id").alias("_id"), F.min(place).alias("_first"),
+                                               F.min_by(values, place).alias("_old"), F.max_by(values, place).alias("_new"))
+    outcome = products.join(per_code.select(F.col("barcode").alias("_code"), "_first"), F.col("barcode") == F.col("_code"))
+    created = F.col("_id").isNull() & (place == F.col("_first"))
+    counts = outcome.groupBy("file").agg(F.count_if(created).alias("created"), F.count_if(~created).alias("again"))
+    n = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    summary = files.join(counts, "file", "left").select(
+        "file", n(F.col("created")).alias("created"),
+        (n(F.col("again")) if mode == "update" else F.lit(0).cast("bigint")).alias("updated"),
+        (n(F.col("again")) if mode != "update" else F.lit(0).cast("bigint")).alias("skipped"))
+
+    kept_values = "_new" if mode == "update" else "_old"
+    inv = inventory.select("id", *PRODUCT_COLUMNS)
     if mode == "update":
-        upd = updates.select(F.col("_id").alias("id"), *[F.col(c) for c in PRODUCT_COLUMNS])
-        upd = upd.select("id", "barcode", "name", "category", "supplier", "status",
-                         F.col("stock_quantity").cast("int"), F.col("unit_price").cast(money),
-                         F.col("selling_price").cast(money), F.col("reorder_level").cast("int"))
-        kept = inv.join(upd.select("id"), "id", "left_anti")
-        inv = kept.unionByName(upd)
+        upd = _stored(per_code.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), "_new.*"))
+        inv = inv.join(upd.select("id"), "id", "left_anti").unionByName(upd)
     max_id = inventory.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = global_row_number(inserts, [F.col("file"), F.col("row_number")], "_n")
-    new_rows = numbered.select((max_id + F.col("_n")).alias("id"), "barcode", "name", "category", "supplier",
-                               "status", F.col("stock_quantity").cast("int"), F.col("unit_price").cast(money),
-                               F.col("selling_price").cast(money), F.col("reorder_level").cast("int"))
-    new_inventory = inv.unionByName(new_rows)
-    upd_count = updates.select(F.count(F.lit(1))).scalar()
-    summary = inserts.agg(F.count(F.lit(1)).alias("created")).select(
-        "created",
-        (upd_count if mode == "update" else F.lit(0).cast("bigint")).alias("updated"),
-        (upd_count if mode != "update" else F.lit(0).cast("bigint")).alias("skipped"))
-    return new_inventory, summary
+    numbered = global_row_number(per_code.where(F.col("_id").isNull()), [F.col("_first")], "_n")
+    new_rows = _stored(numbered.select((max_id + F.col("_n")).alias("id"), f"{kept_values}.*"))
+    return inv.unionByName(new_rows), summary
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """Validated product rows in the stored types."""
+    money = "decimal(18,2)"
+    return rows.select("id", "barcode", "name", "category", "supplier", "status", "stock_quantity",
+                       F.col("unit_price").cast(money).alias("unit_price"),
+                       F.col("selling_price").cast(money).alias("selling_price"), "reorder_level")
 
 
 def apply_item_edits(edits: DataFrame, inventory: DataFrame, categories: DataFrame,
                      role: str) -> tuple[DataFrame, DataFrame]:
-    """DM11: edits ``id, barcode, name, category, supplier, stock_text,
-    unit_price_text, selling_price_text, reorder_text, status_text``.
+    """DM11: edits ``edit_id, id, barcode, name, category, supplier, stock_text,
+    unit_price_text, selling_price_text, reorder_text, status_text``; ``edit_id``
+    is their order.
 
     Admins run every DM1 rule with the item's own id as "existing" (so the
-    barcode-owned-by-another rule can fire). Other roles change the status
-    only, normalised, so an unknown status silently becomes In Stock.
-    Returns ``(new_inventory, rejects(id, error))``; an unknown id is a reject.
+    barcode-owned-by-another rule can fire). Of several valid edits of one item the
+    last stays; of several items that take one new barcode the first edit takes it
+    and the others are refused. Other roles change the status only, normalised, so
+    an unknown status silently becomes In Stock. Returns ``(new_inventory,
+    rejects(edit_id, id, error))``; an unknown id is a reject.
     """
     known = edits.join(inventory.select(F.col("id").alias("_known")), F.col("id") == F.col("_known"), "left")
-    missing = known.filter(F.col("_known").isNull()).select("id", F.lit("Item not found.").alias("error"))
+    missing = known.filter(F.col("_known").isNull()).select("edit_id", "id", F.lit("Item not found.").alias("error"))
     ok = known.filter(F.col("_known").isNotNull()).drop("_known")
-    money = "decimal(18,2)"
+    base = inventory.select("id", *PRODUCT_COLUMNS)
     if role == "Admin":
-        prepared = ok.select("id", js_trim(text_or_empty(F.col("barcode"))).alias("barcode"),
+        prepared = ok.select("edit_id", "id", js_trim(text_or_empty(F.col("barcode"))).alias("barcode"),
                              js_trim(text_or_empty(F.col("name"))).alias("name"),
                              js_trim(text_or_empty(F.col("category"))).alias("category"),
                              js_trim(text_or_empty(F.col("supplier"))).alias("supplier"),
                              "stock_text", "unit_price_text", "selling_price_text", "reorder_text", "status_text")
-        checked = validate_products(prepared, inventory, categories, F.col("id"), check_duplicates=False)
-        rejects = checked.filter(F.col("error").isNotNull()).select("id", "error")
-        changed = checked.filter(F.col("error").isNull()).select(
-            "id", "barcode", "name", "category", "supplier", "status", F.col("stock_quantity").cast("int"),
-            F.col("unit_price").cast(money), F.col("selling_price").cast(money), F.col("reorder_level").cast("int"))
-    else:
-        rejects = ok.limit(0).select("id", F.lit(None).cast("string").alias("error"))
-        changed = (inventory.join(ok.select("id", normalize_item_status(F.col("status_text")).alias("_st")), "id")
-                   .withColumn("status", F.col("_st")).drop("_st").select("id", *PRODUCT_COLUMNS))
-    base = inventory.select("id", *PRODUCT_COLUMNS)
-    new_inventory = base.join(changed.select("id"), "id", "left_anti").unionByName(changed)
-    return new_inventory, rejects.unionByName(missing)
+        checked = validate_products(prepared, inventory, categories, F.col("id"))
+        # the first edit that takes a barcode holds it against other items
+        takers = (checked.where("error is null").groupBy("barcode").agg(F.min_by("id", "edit_id").alias("_taker"))
+                  .withColumnRenamed("barcode", "_code"))
+        checked = (checked.join(takers, F.col("barcode") == F.col("_code"), "left")
+                   .withColumn("error", F.when(F.col("error").isNull() & (F.col("_taker") != F.col("id")), F.lit(MSG_BARCODE_TAKEN))
+                               .otherwise(F.col("error"))).drop("_code", "_taker"))
+        rejects = checked.filter(F.col("error").isNotNull()).select("edit_id", "id", "error")
+        last = checked.where("error is null").groupBy("id").agg(F.max_by(F.struct(*PRODUCT_COLUMNS), "edit_id").alias("v"))
+        changed = _stored(last.select("id", "v.*"))
+        return base.join(changed.select("id"), "id", "left_anti").unionByName(changed), rejects.unionByName(missing)
+    last = ok.groupBy(F.col("id").alias("_id")).agg(F.max_by(normalize_item_status(F.col("status_text")), F.col("edit_id")).alias("_status"))
+    changed = base.join(last, base.id == last._id, "left").withColumn("status", F.coalesce("_status", "status"))
+    return changed.select(base.columns), missing
 
 
 def barcode_backfill(items: DataFrame) -> DataFrame:
-    """DM9 / WN3: give every item a unique barcode.
-
-    Walking items by id, an item keeps its trimmed barcode unless it is
-    blank or already used by an earlier item; then it gets ``LEGACY-<id>``,
-    or ``LEGACY-<id>-<k>`` (k = the item's 1-based position) when that is
-    itself taken by an earlier item. Common case by a grouped minimum; the
-    clash cases by anti/semi joins, in one extra pass (a clash of a clash is
-    not resolved: the reference would loop forever there).
+    """DM9 / WN3: give every item a unique barcode, as a walk by id would.
+
+    An item keeps its trimmed barcode unless it is blank or in use by an earlier
+    item; then it gets ``LEGACY-<id>``, or ``LEGACY-<id>-<k>`` (k: its position)
+    when an earlier item uses that. Only two things can put a code in use early:
+
+    * the code's first holder; that is a grouped minimum;
+    * an earlier item j that lost its own code and got ``LEGACY-j``. So an item
+      whose code reads ``LEGACY-j`` keeps it exactly if item j kept its own. These
+      references form chains to ever smaller ids, which are followed by pointer
+      jumping (each round halves a chain), however long they are.
+
+    (If ``LEGACY-<id>-<k>`` is in use as well, the walk would never end; here such
+    an item gets a further ``-<id>``.)
     """
-    b = js_trim(text_or_empty(F.col("barcode")))
-    base = items.select("id", b.alias("code"))
-    firsts = base.filter(F.col("code") != "").groupBy("code").agg(F.min("id").alias("_first_id"))
-    tagged = (base.join(firsts, "code", "left")
-                  .withColumn("_keeps", (F.col("code") != "") & (F.col("id") == F.col("_first_id")))
-                  .withColumn("_legacy", F.concat(F.lit("LEGACY-"), F.col("id").cast("string"))))
-    # a kept code equal to an earlier item's LEGACY code loses it (pass two)
-    earlier_legacy = tagged.filter(~F.col("_keeps")).select(F.col("_legacy").alias("code"), F.col("id").alias("_lid"))
-    lost = (tagged.filter(F.col("_keeps")).join(earlier_legacy, "code", "inner")
-            .filter(F.col("_lid") < F.col("id")).select("id").distinct().withColumn("_lost", F.lit(True)))
-    tagged = (tagged.join(lost, "id", "left")
-                    .withColumn("_keeps", F.col("_keeps") & F.col("_lost").isNull()).drop("_lost"))
-    positioned = global_row_number(tagged, [F.col("id")], "_pos")
-    kept_codes = positioned.filter(F.col("_keeps")).select(F.col("code").alias("_kc"), F.col("id").alias("_kid"))
-    clash = (positioned.filter(~F.col("_keeps"))
-             .join(kept_codes, F.col("_legacy") == F.col("_kc"), "inner")
-             .filter(F.col("_kid") < F.col("id")).select("id").distinct().withColumn("_clash", F.lit(True)))
-    out = positioned.join(clash, "id", "left")
-    final = (F.when(F.col("_keeps"), F.col("code"))
-              .when(F.col("_clash").isNotNull(), F.concat(F.col("_legacy"), F.lit("-"), F.col("_pos").cast("string")))
-              .otherwise(F.col("_legacy")))
+    from tillpoint.session import cut_lineage
+
+    base = items.select("id", js_trim(text_or_empty(F.col("barcode"))).alias("code"))
+    rows = cut_lineage(global_row_number(base, [F.col("id")], "pos"))
+    firsts = rows.where("code != ''").groupBy("code").agg(F.min("id").alias("first"))
+    rows = rows.join(firsts, "code", "left").withColumn("holds", F.coalesce(F.col("first") == F.col("id"), F.lit(False))).drop("first")
+    legacy = F.concat(F.lit("LEGACY-"), F.col("id").cast("string"))
+    holders = rows.where("holds").select(F.col("code").alias("_code"), F.col("id").alias("_holder"))
+
+    def in_use(frame: DataFrame, code, flag: str) -> DataFrame:
+        """``flag``: an earlier item holds ``code`` as its own."""
+        return (frame.join(holders, code == F.col("_code"), "left")
+                .withColumn(flag, F.coalesce(F.col("_holder") < F.col("id"), F.lit(False))).drop("_code", "_holder"))
+
+    rows = in_use(rows.withColumn("legacy", legacy), F.col("legacy"), "clash")
+    long_form = F.concat("legacy", F.lit("-"), F.col("pos").cast("string"))
+    rows = rows.withColumn("given", F.when(F.col("clash"), long_form).otherwise(F.col("legacy")))
+    rows = cut_lineage(in_use(rows, F.col("given"), "clash2"))
+    # holders whose code is what an earlier item j would be given
+    givers = rows.select(F.col("given").alias("_given"), F.col("id").alias("ptr"), F.col("holds").alias("ptr_holds"))
+    refs = (rows.where("holds").select("id", "code").join(givers, F.col("code") == F.col("_given"))
+            .where(F.col("ptr") < F.col("id")).select("id", "ptr", "ptr_holds"))
+    refs = cut_lineage(refs)
+    while True:
+        nxt = refs.select(F.col("id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("ptr_holds").alias("_holds"))
+        jumped = refs.join(nxt, refs.ptr == nxt._id, "left")
+        if jumped.where("_id is not null").isEmpty():
+            break
+        refs = cut_lineage(jumped.select("id", F.coalesce("_ptr", "ptr").alias("ptr"), F.coalesce("_holds", "ptr_holds").alias("ptr_holds")))
+    lost = refs.where(~F.col("ptr_holds")).select("id").withColumn("lost", F.lit(True))
+    out = rows.join(lost, "id", "left").withColumn("keeps", F.col("holds") & F.col("lost").isNull())
+    final = (F.when(F.col("keeps"), F.col("code"))
+              .when(F.col("clash2"), F.concat("given", F.lit("-"), F.col("id").cast("string"))).otherwise(F.col("given")))
     return out.select("id", F.col("code").alias("old_barcode"), final.alias("barcode"))

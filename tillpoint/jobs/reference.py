@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.dates import ntz_lit
-from tillpoint.functions.normalize import js_trim, normalize_role, text_or_empty
+from tillpoint.functions.normalize import ascii_lower, js_trim, normalize_role, text_or_empty
 
 # -- fixed values: messages -------------------------------------------------
 MSG_SUPPLIER_REQUIRED = "Supplier name is required."
@@ -22,49 +22,69 @@ MSG_CATEGORY_EXISTS = "Category name already exists."
 MSG_NAME_REQUIRED = "Name is required."
 
 
+MSG_SUPPLIER_EXISTS = "UNIQUE constraint failed: suppliers.supplier_name"
+MSG_PROMO_EXISTS = "UNIQUE constraint failed: eload_promos.network_id, eload_promos.promo_name"
+MSG_PROMO_NOT_FOUND = "Promo not found."
+
+
+def _claimed(rows: DataFrame, keys: list[str], item: str, order: str, message: str) -> DataFrame:
+    """Uniqueness inside a batch: the first valid row of a key takes it, and valid
+    rows of other items with that key get ``message``."""
+    first = (rows.where("error is null").groupBy(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)])
+             .agg(F.min_by(item, order).alias("_taker")))
+    on = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
+    joined = rows.join(first, on, "left")
+    error = F.when(F.col("error").isNull() & ~F.col(item).eqNullSafe(F.col("_taker")), F.lit(message)).otherwise(F.col("error"))
+    return joined.withColumn("error", error).drop("_taker", *[f"_c{i}" for i in range(len(keys))])
+
+
+def _rename(renames: DataFrame, table: DataFrame, inventory: DataFrame, id_col: str, name_col: str, used_in: str,
+            key, messages: tuple[str, str, str], extra: tuple[str, ...] = ()):
+    """DM6 for suppliers and categories. ``renames``: the id, ``new_name``, an
+    optional ``rename_id`` (their order) and optional ``extra`` columns.
+
+    A new name must not be stored for another row (so a batch cannot swap names),
+    and of several renames to one name the first takes it. Of a row's accepted
+    renames the last stays. The inventory's mapping has one row per old name (the
+    first accepted rename of that name moves its items), so no item is multiplied.
+    """
+    required, unknown, exists = messages
+    order = F.col("rename_id") if "rename_id" in renames.columns else F.struct(id_col, "new_name")
+    kept = [c for c in extra if c in renames.columns]
+    r = renames.select(id_col, js_trim(text_or_empty(F.col("new_name"))).alias("new_name"), order.alias("_order"),
+                       *[js_trim(text_or_empty(F.col(c))).alias(f"_x_{c}") for c in kept])
+    stored = table.select(F.col(id_col).alias("_id"), F.col(name_col).alias("old_name"))
+    holders = table.groupBy(key(F.col(name_col)).alias("_held")).agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
+    r = (r.join(stored, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("_key", key(F.col("new_name")))
+          .join(holders, F.col("_key") == F.col("_held"), "left"))
+    error = (F.when(F.col("new_name") == "", F.lit(required)).when(F.col("old_name").isNull(), F.lit(unknown))
+              .when((F.col("_lo") != F.col(id_col)) | (F.col("_hi") != F.col(id_col)), F.lit(exists)))
+    r = _claimed(r.withColumn("error", error).drop("_held", "_lo", "_hi"), ["_key"], id_col, "_order", exists)
+    ok = r.where("error is null")
+    last = ok.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(F.struct("new_name", *[f"_x_{c}" for c in kept]), "_order").alias("_new"))
+    joined = table.join(last, F.col(id_col) == F.col("_id"), "left")
+    changed = {name_col: F.coalesce("_new.new_name", name_col)} | {c: F.coalesce(f"_new._x_{c}", c) for c in kept}
+    new_table = joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in table.columns])
+    final = ok.join(last, F.col(id_col) == F.col("_id")).where("old_name != _new.new_name")
+    mapping = final.groupBy(F.col("old_name").alias("_old")).agg(F.min_by("_new.new_name", "_order").alias("_to"))
+    new_inventory = (inventory.join(mapping, inventory[used_in] == F.col("_old"), "left")
+                     .withColumn(used_in, F.coalesce("_to", used_in)).select(inventory.columns))
+    return new_table, new_inventory, r.where("error is not null").select(id_col, F.col("_order").alias("rename_id"), "error")
+
+
 def rename_suppliers(renames: DataFrame, suppliers: DataFrame, inventory: DataFrame):
-    """DM6: ``renames(supplier_id, new_name)`` -> ``(suppliers, inventory, rejects)``.
-    Inventory rows naming the old supplier take the new name."""
-    new = js_trim(text_or_empty(F.col("new_name")))
-    r = renames.select("supplier_id", new.alias("new_name")).join(
-        suppliers.select("supplier_id", F.col("supplier_name").alias("old_name")), "supplier_id", "left")
-    err = (F.when(F.col("new_name") == "", F.lit(MSG_SUPPLIER_REQUIRED))
-            .when(F.col("old_name").isNull(), F.lit(MSG_SUPPLIER_NOT_FOUND)))
-    r = r.withColumn("error", err)
-    ok = r.filter(F.col("error").isNull())
-    new_suppliers = (suppliers.join(ok.select("supplier_id", "new_name"), "supplier_id", "left")
-                     .withColumn("supplier_name", F.coalesce("new_name", "supplier_name")).drop("new_name"))
-    mapping = ok.filter(F.col("old_name") != F.col("new_name")).select(
-        F.col("old_name").alias("_old"), F.col("new_name").alias("_new"))
-    new_inventory = (inventory.join(mapping, inventory.supplier == mapping._old, "left")
-                     .withColumn("supplier", F.coalesce("_new", "supplier")).drop("_old", "_new"))
-    return new_suppliers, new_inventory, r.filter(F.col("error").isNotNull()).select("supplier_id", "error")
+    """DM6: supplier edits -> ``(suppliers, inventory, rejects)``: name (unique,
+    exactly), and contact number and address where given. Inventory rows that name
+    the old supplier take the new name."""
+    return _rename(renames, suppliers, inventory, "supplier_id", "supplier_name", "supplier", lambda c: c,
+                   (MSG_SUPPLIER_REQUIRED, MSG_SUPPLIER_NOT_FOUND, MSG_SUPPLIER_EXISTS), ("contact_no", "address"))
 
 
 def rename_categories(renames: DataFrame, categories: DataFrame, inventory: DataFrame):
-    """DM6: ``renames(category_id, new_name)``; names stay unique ignoring case
-    (against categories that are not being renamed and within the batch)."""
-    new = js_trim(text_or_empty(F.col("new_name")))
-    r = renames.select("category_id", new.alias("new_name")).join(
-        categories.select("category_id", F.col("category_name").alias("old_name")), "category_id", "left")
-    taken = (categories.join(renames.select("category_id"), "category_id", "left_anti")
-             .select(F.lower("category_name").alias("_taken")))
-    twins = (r.groupBy(F.lower("new_name").alias("_twin")).agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > 1).select("_twin"))
-    r = (r.join(taken, F.lower("new_name") == F.col("_taken"), "left")
-          .join(twins, F.lower("new_name") == F.col("_twin"), "left"))
-    err = (F.when(F.col("new_name") == "", F.lit(MSG_CATEGORY_REQUIRED))
-            .when(F.col("old_name").isNull(), F.lit(MSG_CATEGORY_NOT_FOUND))
-            .when(F.col("_taken").isNotNull() | F.col("_twin").isNotNull(), F.lit(MSG_CATEGORY_EXISTS)))
-    r = r.withColumn("error", err).drop("_taken", "_twin")
-    ok = r.filter(F.col("error").isNull())
-    new_categories = (categories.join(ok.select("category_id", "new_name"), "category_id", "left")
-                      .withColumn("category_name", F.coalesce("new_name", "category_name")).drop("new_name"))
-    mapping = ok.filter(F.col("old_name") != F.col("new_name")).select(
-        F.col("old_name").alias("_old"), F.col("new_name").alias("_new"))
-    new_inventory = (inventory.join(mapping, inventory.category == mapping._old, "left")
-                     .withColumn("category", F.coalesce("_new", "category")).drop("_old", "_new"))
-    return new_categories, new_inventory, r.filter(F.col("error").isNotNull()).select("category_id", "error")
+    """DM6: category edits -> ``(categories, inventory, rejects)``; names stay unique
+    ignoring ASCII case."""
+    return _rename(renames, categories, inventory, "category_id", "category_name", "category", ascii_lower,
+                   (MSG_CATEGORY_REQUIRED, MSG_CATEGORY_NOT_FOUND, MSG_CATEGORY_EXISTS))
 
 
 def remove_suppliers(removed: DataFrame, suppliers: DataFrame, inventory: DataFrame):
@@ -86,36 +106,36 @@ def remove_networks(removed: DataFrame, promos: DataFrame) -> DataFrame:
 def upsert_users(changes: DataFrame, users: DataFrame, devices: DataFrame, now: str):
     """DM10: ``changes(username, full_name, role, is_active, ts)``.
 
-    Trimmed; the latest change per (trimmed, lower-cased) username wins;
-    role via FN5; a blank full name is rejected. Existing users are updated,
-    new ones get ids after the maximum. Devices of users made inactive are
-    revoked at ``now``. Returns ``(users, devices, rejects)``.
+    Trimmed; the latest change per (trimmed, lower-cased) username wins (of
+    changes at one time the greatest by its values); role via FN5; a blank full
+    name is rejected; ``email`` and ``phone`` follow where both tables have them.
+    Existing users are updated, new ones get ids after the maximum. Devices of the
+    users that this batch makes inactive are revoked at ``now``. Returns ``(users,
+    devices, rejects)``.
     """
     from tillpoint.operators.windows import global_row_number
 
+    more = [x for x in ("email", "phone") if x in changes.columns and x in users.columns]
+    fields = ["full_name", "role", "is_active", *more]
     c = changes.select(F.lower(js_trim(text_or_empty(F.col("username")))).alias("username"),
                        js_trim(text_or_empty(F.col("full_name"))).alias("full_name"),
                        normalize_role(F.col("role")).alias("role"),
-                       F.coalesce(F.col("is_active").cast("int"), F.lit(1)).alias("is_active"), "ts")
-    rejects = c.filter((F.col("full_name") == "") | (F.col("username") == "")).select(
-        "username", "ts", F.lit(MSG_NAME_REQUIRED).alias("error"))
-    latest = (c.filter((F.col("full_name") != "") & (F.col("username") != ""))
-              .groupBy("username").agg(F.max_by(F.struct("full_name", "role", "is_active"), F.col("ts")).alias("v"))
-              .select("username", "v.*"))
-    u = users.select("id", F.lower(F.col("username")).alias("_key"), "username", "full_name", "role", "is_active")
-    joined = u.join(latest.withColumnRenamed("username", "_key").select(
-        "_key", F.col("full_name").alias("_fn"), F.col("role").alias("_role"), F.col("is_active").alias("_act")),
-        "_key", "full")
-    existing = joined.filter(F.col("id").isNotNull()).select(
-        "id", "username", F.coalesce("_fn", "full_name").alias("full_name"), F.coalesce("_role", "role").alias("role"),
-        F.coalesce("_act", "is_active").alias("is_active"))
-    fresh = joined.filter(F.col("id").isNull()).select(F.col("_key").alias("username"), F.col("_fn").alias("full_name"),
-                                                       F.col("_role").alias("role"), F.col("_act").alias("is_active"))
+                       F.coalesce(F.col("is_active").cast("int"), F.lit(1)).alias("is_active"),
+                       *[js_trim(text_or_empty(F.col(x))).alias(x) for x in more], "ts")
+    named = (F.col("full_name") != "") & (F.col("username") != "")
+    rejects = c.filter(~named).select("username", "ts", F.lit(MSG_NAME_REQUIRED).alias("error"))
+    value = F.struct(*fields)
+    latest = c.filter(named).groupBy(F.col("username").alias("_key")).agg(F.max_by(value, F.struct("ts", value)).alias("_v"))
+    joined = users.withColumn("_key", F.lower(F.col("username"))).join(latest, "_key", "full")
+    kept = ["id", "username", *fields]
+    existing = joined.filter(F.col("id").isNotNull()).select("id", "username", *[F.coalesce(f"_v.{f}", f).alias(f) for f in fields],
+                                                             (F.col("_v.is_active") == 0).alias("_off"))
+    fresh = joined.filter(F.col("id").isNull()).select(F.col("_key").alias("username"), "_v.*", (F.col("_v.is_active") == 0).alias("_off"))
     max_id = users.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = global_row_number(fresh, [F.col("username")], "_n").select(
-        (max_id + F.col("_n")).alias("id"), "username", "full_name", "role", "is_active")
-    new_users = existing.unionByName(fresh)
-    inactive = new_users.filter(F.col("is_active") == 0).select(F.col("id").alias("_uid"))
+    fresh = global_row_number(fresh, [F.col("username")], "_n").withColumn("id", max_id + F.col("_n")).drop("_n")
+    every = existing.unionByName(fresh)
+    new_users = every.select(kept)
+    inactive = every.where("_off").select(F.col("id").alias("_uid"))
     stamp = ntz_lit(now)
     new_devices = (devices.join(inactive, devices.user_id == inactive._uid, "left")
                    .withColumn("revoked_at", F.when(F.col("_uid").isNotNull() & F.col("revoked_at").isNull(), stamp)
@@ -154,12 +174,12 @@ def _unique_names(inputs: DataFrame, key, taken: DataFrame, exists_msg: str) ->
 
 def create_suppliers(inputs: DataFrame, suppliers: DataFrame):
     """DM10: ``inputs(input_id, supplier_name, contact_no, address)``; names
-    are trimmed and required (suppliers may share a name). Like the other
-    creates, returns ``(new_table, rejects(input_id, error),
-    created(input_id, new_id))``."""
+    are trimmed, required and unique (exactly). Like the other creates, returns
+    ``(new_table, rejects(input_id, error), created(input_id, new_id))``."""
     c = inputs.select("input_id", *[js_trim(text_or_empty(F.col(x))).alias(x)
                                     for x in ("supplier_name", "contact_no", "address")])
     c = c.withColumn("error", F.when(F.col("supplier_name") == "", F.lit(MSG_SUPPLIER_REQUIRED)))
+    c = _unique_names(c, F.col("supplier_name"), suppliers.select(F.col("supplier_name").alias("_k")), MSG_SUPPLIER_EXISTS)
     ok = _new_ids(c.filter(F.col("error").isNull()), suppliers, "supplier_id", [F.col("input_id")], "supplier_id")
     return (suppliers.unionByName(ok.select(*suppliers.columns)),
             c.filter(F.col("error").isNotNull()).select("input_id", "error"),
@@ -170,8 +190,8 @@ def create_categories(inputs: DataFrame, categories: DataFrame):
     """DM10: ``inputs(input_id, category_name)``; unique ignoring case."""
     c = inputs.select("input_id", js_trim(text_or_empty(F.col("category_name"))).alias("category_name"))
     c = c.withColumn("error", F.when(F.col("category_name") == "", F.lit(MSG_CATEGORY_REQUIRED)))
-    c = _unique_names(c, F.lower(F.col("category_name")),
-                      categories.select(F.lower(F.col("category_name")).alias("_k")), MSG_CATEGORY_EXISTS)
+    c = _unique_names(c, ascii_lower(F.col("category_name")),
+                      categories.select(ascii_lower(F.col("category_name")).alias("_k")), MSG_CATEGORY_EXISTS)
     ok = _new_ids(c.filter(F.col("error").isNull()), categories, "category_id", [F.col("input_id")], "category_id")
     return (categories.unionByName(ok.select(*categories.columns)),
             c.filter(F.col("error").isNotNull()).select("input_id", "error"),
@@ -182,17 +202,23 @@ def create_networks(inputs: DataFrame, networks: DataFrame):
     """DM10: ``inputs(input_id, network_name)``; upper-cased, unique ignoring case."""
     c = inputs.select("input_id", F.upper(js_trim(text_or_empty(F.col("network_name")))).alias("network_name"))
     c = c.withColumn("error", F.when(F.col("network_name") == "", F.lit(MSG_NETWORK_REQUIRED)))
-    c = _unique_names(c, F.lower(F.col("network_name")),
-                      networks.select(F.lower(F.col("network_name")).alias("_k")), MSG_NETWORK_EXISTS)
+    c = _unique_names(c, ascii_lower(F.col("network_name")),
+                      networks.select(ascii_lower(F.col("network_name")).alias("_k")), MSG_NETWORK_EXISTS)
     ok = _new_ids(c.filter(F.col("error").isNull()), networks, "network_id", [F.col("input_id")], "network_id")
     return (networks.unionByName(ok.select(*networks.columns)),
             c.filter(F.col("error").isNotNull()).select("input_id", "error"),
             ok.select("input_id", F.col("network_id").alias("new_id")))
 
 
+def _sellable(price):
+    """A price above zero that the money type holds (NaN reads as NULL: refused)."""
+    return F.coalesce((price > 0) & (price < 1e16), F.lit(False))
+
+
 def create_promos(inputs: DataFrame, promos: DataFrame, networks: DataFrame):
     """DM10: ``inputs(input_id, network_id, promo_name, selling_price text)``:
-    the network must exist, a name is required, the price must be > 0."""
+    the network must exist, a name is required, the price must be > 0, and a
+    network has a promo name once."""
     from tillpoint.jobs.imports import js_number
     nets = networks.select(F.col("network_id").alias("_nid"), "network_name")
     price = js_number(F.col("selling_price"))
@@ -202,10 +228,50 @@ def create_promos(inputs: DataFrame, promos: DataFrame, networks: DataFrame):
                  F.col("_nid").isNotNull().alias("_known")))
     c = c.withColumn("error", F.when(~F.col("_known"), F.lit(MSG_NETWORK_NOT_FOUND))
                      .when(F.col("promo_name") == "", F.lit(MSG_PROMO_REQUIRED))
-                     .when(~(F.coalesce(F.col("price"), F.lit(0.0)) > 0), F.lit(MSG_PROMO_PRICE))).drop("_known")
+                     .when(~_sellable(F.col("price")), F.lit(MSG_PROMO_PRICE))).drop("_known")
+    c = _unique_names(c, F.struct("network_id", "promo_name"),
+                      promos.select(F.struct(F.col("network_id").cast(c.schema["network_id"].dataType).alias("network_id"), "promo_name").alias("_k")),
+                      MSG_PROMO_EXISTS)
     ok = _new_ids(c.filter(F.col("error").isNull()), promos, "promo_id", [F.col("input_id")], "promo_id")
     new = ok.select("network_id", "network_name", "promo_id", "promo_name",
                     F.col("price").cast("decimal(18,2)").alias("selling_price"))
     return (promos.unionByName(new.select(*promos.columns)),
             c.filter(F.col("error").isNotNull()).select("input_id", "error"),
             ok.select("input_id", F.col("promo_id").alias("new_id")))
+
+
+def update_promos(changes: DataFrame, promos: DataFrame):
+    """DM10: ``changes(change_id, promo_id, promo_name, selling_price text)`` ->
+    ``(promos, rejects(change_id, error))``; the last accepted change of a promo
+    stays, and a network keeps a promo name once (see :func:`_rename`)."""
+    from tillpoint.jobs.imports import js_number
+    c = changes.select("change_id", "promo_id", js_trim(text_or_empty(F.col("promo_name"))).alias("_name"),
+                       js_number(F.col("selling_price")).alias("_price"))
+    c = c.join(promos.select(F.col("promo_id").alias("_pid"), F.col("network_id").alias("_net")), F.col("promo_id") == F.col("_pid"), "left")
+    held = promos.groupBy(F.col("network_id").alias("_hn"), F.col("promo_name").alias("_hp")).agg(F.min("promo_id").alias("_lo"), F.max("promo_id").alias("_hi"))
+    c = c.join(held, (F.col("_net") == F.col("_hn")) & (F.col("_name") == F.col("_hp")), "left")
+    c = c.withColumn("error", F.when(F.col("_pid").isNull(), F.lit(MSG_PROMO_NOT_FOUND)).when(F.col("_name") == "", F.lit(MSG_PROMO_REQUIRED))
+                     .when(~_sellable(F.col("_price")), F.lit(MSG_PROMO_PRICE))
+                     .when((F.col("_lo") != F.col("promo_id")) | (F.col("_hi") != F.col("promo_id")), F.lit(MSG_PROMO_EXISTS)))
+    c = _claimed(c.drop("_pid", "_hn", "_hp", "_lo", "_hi"), ["_net", "_name"], "promo_id", "change_id", MSG_PROMO_EXISTS)
+    last = c.where("error is null").groupBy(F.col("promo_id").alias("_pid")).agg(F.max_by(F.struct("_name", "_price"), "change_id").alias("_v"))
+    out = promos.join(last, F.col("promo_id") == F.col("_pid"), "left").withColumns({
+        "promo_name": F.coalesce("_v._name", "promo_name"),
+        "selling_price": F.coalesce(F.col("_v._price").cast("decimal(18,2)"), F.col("selling_price"))})
+    return out.select(promos.columns), c.where("error is not null").select("change_id", "error")
+
+
+def remove_promos(removed: DataFrame, promos: DataFrame):
+    """DM10: ``removed(promo_id)`` -> ``(promos, rejects(promo_id, error))``."""
+    gone = removed.select("promo_id").distinct()
+    return (promos.join(gone, "promo_id", "left_anti"),
+            gone.join(promos.select("promo_id"), "promo_id", "left_anti").withColumn("error", F.lit(MSG_PROMO_NOT_FOUND)))
+
+
+def update_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """DM10: the one-row settings table (names, alert flags) after ``changes(ts,
+    <settings columns>)``: the latest change's non-NULL columns."""
+    fields = [c for c in settings.columns if c in changes.columns and c != "id"]
+    latest = changes.agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_{c}") for c in fields])
+    new = {c: F.coalesce(latest.select(f"_{c}").scalar(), F.col(c)) for c in fields}
+    return settings.select(*[new[c].alias(c) if c in new else F.col(c) for c in settings.columns])

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint import params as P
-from tillpoint.functions.dates import ntz_lit
 from tillpoint.functions.normalize import js_trim, name_or_system, normalize_service_type, padded_code, text_or_empty
 from tillpoint.functions.text import ph_mobile
 from tillpoint.jobs.imports import js_number
@@ -43,6 +42,9 @@ def create_requests(inputs: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     svc = normalize_service_type(F.col("service_type"))
     mobile = ph_mobile(F.col("mobile_number"))
     amount = js_number(F.col("amount"))
+    # NaN (NULL here) and amounts the money type cannot hold, Infinity included,
+    # have no row to be stored in
+    stored = F.coalesce((amount > 0) & (amount < 1e16), F.lit(False))
     network = F.upper(js_trim(text_or_empty(F.col("network"))))
     load_value = js_trim(text_or_empty(F.col("load_value")))
     error = (F.when(mobile == "", F.lit(MSG_MOBILE))
@@ -50,7 +52,7 @@ def create_requests(inputs: DataFrame, requests: DataFrame) -> tuple[DataFrame,
               .when((svc == "eload") & (network == ""), F.lit(MSG_NETWORK))
               .when((svc == "eload") & (load_value == ""), F.lit(MSG_LOAD))
               .when((svc == "eload") & amount.isNotNull() & (amount <= 0), F.lit(MSG_ELOAD_AMOUNT))
-              .when(amount.isNull(), F.lit(MSG_AMOUNT)))
+              .when(~stored, F.lit(MSG_AMOUNT)))
     checked = inputs.withColumn("error", error)
     rejects = checked.filter(F.col("error").isNotNull()).select("input_id", "error")
     ok = checked.filter(F.col("error").isNull())
@@ -114,6 +116,7 @@ def apply_transitions(requests: DataFrame, commands: DataFrame) -> tuple[DataFra
     done = F.col("w.action") == "complete"
     failed = F.col("w.action") == "fail"
     by = name_or_system(F.col("w.by_name"))
+    stored_failer = F.col("failed_by_name") if "failed_by_name" in requests.columns else F.lit("")
     new_requests = r.select(
         *[F.col(x) for x in requests.columns if x not in (
             "status", "reference_no", "completed_by_name", "completed_at", "failed_reason", "failed_by_name", "failed_at")],
@@ -122,10 +125,7 @@ def apply_transitions(requests: DataFrame, commands: DataFrame) -> tuple[DataFra
         F.when(done, by).otherwise(F.col("completed_by_name")).alias("completed_by_name"),
         F.when(done, F.col("w.ts")).otherwise(F.col("completed_at")).alias("completed_at"),
         F.when(failed, js_trim(F.col("w.reason"))).otherwise(F.col("failed_reason")).alias("failed_reason"),
-        F.when(failed, by).otherwise(F.lit(None).cast("string")).alias("failed_by_name"),
+        F.when(failed, by).otherwise(stored_failer).alias("failed_by_name"),
         F.when(failed, F.col("w.ts")).otherwise(F.col("failed_at")).alias("failed_at"))
     return new_requests, outcomes
 
-
-def now_ts(value: str):
-    return ntz_lit(value)

@@ -22,29 +22,22 @@ Everything is joins and grouped aggregates over exploded lines; the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint import params as P
-from tillpoint.functions.normalize import js_trim, name_or_system, normalize_item_status, padded_code, text_or_empty
+from tillpoint.functions.normalize import at_least_one, js_trim, name_or_system, normalize_item_status, padded_code, text_or_empty
 from tillpoint.operators.windows import global_row_number
+from tillpoint.session import cut_lineage
 
 # -- fixed values: messages -------------------------------------------------
 MSG_EMPTY = "Add at least one item to the sale."
 MSG_UNKNOWN = "One of the sale items does not exist."
 MSG_OUT_OF_STOCK = " is marked out of stock."
 MONEY = "decimal(18,2)"
-
-
-@dataclass
-class IngestResult:
-    sales: DataFrame
-    sale_items: DataFrame
-    sale_digital_items: DataFrame
-    requests: DataFrame
-    rejects: DataFrame
+QUANTITY = "decimal(18,3)"  # a quantity keeps its fraction, as its total does
 
 
 def _product_lines(carts: DataFrame) -> DataFrame:
@@ -62,8 +55,7 @@ def _digital_lines(carts: DataFrame) -> DataFrame:
 
     def txt(c):
         return js_trim(text_or_empty(F.col(f"it.{c}")))
-    q0 = F.col("it.quantity").cast("double")
-    q = F.greatest(F.lit(1.0), F.when(q0.isNull() | (q0 == 0) | F.isnan(q0), F.lit(1.0)).otherwise(q0))
+    q = at_least_one(F.col("it.quantity"))
     price = F.col("it.price").cast("double")
     out = lines.select("cart_id", "pos", txt("mobile_number").alias("mobile_number"), txt("network").alias("network"),
                        txt("load_type").alias("load_type"), txt("load_value").alias("load_value"),
@@ -73,54 +65,86 @@ def _digital_lines(carts: DataFrame) -> DataFrame:
                       & F.col("price").isNotNull() & (F.col("price") > 0))
 
 
-def ingest_sales(carts: DataFrame, inventory: DataFrame, sales: DataFrame, requests: DataFrame) -> IngestResult:
-    from tillpoint.session import cut_lineage
-
-    inv = inventory.select(F.col("id").alias("inventory_item_id"), F.col("name").alias("inv_name"),
-                           normalize_item_status(F.col("status")).alias("inv_status"))
-    # the exploded, looked-up lines feed the verdict, both numbering passes
-    # and every output: write them once rather than re-exploding the carts
-    checked = cut_lineage(_product_lines(carts).join(inv, "inventory_item_id", "left"))
-    digital = cut_lineage(_digital_lines(carts))
-    products = checked.drop("inv_name", "inv_status")
-    bad_msg = (F.when(F.col("inv_name").isNull() & F.col("inv_status").isNull(), F.lit(MSG_UNKNOWN))
+class IngestResult:
+    """The ingest's outputs, each built when it is asked for: ``sales``,
+    ``sale_items``, ``sale_digital_items``, ``requests`` and ``rejects``. What
+    several outputs need (the looked-up lines, the two numberings) is written once
+    and kept for the others; rejects need no numbering, and sales no requests."""
+
+    def __init__(self, carts: DataFrame, inventory: DataFrame, sales: DataFrame, requests: DataFrame):
+        self._carts, self._inventory, self._sales, self._requests = carts, inventory, sales, requests
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        inv = self._inventory.select(F.col("id").alias("inventory_item_id"), F.col("name").alias("inv_name"),
+                                     normalize_item_status(F.col("status")).alias("inv_status"))
+        return cut_lineage(_product_lines(self._carts).join(inv, "inventory_item_id", "left"))
+
+    @cached_property
+    def _verdict(self) -> DataFrame:
+        bad = (F.when(F.col("inv_name").isNull() & F.col("inv_status").isNull(), F.lit(MSG_UNKNOWN))
                 .when(F.col("inv_status") == P.OUT_OF_STOCK, F.concat(F.col("inv_name"), F.lit(MSG_OUT_OF_STOCK))))
-    first_bad = (checked.withColumn("_msg", bad_msg).filter(F.col("_msg").isNotNull())
-                 .groupBy("cart_id").agg(F.min_by("_msg", F.col("pos")).alias("error")))
-    n_lines = (products.select("cart_id").unionByName(digital.select("cart_id"))
-               .groupBy("cart_id").agg(F.count(F.lit(1)).alias("_lines")))
-    verdict = (carts.select("cart_id").join(n_lines, "cart_id", "left").join(first_bad, "cart_id", "left")
-               .withColumn("error", F.when(F.col("_lines").isNull(), F.lit(MSG_EMPTY)).otherwise(F.col("error"))))
-    rejects = verdict.filter(F.col("error").isNotNull()).select("cart_id", "error")
-    accepted = carts.join(verdict.filter(F.col("error").isNull()).select("cart_id"), "cart_id", "left_semi")
-
-    max_sale = sales.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = global_row_number(accepted.select("cart_id", "sale_date", "payment_method", "employee_name"),
-                                 [F.col("cart_id")], "_n").withColumn("sale_id", max_sale + F.col("_n"))
-    ok_products = checked.join(numbered.select("cart_id", "sale_id"), "cart_id", "inner")
-    ok_digital = digital.join(numbered.select("cart_id", "sale_id", "employee_name"), "cart_id", "inner")
-    totals = (ok_products.select("cart_id", "total").unionByName(ok_digital.select("cart_id", "total"))
-              .groupBy("cart_id").agg(F.sum(F.col("total").cast("decimal(38,2)")).alias("total_amount")))
-    new_sales = numbered.join(totals, "cart_id", "left").select(
-        F.col("sale_id").alias("id"), padded_code("S", F.col("sale_id")).alias("transaction_code"),
-        F.col("sale_date").cast("date").alias("sale_date"), "payment_method",
-        name_or_system(F.col("employee_name")).alias("employee_name"),
-        F.coalesce(F.col("total_amount"), F.lit(0)).cast(MONEY).alias("total_amount"), "cart_id")
-    new_items = ok_products.select("sale_id", "inventory_item_id", F.col("inv_name").alias("item_name"),
-                                   F.col("pos").alias("line_no"), F.col("quantity").cast("int").alias("quantity"),
-                                   F.col("price").cast(MONEY).alias("price"), F.col("total").cast(MONEY).alias("total"))
-    max_req = requests.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    req_numbered = global_row_number(ok_digital, [F.col("sale_id"), F.col("pos")], "_r").withColumn(
-        "request_id", max_req + F.col("_r"))
-    new_requests = req_numbered.select(
-        F.col("request_id").alias("id"), padded_code("EL", F.col("request_id")).alias("request_code"),
-        F.lit("eload").alias("service_type"), F.lit(P.PENDING).alias("status"), "mobile_number",
-        F.col("total").cast(MONEY).alias("amount"), F.lit("").alias("request_kind"), "network", "load_type",
-        "load_value", F.lit("").alias("reference_no"), "notes",
-        name_or_system(F.col("employee_name")).alias("requested_by_name"), "sale_id")
-    new_digital = req_numbered.select(
-        "sale_id", F.lit("eload").alias("service_type"), padded_code("EL", F.col("request_id")).alias("request_code"),
-        "mobile_number", "network", "load_type", "load_value", "notes",
-        F.col("quantity").cast("int").alias("quantity"), F.col("price").cast(MONEY).alias("price"),
-        F.col("total").cast(MONEY).alias("total"))
-    return IngestResult(new_sales, new_items, new_digital, new_requests, rejects)
+        # one pass over the lines: a cart's first bad line, and that it has lines
+        product = self._lines.groupBy("cart_id").agg(F.min_by(bad, F.when(bad.isNotNull(), F.col("pos"))).alias("error"))
+        digital = _digital_lines(self._carts).select("cart_id").distinct().withColumn("_digital", F.lit(True))
+        found = product.withColumn("_product", F.lit(True))
+        v = self._carts.select("cart_id").join(found, "cart_id", "left").join(digital, "cart_id", "left")
+        empty = F.col("_product").isNull() & F.col("_digital").isNull()
+        return v.select("cart_id", F.when(empty, F.lit(MSG_EMPTY)).otherwise(F.col("error")).alias("error"))
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self._verdict.filter(F.col("error").isNotNull())
+
+    @cached_property
+    def _accepted(self) -> DataFrame:
+        """``cart_id, sale_id``: ids after the current maximum, in cart order."""
+        top = self._sales.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        ok = self._verdict.filter(F.col("error").isNull()).select("cart_id")
+        return global_row_number(ok, [F.col("cart_id")], "_n").select("cart_id", (top + F.col("_n")).alias("sale_id"))
+
+    @cached_property
+    def _digital(self) -> DataFrame:
+        """The accepted carts' digital lines with their sale and request ids."""
+        top = self._requests.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        lines = (_digital_lines(self._carts).join(self._accepted, "cart_id")
+                 .join(self._carts.select("cart_id", "employee_name"), "cart_id"))
+        return global_row_number(lines, [F.col("sale_id"), F.col("pos")], "_r").withColumn("request_id", top + F.col("_r"))
+
+    @property
+    def sales(self) -> DataFrame:
+        lines = self._lines.select("cart_id", "total").unionByName(_digital_lines(self._carts).select("cart_id", "total"))
+        totals = lines.groupBy("cart_id").agg(F.sum(F.col("total").cast("decimal(38,2)")).alias("total_amount"))
+        return self._accepted.join(self._carts, "cart_id").join(totals, "cart_id", "left").select(
+            F.col("sale_id").alias("id"), padded_code("S", F.col("sale_id")).alias("transaction_code"),
+            F.col("sale_date").cast("date").alias("sale_date"), "payment_method",
+            name_or_system(F.col("employee_name")).alias("employee_name"),
+            F.coalesce(F.col("total_amount"), F.lit(0)).cast(MONEY).alias("total_amount"), "cart_id")
+
+    @property
+    def sale_items(self) -> DataFrame:
+        return self._lines.join(self._accepted, "cart_id").select(
+            "sale_id", "inventory_item_id", F.col("inv_name").alias("item_name"), F.col("pos").alias("line_no"),
+            F.col("quantity").cast(QUANTITY).alias("quantity"), F.col("price").cast(MONEY).alias("price"),
+            F.col("total").cast(MONEY).alias("total"))
+
+    @property
+    def requests(self) -> DataFrame:
+        return self._digital.select(
+            F.col("request_id").alias("id"), padded_code("EL", F.col("request_id")).alias("request_code"),
+            F.lit("eload").alias("service_type"), F.lit(P.PENDING).alias("status"), "mobile_number",
+            F.col("total").cast(MONEY).alias("amount"), F.lit("").alias("request_kind"), "network", "load_type",
+            "load_value", F.lit("").alias("reference_no"), "notes",
+            name_or_system(F.col("employee_name")).alias("requested_by_name"), "sale_id")
+
+    @property
+    def sale_digital_items(self) -> DataFrame:
+        return self._digital.select(
+            "sale_id", F.lit("eload").alias("service_type"), padded_code("EL", F.col("request_id")).alias("request_code"),
+            "mobile_number", "network", "load_type", "load_value", "notes",
+            F.col("quantity").cast(QUANTITY).alias("quantity"), F.col("price").cast(MONEY).alias("price"),
+            F.col("total").cast(MONEY).alias("total"))
+
+
+def ingest_sales(carts: DataFrame, inventory: DataFrame, sales: DataFrame, requests: DataFrame) -> IngestResult:
+    return IngestResult(carts, inventory, sales, requests)

@@ -4,7 +4,8 @@ A column that is missing gets the reference's default (``supplier`` and
 ``failed_*`` texts ``''``, ``employee_name`` ``'System'``); a missing
 ``status`` is derived from stock and reorder level (FN2); a missing or
 repeated barcode goes through the WN3 backfill. Existing columns are cast
-to the canonical types. Column checks read the schema only (no data).
+to the canonical types, and columns that the canonical schema does not know
+stay as they are, after the others. Column checks read the schema only.
 """
 
 from __future__ import annotations
@@ -39,4 +40,5 @@ def backfill_schema(df: DataFrame, table: str) -> DataFrame:
         codes = barcode_backfill(out.select("id", "barcode")).select("id", F.col("barcode").alias("_bc"))
         out = out.join(codes, "id", "left").withColumn("barcode", F.col("_bc")).drop("_bc")
     present = [f for f in schema.fields if f.name in out.columns]
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in present])
+    others = [c for c in out.columns if c not in schema.fieldNames()]
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in present], *others)

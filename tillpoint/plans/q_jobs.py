@@ -14,7 +14,6 @@ from tillpoint.plans import inputs as IN
 from tillpoint.plans.present import flat
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
-from tillpoint.sinks import export as X
 from tillpoint.sources import catalog as C
 from tillpoint.sources.csv_import import read_inventory_csv
 from tillpoint.streaming.live_totals import scratch_path
@@ -27,6 +26,7 @@ def _jsnum(x: str) -> str:
     t = f"trim(coalesce({x}, ''))"
     return (f"CASE WHEN {t} = '' THEN 0.0 "
             f"WHEN regexp_matches({t}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST({t} AS DOUBLE) "
+            f"WHEN regexp_matches({t}, '^0[xX]F+$') THEN pow(16.0, length({t}) - 2) - 1 "
             f"WHEN regexp_matches({t}, '^[+-]?Infinity$') THEN CASE WHEN starts_with({t}, '-') THEN '-inf'::DOUBLE "
             f"ELSE 'inf'::DOUBLE END END")
 
@@ -53,8 +53,8 @@ err AS (SELECT *, CASE
           WHEN name = '' THEN 'Product name is required.'
           WHEN category = '' THEN 'Category is required.'
           WHEN cat IS NULL THEN 'Choose a valid category from Settings.'
-          WHEN NOT (COALESCE(isfinite(unit_price), false) AND unit_price >= 0
-                    AND COALESCE(isfinite(selling_price), false) AND selling_price >= 0)
+          WHEN NOT (COALESCE(isfinite(unit_price), false) AND unit_price >= 0 AND unit_price < 1e16
+                    AND COALESCE(isfinite(selling_price), false) AND selling_price >= 0 AND selling_price < 1e16)
             THEN 'Unit Price and Selling Price must be valid non-negative numbers.'
           WHEN NOT (COALESCE(isfinite(stock_num), false) AND stock_num = floor(stock_num) AND stock_num >= 0
                     AND COALESCE(isfinite(reorder_num), false) AND reorder_num = floor(reorder_num) AND reorder_num >= 0)
@@ -109,49 +109,54 @@ def import_preview_summary(t):
 
 @register("import_errors_top12", with_views(f"""
 WITH {_preview_ctes(False)}
-SELECT CAST(row_number AS BIGINT) AS row_number, 'Row ' || CAST(row_number AS VARCHAR) || ': ' || msg AS error
+SELECT file, CAST(row_number AS BIGINT) AS row_number, 'Row ' || CAST(row_number AS VARCHAR) || ': ' || msg AS error,
+       CAST(greatest(count(*) OVER () - 12, 0) AS BIGINT) AS more
 FROM preview WHERE msg IS NOT NULL ORDER BY file, row_number LIMIT 12""", "inventory_items", "categories"))
 def import_errors_top12(t):
-    """SO12: the first 12 preview errors (the rest are only counted)."""
-    p = _preview_df(t, clean=False)
-    return flat(p.filter(F.col("error").isNotNull()).orderBy("file", "row_number").limit(12)
-                .select("row_number", "error"))
+    """SO12: the first 12 preview errors and how many more there are."""
+    return flat(IM.first_errors(_preview_df(t, clean=False), 12))
+
+
+# files one after another: a file with an error changes nothing; a barcode that an
+# earlier file (or the inventory) has is an existing product
+_APPLY = """
+fit AS (SELECT file FROM preview GROUP BY file HAVING count(msg) = 0),
+ok AS (SELECT p.*, (SELECT min(i.id) FROM inventory_items i WHERE trim(i.barcode) = p.barcode) AS stored,
+              row_number() OVER (PARTITION BY p.barcode ORDER BY p.file, p.row_number) AS turn,
+              row_number() OVER (PARTITION BY p.barcode ORDER BY p.file DESC, p.row_number DESC) AS turn_back
+       FROM preview p WHERE p.file IN (SELECT file FROM fit))"""
 
 
 @register("import_apply_skip", with_views(f"""
-WITH {_preview_ctes(True)},
-ok AS (SELECT * FROM preview WHERE (SELECT count(*) FROM preview WHERE msg IS NOT NULL) = 0)
-SELECT CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM inventory_items i WHERE trim(i.barcode) = ok.barcode)) AS BIGINT) AS created,
+WITH {_preview_ctes(True)},{_APPLY}
+SELECT f.file, CAST(count(ok.barcode) FILTER (WHERE stored IS NULL AND turn = 1) AS BIGINT) AS created,
        CAST(0 AS BIGINT) AS updated,
-       CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM inventory_items i WHERE trim(i.barcode) = ok.barcode)) AS BIGINT) AS skipped
-FROM ok""", "inventory_items", "categories"))
+       CAST(count(ok.barcode) FILTER (WHERE stored IS NOT NULL OR turn > 1) AS BIGINT) AS skipped
+FROM (SELECT DISTINCT file FROM preview) f LEFT JOIN ok ON ok.file = f.file GROUP BY f.file""", "inventory_items", "categories"))
 def import_apply_skip(t):
-    """DM2 in skip mode: created / updated / skipped."""
+    """DM2 in skip mode: created / updated / skipped of each file."""
     _, summary = IM.apply_import(_preview_df(t, clean=True), t.inventory_items, "skip")
     return flat(summary)
 
 
 @register("import_apply_update", with_views(f"""
-WITH {_preview_ctes(True)},
-ok AS (SELECT * FROM preview WHERE (SELECT count(*) FROM preview WHERE msg IS NOT NULL) = 0),
-typed AS (SELECT file, row_number, barcode, name, category, supplier, {_NORM.format(x='status_raw')} AS status,
-                 CAST(stock_num AS INTEGER) AS stock_quantity, CAST(unit_price AS DECIMAL(18,2)) AS unit_price,
-                 CAST(selling_price AS DECIMAL(18,2)) AS selling_price, CAST(reorder_num AS INTEGER) AS reorder_level
+WITH {_preview_ctes(True)},{_APPLY},
+typed AS (SELECT stored, turn, turn_back, file, row_number, barcode, name, category, supplier, {_NORM.format(x='status_raw')} AS status,
+                 CAST(stock_num AS BIGINT) AS stock_quantity, CAST(unit_price AS DECIMAL(18,2)) AS unit_price,
+                 CAST(selling_price AS DECIMAL(18,2)) AS selling_price, CAST(reorder_num AS BIGINT) AS reorder_level
           FROM ok),
-upd AS (SELECT i.id, p.barcode, p.name, p.category, p.supplier, p.status, p.stock_quantity, p.unit_price,
-               p.selling_price, p.reorder_level
-        FROM typed p JOIN inventory_items i ON trim(i.barcode) = p.barcode),
-ins AS (SELECT p.* FROM typed p WHERE NOT EXISTS (SELECT 1 FROM inventory_items i WHERE trim(i.barcode) = p.barcode)),
-allrows AS (
-  SELECT id, barcode, name, category, supplier, status, stock_quantity, unit_price, selling_price, reorder_level
-  FROM inventory_items WHERE id NOT IN (SELECT id FROM upd)
-  UNION ALL SELECT * FROM upd
-  UNION ALL SELECT (SELECT max(id) FROM inventory_items) + row_number() OVER (ORDER BY file, row_number),
-                   barcode, name, category, supplier, status, stock_quantity, unit_price, selling_price, reorder_level
-  FROM ins)
-SELECT id, barcode, name, category, supplier, status, CAST(stock_quantity AS BIGINT) AS stock_quantity,
-       CAST(unit_price AS DOUBLE) AS unit_price, CAST(selling_price AS DOUBLE) AS selling_price,
-       CAST(reorder_level AS BIGINT) AS reorder_level
+last AS (SELECT * FROM typed WHERE turn_back = 1),
+numbered AS (SELECT barcode, (SELECT max(id) FROM inventory_items) + row_number() OVER (ORDER BY file, row_number) AS id
+             FROM typed WHERE stored IS NULL AND turn = 1),
+changed AS (SELECT coalesce(last.stored, n.id) AS id, last.barcode, name, category, supplier, status, stock_quantity, unit_price,
+                   selling_price, reorder_level
+            FROM last LEFT JOIN numbered n ON n.barcode = last.barcode),
+allrows AS (SELECT id, barcode, name, category, supplier, status, CAST(stock_quantity AS BIGINT) AS stock_quantity, unit_price,
+                   selling_price, CAST(reorder_level AS BIGINT) AS reorder_level
+            FROM inventory_items WHERE id NOT IN (SELECT id FROM changed)
+            UNION ALL SELECT * FROM changed)
+SELECT id, barcode, name, category, supplier, status, stock_quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+       CAST(selling_price AS DOUBLE) AS selling_price, reorder_level
 FROM allrows""", "inventory_items", "categories"))
 def import_apply_update(t):
     """DM2 in update mode: the inventory after the import."""
@@ -159,35 +164,90 @@ def import_apply_update(t):
     return flat(new_inventory)
 
 
-@register("csv_import_parse")
+@register("csv_import_parse", with_views(f"""
+WITH {IN.IMPORT_FILES_SQL.strip()}
+SELECT file_key, CAST(row_number AS BIGINT) AS row_number,
+       {", ".join(f"CASE WHEN stock_quantity <> 11 THEN {v} END AS {c}" for c, v in (
+           ("barcode", "barcode"), ("name", "CASE WHEN stock_quantity % 7 = 0 THEN name || ', \"big\"' || chr(10) || 'box' ELSE name END"),
+           ("category", "category"), ("supplier", "coalesce(supplier, '')"), ("stock_quantity", "CAST(stock_quantity AS VARCHAR)"),
+           ("unit_price", "CAST(unit_price AS VARCHAR)"), ("selling_price", "CAST(selling_price AS VARCHAR)"),
+           ("reorder_level", "CAST(reorder_level AS VARCHAR)"), ("status", "status")))},
+       CASE WHEN stock_quantity = 11 THEN 'Row ' || CAST(row_number AS VARCHAR) || ': contains more values than the header row.' END AS error
+FROM placed""", "inventory_items"))
 def csv_import_parse(t):
-    """SC2 round trip: write the inventory export as one CSV file, read it
-    back with the exact reader, and preview it (every row must match an
-    existing item). Rows-only: the file exists only at run time."""
+    """SC2: write the inventory as many CSV files in three header orders, with
+    quoted commas and newlines, blank and over-wide rows, and read them back."""
     folder = scratch_path(t.spark, "csv-import")
-    X.export_inventory_csv(t, folder, single_file=True)
-    rows = read_inventory_csv(t.spark, f"{folder}/*.txt")
-    preview = IM.preview_import(rows, t.inventory_items, t.categories)
-    return flat(IM.preview_summary(preview).drop("file"))
+    (IN.import_files(t).repartition("file_key").sortWithinPartitions("file_key", "ord", "sub")
+     .select("file_key", "line").write.mode("overwrite").partitionBy("file_key").text(folder))
+    rows = read_inventory_csv(t.spark, folder)
+    return flat(rows.withColumn("file_key", F.regexp_extract("file", "file_key=([^/]+)/", 1)).drop("file"))
 
 
-@register("item_edits")
-def item_edits(t):
-    """DM11: an admin edit of every item (barcodes of stock-7 items moved to
-    the next item's barcode, which must be refused) and a user status edit."""
+def _item_edits(t):
+    """Two edits of every item: prices doubled (items with stock 7 or 9 ask for the
+    barcode of the next item, those with stock 8 all for one new barcode), then the
+    price tripled; and an edit of an unknown item each."""
     i = t.inventory_items
+    q = F.col("stock_quantity")
     nxt = F.concat(F.lit("480"), F.lpad((F.col("id") + 1).cast("string"), 10, "0"))
-    edits = i.select("id", F.when(F.col("stock_quantity") == 7, nxt).otherwise(F.col("barcode")).alias("barcode"),
-                     "name", "category", "supplier", F.col("stock_quantity").cast("string").alias("stock_text"),
-                     (F.col("unit_price") * 2).cast("string").alias("unit_price_text"),
-                     F.col("selling_price").cast("string").alias("selling_price_text"),
-                     F.col("reorder_level").cast("string").alias("reorder_text"),
-                     F.col("status").alias("status_text"))
-    admin_inv, admin_rejects = IM.apply_item_edits(edits, i, t.categories, "Admin")
-    user_inv, _ = IM.apply_item_edits(edits.withColumn("status_text", F.lit("Sold out")), i, t.categories, "User")
-    return flat(admin_rejects.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
-                .unionByName(user_inv.groupBy(F.col("status").alias("error")).agg(F.count(F.lit(1)).alias("n")))
-                .unionByName(admin_inv.agg(F.lit("rows").alias("error"), F.count(F.lit(1)).alias("n"))))
+    code = F.when(q.isin(7, 9), nxt).when(q == 8, F.lit("SHARED")).otherwise(F.col("barcode"))
+    common = [F.col(c) for c in ("name", "category", "supplier")] + [
+        q.cast("string").alias("stock_text"), F.col("selling_price").cast("string").alias("selling_price_text"),
+        F.col("reorder_level").cast("string").alias("reorder_text"), F.col("status").alias("status_text")]
+
+    def edit(k, item, barcode, factor):
+        return i.select((F.col("id") * 3 + k).alias("edit_id"), item.alias("id"), barcode.alias("barcode"), *common,
+                        (F.col("unit_price") * factor).cast("string").alias("unit_price_text"))
+    first = edit(0, F.col("id"), code, 2)
+    second = edit(1, F.col("id"), F.when(q == 8, F.lit("SHARED")).otherwise(F.col("barcode")), 3).where(q % 2 == 0)
+    unknown = edit(2, F.col("id") + 10_000_000, F.col("barcode"), 2).where(q == 3)
+    return first.unionByName(second).unionByName(unknown)
+
+
+_EDITS_SQL = """
+e AS (SELECT id * 3 AS edit_id, id, CASE WHEN stock_quantity IN (7, 9) THEN '480' || lpad(CAST(id + 1 AS VARCHAR), 10, '0')
+                                         WHEN stock_quantity = 8 THEN 'SHARED' ELSE barcode END AS barcode, unit_price * 2 AS price
+      FROM inventory_items
+      UNION ALL
+      SELECT id * 3 + 1, id, CASE WHEN stock_quantity = 8 THEN 'SHARED' ELSE barcode END, unit_price * 3
+      FROM inventory_items WHERE stock_quantity % 2 = 0),
+owned AS (SELECT e.*, o.id AS owner FROM e LEFT JOIN inventory_items o ON trim(o.barcode) = trim(e.barcode)),
+taker AS (SELECT trim(barcode) AS code, arg_min(id, edit_id) AS item FROM owned WHERE owner IS NULL OR owner = id GROUP BY 1),
+res AS (SELECT w.edit_id, w.id, w.barcode, w.price,
+               CASE WHEN w.owner <> w.id THEN 'Barcode already exists.'
+                    WHEN t.item <> w.id THEN 'Barcode already exists.' END AS error
+        FROM owned w LEFT JOIN taker t ON t.code = trim(w.barcode)),
+last AS (SELECT id, arg_max(trim(barcode), edit_id) AS barcode, arg_max(price, edit_id) AS price FROM res WHERE error IS NULL GROUP BY id)"""
+
+
+@register("item_edits", with_views(f"""
+WITH {_EDITS_SQL.strip()}
+SELECT i.id, coalesce(l.barcode, i.barcode) AS barcode, CAST(coalesce(l.price, i.unit_price) AS DOUBLE) AS unit_price
+FROM inventory_items i LEFT JOIN last l ON l.id = i.id""", "inventory_items"))
+def item_edits(t):
+    """DM11: the inventory after the admin's edits; ids and barcodes stay unique."""
+    inv, _ = IM.apply_item_edits(_item_edits(t), t.inventory_items, t.categories, "Admin")
+    return flat(inv.select("id", "barcode", "unit_price"))
+
+
+@register("item_edit_rejects", with_views(f"""
+WITH {_EDITS_SQL.strip()}
+SELECT edit_id, id, error FROM res WHERE error IS NOT NULL
+UNION ALL SELECT id * 3 + 2, id + 10000000, 'Item not found.' FROM inventory_items WHERE stock_quantity = 3""", "inventory_items"))
+def item_edit_rejects(t):
+    """DM11: the refused edits."""
+    _, rejects = IM.apply_item_edits(_item_edits(t), t.inventory_items, t.categories, "Admin")
+    return flat(rejects)
+
+
+@register("item_edits_by_user", with_views("""
+SELECT id, barcode, 'In Stock' AS status, CAST(unit_price AS DOUBLE) AS unit_price FROM inventory_items""", "inventory_items"))
+def item_edits_by_user(t):
+    """DM11: a user may set the status only, and an unknown one becomes In Stock."""
+    edits = _item_edits(t).withColumn("status_text", F.lit("Sold out"))
+    inv, _ = IM.apply_item_edits(edits, t.inventory_items, t.categories, "User")
+    return flat(inv.select("id", "barcode", "status", "unit_price"))
 
 
 def _ingest(t):
@@ -215,7 +275,7 @@ acc AS (SELECT cart_id, employee_name,
 @register("sale_ingest_lines", with_views(f"""
 WITH {_INGEST_CTES}
 SELECT acc.sale_id, chk.inventory_item_id, chk.inv_name AS item_name, CAST(chk.pos AS BIGINT) AS line_no,
-       CAST(CAST(chk.quantity AS INTEGER) AS BIGINT) AS quantity,
+       CAST(CAST(chk.quantity AS DECIMAL(18,3)) AS DOUBLE) AS quantity,
        CAST(CAST(chk.price AS DECIMAL(18,2)) AS DOUBLE) AS price,
        CAST(CAST(chk.quantity * chk.price AS DECIMAL(18,2)) AS DOUBLE) AS total
 FROM chk JOIN acc ON acc.cart_id = chk.cart_id""", "inventory_items", "sales"))
@@ -293,40 +353,117 @@ def request_transition(t):
     return flat(outcomes)
 
 
-@register("request_create")
+@register("request_transition_table", with_views(f"""
+WITH {IN.TRANSITION_COMMANDS_SQL.strip()},
+judged AS (SELECT cmds.*, CASE WHEN r.status <> 'Pending' THEN false
+                               WHEN action = 'complete' THEN r.service_type <> 'gcash' OR trim(r.reference_no) <> ''
+                               ELSE trim(cmds.reason) <> '' END AS ok
+           FROM cmds JOIN digital_service_requests r ON r.id = cmds.request_id),
+won AS (SELECT request_id, arg_min(action, command_id) AS action, arg_min(ts, command_id) AS at, arg_min(reason, command_id) AS why
+        FROM judged WHERE ok GROUP BY request_id)
+SELECT r.id, CASE WHEN w.action = 'complete' THEN 'Completed' WHEN w.action = 'fail' THEN 'Failed' ELSE r.status END AS status,
+       r.reference_no, CASE WHEN w.action = 'complete' THEN 'Staff 9' ELSE r.completed_by_name END AS completed_by_name,
+       strftime(CASE WHEN w.action = 'complete' THEN w.at ELSE r.completed_at END, '%Y-%m-%d %H:%M:%S.%f') AS completed_at,
+       CASE WHEN w.action = 'fail' THEN w.why ELSE r.failed_reason END AS failed_reason,
+       CASE WHEN w.action = 'fail' THEN 'Staff 9' ELSE r.failed_by_name END AS failed_by_name,
+       strftime(CASE WHEN w.action = 'fail' THEN w.at ELSE r.failed_at END, '%Y-%m-%d %H:%M:%S.%f') AS failed_at
+FROM digital_service_requests r LEFT JOIN won w ON w.request_id = r.id""", "digital_service_requests"))
+def request_transition_table(t):
+    """DM5: the requests after the commands; rows no command changed keep all."""
+    after, _ = RQ.apply_transitions(t.digital_service_requests, IN.transition_commands(t))
+    return flat(after.select("id", "status", "reference_no", "completed_by_name", "completed_at", "failed_reason",
+                             "failed_by_name", "failed_at"))
+
+
+@register("request_create", with_views("""
+WITH given AS (
+  SELECT id AS input_id, service_type, regexp_replace(mobile_number, '[^0-9]', '', 'g') AS digits, status,
+         CASE WHEN status = 'Failed' THEN NULL WHEN id % 7 = 0 THEN 'Infinity'::DOUBLE ELSE CAST(amount AS DOUBLE) END AS amount,
+         request_kind, reference_no, network, load_type, CASE WHEN status = 'Pending' THEN '' ELSE load_value END AS load_value, requested_by_name
+  FROM digital_service_requests),
+judged AS (SELECT *, CASE WHEN NOT (length(digits) = 11 AND starts_with(digits, '09')) THEN 'Enter a valid 11-digit mobile number starting with 09.'
+                          WHEN service_type = 'gcash' AND amount <= 0 THEN 'Enter a valid GCash amount.'
+                          WHEN service_type = 'eload' AND network = '' THEN 'Choose a network for the eload request.'
+                          WHEN service_type = 'eload' AND load_value = '' THEN 'Choose a load option for the eload request.'
+                          WHEN service_type = 'eload' AND amount <= 0 THEN 'Enter a valid eload amount.'
+                          WHEN amount IS NULL OR isinf(amount) THEN 'Amount must be greater than zero.' END AS error FROM given),
+made AS (SELECT *, (SELECT max(id) FROM digital_service_requests) + row_number() OVER (ORDER BY input_id) AS id FROM judged WHERE error IS NULL)
+SELECT input_id, id, CASE WHEN service_type = 'gcash' THEN 'GC' ELSE 'EL' END || CASE WHEN id < 10000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END AS request_code,
+       service_type, 'Pending' AS status, substr(digits, 1, 4) || ' ' || substr(digits, 5, 3) || ' ' || substr(digits, 8, 4) AS mobile_number,
+       amount, request_kind, network, load_type, load_value, CASE WHEN service_type = 'gcash' THEN reference_no ELSE '' END AS reference_no,
+       requested_by_name, CAST(NULL AS VARCHAR) AS error FROM made
+UNION ALL
+SELECT input_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM judged WHERE error IS NOT NULL""",
+                                    "digital_service_requests"))
 def request_create(t):
     """DM4: re-enter every request as a new one (numbers typed with dashes,
-    amounts as text) and check each against the creation rules."""
+    amounts as text, some of them no number or Infinity): the new rows and the
+    refusals."""
     r = t.digital_service_requests
+    amount = (F.when(F.col("status") == P.FAILED, F.lit("abc")).when(F.col("id") % 7 == 0, F.lit("Infinity"))
+               .otherwise(F.col("amount").cast("string")))
     inputs = r.select(F.col("id").alias("input_id"), "service_type",
                       F.concat(F.substring("mobile_number", 1, 4), F.lit("-"), F.expr("substr(mobile_number, 5)")).alias("mobile_number"),
-                      F.when(F.col("status") == P.FAILED, F.lit("abc")).otherwise(F.col("amount").cast("string")).alias("amount"),
-                      F.col("request_kind").alias("cash_flow"), F.col("reference_no").alias("reference_number"),
+                      amount.alias("amount"), F.col("request_kind").alias("cash_flow"), F.col("reference_no").alias("reference_number"),
                       F.lower("network").alias("network"), "load_type",
                       F.when(F.col("status") == P.PENDING, F.lit("")).otherwise(F.col("load_value")).alias("load_value"),
                       F.lit("").alias("notes"), F.col("requested_by_name"))
     new, rejects = RQ.create_requests(inputs, r)
-    return flat(new.groupBy("service_type", "status").agg(F.count(F.lit(1)).alias("n"))
-                .unionByName(rejects.groupBy(F.col("error").alias("service_type"))
-                             .agg(F.lit("rejected").alias("status"), F.count(F.lit(1)).alias("n"))))
-
-
-@register("rename_cascade", with_views("""
-WITH smap AS (SELECT supplier_name AS old, upper(supplier_name) || ' TRADING' AS new FROM suppliers),
+    new = new.select("input_id", "id", "request_code", "service_type", "status", "mobile_number", "amount", "request_kind",
+                     "network", "load_type", "load_value", "reference_no", "requested_by_name").withColumn("error", F.lit(None).cast("string"))
+    return flat(new.unionByName(rejects, allowMissingColumns=True))
+
+
+_RENAMES_SQL = """
+s_in AS (SELECT supplier_id, supplier_id * 3 AS rename_id, upper(supplier_name) || ' TRADING' AS new_name FROM suppliers
+         UNION ALL SELECT supplier_id, supplier_id * 3 + 1, 'One Name' FROM suppliers WHERE supplier_id % 4 = 0
+         UNION ALL SELECT a.supplier_id, a.supplier_id * 3 + 2, b.supplier_name FROM suppliers a JOIN suppliers b ON b.supplier_id = a.supplier_id + 1),
+s_chk AS (SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM suppliers o WHERE o.supplier_name = s.new_name AND o.supplier_id <> s.supplier_id) THEN 'taken' END AS e0 FROM s_in s),
+s_first AS (SELECT new_name, arg_min(supplier_id, rename_id) AS taker FROM s_chk WHERE e0 IS NULL GROUP BY 1),
+s_res AS (SELECT c.*, CASE WHEN e0 IS NOT NULL OR f.taker <> c.supplier_id THEN 'UNIQUE constraint failed: suppliers.supplier_name' END AS error
+          FROM s_chk c LEFT JOIN s_first f ON f.new_name = c.new_name),
+s_new AS (SELECT supplier_id, arg_max(new_name, rename_id) AS new_name FROM s_res WHERE error IS NULL GROUP BY 1)"""
+
+
+def _supplier_renames(t):
+    """Three renames a supplier: to a name of its own, some to one shared name, and
+    to the next supplier's name (refused)."""
+    s = t.suppliers
+    sid = F.col("supplier_id")
+    own = s.select(sid, (sid * 3).alias("rename_id"), F.concat(F.upper("supplier_name"), F.lit(" TRADING")).alias("new_name"))
+    shared = s.where(sid % 4 == 0).select(sid, (sid * 3 + 1).alias("rename_id"), F.lit("One Name").alias("new_name"))
+    nxt = s.select((sid - 1).alias("_prev"), F.col("supplier_name").alias("new_name"))
+    taken = s.join(nxt, sid == F.col("_prev")).select(sid, (sid * 3 + 2).alias("rename_id"), "new_name")
+    return own.unionByName(shared).unionByName(taken)
+
+
+@register("rename_cascade", with_views(f"""
+WITH {_RENAMES_SQL.strip()},
+smap AS (SELECT supplier_name AS old, new_name AS new FROM s_new JOIN suppliers USING (supplier_id)),
 cmap AS (SELECT category_name AS old, lower(category_name) || ' goods' AS new FROM categories)
-SELECT i.id, COALESCE(CASE WHEN s.old <> s.new THEN s.new END, i.supplier) AS supplier,
-       COALESCE(CASE WHEN c.old <> c.new THEN c.new END, i.category) AS category
+SELECT i.id, COALESCE(s.new, i.supplier) AS supplier, COALESCE(c.new, i.category) AS category
 FROM inventory_items i LEFT JOIN smap s ON s.old = i.supplier LEFT JOIN cmap c ON c.old = i.category""",
                                        "inventory_items", "suppliers", "categories"))
 def rename_cascade(t):
-    """DM6: rename every supplier and category; the inventory follows."""
-    s_ren = t.suppliers.select("supplier_id", F.concat(F.upper("supplier_name"), F.lit(" TRADING")).alias("new_name"))
+    """DM6: rename suppliers and every category; the inventory follows, one row
+    an item."""
     c_ren = t.categories.select("category_id", F.concat(F.lower("category_name"), F.lit(" goods")).alias("new_name"))
-    _, inv, _ = RF.rename_suppliers(s_ren, t.suppliers, t.inventory_items)
+    _, inv, _ = RF.rename_suppliers(_supplier_renames(t), t.suppliers, t.inventory_items)
     _, inv, _ = RF.rename_categories(c_ren, t.categories, inv)
     return flat(inv.select("id", "supplier", "category"))
 
 
+@register("rename_suppliers_table", with_views(f"""
+WITH {_RENAMES_SQL.strip()}
+SELECT supplier_id, coalesce(n.new_name, supplier_name) AS supplier_name, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS BIGINT) AS rename_id
+FROM suppliers LEFT JOIN s_new n USING (supplier_id)
+UNION ALL SELECT supplier_id, NULL, error, rename_id FROM s_res WHERE error IS NOT NULL""", "suppliers"))
+def rename_suppliers_table(t):
+    """DM6: the suppliers afterwards (names unique) and the refused renames."""
+    table, _, rejects = RF.rename_suppliers(_supplier_renames(t), t.suppliers, t.inventory_items)
+    return flat(table.select("supplier_id", "supplier_name").unionByName(rejects, allowMissingColumns=True))
+
+
 @register("supplier_removed", with_views("""
 WITH gone AS (SELECT s_name AS name FROM supplier WHERE s_acctbal < 0)
 SELECT i.id, CASE WHEN i.supplier IN (SELECT name FROM gone) THEN '' ELSE i.supplier END AS supplier
@@ -339,25 +476,44 @@ def supplier_removed(t):
     return flat(inv.select("id", "supplier"))
 
 
-@register("users_upsert")
+@register("users_upsert", with_views(f"""
+WITH changes AS (
+  SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username, trim(c_name || ' ') AS full_name,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 'User' ELSE 'Admin' END AS role, CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END AS is_active, 1 AS ts FROM customer
+  UNION ALL
+  SELECT 'clerk' || CAST(c_custkey AS VARCHAR), c_name, 'Admin', 1, 2 FROM customer WHERE c_nationkey = 3
+  UNION ALL
+  SELECT 'user' || CAST(c_custkey AS VARCHAR), c_name || ' Jr', 'Admin', 1, 2 FROM customer WHERE c_nationkey = 4),
+last AS (SELECT username, arg_max(full_name, ts) AS full_name, arg_max(role, ts) AS role, arg_max(is_active, ts) AS is_active FROM changes GROUP BY 1),
+numbered AS (SELECT l.*, coalesce(u.id, (SELECT max(id) FROM users) + row_number() OVER (PARTITION BY u.id IS NULL ORDER BY l.username)) AS id
+             FROM last l LEFT JOIN users u ON u.username = l.username),
+gone AS (SELECT d.user_id, count(*) AS n FROM user_devices d JOIN numbered n ON n.id = d.user_id
+         WHERE n.is_active = 0 AND d.revoked_at IS NULL GROUP BY 1)
+SELECT n.id, n.username, n.full_name, n.role, CAST(n.is_active AS BIGINT) AS is_active, CAST(coalesce(g.n, 0) AS BIGINT) AS revoked_now
+FROM numbered n LEFT JOIN gone g ON g.user_id = n.id""", "users", "user_devices"))
 def users_upsert(t):
-    """DM10: replay every customer as a user change (later changes win;
-    customers with a negative balance become inactive) and revoke the
-    devices of inactive users."""
+    """DM10: replay every customer as a user change (negative balances become
+    inactive), later changes of some, and new users; with the devices each
+    deactivation revokes."""
     c = t.raw("customer")
-    changes = c.select(F.concat(F.lit(" User"), F.col("c_custkey").cast("string")).alias("username"),
-                       F.concat(F.col("c_name"), F.lit(" ")).alias("full_name"),
-                       F.when(F.col("c_mktsegment") == "BUILDING", F.lit("user")).otherwise(F.lit("admin")).alias("role"),
-                       F.when(F.col("c_acctbal") < 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
-                       F.lit(1).alias("ts"))
-    users, devices, rejects = RF.upsert_users(changes, t.users, t.user_devices, P.DEVICE_NOW)
-    return flat(users.groupBy("role", "is_active").agg(F.count(F.lit(1)).alias("n"))
-                .unionByName(devices.agg(F.lit("revoked").alias("role"), F.lit(0).alias("is_active"),
-                                         F.count_if(F.col("revoked_at").isNotNull()).alias("n"))))
+    name = F.concat(F.lit(" User"), F.col("c_custkey").cast("string"))
+    base = c.select(name.alias("username"), F.concat(F.col("c_name"), F.lit(" ")).alias("full_name"),
+                    F.when(F.col("c_mktsegment") == "BUILDING", F.lit("user")).otherwise(F.lit("admin")).alias("role"),
+                    F.when(F.col("c_acctbal") < 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"), F.lit(1).alias("ts"))
+    fresh = c.where("c_nationkey = 3").select(F.concat(F.lit("Clerk"), F.col("c_custkey").cast("string")).alias("username"),
+                                              F.col("c_name").alias("full_name"), F.lit("x").alias("role"), F.lit(1).alias("is_active"), F.lit(2).alias("ts"))
+    later = c.where("c_nationkey = 4").select(name.alias("username"), F.concat("c_name", F.lit(" Jr")).alias("full_name"), F.lit("Admin").alias("role"),
+                                              F.lit(1).alias("is_active"), F.lit(2).alias("ts"))
+    users, devices, _ = RF.upsert_users(base.unionByName(fresh).unionByName(later), t.users, t.user_devices, P.DEVICE_NOW)
+    before = t.user_devices.where("revoked_at is null").select("id")
+    revoked = (devices.where("revoked_at is not null").join(before, "id", "left_semi").groupBy("user_id")
+               .agg(F.count(F.lit(1)).alias("n")))
+    return flat(users.join(revoked, users.id == revoked.user_id, "left")
+                .select("id", "username", "full_name", "role", "is_active", F.coalesce("n", F.lit(0)).alias("revoked_now")))
 
 
 @register("integrity_audit", with_views(f"""
-WITH promos AS (SELECT network_name, CAST(COALESCE(CAST(regexp_extract_all(promo_name, '(\\d+(\\.\\d+)?)', 1)[-1] AS DOUBLE), 0.0) AS DECIMAL(18,2)) AS selling_price
+WITH promos AS (SELECT network_name, promo_name, CAST(COALESCE(CAST(regexp_extract_all(promo_name, '(\\d+(\\.\\d+)?)', 1)[-1] AS DOUBLE), 0.0) AS DECIMAL(18,2)) AS selling_price
                 FROM (VALUES {", ".join(f"('{n}', '{p}')" for n, ps in C.DEFAULT_NETWORKS.items() for p in ps)}) v(network_name, promo_name)),
 lines AS (SELECT sale_id, total FROM sale_items UNION ALL SELECT sale_id, total FROM sale_digital_items),
 per_sale AS (SELECT sale_id, SUM(total) AS t FROM lines GROUP BY sale_id)
@@ -378,6 +534,7 @@ UNION ALL SELECT 'orphan_device_user', (SELECT count(*) FROM user_devices d WHER
 UNION ALL SELECT 'unknown_inventory_category', (SELECT count(*) FROM inventory_items i WHERE i.category IS NOT NULL AND NOT EXISTS (SELECT 1 FROM categories c WHERE c.category_name = i.category))
 UNION ALL SELECT 'sale_total_not_lines', (SELECT count(*) FROM sales s LEFT JOIN per_sale p ON p.sale_id = s.id WHERE s.total_amount <> COALESCE(p.t, 0))
 UNION ALL SELECT 'multiple_active_devices', (SELECT count(*) FROM (SELECT user_id FROM user_devices WHERE revoked_at IS NULL GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'duplicate_promo_of_network', (SELECT count(*) FROM (SELECT network_name, promo_name FROM promos GROUP BY 1, 2 HAVING count(*) > 1))
 UNION ALL SELECT 'promo_price_not_positive', (SELECT count(*) FROM promos WHERE selling_price <= 0)""",
                                         "inventory_items", "sales", "sale_items", "sale_digital_items",
                                         "digital_service_requests", "categories", "suppliers", "users", "user_devices"))
@@ -387,18 +544,18 @@ def integrity_audit(t):
 
 
 @register("barcode_backfill", with_views(f"""
-WITH {IN.BACKFILL_ITEMS_SQL.strip()},
-base AS (SELECT id, trim(barcode) AS code FROM items),
-firsts AS (SELECT code, min(id) AS first_id FROM base WHERE code <> '' GROUP BY code),
-t1 AS (SELECT b.id, b.code, (b.code <> '' AND b.id = f.first_id) AS keeps, 'LEGACY-' || CAST(b.id AS VARCHAR) AS legacy
-       FROM base b LEFT JOIN firsts f ON f.code = b.code),
-lost AS (SELECT DISTINCT k.id FROM t1 k JOIN t1 l ON NOT l.keeps AND l.legacy = k.code AND l.id < k.id WHERE k.keeps),
-t2 AS (SELECT t1.id, t1.code, t1.legacy, (t1.keeps AND lost.id IS NULL) AS keeps FROM t1 LEFT JOIN lost ON lost.id = t1.id),
-pos AS (SELECT *, row_number() OVER (ORDER BY id) AS p FROM t2),
-clash AS (SELECT DISTINCT a.id FROM pos a JOIN pos k ON k.keeps AND a.legacy = k.code AND k.id < a.id WHERE NOT a.keeps)
-SELECT id, code AS old_barcode,
-       CASE WHEN keeps THEN code WHEN id IN (SELECT id FROM clash) THEN legacy || '-' || CAST(p AS VARCHAR) ELSE legacy END AS barcode
-FROM pos""", "inventory_items"))
+WITH RECURSIVE {IN.BACKFILL_ITEMS_SQL.strip()},
+walk_items AS (SELECT id, trim(barcode) AS code, row_number() OVER (ORDER BY id) AS p FROM items),
+walk(p, id, code, final, used) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT n.p, n.id, n.code, n.final, list_append(n.used, n.final)
+  FROM (SELECT i.p, i.id, i.code, w.used,
+               CASE WHEN i.code <> '' AND NOT list_contains(w.used, i.code) THEN i.code
+                    WHEN NOT list_contains(w.used, 'LEGACY-' || CAST(i.id AS VARCHAR)) THEN 'LEGACY-' || CAST(i.id AS VARCHAR)
+                    ELSE 'LEGACY-' || CAST(i.id AS VARCHAR) || '-' || CAST(i.p AS VARCHAR) END AS final
+        FROM walk w JOIN walk_items i ON i.p = w.p + 1) n)
+SELECT id, code AS old_barcode, final AS barcode FROM walk WHERE p > 0""", "inventory_items"))
 def barcode_backfill(t):
     """DM9 / WN3: unique barcodes for items with blank or repeated ones."""
     return flat(IM.barcode_backfill(IN.backfill_items(t)))
@@ -419,6 +576,20 @@ def schema_backfill(t):
     return flat(backfill_schema(old, "inventory_items"))
 
 
+@register("schema_backfill_requests", with_views("""
+SELECT id, request_code, status, notes, '' AS failed_reason, '' AS failed_by_name, CAST(NULL AS VARCHAR) AS failed_at,
+       mobile_number AS caller
+FROM digital_service_requests""", "digital_service_requests"))
+def schema_backfill_requests(t):
+    """DM9: a requests table from before the failure columns existed; a column the
+    schema does not know stays."""
+    from tillpoint.jobs.schema import backfill_schema
+    old = (t.digital_service_requests.withColumn("caller", F.col("mobile_number"))
+           .drop("failed_reason", "failed_by_name", "failed_at"))
+    out = backfill_schema(old, "digital_service_requests")
+    return flat(out.select("id", "request_code", "status", "notes", "failed_reason", "failed_by_name", "failed_at", "caller"))
+
+
 def _network_table(spark):
     """The seeded networks (6 rows) from the fixed catalogue."""
     return C.default_promos(spark).select("network_id", "network_name").distinct()
@@ -431,8 +602,9 @@ cat_in AS (SELECT p_partkey AS input_id,
 net_in AS (SELECT c_custkey AS input_id,
                   upper(trim(CASE WHEN c_nationkey = 0 THEN ' globe ' WHEN c_nationkey = 1 THEN '' ELSE lower(c_mktsegment) END)) AS name
            FROM customer),
-sup_in AS (SELECT n_nationkey AS input_id, trim(CASE WHEN n_regionkey = 0 THEN '  ' ELSE n_name || ' supply ' END) AS name
-           FROM nation),
+sup_in AS (SELECT s_suppkey AS input_id, trim(CASE WHEN s_acctbal < 0 THEN '  ' WHEN s_nationkey < 5 THEN s_name
+                                                   WHEN s_nationkey < 15 THEN 'Supply ' || CAST(s_nationkey AS VARCHAR) ELSE s_name || ' supply ' END) AS name
+           FROM supplier),
 pro_in AS (SELECT o_orderkey AS input_id, o_custkey % 8 AS network_id, trim(o_orderpriority) AS name,
                   CASE WHEN o_orderstatus = 'P' THEN '0' ELSE CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) END AS price
            FROM orders)"""
@@ -460,14 +632,22 @@ nets AS (SELECT * FROM (VALUES {_NETS_SQL}) v(network_id, network_name)),
              'Category name already exists.', 'SELECT max(category_id) FROM categories').strip()},
 {_unique_sql('network', 'net_in', 'SELECT lower(network_name) FROM nets', 'Network name is required.',
              'Network already exists.', 'SELECT max(network_id) FROM nets').strip()},
-sup_res AS (SELECT input_id, CASE WHEN name = '' THEN 'Supplier name is required.' END AS error FROM sup_in),
+sup_chk AS (SELECT input_id, name, CASE WHEN name = '' THEN 'Supplier name is required.' END AS e0 FROM sup_in),
+sup_res AS (SELECT input_id, CASE WHEN e0 IS NOT NULL THEN e0
+                                  WHEN name IN (SELECT supplier_name FROM suppliers)
+                                       OR input_id <> min(input_id) OVER (PARTITION BY name, e0 IS NULL) THEN 'UNIQUE constraint failed: suppliers.supplier_name' END AS error
+            FROM sup_chk),
 supplier_out AS (SELECT 'supplier' AS kind, input_id, error,
                         CASE WHEN error IS NULL THEN (SELECT max(supplier_id) FROM suppliers)
                              + row_number() OVER (PARTITION BY error IS NULL ORDER BY input_id) END AS new_id FROM sup_res),
-pro_res AS (SELECT p.input_id, CASE WHEN n.network_id IS NULL THEN 'Network not found.'
-                                    WHEN p.name = '' THEN 'Promo name is required.'
-                                    WHEN NOT (COALESCE(TRY_CAST(p.price AS DOUBLE), 0) > 0) THEN 'Selling price must be greater than zero.' END AS error
+pro_chk AS (SELECT p.input_id, p.network_id, p.name,
+                   CASE WHEN n.network_id IS NULL THEN 'Network not found.' WHEN p.name = '' THEN 'Promo name is required.'
+                        WHEN NOT (COALESCE(TRY_CAST(p.price AS DOUBLE), 0) > 0) THEN 'Selling price must be greater than zero.' END AS e0
             FROM pro_in p LEFT JOIN nets n ON n.network_id = p.network_id),
+pro_res AS (SELECT input_id, CASE WHEN e0 IS NOT NULL THEN e0
+                                  WHEN input_id <> min(input_id) OVER (PARTITION BY network_id, name, e0 IS NULL)
+                                  THEN 'UNIQUE constraint failed: eload_promos.network_id, eload_promos.promo_name' END AS error
+            FROM pro_chk),
 promo_out AS (SELECT 'promo' AS kind, input_id, error,
                      CASE WHEN error IS NULL THEN 24 + row_number() OVER (PARTITION BY error IS NULL ORDER BY input_id) END AS new_id
               FROM pro_res)
@@ -479,17 +659,18 @@ def reference_create(t):
     """DM10: create suppliers, categories, eLoad networks and promos from
     inputs derived from whole tables (blank, duplicate, unknown-network and
     zero-price inputs included); one row per input with its new id or error."""
-    part, cust, nation, orders = t.raw("part"), t.raw("customer"), t.raw("nation"), t.raw("orders")
+    part, cust, supp, orders = t.raw("part"), t.raw("customer"), t.raw("supplier"), t.raw("orders")
     cat_in = part.select(F.col("p_partkey").alias("input_id"),
                          F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))
                           .when(F.col("p_size") % 3 == 1, F.upper("p_type")).otherwise(F.lit(" ")).alias("category_name"))
     net_in = cust.select(F.col("c_custkey").alias("input_id"),
                          F.when(F.col("c_nationkey") == 0, F.lit(" globe ")).when(F.col("c_nationkey") == 1, F.lit(""))
                           .otherwise(F.lower("c_mktsegment")).alias("network_name"))
-    sup_in = nation.select(F.col("n_nationkey").alias("input_id"),
-                           F.when(F.col("n_regionkey") == 0, F.lit("  "))
-                            .otherwise(F.concat(F.col("n_name"), F.lit(" supply "))).alias("supplier_name"),
-                           F.lit("").alias("contact_no"), F.lit("").alias("address"))
+    sup_in = supp.select(F.col("s_suppkey").alias("input_id"),
+                         F.when(F.col("s_acctbal") < 0, F.lit("  ")).when(F.col("s_nationkey") < 5, F.col("s_name"))
+                          .when(F.col("s_nationkey") < 15, F.concat(F.lit("Supply "), F.col("s_nationkey").cast("string")))
+                          .otherwise(F.concat(F.col("s_name"), F.lit(" supply "))).alias("supplier_name"),
+                         F.lit("").alias("contact_no"), F.lit("").alias("address"))
     pro_in = orders.select(F.col("o_orderkey").alias("input_id"), (F.col("o_custkey") % 8).alias("network_id"),
                            F.col("o_orderpriority").alias("promo_name"),
                            F.when(F.col("o_orderstatus") == "P", F.lit("0"))
@@ -518,10 +699,13 @@ def _reference_outcomes(t, cat_in, net_in, sup_in, pro_in):
     return out
 
 
-@register("request_board_diff")
+@register("request_board_diff", with_views(f"""
+WITH {IN.TRANSITION_COMMANDS_SQL.strip()}
+SELECT DISTINCT r.id, 'changed' AS change FROM digital_service_requests r JOIN cmds ON cmds.request_id = r.id
+WHERE r.status = 'Pending' AND (CASE WHEN action = 'complete' THEN r.service_type <> 'gcash' OR trim(r.reference_no) <> '' ELSE trim(reason) <> '' END)""",
+                                         "digital_service_requests"))
 def request_board_diff(t):
     """AG14: what changed on the request board after the DM5 commands."""
     from tillpoint.operators.digital import fingerprint_diff
     after, _ = RQ.apply_transitions(t.digital_service_requests, IN.transition_commands(t))
-    return flat(fingerprint_diff(t.digital_service_requests, after).groupBy("change")
-                .agg(F.count(F.lit(1)).alias("requests")))
+    return flat(fingerprint_diff(t.digital_service_requests, after).select("id", "change"))

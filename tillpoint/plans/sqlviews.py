@@ -54,12 +54,13 @@ SELECT event_id AS id,
             WHEN user_id % 6 = 3 THEN 'TNT' WHEN user_id % 6 = 4 THEN 'SUN' ELSE 'DITO' END AS network,
        CASE WHEN event_type IN ('purchase','signup') THEN '' ELSE 'regular' END AS load_type,
        CASE WHEN event_type IN ('purchase','signup') THEN '' ELSE 'Regular ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS load_value,
-       CASE WHEN event_type IN ('purchase','signup') AND event_id % 10 < 8 THEN 'REF' || CAST(event_id AS VARCHAR) ELSE '' END AS reference_no,
+       CASE WHEN event_type IN ('purchase','signup') AND event_id % 10 < 8 THEN 'REF' || CAST(event_id AS VARCHAR) ELSE '' END AS reference_no, '' AS notes,
        'Staff ' || CAST(user_id % 5 AS VARCHAR) AS requested_by_name,
        ts - INTERVAL '8614' DAY AS requested_at,
        CASE WHEN event_id % 10 < 8 THEN 'Staff ' || CAST((user_id + 1) % 5 AS VARCHAR) ELSE '' END AS completed_by_name,
        CASE WHEN event_id % 10 < 8 THEN ts - INTERVAL '8614' DAY + INTERVAL '2' HOUR END AS completed_at,
        CASE WHEN event_id % 10 = 8 THEN 'no signal' ELSE '' END AS failed_reason,
+       CASE WHEN event_id % 10 = 8 THEN 'Staff ' || CAST((user_id + 2) % 5 AS VARCHAR) ELSE '' END AS failed_by_name,
        CASE WHEN event_id % 10 = 8 THEN ts - INTERVAL '8614' DAY + INTERVAL '1' HOUR END AS failed_at
 FROM events""",
     "sale_digital_items": """
@@ -98,6 +99,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
