@@ -65,15 +65,15 @@ def test_random_histories_match_plain_fold(spark):
         assert want, f"fixture should produce some locks for {preset}"
 
 
-def test_large_chunks_use_the_streaming_fold(spark):
+def test_a_burst_on_one_key_is_spread_and_exact(spark):
+    """A third of all attempts on one key in one hour: the same locks as a plain
+    fold, and the windows that find the gaps are split by minute."""
     rnd = random.Random(5)
-    rows = []
-    for key in ["hot", "hot", "k1", "k2"]:
-        t = T0 + dt.timedelta(minutes=rnd.randint(0, 300))
-        for _ in range(80):
-            t += dt.timedelta(seconds=rnd.choice([5, 20, 60, 200, 901]))
-            rows.append((key, t, rnd.random() < 0.1))
-    df = attempts(spark, rows)
-    both = sorted(tuple(r) for r in detect_lockouts(df, ACCOUNT, array_limit=4).collect())
-    arrays = sorted(tuple(r) for r in detect_lockouts(df, ACCOUNT).collect())
-    assert both == arrays and arrays
+    rows = [("hot", T0 + dt.timedelta(seconds=i), rnd.random() < 0.05) for i in range(0, 3600, 2)]
+    rows += [(f"k{i % 40}", T0 + dt.timedelta(seconds=rnd.randrange(90000)), rnd.random() < 0.1) for i in range(3600)]
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((int(r[1].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6), r[2]) for r in rows if r[0] == key)
+        want += [(key, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=a), n) for a, _, n in fold_rows((None, 0, None), mine, ACCOUNT)[1]]
+    got = [(r["key"], r["locked_at"], r["failures"]) for r in detect_lockouts(attempts(spark, rows), ACCOUNT).collect()]
+    assert sorted(got) == sorted(want) and any(k == "hot" for k, _, _ in got)

@@ -16,6 +16,40 @@ def test_stream_daily_totals_equal_batch(spark, tables):
     assert sorted(streamed.collect()) == sorted(batch.collect())
 
 
+def test_streams_read_a_folder_of_files_and_see_new_ones(spark, tables):
+    """The events table as a folder of part files; a live query picks up a file that
+    is added later."""
+    import os
+    import shutil
+    import tempfile
+    import time
+
+    folder = tempfile.mkdtemp(prefix="live-", dir=os.environ.get("TILLPOINT_SCRATCH"))
+    events = tables.raw("events")
+    low, high = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    low.repartition(3).write.parquet(f"{folder}/events.parquet")
+    high.coalesce(1).write.parquet(f"{folder}/more")
+    want = lambda e: sorted(live_totals.daily_totals(requests_from_events(e)).collect())
+    out = live_totals.scratch_path(spark, "live-totals")
+    query = live_totals.start_daily_totals(spark, folder, out, {"processingTime": "1 second"})
+    try:
+        assert query.isActive
+        query.processAllAvailable()
+        assert sorted(live_totals.read_daily_totals(spark, out).collect()) == want(low)
+        (part,) = [f for f in os.listdir(f"{folder}/more") if f.endswith(".parquet")]
+        shutil.copy(f"{folder}/more/{part}", f"{folder}/events.parquet/late-{part}")
+        end = time.time() + 60
+        while time.time() < end and sorted(live_totals.read_daily_totals(spark, out).collect()) != want(events):
+            query.processAllAvailable()
+            time.sleep(1)
+        assert sorted(live_totals.read_daily_totals(spark, out).collect()) == want(events)
+    finally:
+        query.stop()
+    drained = sessions.drain_sessions(
+        live_totals.events_stream(spark, folder).select("user_id", F.to_timestamp("ts").alias("ts")), live_totals.scratch_path(spark, "live-sessions"))
+    assert drained.count() == sessions.activity_sessions(spark.read.parquet(f"{folder}/events.parquet")).count()
+
+
 def test_session_gap_edge(spark):
     t0 = dt.datetime(2024, 1, 1, 9)
     rows = [(1, 1, t0), (2, 1, t0 + dt.timedelta(minutes=30) - dt.timedelta(microseconds=1)),

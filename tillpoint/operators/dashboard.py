@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillpoint.functions.dates import date_lit, shift_days
 from tillpoint.functions.text import php_currency
 from tillpoint.operators.digital import month_totals, pending_counts
 from tillpoint.operators.inventory import inventory_summary
 from tillpoint.operators.ranking import best_category
-from tillpoint.operators.sales import average_daily, sales_metrics, total_revenue
 
 
 def _struct_scalar(df: DataFrame):
@@ -24,10 +24,21 @@ def _struct_scalar(df: DataFrame):
     return df.select(F.struct(*df.columns)).scalar()
 
 
+def sales_numbers(t, as_of: str) -> DataFrame:
+    """The dashboard's numbers from the sales: today, the 7 days up to today and
+    all time, in one pass over two columns."""
+    d, amount = F.col("sale_date"), F.col("total_amount")
+    week = (d >= date_lit(shift_days(as_of, -6))) & (d <= date_lit(as_of))
+    zero = F.lit(0).cast("decimal(18,2)")
+    return t.sales.agg(F.coalesce(F.sum(F.when(d == date_lit(as_of), amount)), zero).alias("today_total"),
+                       F.coalesce(F.sum(F.when(week, amount)), zero).alias("week_total"),
+                       F.coalesce(F.sum(amount), zero).alias("total_revenue"))
+
+
 def dashboard_metrics(t, as_of: str) -> DataFrame:
     """QY4: the dashboard's eleven numbers, one row."""
     inv = _struct_scalar(inventory_summary(t))
-    sm = _struct_scalar(sales_metrics(t, as_of))
+    sm = _struct_scalar(sales_numbers(t, as_of))
     best = _struct_scalar(best_category(t))
     return month_totals(t, as_of).select(
         inv["total"].alias("total_products"),
@@ -35,8 +46,8 @@ def dashboard_metrics(t, as_of: str) -> DataFrame:
         inv["out_of_stock"].alias("out_of_stock_items"),
         sm["today_total"].alias("daily_sales"),
         "monthly_sales", "monthly_products", "monthly_load", "monthly_gcash",
-        total_revenue(t).scalar().alias("total_revenue"),
-        average_daily(t, as_of).scalar().alias("average_daily"),
+        sm["total_revenue"].alias("total_revenue"),
+        (sm["week_total"].cast("double") / 7.0).alias("average_daily"),
         best["best_category"].alias("best_category"),
     )
 
@@ -54,11 +65,20 @@ def _plural(n, word: str):
     return F.concat(F.lit(word), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
 
 
-def notifications(t, as_of: str, settings: AlertSettings = AlertSettings(), role: str = "Admin") -> DataFrame:
-    """ST4: the alert feed (tone, title, message, link), in feed order."""
-    pend = _struct_scalar(pending_counts(t))
+# -- fixed values: the alerts' titles, texts and links below ------------------
+def notifications(t, as_of: str, settings: AlertSettings = AlertSettings(), role: str = "Admin",
+                  pending: DataFrame | None = None) -> DataFrame:
+    """ST4: the alert feed (tone, title, message, link), in feed order. ``pending``
+    may give the pending counts (one row, as :func:`pending_counts`) that a caller
+    keeps up to date; else they are counted from the requests."""
+    pend = _struct_scalar(pending_counts(t) if pending is None else pending)
     inv = _struct_scalar(inventory_summary(t))
-    base = sales_metrics(t, as_of)
+    # the week's sales only: the day filter reaches the scan
+    d, amount = F.col("sale_date"), F.col("total_amount")
+    today, zero = d == date_lit(as_of), F.lit(0).cast("decimal(18,2)")
+    base = t.sales.filter(d >= date_lit(shift_days(as_of, -6))).agg(
+        F.coalesce(F.sum(F.when(today, amount)), zero).alias("today_total"), F.count_if(today).alias("today_transactions"),
+        F.coalesce(F.sum(amount), zero).alias("weekly_total"))
     e, g, total = pend["eload_pending"], pend["gcash_pending"], pend["total_pending"]
     parts = F.concat_ws(" and ", F.when(e > 0, F.concat(e.cast("string"), F.lit(" eLoad"))),
                         F.when(g > 0, F.concat(g.cast("string"), F.lit(" GCash"))))

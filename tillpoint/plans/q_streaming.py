@@ -11,14 +11,62 @@ from tillpoint.plans.sqlviews import with_views
 from tillpoint.streaming import live_totals, lockouts, sessions
 
 
-@register("lockouts")
+# Attempts that do reach the limits: every event of a user group's day squeezed into
+# its first hour; sign-ups succeed.
+_ATTEMPTS_SQL = """
+tries AS (SELECT 'group' || CAST(user_id % 20 AS VARCHAR) AS key, date_trunc('day', ts) + INTERVAL (event_id % 3600) SECOND AS ts,
+                 event_type = 'signup' AS success FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, success) AS n FROM tries)"""
+
+
+def lockouts_sql(preset) -> str:
+    """The rule attempt by attempt, all keys side by side."""
+    lock, window = f"INTERVAL {preset.lock_minutes} MINUTE", f"INTERVAL {preset.window_minutes} MINUTE"
+    return f"""
+WITH RECURSIVE {_ATTEMPTS_SQL.strip()},
+walk(key, n, ts, first, failures, until, locked) AS (
+  SELECT key, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 0, CAST(NULL AS TIMESTAMP), false FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT s.key, s.n, s.ts,
+         CASE WHEN s.refused THEN s.first WHEN s.success THEN NULL WHEN s.again THEN s.first ELSE s.ts END,
+         CASE WHEN s.refused THEN s.failures WHEN s.success THEN 0 WHEN s.again THEN s.failures + 1 ELSE 1 END,
+         CASE WHEN s.refused THEN s.until WHEN NOT s.success AND CASE WHEN s.again THEN s.failures + 1 ELSE 1 END >= {preset.max_failures} THEN s.ts + {lock} END,
+         NOT s.refused AND NOT s.success AND CASE WHEN s.again THEN s.failures + 1 ELSE 1 END >= {preset.max_failures}
+  FROM (SELECT a.key, a.n, a.ts, a.success, w.first, w.failures, w.until,
+               coalesce(w.until > a.ts, false) AS refused,
+               w.until IS NULL AND w.first IS NOT NULL AND a.ts <= w.first + {window} AS again
+        FROM walk w JOIN numbered a ON a.key = w.key AND a.n = w.n + 1) s)
+SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS locked_at, strftime(until, '%Y-%m-%d %H:%M:%S.%f') AS locked_until,
+       CAST(failures AS BIGINT) AS failures
+FROM walk WHERE locked"""
+
+
+def _attempts(t):
+    e = t.raw("events")
+    ts = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("event_id") % 3600).cast("decimal(18,6)"))
+    return e.select(F.concat(F.lit("group"), (F.col("user_id") % 20).cast("string")).alias("key"), ts.alias("ts"),
+                    (F.col("event_type") == "signup").alias("success"))
+
+
+@register("lockouts", lockouts_sql(lockouts.ACCOUNT))
 def lockouts_account(t):
-    """ST1 with the account preset over every login attempt. A sequential
-    fold: checked rows-only here and against a plain fold in the tests."""
-    return flat(lockouts.detect_lockouts(t.auth_attempts, lockouts.ACCOUNT))
+    """ST1 with the account preset."""
+    return flat(lockouts.detect_lockouts(_attempts(t), lockouts.ACCOUNT))
 
 
-@register("sessions", with_views("""
+@register("lockouts_address", lockouts_sql(lockouts.ADDRESS))
+def lockouts_address(t):
+    """ST1 with the address preset."""
+    return flat(lockouts.detect_lockouts(_attempts(t), lockouts.ADDRESS))
+
+
+@register("lockouts_pin", lockouts_sql(lockouts.PIN))
+def lockouts_pin(t):
+    """ST1 with the PIN preset."""
+    return flat(lockouts.detect_lockouts(_attempts(t), lockouts.PIN))
+
+
+_SESSIONS_SQL = """
 WITH a AS (SELECT user_id, ts, event_id,
                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 b AS (SELECT *, CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN ts END AS start FROM a),
@@ -28,7 +76,10 @@ SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start
        strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_activity,
        CAST(count(*) AS BIGINT) AS requests,
        strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
-FROM c GROUP BY user_id, session_start"""))
+FROM c GROUP BY user_id, session_start"""
+
+
+@register("sessions", _SESSIONS_SQL.strip())
 def activity_sessions(t):
     """ST2 batch: idle-timeout sessions over all activity (events)."""
     return flat(sessions.activity_sessions(t.raw("events")))
@@ -45,15 +96,8 @@ def stream_daily_totals(t):
     return flat(live_totals.run_daily_totals(t.spark, t.data_dir))
 
 
-@register("stream_sessions")
+@register("stream_sessions", _SESSIONS_SQL.strip())
 def stream_sessions(t):
-    """ST2 streaming form (session_window); open sessions at the watermark
-    are not emitted in append mode, so this is checked rows-only."""
-    spark = t.spark
-    out = live_totals.scratch_path(spark, "sessions")
-    activity = live_totals.events_stream(spark, t.data_dir).select(
-        "user_id", as_utc_instant(F.col("ts")).alias("ts"))
-    q = (sessions.session_stream(activity).writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start(f"{out}/table"))
-    q.awaitTermination()
-    return flat(spark.read.parquet(f"{out}/table"))
+    """ST2 streaming form (session_window), drained."""
+    activity = live_totals.events_stream(t.spark, t.data_dir).select("user_id", as_utc_instant(F.col("ts")).alias("ts"))
+    return flat(sessions.drain_sessions(activity, live_totals.scratch_path(t.spark, "sessions")))

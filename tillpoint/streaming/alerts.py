@@ -2,9 +2,11 @@
 
 An alert is new when its key ``(title, message, link, tone)`` has not been
 seen before: a null-safe anti join against the seen keys (``link`` may be
-NULL). The live feed recomputes the alert list on every micro-batch of
-incoming events (``foreachBatch``; the reference polls every 10 s), appends
-only the new alerts to the seen table and returns nothing to the driver.
+NULL). The live feed keeps running counts of pending requests: each micro-batch
+of incoming events (``foreachBatch``; the reference polls every 10 s) adds its own
+counts to an epoch folder, and the feed is built from their sum, the inventory
+and the week's sales, never from all requests again. Only new alerts are
+appended to the seen table; nothing is returned to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpoint import params as P
 from tillpoint.operators.dashboard import AlertSettings, notifications
+from tillpoint.sources.canonical import requests_from_events
 from tillpoint.sources.tables import Tables
 from tillpoint.streaming.live_totals import events_stream, scratch_path
 
@@ -30,9 +34,9 @@ def new_alerts(current: DataFrame, seen: DataFrame) -> DataFrame:
 def run_alert_feed(spark: SparkSession, data_dir: str, as_of: str, out_dir: str | None = None,
                    trigger_seconds: int | None = None, settings: AlertSettings = AlertSettings(),
                    role: str = "Admin") -> DataFrame:
-    """Live ST4 + ST5: on each batch of new events, recompute the feed and
-    append the alerts not seen before to ``<out>/seen``. Returns the seen
-    table (after draining, when ``trigger_seconds`` is None)."""
+    """Live ST4 + ST5: on each batch of new events, bring the counts and the feed
+    up to date and append the alerts not seen before to ``<out>/seen``. Returns the
+    seen table (after draining, when ``trigger_seconds`` is None)."""
     out = out_dir or scratch_path(spark, "alerts")
     seen_path = f"{out}/seen"
     # one folder per micro-batch epoch, written in overwrite mode: a batch
@@ -41,8 +45,17 @@ def run_alert_feed(spark: SparkSession, data_dir: str, as_of: str, out_dir: str
     empty = notifications(Tables(spark, data_dir), as_of, settings, role).limit(0)
     empty.write.mode("overwrite").parquet(f"{seen_path}/epoch=-1")
 
+    counts_path = f"{out}/counts"
+    columns = ("eload_pending", "gcash_pending", "total_pending")
+
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        current = notifications(Tables(spark, data_dir), as_of, settings, role)
+        requests = requests_from_events(batch).filter(F.col("status") == P.PENDING)
+        mine = requests.agg(F.count_if(F.col("service_type") == "eload").alias(columns[0]),
+                            F.count_if(F.col("service_type") == "gcash").alias(columns[1]), F.count(F.lit(1)).alias(columns[2]))
+        mine.write.mode("overwrite").parquet(f"{counts_path}/epoch={epoch}")
+        kept = spark.read.parquet(counts_path).filter(F.col("epoch") <= epoch)
+        pending = kept.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+        current = notifications(Tables(spark, data_dir), as_of, settings, role, pending)
         seen = spark.read.parquet(seen_path).filter(F.col("epoch") < epoch).drop("epoch")
         new_alerts(current, seen).write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
 

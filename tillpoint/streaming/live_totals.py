@@ -3,9 +3,10 @@
 ``readStream`` over the events files -> the request adapter -> completed
 requests -> a tumbling one-day window aligned to local midnight
 (``startTime = 16 hours`` puts UTC 16:00 = local 00:00 at the start) ->
-sums per service. The running result is rewritten in full on each
-micro-batch through ``foreachBatch`` (idempotent, so a restarted batch
-just writes the same table again). State is one row per day and service.
+sums per service. The query runs in ``update`` mode, so that the watermark
+bounds the state; each micro-batch writes the changed (day, service) rows to a
+folder of its own epoch (a replayed batch rewrites its folder), and readers take
+the latest epoch of each key, so no reader meets a half-written table.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from tillpoint.sources.canonical import requests_from_events
 
 
 def events_stream(spark: SparkSession, data_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The driver folder holds every table; only ``events.parquet`` is read."""
-    schema = spark.read.parquet(f"{data_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    """Stream of the events table: one file, or a folder of part files to which
+    more may be added."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{data_dir}/events.parquet").schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(data_dir)
+    # a pattern that matches this one name: a stream over a plain path must be a folder
+    return reader.parquet(f"{data_dir}/[e]vents.parquet")
 
 
 def daily_totals(requests: DataFrame, watermark: str = "2 days") -> DataFrame:
@@ -49,22 +51,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def run_daily_totals(spark: SparkSession, data_dir: str, out_dir: str | None = None,
-                     trigger_seconds: int | None = None) -> DataFrame:
-    """Run ST3. ``trigger_seconds=None`` drains what is there (availableNow)
-    and returns the written table; otherwise starts a live query polling at
-    that interval (the reference's chart polls every 15 s) and returns the
-    table as of now."""
-    out = out_dir or scratch_path(spark, "daily-totals")
+TOTALS_SCHEMA = "day date, service_type string, total decimal(28,2), requests long, epoch long"
+
+
+def start_daily_totals(spark: SparkSession, data_dir: str, out: str, trigger: dict):
+    """Start ST3 into ``out`` and return the query handle. ``trigger`` is what
+    ``DataStreamWriter.trigger`` takes, e.g. ``{"processingTime": "15 seconds"}``
+    (the reference's chart polls every 15 s) or ``{"availableNow": True}``."""
     stream = daily_totals(requests_from_events(events_stream(spark, data_dir)))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/table")
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
+
+    return (stream.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", f"{out}/_checkpoint").trigger(**trigger).start())
 
-    writer = (stream.writeStream.outputMode("complete").foreachBatch(write)
-              .option("checkpointLocation", f"{out}/_checkpoint"))
-    if trigger_seconds is None:
-        writer.trigger(availableNow=True).start().awaitTermination()
-    else:
-        writer.trigger(processingTime=f"{trigger_seconds} seconds").start()
-    return spark.read.parquet(f"{out}/table")
+
+def read_daily_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The totals as of the last finished batch (empty before the first)."""
+    rows = spark.read.schema(TOTALS_SCHEMA).parquet(f"{out}/table")
+    latest = rows.groupBy("day", "service_type").agg(F.max_by(F.struct("total", "requests"), "epoch").alias("v"))
+    return latest.select("day", "service_type", "v.total", "v.requests")
+
+
+def run_daily_totals(spark: SparkSession, data_dir: str, out_dir: str | None = None) -> DataFrame:
+    """ST3 drained: everything that is there now, then the totals."""
+    out = out_dir or scratch_path(spark, "daily-totals")
+    start_daily_totals(spark, data_dir, out, {"availableNow": True}).awaitTermination()
+    return read_daily_totals(spark, out)

@@ -13,9 +13,9 @@ still split into independent pieces: an attempt more than
 ``max(window, lock)`` after the key's previous attempt always starts from
 a clean state (any window has run out, any lock has ended). So each key's
 history is cut at such gaps (a bucketed gap-and-island pass, see
-``operators.windows``), and each chunk is folded JVM-side with
-``aggregate()`` over its sorted attempts. A key under constant attack is
-still cut at every quiet quarter hour; no key is gathered whole.
+``operators.windows``), and the chunks are folded in parallel, each by a
+sorted pass with bounded memory. A key under constant attack is still cut
+at every quiet quarter hour; no key is gathered whole.
 
 The streaming form keeps the same three-value state per key with
 ``applyInPandasWithState``.
@@ -59,100 +59,36 @@ LOCK_SCHEMA = T.StructType([
 ])
 
 
-def _fold(attempts, preset: Preset):
-    """``aggregate()`` over a sorted array<struct<ts, success>>; returns the
-    final state whose ``locks`` field lists the lock events."""
-    window = F.expr(f"INTERVAL {preset.window_minutes} MINUTES")
-    lock = F.expr(f"INTERVAL {preset.lock_minutes} MINUTES")
-    lock_type = T.ArrayType(T.StructType([
-        T.StructField("locked_at", T.TimestampNTZType()),
-        T.StructField("locked_until", T.TimestampNTZType()),
-        T.StructField("failures", T.IntegerType())]))
-    init = F.struct(F.lit(None).cast("timestamp_ntz").alias("first"), F.lit(0).alias("n"),
-                    F.lit(None).cast("timestamp_ntz").alias("until"), F.array().cast(lock_type).alias("locks"))
-
-    def step(acc, x):
-        ts = x["ts"]
-        locked = acc["until"].isNotNull() & (acc["until"] > ts)
-        expired = acc["until"].isNotNull() & (acc["until"] <= ts)
-        first = F.when(expired, F.lit(None).cast("timestamp_ntz")).otherwise(acc["first"])
-        n = F.when(expired, F.lit(0)).otherwise(acc["n"])
-        inside = first.isNotNull() & (ts <= first + window)
-        n2 = F.when(inside, n + 1).otherwise(F.lit(1))
-        first2 = F.when(inside, first).otherwise(ts)
-        locks_now = n2 >= preset.max_failures
-        failed = F.struct(first2.alias("first"), n2.alias("n"),
-                          F.when(locks_now, ts + lock).otherwise(F.lit(None).cast("timestamp_ntz")).alias("until"),
-                          F.when(locks_now, F.concat(acc["locks"], F.array(F.struct(
-                              ts.alias("locked_at"), (ts + lock).alias("locked_until"), n2.alias("failures")))))
-                           .otherwise(acc["locks"]).alias("locks"))
-        cleared = F.struct(F.lit(None).cast("timestamp_ntz").alias("first"), F.lit(0).alias("n"),
-                           F.lit(None).cast("timestamp_ntz").alias("until"), acc["locks"].alias("locks"))
-        return F.when(locked, acc).when(x["success"], cleared).otherwise(failed)
-
-    return F.aggregate(attempts, init, step)
-
-
-# chunks up to this many attempts are folded as one in-memory array
-ARRAY_FOLD_LIMIT = 100_000
-
-
-def detect_lockouts(attempts: DataFrame, preset: Preset = ACCOUNT,
-                    array_limit: int = ARRAY_FOLD_LIMIT) -> DataFrame:
+def detect_lockouts(attempts: DataFrame, preset: Preset = ACCOUNT) -> DataFrame:
     """Batch ST1: every lock event ``(key, locked_at, locked_until, failures)``.
 
-    ``attempts`` has ``key``, ``ts`` (TIMESTAMP_NTZ) and ``success``.
-    Chunks of at most ``array_limit`` attempts are folded JVM-side over a
-    sorted array. Larger chunks (a key attacked without a quiet quarter
-    hour) are never gathered: they are range-partitioned, sorted, and folded
-    by a streaming pass that carries the three-value state from one Arrow
-    batch to the next, so a task's memory does not grow with the chunk.
+    ``attempts`` has ``key``, ``ts`` (TIMESTAMP_NTZ) and ``success``. Each key is cut
+    into chunks at its quiet gaps (windows by key and minute, so a burst on one key
+    is spread over its minutes); chunks are hash-partitioned and sorted, and each
+    task folds its sorted rows batch by batch, carrying the three-value state. One
+    way for chunks of every size: a task holds one Arrow batch, never a chunk.
     """
-    chunked = gap_sessions(attempts.select("key", "ts", "success"), "key", "ts", "success",
-                           preset.quiet_seconds, "chunk")
-    sizes = chunked.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("_size"))
-    tagged = chunked.join(sizes, ["key", "chunk"], "inner")
-    small = tagged.filter(F.col("_size") <= array_limit)
-    folded = (small.groupBy("key", "chunk")
-              .agg(F.array_sort(F.collect_list(F.struct("ts", "success"))).alias("attempts"))
-              .select("key", _fold(F.col("attempts"), preset)["locks"].alias("locks"))
-              .select("key", F.inline("locks")))
-    big = tagged.filter(F.col("_size") > array_limit).drop("_size")
-    return folded.unionByName(_stream_fold_sorted(big, preset))
-
-
-def _stream_fold_sorted(rows: DataFrame, preset: Preset) -> DataFrame:
-    """Fold large chunks without holding them in memory.
-
-    Rows are hash-partitioned by (key, chunk), so each chunk is whole in one
-    task, and sorted inside the partition by (key, chunk, ts); the task then
-    reads Arrow batches in that order and carries the fold state from batch
-    to batch, resetting it when the chunk changes. A chunk is inherently
-    sequential, but its size no longer bounds the task's memory."""
     from tillpoint.session import ship_package
-    ship_package(rows.sparkSession)
+    chunked = gap_sessions(attempts.select("key", "ts", "success"), "key", "ts", "success",
+                           preset.quiet_seconds, "chunk", bucket="minute")
+    ship_package(attempts.sparkSession)
 
     def fold_partition(batches):
         current, state = None, (None, 0, None)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            micros = pd.to_datetime(pdf["ts"]).astype("int64") // 1000
             out = []
-            for (key, chunk), grp in pdf.groupby(["key", "chunk"], sort=False):
+            micros = (pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")).tolist()
+            for key, chunk, ts, success in zip(pdf["key"], pdf["chunk"], micros, pdf["success"].tolist()):
                 if (key, chunk) != current:
                     current, state = (key, chunk), (None, 0, None)
-                rows_ = list(zip(micros.loc[grp.index].tolist(), grp["success"].astype(bool).tolist()))
-                state, events = fold_rows(state, rows_, preset)
-                out.extend((key, a, b, n) for a, b, n in events)
+                state, events = fold_rows(state, [(ts, bool(success))], preset)
+                out += [(key, *e) for e in events]
             if out:
-                yield pd.DataFrame({"key": [o[0] for o in out],
-                                    "locked_at": pd.to_datetime([o[1] for o in out], unit="us"),
-                                    "locked_until": pd.to_datetime([o[2] for o in out], unit="us"),
-                                    "failures": [o[3] for o in out]})
+                key, begin, end, n = zip(*out)
+                yield pd.DataFrame({"key": key, "locked_at": pd.to_datetime(begin, unit="us"),
+                                    "locked_until": pd.to_datetime(end, unit="us"), "failures": n})
 
-    ordered = (rows.repartition("key", "chunk")
-               .sortWithinPartitions("key", "chunk", "ts", "success"))
+    ordered = chunked.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "ts", "success")
     return ordered.mapInPandas(fold_partition, LOCK_SCHEMA)
 
 

@@ -31,10 +31,28 @@ def activity_sessions(activity: DataFrame, key: str = "user_id", ts: str = "ts",
 
 def session_stream(activity: DataFrame, key: str = "user_id", ts: str = "ts",
                    watermark: str = "1 hour") -> DataFrame:
-    """Streaming ST2 over a stream whose ``ts`` is TIMESTAMP (not NTZ)."""
+    """Streaming ST2 over a stream whose ``ts`` is TIMESTAMP (not NTZ). In append
+    mode a live query hands out a session once the watermark has passed its end; a
+    drained run (:func:`drain_sessions`) hands out the open ones as well."""
     gap = f"{P.SESSION_IDLE_MINUTES * 60 * 1_000_000 - 1} microseconds"
     return (activity.withWatermark(ts, watermark)
             .groupBy(key, F.session_window(ts, gap).alias("session"))
             .agg(F.count(F.lit(1)).alias("requests"), F.max(ts).alias("last_activity"))
             .select(key, F.col("session.start").alias("session_start"), "last_activity",
                     (F.col("last_activity") + _idle()).alias("expires_at"), "requests"))
+
+
+def drain_sessions(activity: DataFrame, out: str, key: str = "user_id") -> DataFrame:
+    """All sessions of a finite stream, the still open ones included: complete mode
+    (the input ends, so its state is bounded by it), each batch in its own epoch's
+    folder; the last epoch holds every session."""
+    spark = activity.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
+
+    query = (session_stream(activity, key).writeStream.outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{out}/table")
+    return rows.where(F.col("epoch") == rows.select(F.max("epoch")).scalar()).drop("epoch")
