@@ -41,14 +41,22 @@ def test_partition_count_does_not_change_ranking(spark, tables):
     assert a == b
 
 
+def _lines(folder):
+    import glob
+    parts = sorted(glob.glob(f"{folder.replace('file:', '')}/part-*"))
+    return "".join(open(p, encoding="utf-8").read() for p in parts).splitlines()
+
+
 def test_export_then_import_update_changes_nothing(spark, tables):
     folder = scratch_path(spark, "roundtrip")
-    X.export_inventory_csv(tables, folder, single_file=True)
-    preview = IM.preview_import(read_inventory_csv(spark, f"{folder}/*.txt"), tables.inventory_items, tables.categories)
+    X.export_inventory_csv(tables, folder)
+    whole = scratch_path(spark, "one-file")  # the parts in name order are the export
+    spark.createDataFrame([("\n".join(_lines(folder)),)], "line string").coalesce(1).write.text(whole)
+    preview = IM.preview_import(read_inventory_csv(spark, f"{whole}/*.txt"), tables.inventory_items, tables.categories)
     assert preview.filter(F.col("error").isNotNull()).count() == 0
     new_inv, summary = IM.apply_import(preview, tables.inventory_items, "update")
     s = summary.first()
-    assert s["created"] == 0 and s["updated"] == tables.inventory_items.count()
+    assert s["created"] == 0 and s["skipped"] == 0 and s["updated"] == tables.inventory_items.count()
     cols = ["id", "barcode", "name", "category", "supplier", "stock_quantity", "unit_price", "selling_price",
             "reorder_level"]
     old = sorted(tables.inventory_items.select(*cols).collect())
@@ -57,15 +65,11 @@ def test_export_then_import_update_changes_nothing(spark, tables):
 
 
 def test_sales_export_file_order_and_quoting(spark, tables):
-    import glob
-
     from tillpoint.sinks.export import SALES_HEADER
 
     folder = scratch_path(spark, "sales-export")
-    X.export_sales_csv(tables, folder, single_file=True)
-    files = sorted(glob.glob(f"{folder.replace('file:', '')}/part-*"))
-    assert len(files) == 1
-    lines = open(files[0], encoding="utf-8").read().splitlines()
+    X.export_sales_csv(tables, folder)
+    lines = _lines(folder)
     assert lines[0] == ",".join(SALES_HEADER)
     assert len(lines) == tables.sales.count() + 1
     dates = [line.split(",")[1] for line in lines[1:]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillpoint.functions.normalize import _JS_WHITESPACE, _col, js_trim, text_or_empty
+from tillpoint.functions.normalize import JS_WHITESPACE, _col, js_trim, text_or_empty
 
 # -- fixed values: patterns ---------------------------------------------------
 LAST_NUMBER_PATTERN = r"(\d+(\.\d+)?)"          # server-side promo price
@@ -28,7 +28,7 @@ def product_name_parts(c) -> Column:
     variant; when either part would be empty the name is kept whole."""
     source = F.coalesce(_col(c).cast("string"), F.lit(""))
     variant = js_trim(F.regexp_extract(source, PRODUCT_VARIANT_PATTERN, 1))
-    base = F.rtrim(F.regexp_replace(source, PRODUCT_VARIANT_PATTERN, ""), F.lit(_JS_WHITESPACE))
+    base = F.rtrim(F.regexp_replace(source, PRODUCT_VARIANT_PATTERN, ""), F.lit(JS_WHITESPACE))
     ok = source.rlike(PRODUCT_VARIANT_PATTERN) & (base != "") & (variant != "")
     return F.struct(F.when(ok, base).otherwise(source).alias("name"),
                     F.when(ok, variant).otherwise(F.lit("")).alias("variant"))
@@ -99,10 +99,11 @@ def device_name_from_agent(c) -> Column:
 
 # FN20 -----------------------------------------------------------------------
 def js_number_text(x) -> Column:
-    """Number -> text the way JavaScript prints it for ordinary magnitudes:
-    whole values without a fraction (``50``), others in shortest form."""
-    v = _col(x).cast("double")
-    return F.when(v == F.floor(v), F.floor(v).cast("bigint").cast("string")).otherwise(v.cast("string"))
+    """Number -> text the way JavaScript prints it below 1e21: plain digits, no
+    trailing zeros (``50``, ``12345678.9``). Formatted from DECIMAL; a DOUBLE
+    would print 1.23456789E7."""
+    v = _col(x).cast("decimal(38,10)")
+    return F.regexp_replace(F.regexp_replace(v.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def load_value_and_amount(load_type, promo_name, promo_price, regular_amount) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillpoint import params as P
 from tillpoint.functions.dates import (date_lit, local_day, local_day_is, local_day_range,
-                                       month_length, month_start, next_month_start)
+                                       month_length, month_start, next_month_start, shift_days)
 from tillpoint.operators.sales import calendar, report_product_logs
 from tillpoint.operators.windows import global_row_number
 
@@ -53,21 +53,34 @@ DIGITAL_LOG_COLUMNS = ("request_code", "service_type", "status", "number", "amou
                        "requested_at", "completed_by", "completed_at")
 
 
+def log_order(stamp: str):
+    """SO9: logs newest first, the later id first at one time."""
+    return [F.col(stamp).desc(), F.col("log_id").desc()]
+
+
+def product_log_order():
+    """SO9 for the flattened product logs: each log's lines in their order."""
+    return [*log_order("time_stamp"), F.col("line_no").asc(), F.col("product_id").asc()]
+
+
 def logs_digital(t, day: str) -> DataFrame:
-    """SU1: eLoad and GCash logs under one schema, requested on local ``day``."""
+    """SU1 / SO9: eLoad and GCash logs under one schema, requested on local ``day``,
+    newest first."""
     e = report_eload_logs(t).select(
+        F.col("request_id").alias("log_id"),
         F.col("transaction_code").alias("request_code"), F.lit("eload").alias("service_type"), "status",
         "number", "amount", F.lit("").alias("request_kind"), "network", F.lit("").alias("load_type"),
         F.col("item_name").alias("load_value"), F.lit("").alias("reference_no"),
         F.col("requested_by_name").alias("requested_by"), "requested_at",
         F.col("completed_by_name").alias("completed_by"), "completed_at")
     g = report_gcash_logs(t).select(
+        F.col("request_id").alias("log_id"),
         F.col("transaction_code").alias("request_code"), F.lit("gcash").alias("service_type"), "status",
         "number", "amount", "request_kind", F.lit("").alias("network"), F.lit("").alias("load_type"),
         F.lit("").alias("load_value"), "reference_no",
         F.col("requested_by_name").alias("requested_by"), "requested_at",
         F.col("completed_by_name").alias("completed_by"), "completed_at")
-    return e.unionByName(g).filter(local_day_is(F.col("requested_at"), day))
+    return e.unionByName(g).filter(local_day_is(F.col("requested_at"), day)).orderBy(*log_order("requested_at"))
 
 
 def logs_products(t, day: str) -> DataFrame:
@@ -79,7 +92,17 @@ def logs_products(t, day: str) -> DataFrame:
                 .select("log_id", "transaction_code", "sale_date", "employee_name", "time_stamp",
                         "total_amount", F.col("inventory_item_id").alias("product_id"), "item_name",
                         "line_no", "quantity", F.col("price").alias("selling_price"),
-                        (F.col("quantity") * F.col("price")).cast("decimal(18,2)").alias("amount")))
+                        (F.col("quantity") * F.col("price")).cast("decimal(18,2)").alias("amount"))
+                .orderBy(*product_log_order()))
+
+
+def logs_products_nested(t, day: str) -> DataFrame:
+    """NE2: the day's product logs, newest first, each with its ``products`` array
+    (bounded by the log's lines)."""
+    line = F.struct("line_no", "product_id", "item_name", "quantity", "selling_price", "amount")
+    head = ["log_id", "transaction_code", "sale_date", "employee_name", "time_stamp", "total_amount"]
+    return (logs_products(t, day).groupBy(*head).agg(F.array_sort(F.collect_list(line)).alias("products"))
+            .orderBy(*log_order("time_stamp")))
 
 
 def logs_summary(t, day: str) -> DataFrame:
@@ -150,7 +173,10 @@ def queue_order():
 
 def request_queue(t) -> DataFrame:
     """SO4: the whole board in queue order, with its position."""
-    return global_row_number(t.digital_service_requests, queue_order(), "queue_pos")
+    r = t.digital_service_requests
+    # number the sort keys only; the wide rows join their position
+    keys = global_row_number(r.select("id", "status", "requested_at"), queue_order(), "queue_pos").select("id", "queue_pos")
+    return r.join(keys, "id")
 
 
 def pending_top(t, k: int = 5) -> DataFrame:
@@ -169,10 +195,11 @@ def pending_top(t, k: int = 5) -> DataFrame:
 def recent_resolved(t, as_of: str, k: int = 10) -> DataFrame:
     """SO7: requests resolved on local ``as_of``; the reference reverses the
     newest-first list and keeps ten, i.e. the ten *earliest requested*."""
-    resolved_at = F.when(F.col("status") == P.COMPLETED, F.col("completed_at")).otherwise(F.col("failed_at"))
-    return (t.digital_service_requests
-            .filter((F.col("status") != P.PENDING) & resolved_at.isNotNull()
-                    & (local_day(resolved_at) == date_lit(as_of)))
+    # one range on each bare time column, so that the filter reaches the scan
+    nxt = shift_days(as_of, 1)
+    done = (F.col("status") == P.COMPLETED) & local_day_range(F.col("completed_at"), as_of, nxt)
+    other = ~F.col("status").isin(P.COMPLETED, P.PENDING) & local_day_range(F.col("failed_at"), as_of, nxt)
+    return (t.digital_service_requests.filter(done | other)
             .orderBy(F.col("requested_at").asc(), F.col("id").asc()).limit(k))
 
 
@@ -182,10 +209,13 @@ def request_fingerprints(t) -> DataFrame:
 
 
 def board_fingerprint(t) -> DataFrame:
-    """AG14 whole-board key: order-free XOR of per-row hashes plus a count, so
-    two snapshots differ exactly when some request's key differs."""
-    return request_fingerprints(t).agg(F.count(F.lit(1)).alias("requests"),
-                                       F.bit_xor(F.xxhash64("fingerprint")).alias("board_hash"))
+    """AG14 whole-board key: the count and two order-free sums of 48 bits of each
+    row key's MD5 (sums, so that equal rows do not cancel out)."""
+    digest = F.md5("fingerprint")
+
+    def part(start):
+        return F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    return request_fingerprints(t).agg(F.count(F.lit(1)).alias("requests"), part(1).alias("sum_1"), part(13).alias("sum_2"))
 
 
 def log_search(t, day: str, query: str) -> DataFrame:

@@ -3,11 +3,13 @@ JN8, and the composed list / print views (QY1, QY11)."""
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint import params as P
-from tillpoint.functions.normalize import normalize_barcode, normalize_item_status
+from tillpoint.functions.normalize import ascii_lower, normalize_item_status
 from tillpoint.functions.text import product_name_parts
 
 ITEM_COLUMNS = ("id", "barcode", "name", "category", "supplier", "status", "stock_quantity",
@@ -30,9 +32,12 @@ def search(items: DataFrame, term: str) -> DataFrame:
     """FL1: case-insensitive contains over name, category, supplier, barcode."""
     if not term.strip():
         return items
-    pattern = like_contains(term)
-    return items.filter(F.col("name").ilike(pattern) | F.col("category").ilike(pattern)
-                        | F.col("supplier").ilike(pattern) | F.col("barcode").ilike(pattern))
+    # LIKE folds A-Z only, so both sides are folded that way
+    pattern = like_contains(term).translate(str.maketrans(ascii_uppercase, ascii_lowercase))
+    hit = F.lit(False)
+    for c in ("name", "category", "supplier", "barcode"):
+        hit = hit | F.coalesce(ascii_lower(F.col(c)).like(pattern), F.lit(False))
+    return items.filter(hit)
 
 
 def status_filter(items: DataFrame, status: str) -> DataFrame:
@@ -58,7 +63,12 @@ def mask_for_role(items: DataFrame, role: str) -> DataFrame:
 def list_inventory(t, term: str = "", status: str = "all", role: str = "Admin") -> DataFrame:
     """QY1 items: search, normalise, filter, mask and decorate."""
     items = with_derived(search(t.inventory_items.select(*ITEM_COLUMNS), term))
-    return decorate(mask_for_role(status_filter(items, status), role))
+    return decorate(mask_for_role(status_filter(items, status), role)).orderBy(*name_order())
+
+
+def name_order():
+    """SO1: ``ORDER BY name``, the id breaks ties."""
+    return [F.col("name"), F.col("id")]
 
 
 def inventory_summary(t) -> DataFrame:
@@ -78,12 +88,13 @@ def print_list(t, term: str = "", status: str = "all") -> DataFrame:
 
 
 def barcode_lookup(t, barcode: str) -> DataFrame:
-    """FL3: exact match on the trimmed barcode; blank finds nothing."""
+    """FL3: exact match of the stored barcode with the trimmed one; blank finds
+    nothing. The column stays bare, so the filter reaches the scan."""
     code = barcode.strip()
     items = t.inventory_items.select(*ITEM_COLUMNS)
     if not code:
         return with_derived(items.limit(0))
-    return with_derived(items.filter(normalize_barcode(F.col("barcode")) == F.lit(code)))
+    return with_derived(items.filter(F.col("barcode") == F.lit(code)))
 
 
 def pos_search(t, term: str, category: str = "all") -> DataFrame:
@@ -103,22 +114,22 @@ def low_stock_first(t, k: int = 4) -> DataFrame:
     return items.filter(F.col("status") != P.IN_STOCK).orderBy("name", "id").limit(k)
 
 
-def deletable_items(t) -> DataFrame:
+def deletable_items(items: DataFrame, sale_items: DataFrame) -> DataFrame:
     """JN8: items with no sale line (an anti join), so they may be deleted."""
-    used = t.sale_items.select(F.col("inventory_item_id").alias("id"))
-    return t.inventory_items.select(*ITEM_COLUMNS).join(used, "id", "left_anti")
+    # distinct first: a hot item is one row by the time it is shuffled
+    used = sale_items.select(F.col("inventory_item_id").alias("id")).distinct()
+    return items.select(*ITEM_COLUMNS).join(used, "id", "left_anti")
 
 
-def deletable_categories(t) -> DataFrame:
+def deletable_categories(categories: DataFrame, items: DataFrame) -> DataFrame:
     """JN8: categories no item uses (exact name match)."""
-    used = t.inventory_items.select(F.col("category").alias("category_name"))
-    return t.categories.join(used, "category_name", "left_anti")
+    used = items.select(F.col("category").alias("category_name")).distinct()
+    return categories.join(used, "category_name", "left_anti")
 
 
 def nocase_order(name_col: str, id_col: str):
     """SO2: ``COLLATE NOCASE`` folds ASCII letters only, then the id."""
-    folded = F.translate(F.col(name_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return [folded, F.col(id_col)]
+    return [ascii_lower(F.col(name_col)), F.col(id_col)]
 
 
 def suppliers_list(t) -> DataFrame:

@@ -57,11 +57,17 @@ def best_selling_totals(t) -> DataFrame:
 
 
 def category_revenue(t) -> DataFrame:
-    """AG3: revenue per category of sold items (unsold categories absent)."""
+    """AG3: revenue per category of sold items (unsold categories absent), highest
+    first."""
     per_item = t.sale_items.groupBy("inventory_item_id").agg(F.sum("total").alias("revenue"))
     inv = t.inventory_items.select("id", "category")
     return (per_item.join(inv, per_item.inventory_item_id == inv.id, "inner")
-                    .groupBy("category").agg(F.coalesce(F.sum("revenue"), _zero()).alias("revenue")))
+                    .groupBy("category").agg(F.coalesce(F.sum("revenue"), _zero()).alias("revenue"))
+                    .orderBy(*category_order()))
+
+
+def category_order():
+    return [F.col("revenue").desc(), F.col("category").asc()]
 
 
 def category_share(t) -> DataFrame:

@@ -34,7 +34,9 @@ def item_scores(t, as_of: str) -> DataFrame:
     s = t.sales.select(F.col("id").alias("sale_id"), "sale_date")
     lines = t.sale_items.select("sale_id", F.col("inventory_item_id").alias("id"), "quantity")
     avail = available_items(t)
-    scored = lines.join(avail.select("id"), "id", "left_semi").join(s, "sale_id", "inner")
+    # scores first: the items' availability is looked up once an item, not once a
+    # line, and a hot item is one row by then
+    scored = lines.join(s, "sale_id", "inner")
     today = F.col("sale_date") == date_lit(as_of)
     week = F.col("sale_date") >= date_lit(shift_days(as_of, -6))
     days_ago = F.greatest(F.lit(0), F.datediff(date_lit(as_of), F.col("sale_date")))

@@ -50,8 +50,13 @@ def period_filter(period: str, as_of: str):
 
 
 def list_sales(t, period: str, as_of: str) -> DataFrame:
-    """FL5: the sales of a rolling period (filter pushed to the scan)."""
-    return t.sales.filter(period_filter(period, as_of)).select(*SALE_COLUMNS)
+    """FL5 / SO3: the sales of a rolling period (filter pushed to the scan),
+    newest first."""
+    return t.sales.filter(period_filter(period, as_of)).select(*SALE_COLUMNS).orderBy(*sale_order())
+
+
+def sale_order():
+    return [F.col("sale_date").desc(), F.col("id").desc()]
 
 
 def sale_lines_all(t) -> DataFrame:
@@ -81,13 +86,8 @@ def sales_nested(t, period: str, as_of: str) -> DataFrame:
     nested = lines.groupBy("sale_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return (sales.join(nested, sales.id == nested.sale_id, "left")
                  .select(*[sales[c] for c in SALE_COLUMNS],
-                         F.coalesce(F.col("items"), F.array().cast(nested.schema["items"].dataType)).alias("items")))
-
-
-def sale_item_counts(t) -> DataFrame:
-    """Units per sale over product and digital lines (pre-aggregated)."""
-    return (sale_lines_all(t).groupBy("sale_id")
-            .agg(F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("lines")))
+                         F.coalesce(F.col("items"), F.array().cast(nested.schema["items"].dataType)).alias("items"))
+                 .orderBy(*sale_order()))
 
 
 def sales_metrics(t, as_of: str) -> DataFrame:
@@ -149,4 +149,4 @@ def total_revenue(t) -> DataFrame:
 
 def recent_sales(t, n: int = 20) -> DataFrame:
     """SO3: newest ``n`` sales (date desc, id desc) as a top-k, not a full sort."""
-    return t.sales.orderBy(F.col("sale_date").desc(), F.col("id").desc()).limit(n).select(*SALE_COLUMNS)
+    return t.sales.orderBy(*sale_order()).limit(n).select(*SALE_COLUMNS)

@@ -16,6 +16,15 @@ from pyspark.sql import types as T
 from tillpoint.functions.dates import iso, ts_text, utc_wall
 
 
+def positioned(df: DataFrame, keys: list[str], order: list, by: list[str]) -> DataFrame:
+    """``df`` with its place in ``order`` as ``position`` (1, 2, ...). Only the row's
+    ``keys`` and the columns ``by`` that the order reads are sorted and numbered (a
+    distributed sort); the rows join their number."""
+    from tillpoint.operators.windows import global_row_number
+    numbers = global_row_number(df.select(*dict.fromkeys([*keys, *by])), order, "position").select(*keys, "position")
+    return df.join(numbers, keys)
+
+
 def flat(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillpoint import params as P
 from tillpoint.operators import inventory as I
-from tillpoint.plans.present import flat
+from tillpoint.plans.present import flat, positioned
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
 
@@ -37,9 +39,10 @@ def scan_inventory(t):
 
 @register("inventory_list", with_views(f"""
 WITH base AS (SELECT {_BASE} FROM inventory_items WHERE {_SEARCH})
-SELECT *, {_DISPLAY} FROM base""", "inventory_items"))
+SELECT *, {_DISPLAY}, CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS position FROM base""", "inventory_items"))
 def inventory_list(t):
-    return flat(I.list_inventory(t, SEARCH_TERM, "all", "Admin"))
+    """QY1 / SO1: the searched list with each item's place."""
+    return flat(positioned(I.list_inventory(t, SEARCH_TERM, "all", "Admin"), ["id"], I.name_order(), ["name"]))
 
 
 @register("inventory_masked", with_views(f"""
@@ -69,10 +72,12 @@ def inventory_summary(t):
 
 @register("inventory_print", with_views(f"""
 WITH base AS (SELECT {_BASE} FROM inventory_items)
-SELECT * REPLACE (CASE WHEN coalesce(supplier, '') = '' THEN 'N/A' ELSE supplier END AS supplier), {_DISPLAY}
+SELECT * REPLACE (CASE WHEN coalesce(supplier, '') = '' THEN 'N/A' ELSE supplier END AS supplier), {_DISPLAY},
+       CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS position
 FROM base""", "inventory_items"))
 def inventory_print(t):
-    return flat(I.print_list(t))
+    """QY11 / SO1: the printed list with each item's place."""
+    return flat(positioned(I.print_list(t), ["id"], I.name_order(), ["name"]))
 
 
 @register("barcode_lookup", with_views(
@@ -97,31 +102,54 @@ def low_stock_top4(t):
     return flat(I.low_stock_first(t, 4))
 
 
-@register("deletable_items", with_views("""
+# the shop's items and a second, never sold stock of some of them
+_STOCK_SQL = """
+stock AS (SELECT * FROM inventory_items
+          UNION ALL SELECT * REPLACE (id + 10000000 AS id, category || ' (new)' AS category) FROM inventory_items WHERE stock_quantity = 3),
+cats AS (SELECT * FROM categories
+         UNION ALL SELECT * REPLACE (category_id + 10000000 AS category_id, category_name || ' (new)' AS category_name) FROM categories)"""
+
+
+def _stock(t):
+    i = t.inventory_items
+    new = i.where("stock_quantity = 3").withColumns({"id": F.col("id") + 10_000_000, "category": F.concat("category", F.lit(" (new)"))})
+    c = t.categories
+    more = c.withColumns({"category_id": F.col("category_id") + 10_000_000, "category_name": F.concat("category_name", F.lit(" (new)"))})
+    return i.unionByName(new), c.unionByName(more)
+
+
+@register("deletable_items", with_views(f"""
+WITH {_STOCK_SQL.strip()}
 SELECT id, barcode, name, category, supplier, status, CAST(stock_quantity AS BIGINT) AS stock_quantity,
        CAST(unit_price AS DOUBLE) AS unit_price, CAST(selling_price AS DOUBLE) AS selling_price,
        CAST(reorder_level AS BIGINT) AS reorder_level
-FROM inventory_items ii
-WHERE NOT EXISTS (SELECT 1 FROM sale_items si WHERE si.inventory_item_id = ii.id)""",
-                                        "inventory_items", "sale_items"))
+FROM stock WHERE id NOT IN (SELECT inventory_item_id FROM sale_items)""", "inventory_items", "sale_items", "categories"))
 def deletable_items(t):
-    return flat(I.deletable_items(t))
+    """JN8: the items that no sale line names."""
+    return flat(I.deletable_items(_stock(t)[0], t.sale_items))
 
 
-@register("deletable_categories", with_views("""
-SELECT category_id, category_name FROM categories c
-WHERE NOT EXISTS (SELECT 1 FROM inventory_items ii WHERE ii.category = c.category_name)""",
+@register("deletable_categories", with_views(f"""
+WITH {_STOCK_SQL.strip()}
+SELECT category_id, category_name FROM cats WHERE category_name NOT IN (SELECT category FROM stock)""",
                                              "categories", "inventory_items"))
 def deletable_categories(t):
-    return flat(I.deletable_categories(t))
+    """JN8: the categories that no item uses."""
+    items, categories = _stock(t)
+    return flat(I.deletable_categories(categories, items))
 
 
 @register("suppliers_list", with_views(
-    "SELECT supplier_id, supplier_name, contact_no, address FROM suppliers", "suppliers"))
+    "SELECT supplier_id, supplier_name, contact_no, address, "
+    "CAST(row_number() OVER (ORDER BY lower(supplier_name), supplier_id) AS BIGINT) AS position FROM suppliers", "suppliers"))
 def suppliers_list(t):
-    return flat(I.suppliers_list(t))
+    """SO2 with each supplier's place."""
+    return flat(positioned(I.suppliers_list(t), ["supplier_id"], I.nocase_order("supplier_name", "supplier_id"), ["supplier_name"]))
 
 
-@register("categories_list", with_views("SELECT category_id, category_name FROM categories", "categories"))
+@register("categories_list", with_views(
+    "SELECT category_id, category_name, "
+    "CAST(row_number() OVER (ORDER BY lower(category_name), category_id) AS BIGINT) AS position FROM categories", "categories"))
 def categories_list(t):
-    return flat(I.categories_list(t))
+    """SO2 with each category's place."""
+    return flat(positioned(I.categories_list(t), ["category_id"], I.nocase_order("category_name", "category_id"), ["category_name"]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillpoint import params as P
 from tillpoint.functions.dates import shift_days
 from tillpoint.operators import recommend as RC
-from tillpoint.plans.present import flat
+from tillpoint.plans.present import flat, positioned
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
 from tillpoint.sinks import export as X
@@ -54,23 +54,43 @@ def eload_default_prices(t):
 @register("eload_catalog", with_views(f"""
 WITH {_promos_sql()}, {_NETS_SQL}
 SELECT n.network_name, CAST(n.requests AS BIGINT) AS requests, CAST(p.promo_id AS BIGINT) AS promo_id, p.promo_name,
-       CAST(p.selling_price AS DOUBLE) AS selling_price
+       CAST(p.selling_price AS DOUBLE) AS selling_price,
+       CAST(row_number() OVER (ORDER BY lower(n.network_name), lower(p.promo_name), p.promo_id) AS BIGINT) AS position
 FROM nets n LEFT JOIN promos p ON p.network_name = n.network_name""", "digital_service_requests"))
 def eload_catalog(t):
     """JN6 flattened: networks in use with their promos (kept when none)."""
-    return flat(C.catalog_flat(t.digital_service_requests, C.default_promos(t.spark)))
+    return flat(positioned(C.catalog_flat(t.digital_service_requests, C.default_promos(t.spark)),
+                           ["network_name", "promo_id"], C.catalog_order(), ["promo_name"]))
+
+
+_PROMO_TEXT_SQL = f"""
+WITH {_promos_sql()}, {_NETS_SQL},
+texts AS (SELECT network_name, string_agg(CAST(promo_id AS VARCHAR) || ':' || promo_name || ':' || CAST(selling_price AS VARCHAR), '; '
+                                          ORDER BY lower(promo_name), promo_id) AS promos FROM promos GROUP BY 1)"""
+
+
+def _promo_text(promos):
+    item = lambda p: F.concat_ws(":", p["promo_id"].cast("string"), p["name"], p["price"].cast("string"))
+    return F.array_join(F.transform(promos, item), "; ")
 
 
-@register("eload_catalog_nested")
+@register("eload_catalog_nested", with_views(f"""{_PROMO_TEXT_SQL}
+SELECT network_name, CAST(requests AS BIGINT) AS requests, coalesce(promos, '') AS promos FROM nets LEFT JOIN texts USING (network_name)""",
+                                            "digital_service_requests"))
 def eload_catalog_nested(t):
-    """NE3: networks with their ``promos`` arrays (rows-only)."""
-    return C.catalog_nested(t.digital_service_requests, C.default_promos(t.spark))
+    """NE3: networks with their ``promos`` arrays, printed as text."""
+    n = C.catalog_nested(t.digital_service_requests, C.default_promos(t.spark))
+    return flat(n.withColumn("promos", _promo_text(F.col("promos"))))
 
 
-@register("eload_catalog_map")
+@register("eload_catalog_map", with_views(f"""{_PROMO_TEXT_SQL}
+SELECT string_agg(network_name || ' => ' || coalesce(promos, ''), ' | ' ORDER BY network_name) AS catalog
+FROM nets LEFT JOIN texts USING (network_name)""", "digital_service_requests"))
 def eload_catalog_map(t):
-    """NE3 dictionary: one row, network -> promos (rows-only)."""
-    return C.catalog_map(t.digital_service_requests, C.default_promos(t.spark))
+    """NE3 dictionary: one row, network -> promos, printed as text."""
+    m = C.catalog_map(t.digital_service_requests, C.default_promos(t.spark))
+    entries = F.array_sort(F.transform(F.map_entries("catalog"), lambda e: F.concat(e["key"], F.lit(" => "), _promo_text(e["value"]))))
+    return m.select(F.array_join(entries, " | ").alias("catalog"))
 
 
 def _csv(x: str) -> str:
@@ -80,7 +100,7 @@ def _csv(x: str) -> str:
 
 def _num(x: str) -> str:
     return (f"CASE WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) "
-            f"ELSE CAST(CAST({x} AS DOUBLE) AS VARCHAR) END")
+            f"ELSE rtrim(CAST(CAST({x} AS DECIMAL(38,2)) AS VARCHAR), '0') END")
 
 
 _STATUS = """CASE WHEN lower(trim(coalesce(status, ''))) IN ('low stock', 'low-stock') THEN 'Low Stock'
@@ -113,12 +133,26 @@ def sales_export(t):
     return flat(X.sales_lines(t).select("id", "line"))
 
 
-@register("snapshot_manifest")
+@register("snapshot_manifest", with_views(
+    " UNION ALL ".join(f"SELECT '{n}' AS \"table\", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS rows_now, CAST(1 AS BIGINT) AS ok FROM {n}"
+                       for n in SN.SNAPSHOT_TABLES), *SN.SNAPSHOT_TABLES))
 def snapshot_manifest(t):
     """SK3: write a snapshot of every table, then verify it from the files."""
     folder = scratch_path(t.spark, "snapshot")
     SN.write_snapshot(t, folder, AS_OF)
-    return SN.verify_snapshot(t.spark, folder)
+    return flat(SN.verify_snapshot(t.spark, folder).select("table", "rows", "rows_now", "ok"))
+
+
+_BIG_SALES = """big AS (SELECT id, total_amount * 1000 + 0.05 AS total_amount FROM sales)"""
+
+
+@register("export_large_amounts", with_views(f"""
+WITH {_BIG_SALES}
+SELECT id, {_num('total_amount')} AS amount FROM big""", "sales"))
+def export_large_amounts(t):
+    """SK2: amounts above ten million are printed in plain digits."""
+    from tillpoint.functions.text import js_number_text
+    return t.sales.select("id", js_number_text(F.col("total_amount") * 1000 + F.lit("0.05").cast("decimal(4,2)")).alias("amount"))
 
 
 _STATUS_ID = _STATUS.replace("status", "ii.status")

@@ -3,8 +3,7 @@
 Each CSV line is built as a column (the reference's quoting rule: quote a
 field only when it holds ``"``, ``,`` or a newline, doubling inner quotes;
 NULL becomes empty), then written as text with a distributed sort, so
-the part files concatenated in name order are the export. One file only
-when asked for.
+the part files concatenated in name order are the export.
 """
 
 from __future__ import annotations
@@ -58,7 +57,7 @@ def sales_lines(t) -> DataFrame:
     return joined.select("sale_date", "id", line.alias("line"))
 
 
-def _write(keyed: DataFrame, header: list[str], path: str, single_file: bool) -> None:
+def _write(keyed: DataFrame, header: list[str], path: str) -> None:
     """``keyed`` has sort keys ``k1, k2`` and ``line``; the header sorts first."""
     spark = keyed.sparkSession
     head = spark.createDataFrame([(",".join(header),)], "line string").select(
@@ -66,21 +65,19 @@ def _write(keyed: DataFrame, header: list[str], path: str, single_file: bool) ->
         F.lit(None).cast(keyed.schema["k2"].dataType).alias("k2"), "line")
     body = keyed.select(F.lit(1).alias("_part"), "k1", "k2", "line")
     ordered = head.unionByName(body).orderBy("_part", "k1", "k2")
-    if single_file:
-        ordered = ordered.coalesce(1)
     ordered.select("line").write.mode("overwrite").text(path)
 
 
-def export_inventory_csv(t, path: str, single_file: bool = False) -> None:
+def export_inventory_csv(t, path: str) -> None:
     """SK1: write the inventory export (header + one line per item)."""
     lines = inventory_lines(t)
     _write(lines.select(F.col("name").alias("k1"), F.col("id").alias("k2"), "line"),
-           INVENTORY_HEADER, path, single_file)
+           INVENTORY_HEADER, path)
 
 
-def export_sales_csv(t, path: str, single_file: bool = False) -> None:
+def export_sales_csv(t, path: str) -> None:
     """SK2: write the sales export, newest sale first."""
     lines = sales_lines(t)
     _write(lines.select((-F.datediff(F.col("sale_date"), F.lit("1970-01-01"))).alias("k1"),
                         (-F.col("id")).alias("k2"), "line"),
-           SALES_HEADER, path, single_file)
+           SALES_HEADER, path)

@@ -4,8 +4,9 @@ verify job that recomputes the manifest from the written files.
 The reference offers the raw database file for download and has an unused
 helper that adds app, version, date, schema version and a per-file hash.
 Here each table is written as Parquet; its manifest entry is the row
-count and an order-free checksum (``bit_xor`` of ``xxhash64`` over all
-columns), computed by one aggregation over the *written* files, so the
+count and an order-free checksum (the sum of ``xxhash64`` over all columns,
+and of a second hash; sums, so that pairs of equal rows do not cancel out),
+computed by one aggregation over the *written* files, so the
 manifest vouches for what is on storage.
 """
 
@@ -27,7 +28,8 @@ SNAPSHOT_TABLES = ("inventory_items", "sales", "sale_items", "sale_digital_items
 def table_checksum(df: DataFrame) -> DataFrame:
     """One row: ``rows`` and ``checksum`` (order-free)."""
     return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])), F.lit(0)).alias("checksum"))
+                  F.concat_ws("-", *[F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+                                     for h in (F.xxhash64(*df.columns), F.xxhash64(*df.columns, F.lit("second")))]).alias("checksum"))
 
 
 def write_snapshot(t, folder: str, as_of: str) -> DataFrame:

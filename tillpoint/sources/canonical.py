@@ -115,11 +115,13 @@ def requests_from_events(e: DataFrame) -> DataFrame:
         F.when(gcash, F.lit("")).otherwise(F.lit("regular")).alias("load_type"),
         F.when(gcash, F.lit("")).otherwise(F.concat(F.lit("Regular "), whole_value)).alias("load_value"),
         F.when(gcash & done, F.concat(F.lit("REF"), F.col("event_id").cast("string"))).otherwise(F.lit("")).alias("reference_no"),
+        F.lit("").alias("notes"),
         F.concat(F.lit("Staff "), (F.col("user_id") % _STAFF_COUNT).cast("string")).alias("requested_by_name"),
         shifted.alias("requested_at"),
         F.when(done, F.concat(F.lit("Staff "), ((F.col("user_id") + 1) % _STAFF_COUNT).cast("string"))).otherwise(F.lit("")).alias("completed_by_name"),
         F.when(done, shifted + F.expr("INTERVAL 2 HOURS")).alias("completed_at"),
         F.when(tail == 8, F.lit("no signal")).otherwise(F.lit("")).alias("failed_reason"),
+        F.when(tail == 8, F.concat(F.lit("Staff "), ((F.col("user_id") + 2) % _STAFF_COUNT).cast("string"))).otherwise(F.lit("")).alias("failed_by_name"),
         F.when(tail == 8, shifted + F.expr("INTERVAL 1 HOURS")).alias("failed_at"),
     )
 
@@ -133,6 +135,8 @@ def sale_digital_items(t) -> DataFrame:
     return (eload.join(o, eload.event_id == o.o_orderkey, "left_semi")
                  .select(F.col("event_id").alias("sale_id"),
                          F.lit("eload").alias("service_type"),
+                         padded_code("EL", F.col("event_id")).alias("request_code"),
+                         _network_of_user().alias("network"), F.lit("regular").alias("load_type"), F.lit("").alias("notes"),
                          F.concat(F.lit("Regular "), F.floor(F.col("value")).cast("bigint").cast("string")).alias("load_value"),
                          _mobile_of_user().alias("mobile_number"),
                          F.lit(1).alias("quantity"),

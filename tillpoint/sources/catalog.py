@@ -1,8 +1,8 @@
 """SC6 / JN6 / NE3: the eLoad network and promo catalogue.
 
 The default catalogue is a fixed literal (24 promos); prices come from the
-promo name (FN9). It is a dimension of proven size, so joining it with the
-networks seen in the data may broadcast it.
+promo name (FN9). Join strategies are left to AQE. ``catalog_flat`` (network,
+promo rows) is the form for catalogues of any size; ``catalog_map`` is one row.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpoint.functions.normalize import ascii_lower
 from tillpoint.functions.text import last_number
 
 # -- fixed values: default eLoad networks and their promos, in seed order ----
@@ -49,20 +50,26 @@ def catalog_flat(requests: DataFrame, promos: DataFrame) -> DataFrame:
     without promos is kept with NULL promo columns."""
     nets = networks_in_use(requests)
     p = promos.select("network_name", "promo_id", "promo_name", "selling_price")
-    return nets.join(F.broadcast(p), "network_name", "left")
+    return nets.join(p, "network_name", "left").orderBy(*catalog_order())
+
+
+def catalog_order():
+    """SO2: networks and their promos by NOCASE name, then id."""
+    return [ascii_lower(F.col("network_name")), ascii_lower(F.col("promo_name")), F.col("promo_id")]
 
 
 def catalog_nested(requests: DataFrame, promos: DataFrame) -> DataFrame:
     """NE3: one row per network with its ``promos`` array (NOCASE name order),
     kept as ``[]`` when it has none."""
     flat = catalog_flat(requests, promos)
-    promo = F.struct(F.lower(F.col("promo_name")).alias("sort_name"), "promo_id", "promo_name", "selling_price")
+    promo = F.struct(ascii_lower(F.col("promo_name")).alias("sort_name"), "promo_id", "promo_name", "selling_price")
     grouped = flat.groupBy("network_name", "requests").agg(
         F.array_sort(F.collect_list(F.when(F.col("promo_id").isNotNull(), promo))).alias("promos"))
     return grouped.select("network_name", "requests",
                           F.transform("promos", lambda p: F.struct(p["promo_id"].alias("promo_id"),
                                                                    p["promo_name"].alias("name"),
-                                                                   p["selling_price"].alias("price"))).alias("promos"))
+                                                                   p["selling_price"].alias("price"))).alias("promos")
+                          ).orderBy(ascii_lower(F.col("network_name")))
 
 
 def catalog_map(requests: DataFrame, promos: DataFrame) -> DataFrame:

@@ -24,15 +24,18 @@ SCHEMAS = {
     "sale_items": _s(("sale_id", T.LongType()), ("inventory_item_id", T.LongType()), ("item_name", T.StringType()),
                      ("line_no", T.IntegerType()), ("quantity", T.IntegerType()), ("price", _M), ("total", _M)),
     "sale_digital_items": _s(("sale_id", T.LongType()), ("service_type", T.StringType()),
-                             ("load_value", T.StringType()), ("mobile_number", T.StringType()),
+                             ("request_code", T.StringType()), ("mobile_number", T.StringType()),
+                             ("network", T.StringType()), ("load_type", T.StringType()),
+                             ("load_value", T.StringType()), ("notes", T.StringType()),
                              ("quantity", T.IntegerType()), ("price", _M), ("total", _M)),
     "digital_service_requests": _s(
         ("id", T.LongType()), ("request_code", T.StringType()), ("service_type", T.StringType()),
         ("status", T.StringType()), ("mobile_number", T.StringType()), ("amount", _M),
         ("request_kind", T.StringType()), ("network", T.StringType()), ("load_type", T.StringType()),
-        ("load_value", T.StringType()), ("reference_no", T.StringType()), ("requested_by_name", T.StringType()),
+        ("load_value", T.StringType()), ("reference_no", T.StringType()), ("notes", T.StringType()),
+        ("requested_by_name", T.StringType()),
         ("requested_at", _TS), ("completed_by_name", T.StringType()), ("completed_at", _TS),
-        ("failed_reason", T.StringType()), ("failed_at", _TS)),
+        ("failed_reason", T.StringType()), ("failed_by_name", T.StringType()), ("failed_at", _TS)),
     "suppliers": _s(("supplier_id", T.LongType()), ("supplier_name", T.StringType()),
                     ("contact_no", T.StringType()), ("address", T.StringType())),
     "categories": _s(("category_id", T.LongType()), ("category_name", T.StringType())),
