@@ -22,10 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder for lineage cuts, package on the Python workers."""
+    """Checkpoint folder for lineage cuts, package on the Python workers, and Arrow
+    batches for long texts: Spark's default of 10,000 rows is made for short ones
+    (another setting of the session's stays)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
 
 
 def cut(df: DataFrame) -> DataFrame:

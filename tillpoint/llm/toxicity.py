@@ -39,32 +39,33 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, feature index) of every byte n-gram of every word; a word's
-    edges count as a character."""
-    buf, starts = byte_buffer(words)
+def grams_by_length(words: list[bytes]):
+    """For each n-gram length (word index, feature index) of every byte n-gram of
+    every word; a word's edges count as a character."""
+    buf, _ = byte_buffer(words)
     space = buf == 32
-    before = np.concatenate(([0], np.cumsum(space)))
-    owner = np.cumsum(space) - 1
-    out_w, out_f = [], []
-    for n in GRAMS:
+    before = np.concatenate(([0], np.cumsum(space, dtype=np.int32)))
+    owner = before[1:] - 1
+    h = np.zeros(len(buf), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
         size = len(buf) - n + 1
         if size <= 0:
-            continue
-        h = np.zeros(size, np.uint64)
-        for j in range(n):
-            h = h * np.uint64(0x100000001B3) + buf[j : j + size].astype(np.uint64) + np.uint64(1)
-        at = np.flatnonzero(before[n - 1 : n - 1 + size] == before[1 : 1 + size])  # no edge inside
-        out_w.append(owner[at].astype(np.int32))
-        out_f.append((((h[at] + np.uint64(n)) * _MULT) >> np.uint64(64 - BITS)).astype(np.int32))
-    if not out_w:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return np.concatenate(out_w), np.concatenate(out_f)
-
-
-def emissions(words: list[bytes], weights: np.ndarray) -> np.ndarray:
-    w, f = gram_features(words)
-    return np.bincount(w, weights=weights[f], minlength=len(words))[: len(words)]
+            return
+        h = h[:size]
+        h *= np.uint64(0x100000001B3)
+        h += buf[n - 1 :]
+        h += np.uint64(1)
+        if n in GRAMS:
+            at = np.flatnonzero(before[n - 1 : n - 1 + size] == before[1 : 1 + size])  # no edge inside
+            yield owner[at], (((h[at] + np.uint64(n)) * _MULT) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def emissions(n_words: int, grams, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each word's n-grams, one n-gram length at a time."""
+    out = np.zeros(n_words)
+    for w, f in grams:
+        out += np.bincount(w, weights=weights[f], minlength=n_words)[:n_words]
+    return out
 
 
 def tokenise(batch_texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -143,28 +144,30 @@ def distinct_rows(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def token_labels(ids, words, doc, toxic_doc) -> np.ndarray:
+def token_labels(ids, n_words, grams, doc, toxic_doc) -> np.ndarray:
     """1 for words of toxic documents that hold an n-gram tied to toxic documents:
     at least 98 of 100 documents with it are toxic, and the likelihood-ratio
     statistic against the toxic share of all documents is 36 or more."""
-    w, f = gram_features(words)
-    order = np.argsort(w, kind="stable")
-    w, f = w[order], f[order]
-    first = np.searchsorted(w, np.arange(len(words) + 1))
-    pairs = np.unique(doc * np.int64(len(words)) + ids)
-    p_doc, p_word = pairs // len(words), pairs % len(words)
-    g1, g0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    pairs = np.unique(doc * np.int64(n_words) + ids)
+    p_doc, p_word = pairs // n_words, pairs % n_words
     edges = np.searchsorted(p_doc, np.arange(len(toxic_doc) + 1))
-    for d in range(len(toxic_doc)):
-        mine = p_word[edges[d] : edges[d + 1]]
-        if len(mine):
-            (g1 if toxic_doc[d] else g0)[np.concatenate([f[first[x] : first[x + 1]] for x in mine])] += 1
     share = toxic_doc.mean()
-    total = g1 + g0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        llr = 2 * (np.where(g1 > 0, g1 * np.log(g1 / (total * share)), 0) + np.where(g0 > 0, g0 * np.log(g0 / (total * (1 - share))), 0))
-    strong = (g1 >= 0.98 * total) & (g1 > 0) & (llr >= 36)
-    word_bad = np.bincount(w, weights=strong[f], minlength=len(words)) > 0
+    word_bad = np.zeros(n_words, bool)
+    for w, f in grams:  # one n-gram length at a time; words lie in order
+        first = np.searchsorted(w, np.arange(n_words + 1))
+        g1, g0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+        for d in range(len(toxic_doc)):
+            mine = p_word[edges[d] : edges[d + 1]]
+            if len(mine):
+                (g1 if toxic_doc[d] else g0)[np.concatenate([f[first[x] : first[x + 1]] for x in mine])] += 1
+        at = np.flatnonzero(g1 >= 0.98 * (g1 + g0))
+        at = at[g1[at] > 0]
+        a, total = g1[at].astype(float), (g1 + g0)[at].astype(float)
+        b = total - a
+        llr = 2 * (a * np.log(a / (total * share)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / (total * (1 - share))), 0))
+        strong = np.zeros(1 << BITS, bool)
+        strong[at[llr >= 36]] = True
+        word_bad[w[strong[f]]] = True
     return (word_bad[ids] & (toxic_doc[doc] > 0)).astype(float)
 
 
@@ -178,24 +181,28 @@ def train(sample: list[tuple[str, int]]) -> dict | None:
     if not len(ids):
         return None
     chain = Chain(sizes)
-    y = token_labels(ids, words, chain.doc, y_doc)
-    w, f = gram_features(words)
-    weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
+    grams, n_words = list(grams_by_length(words)), len(words)
+    del words
+    y = token_labels(ids, n_words, grams, chain.doc, y_doc)
+    weights, trans = np.zeros(1 << BITS, np.float32), np.zeros((2, 2))
     bias, start = -4.0, 0.0
-    m1, m2 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    m1, m2 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     gold_place = np.empty(len(y))
     gold_place[chain.place] = y
     later = np.arange(chain.off[1] if len(chain.off) > 1 else 0, len(y))
     step_of = np.repeat(np.arange(len(chain.active)), chain.active)
     prev = later - chain.active[step_of[later] - 1]
     for it in range(1, EPOCHS + 1):
-        word_e = np.bincount(w, weights=weights[f], minlength=len(words)) + bias
+        word_e = emissions(n_words, grams, weights) + bias
         post, fwd, bwd, psi = chain.marginals(word_e[ids], trans, start)
         miss = gold_place - post
-        by_word = np.bincount(ids, weights=miss[chain.place], minlength=len(words))
-        g = np.bincount(f, weights=by_word[w], minlength=1 << BITS) - L2 * weights
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        weights += 0.15 * (m1 / (1 - 0.9**it)) / (np.sqrt(m2 / (1 - 0.99**it)) + 1e-3)
+        by_word = np.bincount(ids, weights=miss[chain.place], minlength=n_words)
+        g = -L2 * weights
+        for w, f in grams:
+            g += np.bincount(f, weights=by_word[w], minlength=1 << BITS).astype(np.float32)
+        m1 += 0.1 * (g - m1)
+        m2 += 0.01 * (g * g - m2)
+        weights += 0.15 / (1 - 0.9**it) * m1 / (np.sqrt(m2 / (1 - 0.99**it)) + 1e-3)
         a, s, b = fwd[prev], psi[later], bwd[later]
         x = np.exp(trans)
         xi = np.stack([(1 - a) * (1 - b) * x[0, 0], (1 - a) * s * b * x[0, 1], a * (1 - b) * x[1, 0], a * s * b * x[1, 1]])
@@ -203,7 +210,7 @@ def train(sample: list[tuple[str, int]]) -> dict | None:
         seen = np.bincount((2 * gold_place[prev] + gold_place[later]).astype(int), minlength=4)
         trans += (0.5 * (seen - xi.sum(1)) / (np.maximum(seen, xi.sum(1)) + 10)).reshape(2, 2)
         bias += 0.3 * miss.sum() / (y.sum() + post.sum() + 10)
-    word_e = np.bincount(w, weights=weights[f], minlength=len(words)) + bias
+    word_e = emissions(n_words, grams, weights) + bias
     post, *_ = chain.marginals(word_e[ids], trans, start)
     x = doc_evidence(post[chain.place], chain.doc, len(sizes))
     a, b = 1.0, 0.0
@@ -231,7 +238,7 @@ def score_texts(batch_texts: list[bytes], model: dict) -> tuple[np.ndarray, np.n
     """Document scores, and each word's marginal in text order."""
     ids, words, sizes = tokenise(batch_texts)
     chain = Chain(sizes)
-    e = emissions(words, model["weights"]) + model["bias"] if len(words) else np.zeros(0)
+    e = emissions(len(words), grams_by_length(words), model["weights"]) + model["bias"] if len(words) else np.zeros(0)
     post = chain.marginals(e[ids], model["trans"], model["start"])[0][chain.place] if len(ids) else np.zeros(0)
     a, b = model["platt"]
     return 1 / (1 + np.exp(-(a * doc_evidence(post, chain.doc, len(sizes)) + b))), post, chain
@@ -267,7 +274,7 @@ def score(docs: DataFrame, model: dict | None, held_out_mod: int = 5, spans: boo
 
     def run(batches):
         model = shared.value
-        for b in slices(batches, max_bytes=8 << 20):
+        for b in slices(batches):
             raw = texts(b)
             if model is None:
                 s, found = np.zeros(len(raw)), [[]] * len(raw)
@@ -294,7 +301,7 @@ def without_toxic(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for b in slices(batches, max_bytes=8 << 20):
+        for b in slices(batches):
             yield b if model is None else b.filter(pa.array(score_texts(texts(b), model)[0] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
