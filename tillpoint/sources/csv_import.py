@@ -130,9 +130,11 @@ def read_inventory_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
     parsed = rows.select("file", number.alias("row_number"), *[value(c) for c in COLUMNS],
                          F.when(wide, F.concat(F.lit("Row "), number.cast("string"), F.lit(f": {MSG_WIDE}"))).alias("error"))
-    # files of zero bytes have no line: they come from the listing
-    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), F.col("length"))
-    zero = listed.where("length = 0").select("file", F.lit(MSG_EMPTY).alias("error"))
+    # files of zero bytes have no line: they are in the reader's list of files only
+    names = spark.createDataFrame([(f,) for f in spark.read.text(paths).inputFiles()], "name string")
+    local = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    seen = lines.select(local(F.col("file")).alias("name")).distinct()
+    zero = names.select(local(F.col("name")).alias("name")).join(seen, "name", "left_anti").select(F.col("name").alias("file"), F.lit(MSG_EMPTY).alias("error"))
     rowless = header.select("file").join(rows.select("file").distinct(), "file", "left_anti").select("file", F.lit(MSG_NO_ROWS).alias("error"))
     errors = bad.unionByName(unfit).unionByName(zero).unionByName(rowless)
     return parsed.unionByName(errors, allowMissingColumns=True)
