@@ -42,7 +42,7 @@ from tillpoint.llm.common import col, prepare, scratch_dir, slices, stored, tabl
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<?qB")
 _INDEX = struct.Struct("<qQQ")
@@ -89,7 +89,9 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CACHES: dict[str, dict[bytes, bytes]] = {}
+#: For each vocabulary the words of two generations: a full young one becomes the old
+#: one, and words that come again move to the young one.
+_CACHES: dict[str, list[dict[bytes, bytes]]] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -119,10 +121,15 @@ def word_ids(words: list[bytes], path: str) -> list[bytes]:
     straight to the tokenizer's model; the rest through its whole chain."""
     tok = _tokenizer(path)
     tokenize = tok.model.tokenize
-    cache = _CACHES.setdefault(path, {})
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+    generations = _CACHES.setdefault(path, [{}, {}])
+    if len(generations[0]) > CACHE_WORDS:
+        generations[:] = [{}, generations[0]]
+    cache, old = generations
     found = list(map(cache.get, words))
+    for i in [i for i, known in enumerate(found) if known is None]:
+        ids = old.get(words[i])
+        if ids is not None:
+            found[i] = cache[words[i]] = ids
     odd, ends = [], {c: array("I", tok.encode(c.decode(), add_special_tokens=False).ids).tobytes() for c in (b".", b",")}
     for i in [i for i, known in enumerate(found) if known is None]:
         w = words[i]
