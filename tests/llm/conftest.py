@@ -29,7 +29,7 @@ def make(spark):
 @pytest.fixture(scope="session")
 def odd(make):
     """Nulls, empty and blank texts, repeated rows, ties and a very long text."""
-    long = " ".join(sentence(k, 80) for k in range(400))
+    long = " ".join(sentence(1000 + k, 80) for k in range(400))
     return make([(1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (5, sentence(1, 60)), (6, sentence(1, 60)), (None, sentence(2, 60)),
                  (7, long), (8, sentence(3, 60), None, None), (9, "ÉÑ ü x", "fr", ""), (10, "#*$ 123 <|>")], extra=True)
 
