@@ -40,6 +40,9 @@ WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1 << 14
 SHARD_WORDS = 1 << 20
 BUCKET_UNITS = 4096
+#: Up to so many sources (a few MB) the one-row-a-source tables are broadcast, so that
+#: a hot source's documents stay where they are; beyond it joins shuffle and split.
+FEW_SOURCES = 50_000
 SEED = "mix"
 
 
@@ -81,9 +84,14 @@ def targets(units: DataFrame) -> DataFrame:
     return per.select("skey", "idx", "source_size", "n_units", target.cast("double").alias("target"))
 
 
-def placed(units: DataFrame, goal: DataFrame) -> DataFrame:
+def per_source(few: bool):
+    """How a one-row-a-source table is joined."""
+    return F.broadcast if few else (lambda df: df)
+
+
+def placed(units: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
     """Units with the words before them in their source's permutation."""
-    rows = units.join(goal.select("skey", "n_units"), "skey")
+    rows = units.join(per_source(few)(goal.select("skey", "n_units")), "skey")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_units") / BUCKET_UNITS))
     rows = rows.withColumn("bucket", F.floor(F.col("h") / F.lit(float(1 << 60)) * buckets).cast("long"))
     sums = rows.groupBy("skey", "bucket").agg(F.sum("words").alias("s"))
@@ -94,19 +102,20 @@ def placed(units: DataFrame, goal: DataFrame) -> DataFrame:
     return rows.select("skey", "doc_id", "size", "words", "h", (F.col("offset") + F.coalesce(F.sum("words").over(inside), F.lit(0))).alias("before"))
 
 
-def draws(units: DataFrame, goal: DataFrame) -> tuple[DataFrame, DataFrame]:
+def draws(units: DataFrame, goal: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     """(units with ``ks``: the numbers of the drawn blocks they belong to; sources
     with ``quota``: how many numbers there are)."""
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    rows = stored(placed(units, goal), "mix-placed").join(goal.select("skey", "idx", "passes", "rest", "source_size"), "skey")
+    side = per_source(few)
+    rows = stored(placed(units, goal, few), "mix-placed").join(side(goal.select("skey", "idx", "passes", "rest", "source_size")), "skey")
     fits = F.col("before") + F.col("words") <= F.col("rest")
     gap = rows.where(fits).groupBy("skey").agg(F.sum("words").alias("fit"))
     goal = goal.join(gap, "skey", "left").withColumn("gap", F.col("rest") - F.coalesce("fit", F.lit(0)))
-    rows = rows.join(goal.select("skey", "gap"), "skey")
+    rows = rows.join(side(goal.select("skey", "gap")), "skey")
     miss = F.abs(F.col("words") - F.col("gap"))
     best = rows.where(~fits & (miss < F.col("gap"))).groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size")).alias("best"))
-    rows = rows.join(best, "skey", "left")
+    rows = rows.join(side(best), "skey", "left")
     chosen = F.coalesce(F.struct("h", "doc_id", "size").eqNullSafe(F.struct("best.h", "best.doc_id", "best.size")), F.lit(False)) & F.col("best").isNotNull() & ~fits
     block = F.floor(F.col("before") / BLOCK_WORDS)
     blocks = F.floor(F.col("source_size") / BLOCK_WORDS) + 1
@@ -162,7 +171,7 @@ def mix(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = base.groupBy("skey", "doc_id", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words")).withColumn("h", order_hash(F.col("doc_id")))
     units = stored(units, "mix-units")
     goal = stored(targets(units), "mix-targets")
-    rows, quotas = draws(units, goal)
+    rows, quotas = draws(units, goal, goal.count() <= FEW_SOURCES)
     quotas = stored(quotas, "mix-quotas")
     words = quotas.agg(F.sum("target")).first()[0] or 0.0
     depth = max(0, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
@@ -188,7 +197,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
     taken = drawn.groupBy("skey", "doc_id", "size").agg(F.sum("size").alias("taken")).select(F.col("skey").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), "taken")
     rows = base.join(taken, (base.skey == taken.k) & base.doc_id.eqNullSafe(taken.d) & (base["size"] == taken.s), "left")
     rows = rows.select("skey", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
-    return rows.join(sources, "skey").select("doc_id", "size", "source_size", "target", "taken")
+    few = sources.count() <= FEW_SOURCES
+    return rows.join(per_source(few)(sources), "skey").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = """
