@@ -40,7 +40,7 @@ from tillpoint.llm.common import col, fold, prepare, slices, stored, table, text
 P_MIN = 2e-5
 MAX_DEPTH = 3
 GAMMA = 2.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SMOOTH = 0.1
 
 
