@@ -261,7 +261,8 @@ def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
     anchors = stored(_anchors(rows, span), "substring-anchors")
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written: a join right above the count could not split a hot anchor's rows
+    twice = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "substring-repeated")
     refs = anchors.join(twice, "h", "left_semi").groupBy(*KEY).agg(F.collect_set("first").alias("firsts"))
     refs = refs.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "firsts")
     flagged = stored(rows.join(refs, rows.doc_id.eqNullSafe(refs.d) & (rows.th == refs.t)).select("doc_id", "th", "text", "firsts"), "substring-flagged")
