@@ -64,17 +64,19 @@ def row_hash(doc_id: Column, seed: int) -> Column:
     return F.xxhash64(doc_id, F.lit(seed))
 
 
-def bounded_sample(rows: DataFrame, key: str, limits: dict | int, seed: int) -> DataFrame:
-    """(doc_id, key): for each value of ``key`` the rows with the least hashes, at most
-    the value's limit. Rows that cannot be among them (by four times the expected
-    hash) go before the shuffle, so a frequent value is no large group."""
-    limit = F.lit(limits) if isinstance(limits, int) else F.coalesce(*[F.when(F.col(key) == k, F.lit(n)) for k, n in limits.items()])
-    rows = rows.select("doc_id", key).withColumn("_h", row_hash(F.col("doc_id"), seed))
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    share = (F.col("_h").cast("double") + 2.0**63) / 2.0**64
-    near = rows.join(sizes, key).where(share * F.col("_n") < 4 * limit + 20)
+def bounded_sample(rows: DataFrame, key: str, limits: dict, seed: int) -> DataFrame:
+    """(doc_id, key): for each key of ``limits`` (a short list) the rows with the least
+    hashes, at most the key's limit. Rows that cannot be among them (by four times the
+    expected hash) go before the shuffle, so a frequent key is no large group."""
+    rows = rows.where(F.col(key).isin(list(limits))).select("doc_id", key)
+    sizes = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
+    if not sizes:
+        return rows
+    by_key = lambda f: F.coalesce(*[F.when(F.col(key) == k, F.lit(f(k))) for k in sizes])
+    share = (row_hash(F.col("doc_id"), seed).cast("double") + 2.0**63) / 2.0**64
+    near = rows.withColumn("_h", share).where(F.col("_h") < by_key(lambda k: (4.0 * limits[k] + 20) / sizes[k]))
     order = Window.partitionBy(key).orderBy("_h", "doc_id")
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("doc_id", key)
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= by_key(lambda k: limits[k])).select("doc_id", key)
 
 
 def slices(batches, column: str = "text", max_bytes: int = SLICE_BYTES):

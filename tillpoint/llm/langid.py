@@ -8,9 +8,11 @@ n-gram presence rows, restricted to n-grams that landmarks have, times the landm
 matrix is its kernel row; times the folded Nyström and ridge weights its scores: two
 matrix products a batch.
 
-Training data: at most TRAIN_PER_LANG labelled texts a language of at most
-TRAIN_CHARS characters, of the MAX_LANGS most frequent languages; at most LANDMARKS of them a language are landmarks. The
-landmark matrix has at most ``1 << BITS`` rows whatever the input.
+Training data: labelled texts of at most TRAIN_CHARS characters of the MAX_LANGS most
+frequent languages, at most TRAIN_PER_LANG a language and about TRAIN_TOTAL in all;
+at most LANDMARKS of them a language and LANDMARKS_TOTAL in all are landmarks. The
+landmark matrix has at most ``1 << BITS`` rows and LANDMARKS_TOTAL columns whatever
+the input (some 10 MB for a few languages).
 
 Defined results: ``und`` and score 0 for a null text, a text without a letter, or
 without training rows; a tie goes to the first language in code point order. Case,
@@ -29,9 +31,9 @@ from tillpoint.llm.common import bounded_sample, col, fold, prepare, row_hash, s
 
 GRAMS = (1, 2, 3)
 BITS = 18
-TRAIN_PER_LANG = 150
+TRAIN_PER_LANG, TRAIN_TOTAL = 150, 6000
 TRAIN_CHARS = 4000
-LANDMARKS = 32
+LANDMARKS, LANDMARKS_TOTAL = 32, 200
 MAX_LANGS = 100
 RIDGE = 1e-2
 _LETTER = regex.compile(r"\p{L}")
@@ -57,7 +59,8 @@ class Classifier:
     def __init__(self, rows: list[tuple[np.ndarray, str]]):
         self.langs = sorted({lang for _, lang in rows})
         per = {lang: [g for g, x in rows if x == lang] for lang in self.langs}
-        marks = [g for lang in self.langs for g in per[lang][:LANDMARKS]]
+        each = max(2, min(LANDMARKS, LANDMARKS_TOTAL // len(self.langs)))
+        marks = [g for lang in self.langs for g in per[lang][:each]]
         self.columns = np.full(1 << BITS, -1, np.int32)
         used = np.unique(np.concatenate(marks))
         self.columns[used] = np.arange(len(used))
@@ -104,9 +107,8 @@ def fit(docs: DataFrame, held_out_rest: int | None = 1) -> Classifier | None:
     known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     if not known:
         return None
-    rows = rows.where(F.col("lang").isin(known))
-    chosen = bounded_sample(rows, "lang", TRAIN_PER_LANG, 1)  # MAX_LANGS x TRAIN_PER_LANG at most
-    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", row_hash(F.col("doc_id"), 1).alias("h"), F.col("text").cast("string").alias("text"))
+    chosen = bounded_sample(rows, "lang", dict.fromkeys(known, min(TRAIN_PER_LANG, TRAIN_TOTAL // len(known))), 1)
+    sample = rows.where(F.col("lang").isin(known)).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", row_hash(F.col("doc_id"), 1).alias("h"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):

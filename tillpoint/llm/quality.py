@@ -185,7 +185,7 @@ class Trees:
 def fit(docs: DataFrame, labels: DataFrame) -> Trees | None:
     prepare(docs.sparkSession)
     seen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = bounded_sample(seen, "quality", TRAIN_PER_CLASS, 2)  # 2 x TRAIN_PER_CLASS at most
+    chosen = bounded_sample(seen, "quality", {0: TRAIN_PER_CLASS, 1: TRAIN_PER_CLASS}, 2)  # 2 x TRAIN_PER_CLASS at most
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.list_(pa.float64()))])
 
