@@ -42,7 +42,7 @@ from tillpoint.llm.common import col, prepare, scratch_dir, slices, stored, tabl
 
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 160_000
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<?qB")
 _INDEX = struct.Struct("<qQQ")
@@ -202,7 +202,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None) -
         width = 2 if _tokenizer(vocab).get_vocab_size() <= 1 << 16 else 4
         seq = TaskContext.get().partitionId()
         name = f"part-{seq:07d}-{uuid.uuid4().hex}"
-        for b in slices(batches, max_bytes=1 << 20):
+        for b in slices(batches):
             if data is None:
                 fs, base = file_system(folder)
                 fs.create_dir(base, recursive=True)
