@@ -108,8 +108,6 @@ def _simple(word: str) -> str | None:
     """The model's input for a word of letters that normalisation leaves alone (one
     pre-token); None for any other word."""
     if word.isalpha():
-        if word.isascii():
-            return word
         if word == word.lower() and unicodedata.is_normalized("NFC", word):
             return word.encode().decode("latin-1").translate(_LETTERS)
     return None
@@ -135,17 +133,17 @@ def word_ids(words: list[bytes], path: str) -> list[bytes]:
         w = words[i]
         mark = ends.get(w[-1:], b"")
         stem = w[:-1] if mark else w
+        # bytes.isalpha() holds for ASCII letters only, and those are lower case here
+        piece = stem.decode() if stem.isalpha() and stem.islower() else _simple(stem.decode("utf-8", "replace"))
+        if piece is None:
+            odd.append(i)
+            continue
         ids = cache.get(stem) if mark else None
         if ids is None:
-            piece = _simple(stem.decode("utf-8", "replace"))
-            if piece is None:
-                odd.append(i)
-                continue
             ids = cache[stem] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-        elif not _simple(stem.decode("utf-8", "replace")):
-            odd.append(i)
-            continue
-        found[i] = cache[w] = ids + mark
+        found[i] = ids
+        if mark:
+            found[i] = cache[w] = ids + mark
     rest = tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False) if odd else []
     for i, e in zip(odd, rest):
         found[i] = cache[words[i]] = array("I", e.ids).tobytes()
