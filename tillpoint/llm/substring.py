@@ -252,7 +252,7 @@ def _by_window(distinct: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([h] * m), pa.array([sid] * m), pa.array([1 << i for i in range(m)]), pa.array(w, pa.binary()), pa.array([n] * m)], schema=schema)
 
     windows = distinct.mapInArrow(run, "h long, sid long, bit long, w binary, n long")
-    twice = windows.groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w")
+    twice = stored(windows.groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w"), "substring-windows")
     return windows.join(twice, ["h", "w"], "left_semi").groupBy("h", "sid").agg(F.bit_or("bit").alias("mask"))
 
 
