@@ -103,10 +103,6 @@ def col(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def byte_buffer(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words in one uint8 array, with a space before, between and after; and
-    the start of each word in it."""
-    buf = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate(([1], 1 + np.cumsum(sizes + 1)))[: len(words)]
-    return buf, starts
+def byte_buffer(words: list[bytes]) -> np.ndarray:
+    """The words in one uint8 array, with a space before, between and after."""
+    return np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)

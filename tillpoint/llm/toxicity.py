@@ -42,7 +42,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 def grams_by_length(words: list[bytes]):
     """For each n-gram length (word index, feature index) of every byte n-gram of
     every word; a word's edges count as a character."""
-    buf, _ = byte_buffer(words)
+    buf = byte_buffer(words)
     space = buf == 32
     before = np.concatenate(([0], np.cumsum(space, dtype=np.int32)))
     owner = before[1:] - 1
