@@ -248,6 +248,38 @@ def test_lm_scores(spark, corpus):
     assert sum(r.score - r.base_score for r in got.values()) > 0  # copies and passages are predictable
 
 
+def test_lm_scores_keep_every_repeated_run(spark, make):
+    """On a corpus of over 100,000 training tokens, runs seen two or three times count
+    as they do on a small one, and all scores are those of the tree in one place."""
+    rnd = random.Random(21)
+    phrases = [[f"p{i}x{j}" for j in range(6)] for i in range(40)]
+    rows = []
+    for d in range(260):
+        ws = [f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(800)]
+        for i in (d % 40, d % 37, d % 39):
+            if d < 60:
+                ws[100 * i % 700:100 * i % 700] = phrases[i]
+        rows.append((d, " ".join(ws)))
+    got = {r.doc_id: r for r in suffix_tree.score(make(rows).select("doc_id", "text")).collect()}
+    lists = {d: t.lower().split() + [""] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in lists}
+    count = collections.Counter(w for d, ws in lists.items() if not held[d] for w in ws)
+    total = sum(count.values())
+    assert total > 150_000 and all(r.train_tokens == total for r in got.values())
+    known = sorted(w for w, n in count.items() if n >= 2)
+    at = {w: i for i, w in enumerate(known)}
+    tree = suffix_tree.Tree(np.arange(1, len(known) + 1), np.array([count[w] for w in known], float), total, len(count))
+    tok = {d: np.array([at.get(w, -1) for w in ws], np.int64) for d, ws in lists.items()}
+    zero = np.array([0])
+    for order in range(2, suffix_tree.MAX_DEPTH + 2):
+        keys, n = np.unique(np.concatenate([tree.candidates(tok[d], zero, order) for d in tok if not held[d]]), return_counts=True)
+        tree.add(order, keys[n >= 2], n[n >= 2].astype(float))
+    tree.grow()
+    for d in lists:
+        assert got[d].score - got[d].base_score == pytest.approx(tree.adjust(tok[d], zero).sum(), abs=1e-6)
+    assert sum(got[d].score > got[d].base_score for d in range(60)) > 40
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """Next-word probabilities of every state sum to one (with the unknown word)."""
     rnd = random.Random(2)

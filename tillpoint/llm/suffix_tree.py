@@ -2,9 +2,8 @@
 
 Tokens are a text's words, A-Z lower-cased, then one end. The root is the smoothed
 unigram model (c + 0.1) / (N + 0.1 (V + 1)) over all training tokens. A context is a
-run of up to MAX_DEPTH words; with the usual minimum probability P_MIN, contexts and
-their counted next words are runs seen in at least P_MIN of all training tokens, of
-which there can be at most 1 / P_MIN of each length, whatever the corpus. A context
+run of up to MAX_DEPTH words; contexts and their counted next words are all runs seen
+LEAST times or more in training, so the model grows with the corpus. A context
 stays in the tree if its next-word distribution diverges from its longest kept
 suffix's: the log likelihood it gains on its own occurrences must exceed its
 description length, half of ln N for each probability. Next-word distributions are
@@ -12,11 +11,14 @@ smoothed: counted words get n / (c + GAMMA), and the rest backs off to the suffi
 scaled to sum to one. A token is scored in the state of the longest kept suffix of
 the words before it.
 
-Spark does the counting. Texts become blocks (word ids against the block's own word
-list); the lists' counts are summed over all blocks by word; each block gets its
-words' totals back (a co-group by block, whose size is fixed), which gives the base
-scores and replaces frequent words by symbols. The longer runs are counted order by
-order on those blocks, combined in each task before the shuffle.
+Spark does the counting. Texts become blocks (words by 64-bit hash against the block's
+own list). A run is a 64-bit key. Order by order, a block deals its distinct runs to
+shards by key (a run at most once a block, so a common one is no large group; the
+number of shards grows with the corpus), and each shard answers each block with its
+runs' training totals, in the order in which they came. Only runs whose shorter runs
+are counted go on. For each counted run one block names its context and suffix; the
+divergence tests are sums by context over the table of them, and the shards answer
+each block what the tree says of its own runs: the tree is nowhere in one place.
 
 Defined results: a null or empty text is the end alone; without training rows every
 probability is 1 and every score 0; repeated rows count as often as they come.
@@ -30,18 +32,21 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import col, fold, prepare, slices, stored, table, texts
 
-P_MIN = 2e-5
+LEAST = 2
 MAX_DEPTH = 3
 GAMMA = 2.0
 BLOCK_BYTES = 4 << 20
 SMOOTH = 0.1
+SHARD_TOKENS = 1 << 21
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(*arrays) -> bytes:
@@ -53,54 +58,31 @@ def _unpack(data: bytes) -> tuple:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (block, wid, word, n), a block's distinct words with their
-    training counts, and (block, train_tokens, payload), its documents."""
-    schema = pa.schema([("block", pa.int64()), ("wid", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("train_tokens", pa.int64()), ("payload", pa.binary())])
+    """(block, train_tokens, payload): documents as hashed words and places in them."""
+    schema = pa.schema([("block", pa.int64()), ("train_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
         base, k = TaskContext.get().partitionId() << 32, 0
+        digest = xxhash.xxh64_intdigest
         for b in slices(batches, max_bytes=BLOCK_BYTES):
             lists = [t.lower().split() for t in texts(b)]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
             flat = np.empty(int(sizes.sum()), object)
             flat[:] = [w for ws in lists for w in (*ws, b"")]  # the end is the empty word
             ids, words = pd.factorize(flat)
+            hashes = np.fromiter((digest(w) or 1 for w in words), np.uint64, len(words))  # 0: not counted
             held = np.array(col(b, "held_out").to_pylist(), bool)
-            n = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words))
-            m, block = len(words), base + k
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=schema)
-            data = _pack(col(b, "doc_id").to_pylist(), held, sizes, ids.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([int(n.sum())]), pa.array([data], pa.binary())], schema=schema)
+            data = _pack(col(b, "doc_id").to_pylist(), held, sizes, hashes, ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([int(sizes[~held].sum())]), pa.array([data], pa.binary())], schema=schema)
             k += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 10) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, wid int, word string, n long, train_tokens long, payload binary")
-
-
-def coded(parts: DataFrame, n_train: int, n_known: int, word_totals: DataFrame) -> DataFrame:
-    """(block, payload) with base scores and the symbols of frequent words."""
-    scale = n_train + SMOOTH * (n_known + 1)
-
-    def join(payloads: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        totals = totals.sort_values("wid")
-        c, sym = totals["c"].to_numpy(np.int64), totals["sym"].to_numpy(np.int64)
-        logp = np.log10((c + SMOOTH) / scale)
-        table_of, dense = np.unique(sym, return_inverse=True)  # symbol 0: not frequent
-        for block, data in zip(payloads["block"], payloads["payload"]):
-            doc_ids, held, sizes, ids = _unpack(data)
-            starts = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(logp[ids], starts)
-            known = np.add.reduceat((c[ids] > 0).astype(np.int64), starts)
-            out.append((block, _pack(doc_ids, held, sizes, base, known, table_of, dense[ids].astype(np.int32))))
-        return pd.DataFrame(out, columns=["block", "payload"])
-
-    payloads = parts.where("payload is not null").select("block", "payload")
-    return payloads.groupBy("block").cogroup(word_totals.groupBy("block")).applyInPandas(join, "block long, payload binary")
+    return rows.mapInArrow(run, "block long, train_tokens long, payload binary")
 
 
 class Tree:
-    """Runs by order and the states kept. Run k of order n is (run of order n - 1) *
+    """The model in one place, for small inputs (tests compare :func:`score` with it):
+    runs by order and the states kept. Run k of order n is (run of order n - 1) *
     width + symbol in ``keys[n]``, sorted; symbols are places in ``symbols``."""
 
     def __init__(self, symbols: np.ndarray, counts: np.ndarray, n_train: int, n_known: int):
@@ -242,56 +224,262 @@ def _first(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _deal(keys: np.ndarray, shards: int):
+    """(shard, places of its keys) for every shard that has some."""
+    shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    at = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[at], prepend=-1, append=-1))
+    for lo, hi in zip(edges, edges[1:]):
+        yield int(shard[at[lo]]), at[lo:hi]
+
+
+_PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("ord", pa.int32()), ("payload", pa.binary())])
+_PARTS_DDL = "block long, shard long, ord int, payload binary"
+_COUNTED = pa.schema([*_PARTS, ("n_known", pa.int64())])
+_RUNS = pa.schema([("ord", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("suf", pa.int64()), ("n", pa.int64())])
+
+
+def _rows(out: list, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(schema), schema)], schema=schema)
+
+
+class View:
+    """A block's runs up to an order. For each order: the tokens at which one ends
+    (``at``), the distinct keys (``own``, sorted), the token's key among them
+    (``inverse``), the first place in ``at`` of each (``where``), and, as far as the
+    shards have answered, training totals (``total``) and whether the block is the one
+    to name the run (``once``)."""
+
+    def __init__(self, payload: bytes, told: dict, shards: int, upto: int):
+        self.doc_ids, self.held, self.sizes, hashes, ids = _unpack(payload)
+        self.first, self.shards, self.told = _first(self.sizes), shards, told
+        self.key, self.at, self.own, self.inverse, self.where, self.total, self.once = ({} for _ in range(7))
+        self.key[1], self.at[1] = hashes[ids], np.arange(len(ids))
+        self.own[1], inverse = np.unique(hashes, return_inverse=True)
+        self.inverse[1] = inverse[ids]
+        counted = self._answered(1)
+        for n in range(2, upto + 1):
+            key = np.append(np.uint64(0), self.key[n - 1][:-1]) * _TURN + self.key[1]
+            self.key[n] = (key ^ (key >> np.uint64(29))) * _TURN + np.uint64(n)
+            before = np.append(False, counted[:-1])
+            before[self.first] = False
+            self.at[n] = np.flatnonzero(before & counted)
+            self.own[n], self.where[n], self.inverse[n] = np.unique(self.key[n][self.at[n]], return_index=True, return_inverse=True)
+            counted = self._answered(n)
+
+    def _answered(self, n: int) -> np.ndarray:
+        """Tokens at which a counted run of order n ends."""
+        total = np.zeros(len(self.own[n]), np.int64)
+        for shard, x in _deal(self.own[n], self.shards):
+            if (n, shard) in self.told:
+                total[x] = self.told[n, shard][0]
+        self.total[n], self.once[n] = np.abs(total), total > 0
+        counted = np.zeros(len(self.key[1]), bool)
+        counted[self.at[n]] = (self.total[n] >= LEAST)[self.inverse[n]]
+        return counted
+
+    def counted(self, n: int) -> np.ndarray:
+        return np.flatnonzero(self.total[n] >= LEAST)
+
+
+def _told(found: pa.Table) -> dict:
+    return {(n, shard): _unpack(data) for n, shard, data in zip(*(found[c].to_pylist() for c in ("ord", "shard", "payload")))}
+
+
+def _offer(order: int, shards: int):
+    """A block's runs of ``order`` for the shards, with their training counts."""
+
+    def run(payloads: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for block, data in zip(payloads["block"].to_pylist(), payloads["payload"].to_pylist()):
+            v = View(data, _told(found), shards, order)
+            own = v.own[order]
+            n = np.bincount(v.inverse[order], weights=np.repeat(~v.held, v.sizes)[v.at[order]], minlength=len(own)).astype(np.int32)
+            out += [(block, shard, order, _pack(own[x], n[x])) for shard, x in _deal(own, shards)]
+        return _rows(out, _PARTS)
+
+    return run
+
+
+def _count(offered: pa.Table) -> pa.Table:
+    """One shard: to each block its runs' training totals (0 under LEAST, words apart),
+    negative in all blocks but one."""
+    data = [_unpack(x) for x in offered["payload"].to_pylist()]
+    keys, where, inverse = np.unique(np.concatenate([k for k, _ in data]), return_index=True, return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([n for _, n in data])).astype(np.int64)
+    total[total < (1 if offered["ord"][0].as_py() == 1 else LEAST)] = 0
+    answer = -total[inverse]
+    answer[where] = total
+    if len(total) and total.max() < 1 << 31:
+        answer = answer.astype(np.int32)
+    out, lo = [], 0
+    for block, shard, n, (own, _) in zip(offered["block"].to_pylist(), offered["shard"].to_pylist(), offered["ord"].to_pylist(), data):
+        part = answer[lo : lo + len(own)]
+        out.append((block, shard, n, _pack(part), int((part > 0).sum())))
+        lo += len(own)
+    return _rows(out, _COUNTED)
+
+
+def _name(shards: int):
+    """The counted runs that a block is to name."""
+
+    def run(payloads: pa.Table, found: pa.Table) -> pa.Table:
+        tables = [_RUNS.empty_table()]
+        for data in payloads["payload"].to_pylist():
+            v = View(data, _told(found), shards, MAX_DEPTH + 1)
+            for n in v.own:
+                mine = np.flatnonzero(v.once[n] & (v.total[n] >= LEAST))
+                nothing = pa.nulls(len(mine), pa.int64())
+                ctx, suf = nothing, nothing
+                if n > 1:
+                    t = v.at[n][v.where[n][mine]]
+                    ctx, suf = (pa.array(v.key[n - 1][x].view(np.int64)) for x in (t - 1, t))
+                tables.append(pa.Table.from_arrays([pa.array(np.full(len(mine), n, np.int32)), pa.array(v.own[n][mine].view(np.int64)), ctx, suf, pa.array(v.total[n][mine])], schema=_RUNS))
+        return pa.concat_tables(tables)
+
+    return run
+
+
+def _ask(shards: int):
+    """A block's counted runs for the shards."""
+
+    def run(payloads: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for block, data in zip(payloads["block"].to_pylist(), payloads["payload"].to_pylist()):
+            v = View(data, _told(found), shards, MAX_DEPTH + 1)
+            for n in v.own:
+                own = v.own[n][v.counted(n)]
+                out += [(block, shard, n, _pack(own[x])) for shard, x in _deal(own, shards)]
+        return _rows(out, _PARTS)
+
+    return run
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """One shard: to each block what the tree says of its runs (ln alpha of a kept
+    context, ln P of a counted next word in one; NaN where it says nothing)."""
+    known = model["key"].to_numpy().view(np.uint64)
+    at = np.argsort(known)
+    known = np.append(known[at], np.uint64(0))
+    values = [np.append(model[c].to_numpy().astype(float)[at], np.nan) for c in ("alpha", "p")]
+    out = []
+    for block, shard, n, data in zip(*(asked[c].to_pylist() for c in ("block", "shard", "ord", "payload"))):
+        keys = _unpack(data)[0]
+        place = np.searchsorted(known[:-1], keys)
+        place = np.where(known[place] == keys, place, len(known) - 1)
+        if (place < len(known) - 1).any():
+            out.append((block, shard, n, _pack(*(v[place] for v in values))))
+    return _rows(out, _PARTS)
+
+
+def _gone(df: DataFrame) -> None:
+    """Deletes a stored table that no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def grown(runs: dict[int, DataFrame], n_train: int) -> DataFrame:
+    """(key, alpha, p): the tree as rows, from the counted runs (order 1: key, n, p)."""
+    price = 0.5 * math.log(max(n_train, 2))
+    model = runs[1].select("key", F.lit(None).cast("double").alias("alpha"), "p")
+    below, done = runs[1], []
+    for order in range(1, MAX_DEPTH + 1):
+        # ``old``: ln P of the next word in the longest kept suffix of the context
+        rows = stored(runs[order + 1].join(below.select(F.col("key").alias("suf"), F.col("p").alias("old")), "suf"), "pst-old")
+        sums = rows.groupBy("ctx").agg(F.sum(F.col("n") * (F.log("n") - F.col("old"))).alias("own"), F.sum("n").alias("n"), F.sum(F.exp("old")).alias("mass"), F.count(F.lit(1)).alias("words"))
+        tests = sums.join(runs[order].select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx")
+        alpha = F.log((1 - F.col("n") / (F.col("total") + GAMMA)) / F.greatest(1 - F.col("mass"), F.lit(1e-12)))
+        tests = tests.withColumn("alpha", alpha)
+        gain = F.col("own") - F.col("n") * F.log(F.col("total") + GAMMA) + F.greatest(F.lit(0), F.col("total") - F.col("n")) * F.col("alpha")
+        kept = stored(tests.where(gain > price * (F.col("words") + 1)).select("ctx", "total", "alpha"), "pst-kept")
+        new = F.log("n") - F.log(F.col("total") + GAMMA)
+        below = stored(rows.join(kept.select("ctx", "total"), "ctx", "left" if order < MAX_DEPTH else "inner").select("key", F.coalesce(new, F.col("old")).alias("p"), F.col("total").isNotNull().alias("hit")), "pst-p")
+        _gone(rows)
+        done += [kept, below]
+        model = model.unionByName(kept.select(F.col("ctx").alias("key"), "alpha", F.lit(None).cast("double").alias("p")))
+        model = model.unionByName(below.where("hit").select("key", F.lit(None).cast("double").alias("alpha"), "p"))
+    model = stored(model.groupBy("key").agg(F.max("alpha").alias("alpha"), F.max("p").alias("p")), "pst-model")
+    for df in done:
+        _gone(df)
+    return model
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Base and tree scores of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     prepare(spark)
-    parts = stored(blocks(docs), "pst-blocks")
-    n_train = int(parts.agg(F.sum("train_tokens")).first()[0] or 0)
-    least = max(2, math.ceil(P_MIN * n_train))
-    by_word = Window.partitionBy("word")
-    rows = parts.where("word is not null").select("block", "wid", "word", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("once"))
-    sym = F.when(F.col("c") >= least, F.xxhash64("word")).otherwise(F.lit(0).cast("long"))
-    totals = stored(rows.select("block", "wid", "c", sym.alias("sym"), "once"), "pst-totals")
-    n_known = totals.where("once and c > 0").count()
-    frequent = sorted((r.sym, r.c) for r in totals.where("once and sym != 0").select("sym", "c").collect())  # 1 / P_MIN rows at most
-    data = stored(coded(parts, n_train, n_known, totals.select("block", "wid", "c", "sym")), "pst-coded")
-    tree = Tree(np.array([s for s, _ in frequent], np.int64), np.array([c for _, c in frequent], float), n_train, n_known)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-    for order in range(2, MAX_DEPTH + 2):
-        shared = spark.sparkContext.broadcast(tree)  # a few runs of 1 / P_MIN numbers
-
-        def count(batches, shared=shared, order=order):
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for b in batches:
-                for payload in col(b, "payload").to_pylist():
-                    _, held, sizes, _, _, table_of, dense = _unpack(payload)
-                    train = np.repeat(~held, sizes)
-                    tok = shared.value.tokens(table_of, dense)
-                    tok[~train] = -1
-                    k, n = np.unique(shared.value.candidates(tok, _first(sizes), order), return_counts=True)
-                    keys, inv = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                    counts = np.bincount(inv, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], schema=schema)
-
-        found = data.select("payload").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-        if not found:
-            break
-        tree.add(order, np.array([r.key for r in found], np.int64), np.array([r.n for r in found], float))
-    tree.grow()
-    shared = spark.sparkContext.broadcast(tree)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # each pass is stored, its shuffle files can go
+    try:
+        return _score(docs)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _score(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    data = stored(blocks(docs), "pst-blocks")
+    n_train = int(data.agg(F.sum("train_tokens")).first()[0] or 0)
+    data = data.select("block", "payload")
+    shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_train // SHARD_TOKENS)
+    told = spark.createDataFrame([], _PARTS_DDL)
+    n_known = 0
+    for order in range(1, MAX_DEPTH + 2):
+        offered = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_offer(order, shards), _PARTS_DDL)
+        counted = stored(offered.groupBy("shard").applyInArrow(_count, _PARTS_DDL + ", n_known long"), "pst-counted")
+        if order == 1:
+            n_known = int(counted.agg(F.sum("n_known")).first()[0] or 0)
+        told = told.unionByName(counted.drop("n_known"))
+    scale = n_train + SMOOTH * (n_known + 1)
+    named = stored(data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_name(shards), "ord int, key long, ctx long, suf long, n long"), "pst-runs")
+    runs = {n: named.where(F.col("ord") == n).select("key", "ctx", "suf", "n") for n in range(1, MAX_DEPTH + 2)}
+    runs[1] = runs[1].select("key", "n", F.log((F.col("n") + SMOOTH) / scale).alias("p"))
+    model = grown(runs, n_train)
+    _gone(named)
+    model = model.withColumn("shard", F.shiftrightunsigned("key", 40) % shards)
+    asked = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask(shards), _PARTS_DDL)
+    answers = stored(asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, _PARTS_DDL), "pst-answers")
+    answers = told.unionByName(answers.withColumn("ord", -F.col("ord")))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(batches):
-        tree = shared.value
-        for b in batches:
-            for payload in col(b, "payload").to_pylist():
-                doc_ids, held, sizes, base, known, table_of, dense = _unpack(payload)
-                first = _first(sizes)
-                extra = np.add.reduceat(tree.adjust(tree.tokens(table_of, dense), first), first)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n_train)), pa.array(base), pa.array(base + extra)], schema=out)
-
-    return data.select("payload").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(payloads: pa.Table, answers: pa.Table) -> pa.Table:
+        tables = [out.empty_table()]
+        for payload in payloads["payload"].to_pylist():
+            v = View(payload, _told(answers), shards, MAX_DEPTH + 1)
+            c = v.total[1][v.inverse[1]]
+            base = np.add.reduceat(np.log10((c + SMOOTH) / scale), v.first)
+            known = np.add.reduceat((c > 0).astype(np.int64), v.first)
+            extra = np.add.reduceat(_adjust(v), v.first) / math.log(10)
+            tables.append(pa.Table.from_arrays([pa.array(v.doc_ids, pa.int64()), pa.array(v.held), pa.array(v.sizes), pa.array(known), pa.array(np.full(len(known), n_train)), pa.array(base), pa.array(base + extra)], schema=out))
+        return pa.concat_tables(tables)
+
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return data.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ddl)
+
+
+def _adjust(v: View) -> np.ndarray:
+    """ln of P(token | longest kept suffix) / P_root(token) of every token; the tree's
+    answers on runs of order n are filed under -n."""
+    alpha, p = {}, {}
+    for n in v.own:
+        place = v.counted(n)
+        said = np.full((2, len(v.own[n])), np.nan)
+        for shard, x in _deal(v.own[n][place], v.shards):
+            if (-n, shard) in v.told:
+                said[:, place[x]] = v.told[-n, shard]
+        alpha[n], p[n] = np.full((2, len(v.key[1])), np.nan)
+        alpha[n][v.at[n]], p[n][v.at[n]] = said[:, v.inverse[n]]
+    out = np.zeros(len(v.key[1]))
+    for n in range(1, MAX_DEPTH + 1):
+        a = np.append(np.nan, alpha[n][:-1])
+        a[v.first] = np.nan
+        out = np.where(np.isnan(a), out, np.where(np.isnan(p[n + 1]), a + out, p[n + 1] - p[1]))
+    return out
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
