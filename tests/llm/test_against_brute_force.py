@@ -414,6 +414,29 @@ def test_decontamination_finds_copies_and_paraphrases(spark, make):
     assert {(r.doc_id, r.item_id) for r in blocks} == want
 
 
+def test_decontamination_of_many_passages(spark, make):
+    """With more passages than dimensions, each passage keeps its whole length in the
+    space, and exact copies in documents of the passages' own words and copies without
+    a fifth of the words are found."""
+    rnd = random.Random(31)
+    pool = [f"w{i}" for i in range(4000)]
+    words = lambda n: [pool[int(4000 * rnd.random() ** 2)] for _ in range(n)]
+    items = {i: words(rnd.randrange(25, 60)) for i in range(700)}
+    rows, want = [], set()
+    for i, ws in items.items():
+        copy = ws if i % 2 else [w for w in ws if rnd.random() > 0.2]
+        if i % 2 or len(copy) >= 0.77 * len(ws):
+            want.add((i, i))
+        rows.append((i, " ".join(words(90) + copy + words(90))))
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    for m in decontam.matchers(make(rows), bench):
+        latent = [np.linalg.norm(m.terms[[m.vocab[w] for w in set(ws)]].sum(0)) for ws in m.words]
+        assert latent == pytest.approx(list(m.length), rel=1e-3)
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(make(rows), bench).collect()}
+    assert len([x for x in want - found if x[0] % 2]) <= 0.01 * len(items)
+    assert len(want - found) <= 0.02 * len(items)
+
+
 def test_pipeline_decisions(spark, tmp_path):
     import corpus_pipeline
     from tillpoint.llm.common import stored, table
