@@ -437,6 +437,23 @@ def test_decontamination_of_many_passages(spark, make):
     assert len(want - found) <= 0.02 * len(items)
 
 
+@pytest.mark.parametrize("n", [15, 60, 97, 600, 1000, 5000])
+def test_decontamination_of_verbatim_copies(spark, make, n):
+    """Copies at any place of a text, among rarer words of other passages, are found."""
+    rnd = random.Random(n)
+    items = {i: [f"{'c' if rnd.random() < 0.7 else 'r'}{rnd.randrange(300)}" for _ in range(n)] for i in range(6)}
+    items |= {i: [f"rare{i}x{j}" for j in range(90)] for i in range(6, 9)}
+    rows = []
+    for d in range(6):
+        around = items[6 + d % 3]
+        at = 10 + 7 * d
+        rows.append((d, " ".join(around[:at] + items[d] + around[at:])))
+    rows += [(100 + d, " ".join(rnd.choice(["c1", "c2", "z"]) + str(rnd.randrange(30)) for _ in range(300))) for d in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(make(rows), bench).collect()}
+    assert {(d, d) for d in range(6)} <= found and {d for d, _ in found} <= set(range(6))
+
+
 def test_pipeline_decisions(spark, tmp_path):
     import corpus_pipeline
     from tillpoint.llm.common import stored, table

@@ -6,13 +6,17 @@
    add up their share of A'(A G) for a Gaussian G, and of (A Q)'(A Q) for the
    orthonormal basis Q; the driver only sees terms x (RANK + OVERSAMPLE) numbers.
    Term frequencies are binary, so that a repeated word cannot drown the others.
-3. Every window of two blocks of every whole document is folded into the latent space
-   and compared with every passage by cosine; COSINE or more makes a candidate. The
+3. Passages longer than a window are cut into pieces of one block that overlap by half,
+   and retrieved by piece; shorter ones are one piece.
+   Every window of two blocks of every whole document is folded into the latent space
+   and compared with every piece by cosine; COSINE or more makes a candidate, and so
+   does a window that holds CONTAINED of the piece's weight, whatever else it holds. The
    window's length is taken before folding: what the space does not hold counts
    against it, so a window of common words alone is near no passage. Terms of
-   more than COMMON_DF of all blocks are left out of the product, and each passage's
+   more than COMMON_DF of all blocks are left out of the product, and each piece's
    limit is lowered by what its own could add at most. A block of the benchmark has at
-   most RANK passages, so the space holds each exactly: no candidate is lost, and most
+   most RANK pieces (or one passage), and the space as many dimensions as pieces, so it
+   holds each exactly: no candidate is lost, and most
    words need no vector. What is found gets its full cosine.
 4. A candidate is checked on its words: the longest common subsequence of passage and
    a stretch of the window (widened by the passage's length on both sides) covers LCS_ALONE of the
@@ -20,7 +24,7 @@
    answer (the ``answer`` column, else the passage's last ANSWER_WORDS words) is found
    as well, which catches paraphrases.
 
-The benchmark is a stated query set: it is taken in blocks of at most ITEMS passages
+The benchmark is a stated query set: it is taken in blocks of at most ITEMS pieces
 and ITEM_WORDS words, each a pass over the documents, so what is broadcast stays bounded. Documents
 are never shuffled. Case (A-Z) and ASCII punctuation do not count.
 
@@ -43,7 +47,8 @@ from tillpoint.llm.common import col, prepare, slices, table, texts
 BLOCK = 48
 RANK = 256
 OVERSAMPLE = 16
-COSINE = 0.4
+COSINE = 0.35
+CONTAINED = 0.6
 PARAPHRASE_COSINE = 0.45
 COMMON_DF = 0.05
 LCS_ALONE = 0.75
@@ -83,6 +88,14 @@ def closest(a: list, region: list) -> tuple[int, list]:
     return max(((lcs(a, s), s) for s in stretches), key=lambda x: x[0])
 
 
+def pieces(ws: list) -> list[tuple[int, list]]:
+    """(place in the passage, words) of what a passage is retrieved by."""
+    if len(ws) <= 2 * BLOCK:
+        return [(0, ws)]
+    starts = [*range(0, len(ws) - BLOCK, BLOCK // 2), len(ws) - BLOCK]
+    return [(i, ws[i : i + BLOCK]) for i in starts]
+
+
 def _flat(raw: list[bytes], vocab: dict[bytes, int]):
     """(words per text, term id or -1 of every word, block number of every word,
     first block of each text)."""
@@ -148,10 +161,10 @@ def _summed(passages: DataFrame, shared, vector_rows) -> np.ndarray:
     return {r.row: r.v for r in rows}
 
 
-def latent_space(passages: DataFrame, vocab: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
+def latent_space(passages: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """terms x rank: the leading right singular vectors of the TF-IDF passages."""
     sc = passages.sparkSession.sparkContext
-    width = min(RANK + OVERSAMPLE, len(vocab))
+    width = min(rank + OVERSAMPLE, len(vocab))
     gauss = np.random.default_rng(7).standard_normal((len(vocab), width))
 
     def assemble(found: dict, height: int) -> np.ndarray:
@@ -173,7 +186,7 @@ def latent_space(passages: DataFrame, vocab: dict[bytes, int], idf: np.ndarray)
     z = assemble(_summed(passages, sc.broadcast((vocab, idf, gauss)), sketch), len(vocab))
     q, _ = np.linalg.qr(z)
     values, turn = np.linalg.eigh(assemble(_summed(passages, sc.broadcast((vocab, idf, q)), gram), width))
-    order = np.argsort(-values)[:RANK]
+    order = np.argsort(-values)[:rank]
     return q @ turn[:, order[values[order] > 1e-9]]
 
 
@@ -188,12 +201,16 @@ class Matcher:
         self.terms = (idf[:, None] * space).astype(np.float32)
         self.squares = idf**2
         self.active = idf >= -np.log(COMMON_DF)
-        sets = [np.array([vocab[w] for w in set(ws)]) for ws in self.words]
+        cuts = [(k, i, piece) for k, ws in enumerate(self.words) for i, piece in pieces(ws)]
+        self.item_of, self.offset = [k for k, _, _ in cuts], [i for _, i, _ in cuts]
+        self.sets = [set(piece) for _, _, piece in cuts]
+        sets = [np.array([vocab[w] for w in ws]) for ws in self.sets]
         self.length = np.array([np.sqrt(self.squares[at].sum()) for at in sets])
 
         left_out = np.array([np.sqrt(self.squares[at[~self.active[at]]].sum()) for at in sets]) / np.maximum(self.length, 1e-12)
         self.limit = COSINE - left_out
-        lat = np.array([self.terms[[vocab[w] for w in set(ws)]].sum(0) for ws in self.words])
+        self.share = CONTAINED - left_out**2 - 1e-4  # the product is in single precision
+        lat = np.array([self.terms[at].sum(0) for at in sets])
         norm = np.linalg.norm(lat, axis=1, keepdims=True)
         self.items = (lat / np.where(norm > 1e-9, norm, np.inf)).astype(np.float32)
 
@@ -223,17 +240,23 @@ class Matcher:
         same = np.append(text_of[1:] == text_of[:-1], False)
         window = vec[:-1] + vec[1:] * same[:, None]
         norm = np.sqrt(square[:-1] + square[1:] * same)[:, None]
-        cos = (window @ self.items.T) / np.where(norm > 1e-9, norm, np.inf)
-        for w, item in np.argwhere(cos >= self.limit):
-            d = int(text_of[w])
+        product = window @ self.items.T
+        near_enough = (product >= self.limit * norm) & (norm > 1e-9) | (product >= self.share * self.length) & (product > 0)
+        checked: dict = {}
+        for w, piece in np.argwhere(near_enough):
+            d, item = int(text_of[w]), self.item_of[piece]
             mine, ws = self.words[item], lists[d]
             begin = int(w - first[d]) * BLOCK
-            both = set(mine) & set(ws[begin : begin + 2 * BLOCK])
-            cosine = float(self.squares[[self.vocab[x] for x in both]].sum() / max(norm[w, 0] * self.length[item], 1e-12))
-            if cosine < COSINE:
+            weight = float(self.squares[[self.vocab[x] for x in self.sets[piece].intersection(ws[begin : begin + 2 * BLOCK])]].sum())
+            cosine = weight / max(norm[w, 0] * self.length[piece], 1e-12)
+            if cosine < COSINE and weight < CONTAINED * self.length[piece] ** 2:
                 continue
-            region = ws[max(0, begin - len(mine)) : begin + 2 * BLOCK + len(mine)]
-            common, near = closest(mine, region)
+            # pieces that put the passage at the same place of the text have one check,
+            # whose region holds that place whichever of them comes first
+            place = (d, item, (begin - self.offset[piece]) // BLOCK)
+            if place not in checked:
+                checked[place] = closest(mine, ws[max(0, begin - len(mine)) : begin + 2 * BLOCK + len(mine)])
+            common, near = checked[place]
             share = common / len(mine)
             if share < LCS_WITH_ANSWER:
                 continue
@@ -249,7 +272,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame):
     prepare(docs.sparkSession)
     has_answer = "answer" in benchmark.columns
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer")).where("text is not null").orderBy("item_id")
-    block, size = [], 0
+    block, size, n_pieces = [], 0, 0
 
     def build(items):
         vocab: dict[bytes, int] = {}
@@ -258,18 +281,20 @@ def matchers(docs: DataFrame, benchmark: DataFrame):
                 vocab.setdefault(w, len(vocab))
         total, df = frequencies(docs, vocab)
         idf = np.log((total + 1) / (df + 1))
-        passages = docs.sparkSession.createDataFrame([(t,) for _, t, _ in items], "text string")
-        return Matcher([(i, t.encode(), (a or "").encode()) for i, t, a in items], vocab, idf, latent_space(passages, vocab, idf))
+        cuts = [(b" ".join(piece).decode(),) for _, t, _ in items for _, piece in pieces(words_of(t.encode()))]
+        passages = docs.sparkSession.createDataFrame(cuts, "text string")
+        return Matcher([(i, t.encode(), (a or "").encode()) for i, t, a in items], vocab, idf, latent_space(passages, vocab, idf, len(cuts)))
 
     for r in rows.toLocalIterator():
-        n = len(words_of(r.text.encode()))
+        ws = words_of(r.text.encode())
+        n, k = len(ws), len(pieces(ws))
         if not n:
             continue
-        if block and (size + n > ITEM_WORDS or len(block) == ITEMS):
+        if block and (size + n > ITEM_WORDS or n_pieces + k > ITEMS):
             yield build(block)
-            block, size = [], 0
+            block, size, n_pieces = [], 0, 0
         block.append((r.item_id, r.text, r.answer))
-        size += n
+        size, n_pieces = size + n, n_pieces + k
     if block:
         yield build(block)
 
