@@ -176,6 +176,34 @@ def test_mix_takes_near_targets_and_splits_exactly(spark, corpus):
     assert {k: r.target for k, r in goal.items()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("long", [700, 290, 150])
+def test_mix_with_one_unit_of_most_of_a_source(spark, make, long):
+    """Small documents fill what a long one, wherever it is in the permutation, cannot."""
+    for first in (0, 3):
+        rows = [(first, " ".join(["w"] * long), "en", "b")]
+        rows += [(i, "x y z", "en", "b") for i in range(10, 110)]
+        rows += [(1000 + i, " ".join(["v"] * 40), "en", "a") for i in range(58)]
+        drawn, sources = mixing.mix(mixing.sized(make(rows)))
+        goal = {r.skey: r.target for r in sources.collect()}
+        taken = collections.Counter()
+        for r in drawn.collect():
+            taken[r.skey] += r["size"]
+        for k, target in goal.items():
+            rest = target % sum(len(t.split()) for _, t, _, s in rows if "0" + s == k)
+            assert abs(taken[k] - target) < (3 if k == "0b" and long > rest else 150)
+
+
+def test_fill_takes_what_fits(spark):
+    units = spark.createDataFrame([("0a", i, n, n, i) for i, n in enumerate([500, 90, 60, 30, 20, 7, 3, 1])] + [("0b", None, 50, 50, 1), ("0b", 4, 2, 2, 2)], "skey string, doc_id long, size long, words long, h long")
+    state = spark.createDataFrame([("0a", 8, 400.0, 150.5), ("0b", 2, 60.0, 51.0), ("0c", 1, 9.0, 9.0)], "skey string, n_units long, rest double, gap double")
+    got = collections.defaultdict(list)
+    for r in mixing.fill(units, state, True).collect():
+        got[r.skey].append((r.words, r["at"]))
+    words = [w for w, _ in got["0a"]]
+    assert len(set(words)) == len(words) and not [w for w in {500, 90, 60, 30, 20, 7, 3, 1} - set(words) if w <= 150.5 - sum(words)]
+    assert all(249.5 <= at and at + w <= 400 for w, at in got["0a"]) and len(got["0b"]) == 1 and set(got) == {"0a", "0b"}
+
+
 def test_splitting_tree_is_hypergeometric(spark):
     """Exact totals at every node; means of many draws near the expected share."""
     goal = spark.createDataFrame([(0, 300), (1, 40), (2, 0), (3, 1)], "idx int, quota long")

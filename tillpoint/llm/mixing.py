@@ -6,8 +6,11 @@ shared again by weight (water filling over the sources' table, one row a source)
 
 Draw: each source's documents are permuted by a hash and cut into blocks of about
 ``block_words`` words. A target of f whole sources and a rest takes every block f
-times, then the permutation's prefix that fits the rest, then the one document that
-fits the remaining gap best. Repeated rows of one document are one unit, taken
+times, then the permutation's prefix that fits the rest (of the documents that are no
+larger than it), then the one document that fits the remaining gap best. While others fit into what is left, further prefixes are
+taken of those of at most half of it, each with the largest one that still fits. The
+query op3 keeps to its SQL: there the first document too large for what is left ends
+the prefix, and nothing is taken after the best one. Repeated rows of one document are one unit, taken
 together. So no document is taken more than twice and a source's words miss its
 target by less than one document.
 
@@ -90,38 +93,78 @@ def per_source(few: bool):
 
 
 def placed(units: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
-    """Units with the words before them in their source's permutation."""
-    rows = units.join(per_source(few)(goal.select("skey", "n_units")), "skey")
+    """Units with the words before them in their source's permutation, and those of
+    them in units that are no larger than the source's rest (``ahead``)."""
+    rows = units.join(per_source(few)(goal.select("skey", "n_units", "rest")), "skey")
+    rows = rows.withColumn("part", F.when(F.col("words") <= F.col("rest"), F.col("words")).otherwise(F.lit(0))).drop("rest")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_units") / BUCKET_UNITS))
     rows = rows.withColumn("bucket", F.floor(F.col("h") / F.lit(float(1 << 60)) * buckets).cast("long"))
-    sums = rows.groupBy("skey", "bucket").agg(F.sum("words").alias("s"))
+    sums = rows.groupBy("skey", "bucket").agg(F.sum("words").alias("s"), F.sum("part").alias("t"))
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset"))
+    sums = sums.select("skey", "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset"), F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("part_offset"))
     inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, ["skey", "bucket"])
-    return rows.select("skey", "doc_id", "size", "words", "h", (F.col("offset") + F.coalesce(F.sum("words").over(inside), F.lit(0))).alias("before"))
-
-
-def draws(units: DataFrame, goal: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    sums = [(F.col(o) + F.coalesce(F.sum(x).over(inside), F.lit(0))).alias(name) for o, x, name in (("offset", "words", "before"), ("part_offset", "part", "ahead"))]
+    return rows.select("skey", "doc_id", "size", "words", "h", *sums)
+
+
+def fill(left: DataFrame, state: DataFrame, few: bool) -> DataFrame | None:
+    """(skey, doc_id, size, at) of the units taken of ``left`` for the gaps of ``state``
+    (skey, n_units, rest, gap), ``at`` being their place in the rest; None if no unit
+    fits. A gap of which a round leaves more than half has no unit of at most half of
+    it left, so the rounds are few."""
+    side, unit, more = per_source(few), ["skey", "doc_id", "size", "words", "h"], None
+    key = F.struct("doc_id", "size")
+    while True:
+        pool = left.join(side(state.select("skey", "gap")), "skey").where("words > 0 and words <= gap")
+        if pool.isEmpty():
+            return more
+        pool = stored(pool, "mix-left")
+        whole = state.select("skey", "n_units", F.col("gap").alias("rest"))
+        rows = placed(pool.where("2 * words <= gap").select(unit), whole, few).join(side(state.select("skey", "rest", "gap")), "skey")
+        got = stored(rows.where("ahead + words <= gap").select(*unit, (F.col("rest") - F.col("gap") + F.col("ahead")).alias("at")), "mix-fill")
+        sums = got.groupBy("skey").agg(F.sum("words").alias("fit"))
+        state = state.join(sums, "skey", "left").select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("fit", F.lit(0))).alias("gap"))
+        taken = got.select(F.col("skey").alias("k"), key.alias("u"))
+        left = pool.drop("gap").join(taken, (F.col("skey") == F.col("k")) & key.eqNullSafe(F.col("u")), "left_anti")
+        fits = left.join(side(state.select("skey", "rest", "gap")), "skey").where("words <= gap")
+        one = fits.groupBy("skey").agg(F.min(F.struct(-F.col("words"), "h", "doc_id", "size", "words", (F.col("rest") - F.col("gap")).alias("at"))).alias("o"))
+        one = stored(one.select("skey", *[F.col(f"o.{c}") for c in (*unit[1:], "at")]), "mix-one")
+        more = got.unionByName(one) if more is None else more.unionByName(got).unionByName(one)
+        state = stored(state.join(one.select("skey", F.col("words").alias("w")), "skey", "left").select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("w", F.lit(0))).alias("gap")), "mix-gap")
+        taken = one.select(F.col("skey").alias("k"), key.alias("u"))
+        left = left.join(taken, (F.col("skey") == F.col("k")) & key.eqNullSafe(F.col("u")), "left_anti")
+
+
+def draws(units: DataFrame, goal: DataFrame, few: bool, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(units with ``ks``: the numbers of the drawn blocks they belong to; sources
     with ``quota``: how many numbers there are)."""
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     side = per_source(few)
     rows = stored(placed(units, goal, few), "mix-placed").join(side(goal.select("skey", "idx", "passes", "rest", "source_size")), "skey")
-    fits = F.col("before") + F.col("words") <= F.col("rest")
+    ahead = "ahead" if whole else "before"
+    fits = (F.col("words") <= F.col("rest")) & (F.col(ahead) + F.col("words") <= F.col("rest"))
     gap = rows.where(fits).groupBy("skey").agg(F.sum("words").alias("fit"))
     goal = goal.join(gap, "skey", "left").withColumn("gap", F.col("rest") - F.coalesce("fit", F.lit(0)))
     rows = rows.join(side(goal.select("skey", "gap")), "skey")
     miss = F.abs(F.col("words") - F.col("gap"))
-    best = rows.where(~fits & (miss < F.col("gap"))).groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size")).alias("best"))
+    best = rows.where(~fits & (miss < F.col("gap"))).groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "words")).alias("best"))
+    best = stored(best, "mix-best")
     rows = rows.join(side(best), "skey", "left")
     chosen = F.coalesce(F.struct("h", "doc_id", "size").eqNullSafe(F.struct("best.h", "best.doc_id", "best.size")), F.lit(False)) & F.col("best").isNotNull() & ~fits
+    state = goal.join(best, "skey", "left").select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"))
+    more = fill(rows.where(~fits & ~chosen).select("skey", "doc_id", "size", "words", "h"), stored(state, "mix-gap"), few) if whole else None
+    rows = rows.withColumn("at", F.when(fits & (F.col("rest") > 0), F.col(ahead)))
+    if more is not None:
+        more = more.select(F.col("skey").alias("k"), F.struct("doc_id", "size").alias("u"), F.col("at").alias("filled"))
+        rows = rows.join(more, (F.col("skey") == F.col("k")) & F.struct("doc_id", "size").eqNullSafe(F.col("u")), "left")
+        rows = rows.withColumn("at", F.coalesce("at", "filled"))
     block = F.floor(F.col("before") / BLOCK_WORDS)
     blocks = F.floor(F.col("source_size") / BLOCK_WORDS) + 1
     last = F.col("passes") * blocks + F.floor(F.col("rest") / BLOCK_WORDS) + 1
     again = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("passes") - 1, F.lit(0))), lambda p: p * blocks + block)).otherwise(F.array().cast("array<bigint>"))
-    once = F.when(fits & (F.col("rest") > 0), F.array(F.col("passes") * blocks + block)).when(chosen, F.array(last)).otherwise(F.array().cast("array<bigint>"))
+    once = F.when(F.col("at").isNotNull(), F.array(F.col("passes") * blocks + F.floor(F.col("at") / BLOCK_WORDS))).when(chosen, F.array(last)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("skey", "idx", "doc_id", "size", "h", F.concat(again, once).alias("ks"))
     goal = goal.withColumn("quota", F.when(F.col("source_size") > 0, last + 1).otherwise(F.lit(0)).cast("long"))
     return rows, goal.select("skey", "idx", "source_size", "target", "quota")
@@ -164,14 +207,14 @@ def leaves(goal: DataFrame, depth: int) -> DataFrame:
     return flat.select("idx", "shard", F.col("s.start").alias("start"), F.col("s.q").alias("q"))
 
 
-def mix(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mix(base: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """(drawn copies: skey, doc_id, size, shard, place; sources: skey, source_size,
     target) for ``base`` as :func:`sized` gives it. ``place`` orders a shard's
     documents: its local shuffle."""
     units = base.groupBy("skey", "doc_id", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words")).withColumn("h", order_hash(F.col("doc_id")))
     units = stored(units, "mix-units")
     goal = stored(targets(units), "mix-targets")
-    rows, quotas = draws(units, goal, goal.count() <= FEW_SOURCES)
+    rows, quotas = draws(units, goal, goal.count() <= FEW_SOURCES, whole)
     quotas = stored(quotas, "mix-quotas")
     words = quotas.agg(F.sum("target")).first()[0] or 0.0
     depth = max(0, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
@@ -193,7 +236,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     base = stored(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "mix-sized")
-    drawn, sources = mix(base)
+    drawn, sources = mix(base, whole=False)  # as OP3_SQL has it
     taken = drawn.groupBy("skey", "doc_id", "size").agg(F.sum("size").alias("taken")).select(F.col("skey").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), "taken")
     rows = base.join(taken, (base.skey == taken.k) & base.doc_id.eqNullSafe(taken.d) & (base["size"] == taken.s), "left")
     rows = rows.select("skey", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
