@@ -76,14 +76,13 @@ def test_no_link_is_lost_by_prefixes_and_bounds(spark, marked):
     if marked:  # some shingles last, as if they were frequent
         g = np.unique(jj.incidence([t.encode() for _, t in rows])[1])[::3]
         hot = (g, np.arange(len(g)) % 5 + 1)
-    entries = jj.prefixes(docs, hot)
-    columns = entries.withColumn("label", F.col("doc_id"))
-    sets = jj.rows_of(docs)
-    pairs = jj.open_pairs(columns, sets, size=7)
+    found = jj.prefixes(docs, docs.select("doc_id"), hot)
+    columns = found.where("gram is not null").withColumn("label", F.col("doc_id"))
+    pairs = jj.open_pairs(columns, found.where("gram is null"), size=7)
     want = sorted((min(p), max(p)) for p in links(rows))
     possible = {(r.doc_id, r.hub) for r in pairs.collect()}
     assert set(want) <= possible and len(want) > 50
-    assert sorted((min(r), max(r)) for r in jj.verify(pairs, sets).collect()) == want
+    assert sorted((min(r), max(r)) for r in jj.verify(pairs, docs).collect()) == want
 
 
 def test_block_product_and_sketch():
@@ -105,5 +104,5 @@ def test_hub_partners_are_split(spark, monkeypatch):
     rows = [(0, base)] + [(k, edited(base, k % 4, rnd)) for k in range(1, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     pairs = spark.createDataFrame([(k, 0) for k in range(1, 40)], "doc_id long, hub long")
-    got = {r.doc_id for r in jj.verify(pairs, jj.rows_of(docs)).collect()}
+    got = {r.doc_id for r in jj.verify(pairs, docs).collect()}
     assert got == {max(p) for p in links(rows) if 0 in p}

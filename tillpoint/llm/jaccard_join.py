@@ -12,9 +12,9 @@ reach this are computed block by block, the others are discarded by bounds on si
 3. Bounds. Sizes n, m need 80 * max <= 100 * min, and the symmetric difference is at
    most (n + m) / 9. A 256-bit parity sketch of a set differs in no more bits than the
    set itself, so pairs beyond that are discarded without looking at the sets.
-4. Product. The rows of a column meet its hubs (one, then HUBS of them): a block of rows
-   is multiplied with a hub's rows, overlaps are accumulated and compared. What links
-   gets a common label. Then only pairs of different labels are open: a column that
+4. Product. The rows of a column meet its hubs (one, then HUBS of them), the closest by
+   sketch first: a block of rows is multiplied with a hub's rows, overlaps are
+   accumulated and compared. What links gets a common label. Then only pairs of different labels are open: a column that
    still has several labels is cut into blocks of BLOCK rows, all block pairs are
    compared by sizes and sketches, and what is left goes through the product. Columns
    of near copies collapse to one label in the hub steps, so their pairs are not made;
@@ -48,7 +48,9 @@ HUBS = 16
 BLOCK = 512
 #: Rows of a hub's column that meet it in one task.
 MEMBERS = 256
-SKETCH_WORDS = 4
+SKETCH = ["s0", "s1", "s2", "s3"]
+#: Ids are let through a bit table of so many bits (16 MB).
+ID_BITS = 27
 
 _LOWER_SPACE = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -67,6 +69,11 @@ def word_ids(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return doc, ids, words
 
 
+def by_text(d: np.ndarray) -> np.ndarray:
+    """Stable order by text number (radix sort while 16 bits hold it)."""
+    return np.argsort(d.astype(np.uint16) if len(d) and d.max() < 1 << 16 else d, kind="stable")
+
+
 def incidence(lists: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(text, shingle) of every distinct shingle of every text, ordered by both."""
     doc, ids, words = word_ids(lists)
@@ -84,7 +91,8 @@ def incidence(lists: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nd
     short = np.flatnonzero((sizes > 0) & (sizes < width))
     whole = np.array([xxhash.xxh64_intdigest(h[starts[d] : starts[d] + sizes[d]].tobytes(), 1) for d in short], np.uint64)
     d, g = np.concatenate((doc[:n][inside], short)), np.concatenate((g[inside], whole))
-    order = np.lexsort((g, d))
+    order = np.argsort(g)
+    order = order[by_text(d[order])]
     d, g = d[order], g[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
@@ -158,59 +166,87 @@ def frequent_grams(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], df[order]
 
 
-def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """(gram, doc_id) of every text's first n - ceil(0.8 n) + 1 shingles."""
-    grams, counts = (docs.sparkSession.sparkContext.broadcast(x) for x in hot)  # at most 8 MB each
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64())])
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """Bit table of fixed size of the ids (their low ID_BITS bits), or-ed on the
+    executors. It lets through every id of ``ids``, and some others."""
+    low = F.col("doc_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    bit = F.expr("shiftleft(1L, CAST(low & 63 AS INT))")
+    rows = ids.select(low.alias("low")).select(F.shiftright("low", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (ID_BITS - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["bit"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _let_through(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    batch = batch.filter(pc.is_valid(col(batch, "doc_id")))
+    low = col(batch, "doc_id").to_numpy().astype(np.int64) & ((1 << ID_BITS) - 1)
+    return batch.filter(pa.array((bits[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+
+def prefixes(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> DataFrame:
+    """For the texts of ``ids`` (and some others): an entry (gram, doc_id) for each of
+    the first n - ceil(0.8 n) + 1 shingles, and a row (doc_id, n, s0..s3) with the size
+    and the sketch."""
+    # at most 8 MB each, and 2^ID_BITS bits
+    grams, counts, wanted = (docs.sparkSession.sparkContext.broadcast(x) for x in (*hot, id_bits(ids)))
+    facts = ["n", *SKETCH]
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in facts]])
 
     def run(batches):
         hot_g, hot_n = grams.value, counts.value
-        for b in slices(batches):
-            lists = texts(b)
+        for b in slices(_let_through(x, wanted.value) for x in batches):
+            lists, ids_of = texts(b), col(b, "doc_id")
             d, g = incidence(lists, width)
+            n = np.bincount(d, minlength=len(lists))
+            sk = np.array([sketch(p) for p in np.split(g, np.cumsum(n)[:-1])]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n)).cast(pa.int64()), ids_of, pa.array(n), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(len(SKETCH))]], schema=schema)
             if len(hot_g):
                 at = np.minimum(np.searchsorted(hot_g, g), len(hot_g) - 1)
-                order = np.lexsort((g, np.where(hot_g[at] == g, hot_n[at], 0), d))
+                order = np.argsort(np.where(hot_g[at] == g, hot_n[at], 0), kind="stable")
+                order = order[by_text(d[order])]
                 d, g = d[order], g[order]
-            n = np.bincount(d, minlength=len(lists))
             place = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
             first = place < (n - (SHARE * n + PART - 1) // PART + 1)[d]
-            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), col(b, "doc_id").take(pa.array(d[first]))], schema=schema)
+            none = pa.nulls(int(first.sum())).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), ids_of.take(pa.array(d[first])), *[none] * len(facts)], schema=schema)
 
-    return docs.mapInArrow(run, "gram long, doc_id long")
+    return docs.mapInArrow(run, "gram long, doc_id long, " + ", ".join(f"{c} long" for c in facts))
 
 
-def rows_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, grams, s0..s3): the matrix rows of the given texts with sketches."""
-    names = [f"s{j}" for j in range(SKETCH_WORDS)]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), *[(s, pa.int64()) for s in names]])
+def rows_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, grams): the matrix rows of the texts of ``ids`` (and some others)."""
+    wanted = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
+    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(_let_through(x, wanted.value) for x in batches):
             lists = texts(b)
             d, g = incidence(lists, width)
-            n = np.bincount(d, minlength=len(lists))
-            parts = np.split(g, np.cumsum(n)[:-1])
-            sk = np.array([sketch(p) for p in parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(n), pa.array([p.tobytes() for p in parts], pa.binary()), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH_WORDS)]], schema=schema)
+            parts = np.split(g, np.cumsum(np.bincount(d, minlength=len(lists)))[:-1])
+            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, grams binary, " + ", ".join(f"{s} long" for s in names))
+    return docs.mapInArrow(run, "doc_id long, grams binary")
+
+
+def _differ(a: str, b: str) -> Column:
+    """Number of sketch bits in which rows with the given column prefixes differ."""
+    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCH), F.lit(0))
 
 
 def _possible(a: str, b: str) -> Column:
     """Size and sketch bounds of a pair of rows with the given column prefixes."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = sum((F.bit_count(F.col(f"{a}s{j}").bitwiseXOR(F.col(f"{b}s{j}"))) for j in range(SKETCH_WORDS)), F.lit(0))
-    return (SHARE * F.greatest(n, m) <= PART * F.least(n, m)) & ((PART + SHARE) * differ <= (PART - SHARE) * (n + m))
+    return (SHARE * F.greatest(n, m) <= PART * F.least(n, m)) & ((PART + SHARE) * _differ(a, b) <= (PART - SHARE) * (n + m))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (doc_id, hub) that link. A hub's partners are split over tasks of about
+def verify(pairs: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The pairs (doc_id, hub) of ``docs`` that link. A hub's partners are split over tasks of about
     MEMBERS rows, each of which gets the hub's row."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     asks = pairs.join(parts, "hub").select("doc_id", "hub", (F.pmod(F.xxhash64("doc_id"), "parts")).cast("long").alias("part"), F.lit(1).alias("side"))
     own = parts.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
-    met = asks.unionByName(own).join(sets.select("doc_id", "grams"), "doc_id")
+    asks = asks.unionByName(own)
+    met = asks.join(rows_of(docs, asks, width), "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("hub", pa.int64())])
 
     def run(batches):
@@ -243,30 +279,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "doc_id long, hub long")
 
 
-def _facts(sets: DataFrame, prefix: str) -> DataFrame:
-    """(<prefix>id, <prefix>n, <prefix>s0..) of the rows, without their shingles."""
-    return sets.select(F.col("doc_id").alias(f"{prefix}id"), *[F.col(c).alias(f"{prefix}{c}") for c in ["n", *[f"s{j}" for j in range(SKETCH_WORDS)]]])
+def _facts(facts: DataFrame, prefix: str) -> DataFrame:
+    return facts.select(F.col("doc_id").alias(f"{prefix}id"), *[F.col(c).alias(f"{prefix}{c}") for c in ["n", *SKETCH]])
 
 
-def hub_pairs(columns: DataFrame, sets: DataFrame, hubs: int) -> DataFrame:
-    """(doc_id, hub): possible pairs of different labels of each row with the ``hubs``
-    most central rows (most shingles in several rows' prefixes) of its columns."""
+def hub_pairs(columns: DataFrame, facts: DataFrame, hubs: int) -> DataFrame:
+    """(doc_id, hub): of the possible pairs of a row with the ``hubs`` most central rows
+    (most shingles in several rows' prefixes) of its columns, the closest by sketch for
+    each label that is not its own."""
     row = F.struct(F.col("rank"), F.col("doc_id"), F.col("label"))
-    if hubs == 1:
-        heads = columns.groupBy("gram").agg(F.min(row).alias("h"))
-    else:  # merged on the map side: at most ``hubs`` of a column from each task
-        near = columns.withColumn("slot", F.pmod(F.xxhash64("doc_id", "gram"), F.lit(hubs)))
-        heads = near.groupBy("gram", "slot").agg(F.min(row).alias("h")).drop("slot")
-    heads = heads.select("gram", F.col("h.doc_id").alias("hub"), F.col("h.label").alias("hub_label"))
-    met = columns.join(heads, "gram").where("doc_id != hub and label != hub_label").select(F.least("doc_id", "hub").alias("doc_id"), F.greatest("doc_id", "hub").alias("hub"), F.col("hub").alias("center"))
-    # the more central of the two stays the hub: its column's rows meet in its tasks
-    met = met.groupBy("doc_id", "hub").agg(F.min("center").alias("center"))
-    met = met.select(F.when(F.col("center") == F.col("hub"), F.col("doc_id")).otherwise(F.col("hub")).alias("doc_id"), F.col("center").alias("hub"))
-    full = met.join(_facts(sets, "a_"), F.col("doc_id") == F.col("a_id")).join(_facts(sets, "b_"), F.col("hub") == F.col("b_id"))
-    return full.where(_possible("a_", "b_")).select("doc_id", "hub").distinct()
-
-
-def open_pairs(columns: DataFrame, sets: DataFrame, size: int = BLOCK) -> DataFrame:
+    near = columns.withColumn("slot", F.pmod(F.xxhash64("doc_id", "gram"), F.lit(hubs)))
+    heads = near.groupBy("gram", "slot").agg(F.min(row).alias("h")).select("gram", F.col("h.doc_id").alias("hub"), F.col("h.label").alias("hub_label"))
+    met = columns.join(heads, "gram").where("label != hub_label").select("doc_id", "hub", "hub_label").distinct()
+    full = met.join(_facts(facts, "a_"), F.col("doc_id") == F.col("a_id")).join(_facts(facts, "b_"), F.col("hub") == F.col("b_id"))
+    possible = full.where(_possible("a_", "b_")).groupBy("doc_id", "hub_label").agg(F.min(F.struct(_differ("a_", "b_").alias("differ"), "hub")).alias("m"))
+    return possible.select("doc_id", F.col("m.hub").alias("hub"))
+
+
+def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataFrame:
     """(doc_id, hub): all possible pairs of different labels that share a column, by
     comparing blocks of rows; columns of one label have none."""
     several = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
@@ -274,7 +304,7 @@ def open_pairs(columns: DataFrame, sets: DataFrame, size: int = BLOCK) -> DataFr
     rows = columns.join(several, "gram").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts"))
     rows = rows.select("gram", "doc_id", "label", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     rows = rows.select("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "doc_id", "label")
-    full = rows.join(_facts(sets, ""), F.col("doc_id") == F.col("id")).drop("id")
+    full = rows.join(_facts(facts, ""), F.col("doc_id") == F.col("id")).drop("id")
     schema = pa.schema([("doc_id", pa.int64()), ("hub", pa.int64())])
 
     def run(batches):
@@ -291,13 +321,13 @@ def open_pairs(columns: DataFrame, sets: DataFrame, size: int = BLOCK) -> DataFr
                 if one:
                     good &= p[:, 1][:, None] < y[:, 1][None, :]
                 differ = np.zeros(good.shape, np.int64)
-                for k in range(4, 4 + SKETCH_WORDS):
+                for k in range(4, 4 + len(SKETCH)):
                     differ += np.bitwise_count(p[:, k].view(np.uint64)[:, None] ^ y[:, k].view(np.uint64)[None, :])
                 a, b = np.nonzero(good & ((PART + SHARE) * differ <= (PART - SHARE) * (n + m)))
                 yield pa.RecordBatch.from_arrays([pa.array(p[a, 1]), pa.array(y[b, 1])], schema=schema)
 
         for b in batches:
-            names = ("gram", "i", "j", "side", "doc_id", "label", "n", *[f"s{k}" for k in range(SKETCH_WORDS)])
+            names = ("gram", "i", "j", "side", "doc_id", "label", "n", *SKETCH)
             for gram, i, j, *cells in zip(*(col(b, c).to_pylist() for c in names)):
                 if (gram, i, j) != key:
                     if held:
@@ -312,31 +342,34 @@ def open_pairs(columns: DataFrame, sets: DataFrame, size: int = BLOCK) -> DataFr
     return pairs.select(F.least("doc_id", "hub").alias("doc_id"), F.greatest("doc_id", "hub").alias("hub")).distinct()
 
 
-def similarity_links(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (doc_id, text; distinct sets): links (a, b) that join exactly the
-    documents which all links join, and their components (node, root)."""
-    entries = stored(prefixes(docs, hot, width), "jaccard-prefix")
-    shared = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-columns")
-    columns = stored(entries.join(shared.select("gram"), "gram", "left_semi").distinct(), "jaccard-entries")
+def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """For the texts of ``ids`` (doc_id; distinct sets) in ``docs``: links (a, b) that
+    join exactly the documents which all links join, and their components (node, root)."""
+    found = stored(prefixes(docs, ids, hot, width), "jaccard-prefix")
+    facts = stored(found.where("gram is null").drop("gram").join(ids, "doc_id", "left_semi"), "jaccard-facts")
+    entries = found.where("gram is not null").select("gram", "doc_id")
+    shared = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "jaccard-columns")
+    columns = stored(entries.join(shared, "gram", "left_semi").join(ids, "doc_id", "left_semi").distinct(), "jaccard-entries")
     rank = columns.groupBy("doc_id").agg((-F.count(F.lit(1))).alias("rank"))
-    columns = cut(columns.join(rank, "doc_id"))
-    sets = stored(rows_of(docs.join(rank, "doc_id", "left_semi"), width), "jaccard-rows")
-    first = cut(verify(cut(hub_pairs(columns.withColumn("label", F.col("doc_id")), sets, 1)), sets))
-    # one hub's rows are connected: a label without a run of components
-    labels = first.groupBy(F.col("doc_id").alias("node")).agg(F.min("hub").alias("root"))
-    second = verify(cut(hub_pairs(_labelled(columns, labels), sets, HUBS)), sets)
-    edges = cut(first.unionByName(second).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    roots = cut(components(edges))
-    rest = cut(open_pairs(_labelled(columns, roots), sets))
+    columns = stored(columns.join(rank, "doc_id"), "jaccard-ranked")
+    edges, roots = None, None
+    for hubs in (1, HUBS):
+        named = _labelled(columns, roots)
+        more = verify(cut(hub_pairs(named, facts, hubs)), docs, width).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+        edges = cut(more if edges is None else edges.unionByName(more))
+        roots = cut(components(edges))
+    rest = cut(open_pairs(_labelled(columns, roots), facts))
     if rest.isEmpty():
         return edges, roots
-    more = verify(rest, sets).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    more = verify(rest, docs, width).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     # a component is now a star around its root
     edges = cut(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return edges, cut(components(edges))
 
 
-def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return columns.withColumn("label", F.col("doc_id"))
     named = columns.join(labels, F.col("doc_id") == F.col("node"), "left")
     return named.withColumn("label", F.coalesce("root", "doc_id")).drop("node", "root")
 
@@ -348,8 +381,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = stored(scan(rows, width), "jaccard-scan")
     each = found.where("key is not null").select("doc_id", "n", "key")
     classes = stored(each.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    edges, roots = similarity_links(reps, frequent_grams(found), width)
+    reps = stored(classes.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-reps")
+    edges, roots = similarity_links(rows, reps, frequent_grams(found), width)
     # a doc_id with several texts ties the classes of all of them together
     twice = each.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
     tied = cut(each.where("n > 0").join(twice, "doc_id", "left_semi").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
