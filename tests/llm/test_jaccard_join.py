@@ -94,6 +94,8 @@ def test_block_product_and_sketch():
     near = np.concatenate((wide[1][:-7], rnd.integers(0, 2**63, 9).astype(np.uint64)))
     for a, b, most in ((wide[0], wide[1], 400), (wide[1], near, 16)):
         assert int(np.bitwise_count(jj.sketch(a) ^ jj.sketch(b)).sum()) <= most
+        assert jj.differing(jj.wide_sketch(a), jj.wide_sketch(b)) <= most
+    assert jj.differing(jj.wide_sketch(wide[0]), jj.wide_sketch(wide[1])) > 100
 
 
 def test_hub_partners_are_split(spark, monkeypatch):

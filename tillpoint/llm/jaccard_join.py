@@ -10,8 +10,9 @@ reach this are computed block by block, the others are discarded by bounds on si
    linked sets, one of the first n - ceil(0.8 n) + 1 shingles of either is in both, so
    only these prefixes are dealt out by shingle; columns with one row fall away.
 3. Bounds. Sizes n, m need 80 * max <= 100 * min, and the symmetric difference is at
-   most (n + m) / 9. A 256-bit parity sketch of a set differs in no more bits than the
-   set itself, so pairs beyond that are discarded without looking at the sets.
+   most (n + m) / 9. A parity sketch of a set differs in no more bits than the set
+   itself, so pairs beyond that are discarded without looking at the sets: by 256 bits
+   first, then by two to four bits a shingle (the wider sketch of a pair is folded).
 4. Product. The rows of a column meet its hubs (one, then HUBS of them), the closest by
    sketch first: a block of rows is multiplied with a hub's rows, overlaps are
    accumulated and compared. What links gets a common label. Then only pairs of different labels are open: a column that
@@ -105,6 +106,18 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def wide_sketch(grams: np.ndarray) -> bytes:
+    """Parities on the least power of two of bits that is twice the size or more."""
+    width = max(256, 1 << max(2 * len(grams) - 1, 1).bit_length())
+    return np.packbits((np.bincount((grams >> np.uint64(16)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, at the width of the narrower one."""
+    x, y = sorted((np.frombuffer(s, np.uint64) for s in (a, b)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The block of A A^T for the rows of ``left`` and ``right``: each shared column
     adds one to the cells of its rows."""
@@ -166,10 +179,10 @@ def frequent_grams(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], df[order]
 
 
-def id_bits(ids: DataFrame) -> np.ndarray:
-    """Bit table of fixed size of the ids (their low ID_BITS bits), or-ed on the
-    executors. It lets through every id of ``ids``, and some others."""
-    low = F.col("doc_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+def id_bits(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
+    """Bit table of fixed size of a column (its low ID_BITS bits), or-ed on the
+    executors. It lets through every value of the column, and some others."""
+    low = F.col(column).bitwiseAND(F.lit((1 << ID_BITS) - 1))
     bit = F.expr("shiftleft(1L, CAST(low & 63 AS INT))")
     rows = ids.select(low.alias("low")).select(F.shiftright("low", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (ID_BITS - 6), np.uint64)
@@ -177,9 +190,9 @@ def id_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _let_through(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    batch = batch.filter(pc.is_valid(col(batch, "doc_id")))
-    low = col(batch, "doc_id").to_numpy().astype(np.int64) & ((1 << ID_BITS) - 1)
+def _let_through(batch: pa.RecordBatch, bits: np.ndarray, column: str = "doc_id") -> pa.RecordBatch:
+    batch = batch.filter(pc.is_valid(col(batch, column)))
+    low = col(batch, column).to_numpy().astype(np.int64) & ((1 << ID_BITS) - 1)
     return batch.filter(pa.array((bits[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
 
@@ -190,7 +203,7 @@ def prefixes(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray]
     # at most 8 MB each, and 2^ID_BITS bits
     grams, counts, wanted = (docs.sparkSession.sparkContext.broadcast(x) for x in (*hot, id_bits(ids)))
     facts = ["n", *SKETCH]
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in facts]])
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in facts], ("wide", pa.binary())])
 
     def run(batches):
         hot_g, hot_n = grams.value, counts.value
@@ -198,8 +211,12 @@ def prefixes(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray]
             lists, ids_of = texts(b), col(b, "doc_id")
             d, g = incidence(lists, width)
             n = np.bincount(d, minlength=len(lists))
-            sk = np.array([sketch(p) for p in np.split(g, np.cumsum(n)[:-1])]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n)).cast(pa.int64()), ids_of, pa.array(n), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(len(SKETCH))]], schema=schema)
+            if not len(lists):
+                continue
+            parts = np.split(g, np.cumsum(n)[:-1])
+            sk = np.array([sketch(p) for p in parts]).view(np.int64)
+            wide = pa.array([wide_sketch(p) for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n)).cast(pa.int64()), ids_of, pa.array(n), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(len(SKETCH))], wide], schema=schema)
             if len(hot_g):
                 at = np.minimum(np.searchsorted(hot_g, g), len(hot_g) - 1)
                 order = np.argsort(np.where(hot_g[at] == g, hot_n[at], 0), kind="stable")
@@ -207,10 +224,21 @@ def prefixes(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray]
                 d, g = d[order], g[order]
             place = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
             first = place < (n - (SHARE * n + PART - 1) // PART + 1)[d]
-            none = pa.nulls(int(first.sum())).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), ids_of.take(pa.array(d[first])), *[none] * len(facts)], schema=schema)
+            none = pa.nulls(int(first.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), ids_of.take(pa.array(d[first])), *[none] * len(facts), pa.nulls(len(none), pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "gram long, doc_id long, " + ", ".join(f"{c} long" for c in facts) + ", wide binary")
+
+
+def only(entries: DataFrame, columns: DataFrame) -> DataFrame:
+    """The entries of the given columns: a bit table drops most others before rows move."""
+    wanted = entries.sparkSession.sparkContext.broadcast(id_bits(columns, "gram"))
+
+    def run(batches):
+        for b in batches:
+            yield _let_through(b, wanted.value, "gram")
 
-    return docs.mapInArrow(run, "gram long, doc_id long, " + ", ".join(f"{c} long" for c in facts))
+    return entries.mapInArrow(run, entries.schema).join(columns, "gram", "left_semi")
 
 
 def rows_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -292,8 +320,26 @@ def hub_pairs(columns: DataFrame, facts: DataFrame, hubs: int) -> DataFrame:
     heads = near.groupBy("gram", "slot").agg(F.min(row).alias("h")).select("gram", F.col("h.doc_id").alias("hub"), F.col("h.label").alias("hub_label"))
     met = columns.join(heads, "gram").where("label != hub_label").select("doc_id", "hub", "hub_label").distinct()
     full = met.join(_facts(facts, "a_"), F.col("doc_id") == F.col("a_id")).join(_facts(facts, "b_"), F.col("hub") == F.col("b_id"))
-    possible = full.where(_possible("a_", "b_")).groupBy("doc_id", "hub_label").agg(F.min(F.struct(_differ("a_", "b_").alias("differ"), "hub")).alias("m"))
-    return possible.select("doc_id", F.col("m.hub").alias("hub"))
+    near = screen(full.where(_possible("a_", "b_")).select("doc_id", "hub", "hub_label"), facts)
+    closest = near.groupBy("doc_id", "hub_label").agg(F.min(F.struct("differ", "hub")).alias("m"))
+    return closest.select("doc_id", F.col("m.hub").alias("hub"))
+
+
+def screen(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs whose wide sketches leave a link possible, and their differing bits."""
+    sides = [facts.select(F.col("doc_id").alias(f"{p}id"), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}wide")) for p in ("a_", "b_")]
+    full = pairs.join(sides[0], F.col("doc_id") == F.col("a_id")).join(sides[1], F.col("hub") == F.col("b_id"))
+    kept = [c for c in pairs.columns]
+    schema = ", ".join(f"{c} long" for c in kept) + ", differ long"
+
+    def run(batches):
+        for b in batches:
+            differ = np.array([differing(x, y) for x, y in zip(col(b, "a_wide").to_pylist(), col(b, "b_wide").to_pylist())], np.int64)
+            size = col(b, "a_n").to_numpy() + col(b, "b_n").to_numpy()
+            near = pa.array((PART + SHARE) * differ <= (PART - SHARE) * size)
+            yield pa.RecordBatch.from_arrays([*[col(b, c) for c in kept], pa.array(differ)], names=[*kept, "differ"]).filter(near)
+
+    return full.select(*kept, "a_n", "b_n", "a_wide", "b_wide").mapInArrow(run, schema)
 
 
 def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -339,7 +385,8 @@ def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataF
 
     grouped = full.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     pairs = grouped.mapInArrow(run, "doc_id long, hub long")
-    return pairs.select(F.least("doc_id", "hub").alias("doc_id"), F.greatest("doc_id", "hub").alias("hub")).distinct()
+    pairs = pairs.select(F.least("doc_id", "hub").alias("doc_id"), F.greatest("doc_id", "hub").alias("hub")).distinct()
+    return screen(pairs, facts).select("doc_id", "hub")
 
 
 def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -349,7 +396,7 @@ def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.
     facts = stored(found.where("gram is null").drop("gram").join(ids, "doc_id", "left_semi"), "jaccard-facts")
     entries = found.where("gram is not null").select("gram", "doc_id")
     shared = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "jaccard-columns")
-    columns = stored(entries.join(shared, "gram", "left_semi").join(ids, "doc_id", "left_semi").distinct(), "jaccard-entries")
+    columns = stored(only(entries, shared).join(ids, "doc_id", "left_semi").distinct(), "jaccard-entries")
     rank = columns.groupBy("doc_id").agg((-F.count(F.lit(1))).alias("rank"))
     columns = stored(columns.join(rank, "doc_id"), "jaccard-ranked")
     edges, roots = None, None
