@@ -13,13 +13,13 @@ reach this are computed block by block, the others are discarded by bounds on si
    most (n + m) / 9. A parity sketch of a set differs in no more bits than the set
    itself, so pairs beyond that are discarded without looking at the sets: by 256 bits
    first, then by two to four bits a shingle (the wider sketch of a pair is folded).
-4. Product. The rows of a column meet its hubs (one, then HUBS of them), the closest by
-   sketch first: a block of rows is multiplied with a hub's rows, overlaps are
-   accumulated and compared. What links gets a common label. Then only pairs of different labels are open: a column that
-   still has several labels is cut into blocks of BLOCK rows, all block pairs are
-   compared by sizes and sketches, and what is left goes through the product. Columns
-   of near copies collapse to one label in the hub steps, so their pairs are not made;
-   no pair of different labels is left out.
+4. Product. The rows of a column meet its hub, the most central one: a block of rows is
+   multiplied with the hub's row, overlaps are accumulated and compared. What links gets
+   a common label. Then only pairs of different labels are open: a column that still has
+   several labels is cut into blocks of BLOCK rows, all block pairs are compared by
+   sizes and sketches, and what is left goes through the product. A column of near
+   copies mostly collapses to one label at its hub, so that its pairs are not made; no
+   pair of different labels is left out. Equal columns are taken once.
 5. Components over the links, by stars; the labels go back to all documents.
 
 Defined results: a null, empty or blank text has no shingle and is linked with nothing;
@@ -45,7 +45,6 @@ SHARE, PART = 80, 100
 #: Most shingles that are ordered last, the counts that make one of them, and the
 #: shingles that a task counts at a time (32 MB).
 HOT, HOT_LOCAL, HOT_TOTAL, COUNTED = 1 << 20, 3, 32, 1 << 22
-HUBS = 16
 BLOCK = 512
 #: Rows of a hub's column that meet it in one task.
 MEMBERS = 256
@@ -241,6 +240,15 @@ def only(entries: DataFrame, columns: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, entries.schema).join(columns, "gram", "left_semi")
 
 
+def one_of_equal(columns: DataFrame) -> DataFrame:
+    """(gram): the least of all columns with the same rows (told by their number and two
+    hashes added up), without columns of one row. The shingles of a passage that the
+    same documents share are one column."""
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    each = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), *marks).where("rows > 1")
+    return each.groupBy("rows", "m1", "m2").agg(F.min("gram").alias("gram")).select("gram")
+
+
 def rows_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, grams): the matrix rows of the texts of ``ids`` (and some others)."""
     wanted = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
@@ -311,35 +319,28 @@ def _facts(facts: DataFrame, prefix: str) -> DataFrame:
     return facts.select(F.col("doc_id").alias(f"{prefix}id"), *[F.col(c).alias(f"{prefix}{c}") for c in ["n", *SKETCH]])
 
 
-def hub_pairs(columns: DataFrame, facts: DataFrame, hubs: int) -> DataFrame:
-    """(doc_id, hub): of the possible pairs of a row with the ``hubs`` most central rows
-    (most shingles in several rows' prefixes) of its columns, the closest by sketch for
-    each label that is not its own."""
-    row = F.struct(F.col("rank"), F.col("doc_id"), F.col("label"))
-    near = columns.withColumn("slot", F.pmod(F.xxhash64("doc_id", "gram"), F.lit(hubs)))
-    heads = near.groupBy("gram", "slot").agg(F.min(row).alias("h")).select("gram", F.col("h.doc_id").alias("hub"), F.col("h.label").alias("hub_label"))
-    met = columns.join(heads, "gram").where("label != hub_label").select("doc_id", "hub", "hub_label").distinct()
+def hub_pairs(columns: DataFrame, facts: DataFrame) -> DataFrame:
+    """(doc_id, hub): the possible pairs of a row with the most central row (most
+    shingles in several rows' prefixes) of each of its columns."""
+    heads = columns.groupBy("gram").agg(F.min(F.struct("rank", "doc_id")).alias("h")).select("gram", F.col("h.doc_id").alias("hub"))
+    met = columns.join(heads, "gram").where("doc_id != hub").select("doc_id", "hub").distinct()
     full = met.join(_facts(facts, "a_"), F.col("doc_id") == F.col("a_id")).join(_facts(facts, "b_"), F.col("hub") == F.col("b_id"))
-    near = screen(full.where(_possible("a_", "b_")).select("doc_id", "hub", "hub_label"), facts)
-    closest = near.groupBy("doc_id", "hub_label").agg(F.min(F.struct("differ", "hub")).alias("m"))
-    return closest.select("doc_id", F.col("m.hub").alias("hub"))
+    return screen(full.where(_possible("a_", "b_")).select("doc_id", "hub"), facts)
 
 
 def screen(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs whose wide sketches leave a link possible, and their differing bits."""
+    """The pairs (doc_id, hub) whose wide sketches leave a link possible."""
     sides = [facts.select(F.col("doc_id").alias(f"{p}id"), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}wide")) for p in ("a_", "b_")]
     full = pairs.join(sides[0], F.col("doc_id") == F.col("a_id")).join(sides[1], F.col("hub") == F.col("b_id"))
-    kept = [c for c in pairs.columns]
-    schema = ", ".join(f"{c} long" for c in kept) + ", differ long"
 
     def run(batches):
         for b in batches:
             differ = np.array([differing(x, y) for x, y in zip(col(b, "a_wide").to_pylist(), col(b, "b_wide").to_pylist())], np.int64)
             size = col(b, "a_n").to_numpy() + col(b, "b_n").to_numpy()
             near = pa.array((PART + SHARE) * differ <= (PART - SHARE) * size)
-            yield pa.RecordBatch.from_arrays([*[col(b, c) for c in kept], pa.array(differ)], names=[*kept, "differ"]).filter(near)
+            yield b.select(["doc_id", "hub"]).filter(near)
 
-    return full.select(*kept, "a_n", "b_n", "a_wide", "b_wide").mapInArrow(run, schema)
+    return full.select("doc_id", "hub", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(run, "doc_id long, hub long")
 
 
 def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -386,7 +387,7 @@ def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataF
     grouped = full.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     pairs = grouped.mapInArrow(run, "doc_id long, hub long")
     pairs = pairs.select(F.least("doc_id", "hub").alias("doc_id"), F.greatest("doc_id", "hub").alias("hub")).distinct()
-    return screen(pairs, facts).select("doc_id", "hub")
+    return screen(pairs, facts)
 
 
 def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -397,14 +398,11 @@ def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.
     entries = found.where("gram is not null").select("gram", "doc_id")
     shared = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "jaccard-columns")
     columns = stored(only(entries, shared).join(ids, "doc_id", "left_semi").distinct(), "jaccard-entries")
+    columns = columns.join(one_of_equal(columns), "gram", "left_semi")
     rank = columns.groupBy("doc_id").agg((-F.count(F.lit(1))).alias("rank"))
     columns = stored(columns.join(rank, "doc_id"), "jaccard-ranked")
-    edges, roots = None, None
-    for hubs in (1, HUBS):
-        named = _labelled(columns, roots)
-        more = verify(cut(hub_pairs(named, facts, hubs)), docs, width).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-        edges = cut(more if edges is None else edges.unionByName(more))
-        roots = cut(components(edges))
+    edges = cut(verify(cut(hub_pairs(columns, facts)), docs, width).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    roots = cut(components(edges))
     rest = cut(open_pairs(_labelled(columns, roots), facts))
     if rest.isEmpty():
         return edges, roots
@@ -414,9 +412,7 @@ def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.
     return edges, cut(components(edges))
 
 
-def _labelled(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return columns.withColumn("label", F.col("doc_id"))
+def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
     named = columns.join(labels, F.col("doc_id") == F.col("node"), "left")
     return named.withColumn("label", F.coalesce("root", "doc_id")).drop("node", "root")
 
