@@ -207,6 +207,18 @@ def apply_import(preview: DataFrame, inventory: DataFrame, mode: str = "skip") -
     return inv.unionByName(new_rows), summary
 
 
+def commit_import(store, rows: DataFrame, mode: str = "skip") -> tuple[int, DataFrame]:
+    """DM1 + DM2 on a :class:`~tillpoint.sinks.versions.VersionedTables`: preview the
+    files against the current version, apply them and publish the new inventory. An
+    import that met another commit is previewed again. Returns ``(version, summary)``."""
+    def job(view):
+        preview = preview_import(rows, view.inventory_items, view.categories)
+        inventory, summary = apply_import(preview, view.inventory_items, mode)
+        return {"inventory_items": inventory}, summary
+
+    return store.update(job, name=f"import ({mode})")
+
+
 def _stored(rows: DataFrame) -> DataFrame:
     """Validated product rows in the stored types."""
     money = "decimal(18,2)"

@@ -148,3 +148,16 @@ class IngestResult:
 
 def ingest_sales(carts: DataFrame, inventory: DataFrame, sales: DataFrame, requests: DataFrame) -> IngestResult:
     return IngestResult(carts, inventory, sales, requests)
+
+
+def commit_sales(store, carts: DataFrame) -> tuple[int, DataFrame]:
+    """DM3 on a :class:`~tillpoint.sinks.versions.VersionedTables`: a batch of carts
+    becomes sales, lines and requests, all four tables in one version. Returns
+    ``(version, rejects)``."""
+    def job(view):
+        result = ingest_sales(carts, view.inventory_items, view.sales, view.digital_service_requests)
+        more = {"sales": result.sales.drop("cart_id"), "sale_items": result.sale_items,
+                "sale_digital_items": result.sale_digital_items, "digital_service_requests": result.requests.drop("sale_id")}
+        return {n: getattr(view, n).unionByName(df, allowMissingColumns=True) for n, df in more.items()}, result.rejects
+
+    return store.update(job, name="sales")

@@ -14,6 +14,7 @@ from tillpoint.plans import inputs as IN
 from tillpoint.plans.present import flat
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
+from tillpoint.sinks import versions as VR
 from tillpoint.sources import catalog as C
 from tillpoint.sources.csv_import import read_inventory_csv
 from tillpoint.streaming.live_totals import scratch_path
@@ -139,7 +140,7 @@ def import_apply_skip(t):
     return flat(summary)
 
 
-@register("import_apply_update", with_views(f"""
+_IMPORT_UPDATE_SQL = with_views(f"""
 WITH {_preview_ctes(True)},{_APPLY},
 typed AS (SELECT stored, turn, turn_back, file, row_number, barcode, name, category, supplier, {_NORM.format(x='status_raw')} AS status,
                  CAST(stock_num AS BIGINT) AS stock_quantity, CAST(unit_price AS DECIMAL(18,2)) AS unit_price,
@@ -157,13 +158,30 @@ allrows AS (SELECT id, barcode, name, category, supplier, status, CAST(stock_qua
             UNION ALL SELECT * FROM changed)
 SELECT id, barcode, name, category, supplier, status, stock_quantity, CAST(unit_price AS DOUBLE) AS unit_price,
        CAST(selling_price AS DOUBLE) AS selling_price, reorder_level
-FROM allrows""", "inventory_items", "categories"))
+FROM allrows""", "inventory_items", "categories")
+
+
+@register("import_apply_update", _IMPORT_UPDATE_SQL)
 def import_apply_update(t):
     """DM2 in update mode: the inventory after the import."""
     new_inventory, _ = IM.apply_import(_preview_df(t, clean=True), t.inventory_items, "update")
     return flat(new_inventory)
 
 
+@register("import_commit", _IMPORT_UPDATE_SQL)
+def import_commit(t):
+    """DM2 committed: the import is published as a new version of the stored tables,
+    a commit on the version before it is refused, and the new version is read back."""
+    store = VR.commit_tables(t.spark, scratch_path(t.spark, "versions"), t, ("inventory_items", "categories"))
+    pinned = store.at()
+    version, _ = IM.commit_import(store, IN.import_rows(t, clean=True), "update")
+    try:  # a job that still has the version before it is refused
+        store.commit(pinned.version, {"inventory_items": pinned.inventory_items.limit(0)})
+    except VR.CommitConflict:
+        return flat(store.at(version).inventory_items)
+    raise AssertionError("a commit on an old version was let through")
+
+
 @register("csv_import_parse", with_views(f"""
 WITH {IN.IMPORT_FILES_SQL.strip()}
 SELECT file_key, CAST(row_number AS BIGINT) AS row_number,
@@ -292,6 +310,35 @@ def sale_ingest_rejects(t):
     return flat(_ingest(t).rejects)
 
 
+_SALE_TABLES = ("sales", "sale_items", "sale_digital_items", "digital_service_requests")
+
+
+@register("sale_commit_versions", with_views(f"""
+WITH {_INGEST_CTES},
+added AS (
+  SELECT 'sales' AS "table", count(*) AS n FROM acc
+  UNION ALL SELECT 'sale_items', count(*) FROM chk JOIN acc ON acc.cart_id = chk.cart_id
+  UNION ALL SELECT 'sale_digital_items', count(*) FROM dlines dl JOIN acc ON acc.cart_id = dl.cart_id
+  UNION ALL SELECT 'digital_service_requests', count(*) FROM dlines dl JOIN acc ON acc.cart_id = dl.cart_id),
+base AS ({" UNION ALL ".join(f"SELECT '{n}' AS t, count(*) AS n FROM {n}" for n in (*_SALE_TABLES, "inventory_items"))})
+SELECT CAST(v.version AS BIGINT) AS version, b.t AS "table", CAST(b.n + CASE WHEN v.version = 2 THEN coalesce(a.n, 0) ELSE 0 END AS BIGINT) AS rows,
+       CAST(v.version = 1 OR a.n IS NOT NULL AS BIGINT) AS changed
+FROM base b CROSS JOIN (VALUES (1), (2)) v(version) LEFT JOIN added a ON a."table" = b.t""",
+                                           "inventory_items", *_SALE_TABLES))
+def sale_commit_versions(t):
+    """DM3 committed: the four tables that a batch of carts changes appear in one
+    version; rows of every table and version, counted from what the reader sees."""
+    store = VR.commit_tables(t.spark, scratch_path(t.spark, "versions"), t, (*_SALE_TABLES, "inventory_items"))
+    SI.commit_sales(store, IN.carts(t))
+    seen = None
+    for version in store.versions():
+        view = store.at(version)
+        for name in (*_SALE_TABLES, "inventory_items"):
+            n = getattr(view, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(version).cast("long").alias("version"), F.lit(name).alias("table"), "rows")
+            seen = n if seen is None else seen.unionByName(n)
+    return flat(seen.join(store.history().select("version", "table", "changed"), ["version", "table"]))
+
+
 @register("sale_ingest_requests", with_views(f"""
 WITH {_INGEST_CTES},
 d AS (SELECT acc.sale_id, acc.employee_name, dl.* FROM dlines dl JOIN acc ON acc.cart_id = dl.cart_id),

@@ -11,8 +11,10 @@ from tillpoint.operators import recommend as RC
 from tillpoint.plans.present import flat, positioned
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
+from tillpoint.session import cut_lineage
 from tillpoint.sinks import export as X
 from tillpoint.sinks import snapshot as SN
+from tillpoint.sinks import versions as VR
 from tillpoint.sources import catalog as C
 from tillpoint.streaming.live_totals import scratch_path
 
@@ -143,6 +145,48 @@ def snapshot_manifest(t):
     return flat(SN.verify_snapshot(t.spark, folder).select("table", "rows", "rows_now", "ok"))
 
 
+def _flip_byte(spark, name: str) -> None:
+    """Change one byte in the middle of a (small) file."""
+    content = bytearray(spark.read.format("binaryFile").load(name).first()["content"])
+    content[len(content) // 2] ^= 1
+    VR.Files(spark, name).write(name, bytes(content))
+
+
+_KEPT = ("inventory_items", "sales", "categories", "suppliers")
+
+
+@register("snapshot_damage", with_views(" UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", CAST({int(n == 'categories')} AS BIGINT) AS damaged, CAST(1 AS BIGINT) AS intact_before, CAST(1 AS BIGINT) AS refused FROM (SELECT 1)"
+    for n in _KEPT)))
+def snapshot_damage(t):
+    """SK3: a dated snapshot whose file hashes agree; after one byte of the categories'
+    file is flipped, exactly that table has a damaged file and restoring is refused."""
+    folder = SN.dated_snapshot(t, scratch_path(t.spark, "snapshots"), AS_OF, _KEPT)
+    before = cut_lineage(SN.verify_files(t.spark, folder).groupBy("table").agg(F.min(F.col("state") == "ok").alias("intact_before")))
+    name = t.spark.read.format("binaryFile").load(f"{folder}/categories").select("path").orderBy(F.desc("path")).first()["path"]
+    _flip_byte(t.spark, name)
+    try:
+        SN.restore(t.spark, folder, VR.VersionedTables(t.spark, scratch_path(t.spark, "versions")))
+        refused = False
+    except SN.DamagedSnapshot as found:
+        refused = name.rsplit("/", 1)[-1] in str(found)
+    after = SN.verify_files(t.spark, folder).groupBy("table").agg(F.count_if(F.col("state") == "damaged").alias("damaged"))
+    return flat(after.join(before, "table").withColumn("refused", F.lit(refused)))
+
+
+@register("snapshot_restore", with_views("""
+SELECT id, barcode, name, category, supplier, CAST(stock_quantity AS BIGINT) AS stock_quantity,
+       CAST(selling_price AS DOUBLE) AS selling_price FROM inventory_items""", "inventory_items"))
+def snapshot_restore(t):
+    """SK3: the inventory as restored from a dated snapshot after it was emptied."""
+    root = scratch_path(t.spark, "versions")
+    store = VR.commit_tables(t.spark, root, t, ("inventory_items", "categories"))
+    folder = SN.dated_snapshot(store.at(), f"{root}/backup", AS_OF, ("inventory_items", "categories"))
+    store.commit(1, {"inventory_items": store.at().inventory_items.limit(0)}, "reset")
+    version = SN.restore(t.spark, folder, store)
+    return flat(store.at(version).inventory_items.select("id", "barcode", "name", "category", "supplier", "stock_quantity", "selling_price"))
+
+
 _BIG_SALES = """big AS (SELECT id, total_amount * 1000 + 0.05 AS total_amount FROM sales)"""
 
 

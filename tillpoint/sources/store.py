@@ -46,18 +46,24 @@ class CanonicalTables:
         raise AttributeError(name)
 
 
-def write_canonical(tables, folder: str, names=None) -> None:
+def write_table(df: DataFrame, name: str, path: str, mode: str = "errorifexists", max_rows: int = 0) -> None:
+    """Write one table in the engine's layout; ``max_rows`` bounds a file's rows."""
+    from pyspark.sql import functions as F
+
+    if name in PARTITIONS:
+        column, expr, order = PARTITIONS[name]
+        # range-partition on the sort order: each task writes a slice of
+        # days, and a month or day holding a third of the rows is still
+        # split over many tasks; rows are sorted inside each file
+        df = (df.withColumn(column, F.expr(expr)).repartitionByRange(*order)
+              .sortWithinPartitions(*order))
+    writer = df.write.mode(mode).option("maxRecordsPerFile", max_rows)
+    if name in PARTITIONS:
+        writer = writer.partitionBy(column)
+    writer.parquet(path)
+
+
+def write_canonical(tables, folder: str, names=None, mode: str = "overwrite", max_rows: int = 0) -> None:
     """Write canonical tables under ``folder`` with the engine's layout."""
     for name in names or SCHEMAS:
-        df = getattr(tables, name).select(*SCHEMAS[name].fieldNames())
-        writer = df.write.mode("overwrite")
-        if name in PARTITIONS:
-            from pyspark.sql import functions as F
-            column, expr, order = PARTITIONS[name]
-            # range-partition on the sort order: each task writes a slice of
-            # days, and a month or day holding a third of the rows is still
-            # split over many tasks; rows are sorted inside each file
-            df = (df.withColumn(column, F.expr(expr)).repartitionByRange(*order)
-                  .sortWithinPartitions(*order))
-            writer = df.write.mode("overwrite").partitionBy(column)
-        writer.parquet(f"{folder}/{name}")
+        write_table(getattr(tables, name).select(*SCHEMAS[name].fieldNames()), name, f"{folder}/{name}", mode, max_rows)
