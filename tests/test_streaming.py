@@ -61,12 +61,17 @@ def test_session_gap_edge(spark):
     assert got == [(1, t0, 2), (1, t0 + dt.timedelta(minutes=60) - dt.timedelta(microseconds=1), 1), (2, t0, 1)]
 
 
-def test_lockout_stream_matches_batch(spark):
-    import os
+def _attempt_files(spark, folder, rows, n):
+    spark.createDataFrame(rows, "key string, ts timestamp_ntz, success boolean").withColumn("ts", F.col("ts").cast("timestamp")) \
+         .coalesce(1).write.parquet(f"{folder}/in/part={n}")
+
+
+def test_lockout_stream_matches_batch_in_any_order(spark):
+    """Rows arrive shuffled, later by up to 20 minutes, over several batches; a
+    heartbeat ends the run and no state is left."""
     import random
-    import tempfile
 
-    from tillpoint.streaming.lockouts import ACCOUNT, detect_lockouts, lockout_stream
+    from tillpoint.streaming.lockouts import ACCOUNT, detect_lockouts, read_lockouts, start_lockouts
 
     rnd = random.Random(11)
     t0 = dt.datetime(2024, 1, 1, 8)
@@ -76,24 +81,35 @@ def test_lockout_stream_matches_batch(spark):
         for _ in range(40):
             t += dt.timedelta(seconds=rnd.choice([5, 20, 60, 300, 901]))
             rows.append((key, t, rnd.random() < 0.08))
-    rows.sort(key=lambda r: r[1])
-    folder = tempfile.mkdtemp(prefix="attempts-", dir=os.environ.get("TILLPOINT_SCRATCH"))
-    # three files in time order, read one per micro-batch
-    for i, chunk in enumerate((rows[:60], rows[60:130], rows[130:])):
-        spark.createDataFrame(chunk, "key string, ts timestamp_ntz, success boolean") \
-             .withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1) \
-             .write.mode("overwrite").parquet(f"{folder}/in/part={i}")
-    schema = "key string, ts timestamp, success boolean, part int"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    q = (lockout_stream(stream.select("key", "ts", "success"), ACCOUNT).writeStream.outputMode("append")
-         .format("parquet").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True)
-         .start(f"{folder}/out"))
-    q.awaitTermination()
-    streamed = sorted((r["key"], r["locked_at"].replace(tzinfo=None), r["failures"])
-                      for r in spark.read.parquet(f"{folder}/out").collect())
-    batch = sorted((r["key"], r["locked_at"], r["failures"])
-                   for r in detect_lockouts(spark.createDataFrame(rows, "key string, ts timestamp_ntz, success boolean")).collect())
+    rows.sort(key=lambda r: r[1] + dt.timedelta(minutes=rnd.uniform(0, 20)))
+    assert rows != sorted(rows, key=lambda r: r[1])
+    folder = live_totals.scratch_path(spark, "lock-stream")
+    end = max(r[1] for r in rows)
+    for n, chunk in enumerate((rows[:60], rows[60:130], rows[130:], [(None, end + dt.timedelta(days=1), True)])):
+        _attempt_files(spark, folder, chunk, n)
+        stream = spark.readStream.schema("key string, ts timestamp, success boolean, part int").parquet(f"{folder}/in")
+        query = start_lockouts(stream.select("key", "ts", "success"), folder, {"availableNow": True}, ACCOUNT)
+        query.awaitTermination()
+    streamed = sorted((r["key"], r["locked_at"].replace(tzinfo=None), r["locked_until"].replace(tzinfo=None), r["failures"]) for r in read_lockouts(spark, folder).collect())
+    batch = sorted(map(tuple, detect_lockouts(spark.createDataFrame(rows, "key string, ts timestamp_ntz, success boolean")).collect()))
     assert streamed == batch and batch
+    (state,) = query.lastProgress["stateOperators"]
+    assert state["numRowsTotal"] == 0
+
+
+def test_lockout_rows_beyond_the_lateness_are_dropped(spark):
+    """A failure that arrives an hour late does not complete a lock."""
+    from tillpoint.streaming.lockouts import ACCOUNT, read_lockouts, start_lockouts
+
+    t0 = dt.datetime(2024, 1, 1, 8)
+    fails = [("k", t0 + dt.timedelta(seconds=s), False) for s in range(ACCOUNT.max_failures - 1)]
+    folder = live_totals.scratch_path(spark, "lock-late")
+    for n, chunk in enumerate((fails, [(None, t0 + dt.timedelta(hours=1), True)], [("k", t0 + dt.timedelta(seconds=30), False)], [(None, t0 + dt.timedelta(days=1), True)])):
+        _attempt_files(spark, folder, chunk, n)
+        stream = spark.readStream.schema("key string, ts timestamp, success boolean, part int").parquet(f"{folder}/in")
+        query = start_lockouts(stream.select("key", "ts", "success"), folder, {"availableNow": True})
+        query.awaitTermination()
+    assert read_lockouts(spark, folder).collect() == [] and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
 
 
 def test_alert_feed_appends_only_new(spark):

@@ -8,6 +8,7 @@ from tillpoint.functions.dates import as_utc_instant
 from tillpoint.plans.present import flat
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
+from tillpoint.session import cut_lineage
 from tillpoint.streaming import live_totals, lockouts, sessions
 
 
@@ -66,6 +67,24 @@ def lockouts_pin(t):
     return flat(lockouts.detect_lockouts(_attempts(t), lockouts.PIN))
 
 
+@register("lockouts_stream", lockouts_sql(lockouts.ACCOUNT))
+def lockouts_stream(t):
+    """ST1 streaming form, drained: attempts arrive out of order (up to 20 minutes late)
+    in three slices, then a heartbeat lets the watermark pass all of them."""
+    folder = live_totals.scratch_path(t.spark, "lockouts")
+    attempts = _attempts(t).withColumn("late", F.pmod(F.xxhash64("key", "ts"), F.lit(1200)))
+    arrival = attempts.withColumn("arrives", F.unix_seconds(as_utc_instant(F.col("ts"))) + F.col("late"))
+    arrival = cut_lineage(arrival.select("key", as_utc_instant(F.col("ts")).alias("ts"), "success", "arrives"))
+    cuts = [float("-inf"), *arrival.approxQuantile("arrives", [1 / 3, 2 / 3], 0.01), float("inf")]
+    slices = [arrival.where((F.col("arrives") > lo) & (F.col("arrives") <= hi)) for lo, hi in zip(cuts, cuts[1:])]
+    beat = arrival.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(None).cast("string").alias("key"), "ts", F.lit(True).alias("success"))
+    for rows in (*slices, beat):
+        rows.select("key", "ts", "success").write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema("key string, ts timestamp, success boolean").parquet(f"{folder}/in")
+        lockouts.start_lockouts(stream, folder, {"availableNow": True}).awaitTermination()
+    return flat(lockouts.read_lockouts(t.spark, folder))
+
+
 _SESSIONS_SQL = """
 WITH a AS (SELECT user_id, ts, event_id,
                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),

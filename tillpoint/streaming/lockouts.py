@@ -17,17 +17,21 @@ history is cut at such gaps (a bucketed gap-and-island pass, see
 sorted pass with bounded memory. A key under constant attack is still cut
 at every quiet quarter hour; no key is gathered whole.
 
-The streaming form keeps the same three-value state per key with
-``applyInPandasWithState``.
+The streaming form holds rows until the watermark passes them, folds them in
+order onto the same three values and drops a key's state after a quiet period
+(``transformWithState`` with event-time timers).
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from tillpoint import params as P
 from tillpoint.operators.windows import gap_sessions
@@ -92,11 +96,6 @@ def detect_lockouts(attempts: DataFrame, preset: Preset = ACCOUNT) -> DataFrame:
 
 
 # -- streaming form -----------------------------------------------------------
-_STATE_SCHEMA = T.StructType([
-    T.StructField("first_us", T.LongType()),
-    T.StructField("n", T.IntegerType()),
-    T.StructField("until_us", T.LongType()),
-])
 _OUT_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("locked_at", T.TimestampType()),
@@ -130,32 +129,95 @@ def fold_rows(state: tuple[int | None, int, int | None], rows: list[tuple[int, b
     return (first, n, until), events
 
 
-def lockout_stream(attempts: DataFrame, preset: Preset = ACCOUNT) -> DataFrame:
-    """Streaming ST1 over a stream of ``key, ts (TIMESTAMP), success``.
-
-    Each micro-batch's rows of a key are folded in time order onto the
-    stored state; rows are assumed to arrive in time order across batches
-    (late rows are folded when they arrive).
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from tillpoint.session import ship_package
-    ship_package(attempts.sparkSession)
-
-    def step(key, batches, state):
-        prev = state.get if state.exists else (None, 0, None)
-        frames = [b for b in batches]
-        pdf = pd.concat(frames) if frames else pd.DataFrame(columns=["ts", "success"])
-        pdf = pdf.sort_values(["ts", "success"])
-        micros = (pd.to_datetime(pdf["ts"]).astype("int64") // 1000).tolist()
-        new_state, events = fold_rows(prev, list(zip(micros, pdf["success"].astype(bool).tolist())), preset)
-        state.update(new_state)
+class LockoutProcessor(StatefulProcessor):
+    """One key's attempts. Rows wait in state until the watermark has passed them, so
+    that they are folded in time order however they arrived; a timer at the earliest
+    waiting row wakes the key. When nothing waits, a timer a quiet period after the
+    last attempt drops the key's state (from there every attempt starts clean)."""
+
+    def __init__(self, preset: Preset):
+        self._preset = preset
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "ts long, success boolean")
+        self._fold = handle.getValueState("fold", "first_us long, n int, until_us long, last_us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        earliest = None
+        for pdf in rows:
+            micros = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64").tolist()
+            if micros and key[0] is not None:
+                self._waiting.appendList([(t, bool(s)) for t, s in zip(micros, pdf["success"].tolist())])
+                earliest = min(micros) if earliest is None else min(earliest, min(micros))
+        if earliest is not None:
+            self._handle.registerTimer(earliest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(((t, s) for t, s in self._waiting.get()))
+        due = [r for r in rows if r[0] <= passed]
+        later = rows[len(due):]
+        first, n, until, last = self._fold.get() if self._fold.exists() else (None, 0, None, None)
+        events = []
+        if due:
+            (first, n, until), events = fold_rows((first, n, until), due, self._preset)
+            last = due[-1][0]
+            self._fold.update((first, n, until, last))
+            if later:
+                self._waiting.put(later)
+            else:
+                self._waiting.clear()
+        quiet_ends = None if last is None else last // 1000 + int(self._preset.quiet_seconds * 1000) + 2
+        if later:
+            self._handle.registerTimer(later[0][0] // 1000 + 1)
+        elif quiet_ends is not None and quiet_ends * 1000 <= passed:
+            self._fold.clear()
+        elif quiet_ends is not None:
+            self._handle.registerTimer(quiet_ends)
         if events:
-            yield pd.DataFrame({
-                "key": [key[0]] * len(events),
-                "locked_at": pd.to_datetime([e[0] for e in events], unit="us"),
-                "locked_until": pd.to_datetime([e[1] for e in events], unit="us"),
-                "failures": [e[2] for e in events]})
-
-    return (attempts.groupBy("key")
-            .applyInPandasWithState(step, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+            yield pd.DataFrame({"key": [key[0]] * len(events), "locked_at": pd.to_datetime([e[0] for e in events], unit="us"),
+                                "locked_until": pd.to_datetime([e[1] for e in events], unit="us"), "failures": [e[2] for e in events]})
+
+    def close(self) -> None:
+        pass
+
+
+#: How far behind the latest attempt a row may arrive and still count.
+LATENESS = "30 minutes"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def lockout_stream(attempts: DataFrame, preset: Preset = ACCOUNT, lateness: str = LATENESS) -> DataFrame:
+    """Streaming ST1 over a stream of ``key, ts (TIMESTAMP), success``: the lock events
+    of the batch form, for rows that arrive in any order within ``lateness`` (later ones
+    are dropped). Rows without a key (heartbeats) only move the watermark. State: the
+    rows of the last ``lateness``, and three values a key until it was quiet."""
+    timed = attempts.withWatermark("ts", lateness)  # a filter on the key would be pushed below it
+    # by value: the worker that sets up the state runs beside the driver, without the
+    # files that were shipped to executors
+    here = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(here)
+    try:
+        return timed.groupBy("key").transformWithStateInPandas(
+            statefulProcessor=LockoutProcessor(preset), outputStructType=_OUT_SCHEMA, outputMode="Append", timeMode="EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(here)
+
+
+def start_lockouts(attempts: DataFrame, out: str, trigger: dict, preset: Preset = ACCOUNT, lateness: str = LATENESS):
+    """Start ST1 into ``<out>/locks`` and return the query handle. The state store with
+    timers is RocksDB's; the session's setting is put back once the query has it."""
+    spark = attempts.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return (lockout_stream(attempts, preset, lateness).writeStream.outputMode("append").format("parquet")
+                .option("checkpointLocation", f"{out}/_checkpoint").trigger(**trigger).start(f"{out}/locks"))
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def read_lockouts(spark, out: str) -> DataFrame:
+    return spark.read.schema(_OUT_SCHEMA).parquet(f"{out}/locks")
