@@ -48,6 +48,8 @@ HOT, HOT_LOCAL, HOT_TOTAL, COUNTED = 1 << 20, 3, 32, 1 << 22
 BLOCK = 512
 #: Rows of a hub's column that meet it in one task.
 MEMBERS = 256
+#: Pairs that a task of the block step holds before it passes them on (16 MB).
+PAIRS = 1 << 20
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Ids are let through a bit table of so many bits (16 MB).
 ID_BITS = 27
@@ -355,7 +357,7 @@ def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataF
     schema = pa.schema([("doc_id", pa.int64()), ("hub", pa.int64())])
 
     def run(batches):
-        key, held = None, []
+        key, held, met = None, [], []
 
         def close():
             cells = np.array(held, np.int64)
@@ -371,23 +373,33 @@ def open_pairs(columns: DataFrame, facts: DataFrame, size: int = BLOCK) -> DataF
                 for k in range(4, 4 + len(SKETCH)):
                     differ += np.bitwise_count(p[:, k].view(np.uint64)[:, None] ^ y[:, k].view(np.uint64)[None, :])
                 a, b = np.nonzero(good & ((PART + SHARE) * differ <= (PART - SHARE) * (n + m)))
-                yield pa.RecordBatch.from_arrays([pa.array(p[a, 1]), pa.array(y[b, 1])], schema=schema)
+                if len(a):
+                    met.append(np.stack((np.minimum(p[a, 1], y[b, 1]), np.maximum(p[a, 1], y[b, 1])), axis=1))
+
+        def distinct():
+            """Two rows share many columns: one pair for all that this task has met."""
+            pairs = np.unique(np.concatenate(met), axis=0)
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], schema=schema)
 
         for b in batches:
             names = ("gram", "i", "j", "side", "doc_id", "label", "n", *SKETCH)
             for gram, i, j, *cells in zip(*(col(b, c).to_pylist() for c in names)):
                 if (gram, i, j) != key:
                     if held:
-                        yield from close()
+                        close()
                     key, held = (gram, i, j), []
+                    if sum(map(len, met)) > PAIRS:
+                        yield distinct()
                 held.append(cells)
         if held:
-            yield from close()
+            close()
+        if met:
+            yield distinct()
 
     grouped = full.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     pairs = grouped.mapInArrow(run, "doc_id long, hub long")
-    pairs = pairs.select(F.least("doc_id", "hub").alias("doc_id"), F.greatest("doc_id", "hub").alias("hub")).distinct()
-    return screen(pairs, facts)
+    return screen(pairs.distinct(), facts)
 
 
 def similarity_links(docs: DataFrame, ids: DataFrame, hot: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
