@@ -113,10 +113,58 @@ def test_lockout_rows_beyond_the_lateness_are_dropped(spark):
 
 
 def test_alert_feed_appends_only_new(spark):
+    """The drained feed shows every alert once; a poll that is written again, a poll with
+    an unchanged feed and a null link add nothing; a changed text does."""
     from tillpoint.operators.dashboard import notifications
     from tillpoint.sources.tables import Tables
-    from tillpoint.streaming.alerts import run_alert_feed
+    from tillpoint.streaming import alerts
 
-    seen = run_alert_feed(spark, SMALL, "2000-06-15")
+    out = live_totals.scratch_path(spark, "alerts-test")
+    seen = alerts.run_alert_feed(spark, SMALL, "2000-06-15", out)
     feed = notifications(Tables(spark, SMALL), "2000-06-15")
-    assert sorted(seen.select("title", "message").collect()) == sorted(feed.select("title", "message").collect())
+    want = sorted(feed.select("title", "message").collect())
+    assert sorted(seen.select("title", "message").collect()) == want
+    assert seen.where("link is null").count() > 0
+    now = F.current_timestamp()
+    for poll, rows in (("epoch=0", feed), ("again", feed), ("later", feed.withColumn("message", F.concat("message", F.lit("!"))))):
+        alerts.write_poll(rows, out, poll, now)
+        alerts.start_shown(spark, out, {"availableNow": True}).awaitTermination()
+        if poll != "later":
+            assert sorted(alerts.read_shown(spark, out).select("title", "message").collect()) == want
+    assert alerts.read_shown(spark, out).count() == 2 * len(want)
+
+
+def test_shown_alerts_are_forgotten_after_the_memory(spark):
+    """The state holds the keys of the memory only; after it an alert is new again."""
+    import datetime as dt
+
+    from tillpoint.streaming import alerts
+
+    out = live_totals.scratch_path(spark, "alerts-memory")
+    for day in range(1, 13):
+        rows = spark.createDataFrame([(1, "t", "same", "m", None), (2, "t", f"day {day}", "m", "/x")], "position int, tone string, title string, message string, link string")
+        alerts.write_poll(rows, out, f"day={day}", F.lit(dt.datetime(2024, 1, day)).cast("timestamp"))
+        query = alerts.start_shown(spark, out, {"availableNow": True}, "2 days")
+        query.awaitTermination()
+    shown = sorted(r.shown_at.day for r in alerts.read_shown(spark, out).where("title = 'same'").collect())
+    assert shown[0] == 1 and 2 < len(shown) < 6 and all(b - a > 2 for a, b in zip(shown, shown[1:]))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_epochs_are_merged_and_a_batch_may_be_replayed(spark):
+    from tillpoint.streaming.epochs import EpochTable
+
+    table = EpochTable(spark, live_totals.scratch_path(spark, "epochs"), "k long, v long", ["k"], every=5)
+    batch = lambda n: spark.range(n % 4, n % 4 + 3).selectExpr("id AS k", f"CAST({n} AS LONG) AS v").coalesce(1)
+    want, most = {}, 0
+    assert table.read().collect() == []
+    for n in range(30):
+        table.write(batch(n), n)
+        want |= {k: n for k in range(n % 4, n % 4 + 3)}
+        most = max(most, len(table.folders()))
+        if n in (7, 13, 29):  # right after a merge too
+            assert {r.k: (r.v, r.epoch) for r in table.read().collect()} == {k: (v, v) for k, v in want.items()}
+            table.write(batch(n), n)
+            assert {r.k: r.v for r in table.read().collect()} == want
+            assert {r.k: r.v for r in table.read(n).collect()} == {k: max(e for e in range(n) if e % 4 <= k < e % 4 + 3) for k in {k for e in range(n) for k in range(e % 4, e % 4 + 3)}}
+    assert most <= 8 and len(table._files.names(f"{table.root}/tail")) <= 14 and len(table._bases()) <= 2

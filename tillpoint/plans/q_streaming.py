@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpoint.functions.dates import as_utc_instant
+from tillpoint import params as P
+from tillpoint.functions.dates import as_utc_instant, shift_days
+from tillpoint.operators.dashboard import notifications
 from tillpoint.plans.present import flat
+from tillpoint.plans.q_digital import notifications_sql
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
 from tillpoint.session import cut_lineage
-from tillpoint.streaming import live_totals, lockouts, sessions
+from tillpoint.streaming import alerts, live_totals, lockouts, sessions
 
 
 # Attempts that do reach the limits: every event of a user group's day squeezed into
@@ -120,3 +123,27 @@ def stream_sessions(t):
     """ST2 streaming form (session_window), drained."""
     activity = live_totals.events_stream(t.spark, t.data_dir).select("user_id", as_utc_instant(F.col("ts")).alias("ts"))
     return flat(sessions.drain_sessions(activity, live_totals.scratch_path(t.spark, "sessions")))
+
+
+_POLL_DAYS = [shift_days(P.AS_OF, -2), shift_days(P.AS_OF, -1), P.AS_OF]
+
+
+@register("alerts_stream", with_views("WITH " + ", ".join(f"day{k} AS ({notifications_sql(d)})" for k, d in enumerate(_POLL_DAYS))
+    + "SELECT title, message, link, tone, min(day) AS shown_at FROM ("
+    + " UNION ALL ".join(f"SELECT *, '{d} 00:00:00.000000' AS day FROM day{k}" for k, d in enumerate(_POLL_DAYS))
+    + ") GROUP BY title, message, link, tone", "digital_service_requests", "inventory_items", "sales"))
+def alerts_stream(t):
+    """ST5 streaming form: the feeds of three days as polls, the last one written twice;
+    every alert once, with the day that showed it first."""
+    out = live_totals.scratch_path(t.spark, "alerts")
+    for day in (*_POLL_DAYS, _POLL_DAYS[-1]):
+        alerts.write_poll(notifications(t, day), out, f"day={day}", as_utc_instant(F.lit(day).cast("timestamp_ntz")))
+        alerts.start_shown(t.spark, out, {"availableNow": True}).awaitTermination()
+    return flat(alerts.read_shown(t.spark, out).select("title", "message", "link", "tone", "shown_at"))
+
+
+@register("alert_feed_live", with_views(f"SELECT title, message, link, tone FROM ({notifications_sql(P.AS_OF)})",
+                                        "digital_service_requests", "inventory_items", "sales"))
+def alert_feed_live(t):
+    """ST4 + ST5 live feed, drained: running pending counts from the events stream."""
+    return flat(alerts.run_alert_feed(t.spark, t.data_dir, P.AS_OF).select("title", "message", "link", "tone"))

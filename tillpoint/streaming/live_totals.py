@@ -4,9 +4,9 @@
 requests -> a tumbling one-day window aligned to local midnight
 (``startTime = 16 hours`` puts UTC 16:00 = local 00:00 at the start) ->
 sums per service. The query runs in ``update`` mode, so that the watermark
-bounds the state; each micro-batch writes the changed (day, service) rows to a
-folder of its own epoch (a replayed batch rewrites its folder), and readers take
-the latest epoch of each key, so no reader meets a half-written table.
+bounds the state; each micro-batch writes the changed (day, service) rows to an
+``EpochTable``: a replayed batch rewrites its own rows, old epochs are merged, and no
+reader meets a half-written table.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tillpoint import params as P
 from tillpoint.functions.dates import as_utc_instant, utc_wall
 from tillpoint.session import ensure_checkpoint_dir
 from tillpoint.sources.canonical import requests_from_events
+from tillpoint.streaming.epochs import EpochTable
 
 
 def events_stream(spark: SparkSession, data_dir: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,7 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-TOTALS_SCHEMA = "day date, service_type string, total decimal(28,2), requests long, epoch long"
+TOTALS_SCHEMA = "day date, service_type string, total decimal(28,2), requests long"
+
+
+def totals_table(spark: SparkSession, out: str) -> EpochTable:
+    return EpochTable(spark, f"{out}/table", TOTALS_SCHEMA, ["day", "service_type"])
 
 
 def start_daily_totals(spark: SparkSession, data_dir: str, out: str, trigger: dict):
@@ -60,18 +65,13 @@ def start_daily_totals(spark: SparkSession, data_dir: str, out: str, trigger: di
     (the reference's chart polls every 15 s) or ``{"availableNow": True}``."""
     stream = daily_totals(requests_from_events(events_stream(spark, data_dir)))
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
-
-    return (stream.writeStream.outputMode("update").foreachBatch(write)
+    return (stream.writeStream.outputMode("update").foreachBatch(totals_table(spark, out).write)
             .option("checkpointLocation", f"{out}/_checkpoint").trigger(**trigger).start())
 
 
 def read_daily_totals(spark: SparkSession, out: str) -> DataFrame:
     """The totals as of the last finished batch (empty before the first)."""
-    rows = spark.read.schema(TOTALS_SCHEMA).parquet(f"{out}/table")
-    latest = rows.groupBy("day", "service_type").agg(F.max_by(F.struct("total", "requests"), "epoch").alias("v"))
-    return latest.select("day", "service_type", "v.total", "v.requests")
+    return totals_table(spark, out).read().drop("epoch")
 
 
 def run_daily_totals(spark: SparkSession, data_dir: str, out_dir: str | None = None) -> DataFrame:
