@@ -168,3 +168,35 @@ def test_epochs_are_merged_and_a_batch_may_be_replayed(spark):
             assert {r.k: r.v for r in table.read().collect()} == want
             assert {r.k: r.v for r in table.read(n).collect()} == {k: max(e for e in range(n) if e % 4 <= k < e % 4 + 3) for k in {k for e in range(n) for k in range(e % 4, e % 4 + 3)}}
     assert most <= 8 and len(table._files.names(f"{table.root}/tail")) <= 14 and len(table._bases()) <= 2
+
+
+def test_lines_that_arrive_before_their_sale(spark):
+    """Whichever side comes first, each line counts once on its sale's day; a line
+    without a sale never does, and old rows leave the state."""
+    from tillpoint.streaming import month_chart as MC
+
+    out = live_totals.scratch_path(spark, "chart-test")
+    day = dt.datetime(2024, 1, 5, 10)
+    at = lambda m: day + dt.timedelta(minutes=m)
+    put = lambda rows, schema, where: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{out}/in/{where}")
+    from decimal import Decimal as D
+    steps = [([], [(1, D("5.00"), at(0)), (9, D("7.00"), at(1))]),
+             ([(1, day.date(), at(1)), (2, day.date(), at(2))], [(1, D("1.50"), at(2))]),
+             ([], [(2, D("2.00"), at(3)), (1, D("0.25"), at(4))]),
+             ([(3, dt.date(2024, 1, 8), at(3 * 24 * 60))], [(3, D("4.00"), at(3 * 24 * 60)), (2, D("100.00"), at(5))])]
+    totals = []
+    for sales, lines in steps:
+        put(sales, MC.SALES_SCHEMA, "sales")
+        put(lines, MC.LINES_SCHEMA, "lines")
+        query = MC.start_products(*MC.arrivals(spark, f"{out}/in"), out, {"availableNow": True})
+        query.awaitTermination()
+        totals.append({str(r.day): str(r.products) for r in MC.products_table(spark, out).read().collect()})
+    assert totals[0] == {} and totals[1] == {"2024-01-05": "6.50"} and totals[2] == {"2024-01-05": "8.75"}
+    # the last line came three days late: with its sale still in state it counts
+    assert totals[3] == {"2024-01-05": "108.75", "2024-01-08": "4.00"}
+    put([], MC.SALES_SCHEMA, "sales")
+    put([(2, D("100.00"), at(6))], MC.LINES_SCHEMA, "lines")
+    query = MC.start_products(*MC.arrivals(spark, f"{out}/in"), out, {"availableNow": True})
+    query.awaitTermination()
+    assert {str(r.day): str(r.products) for r in MC.products_table(spark, out).read().collect()} == totals[3]
+    assert query.lastProgress is None or query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2

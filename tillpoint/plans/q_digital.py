@@ -160,11 +160,14 @@ chart AS (SELECT cal.day, COALESCE(dig.gcash, 0) AS gcash, COALESCE(dig."load",
           FROM cal LEFT JOIN dig ON dig.day = cal.day LEFT JOIN prod ON prod.day = cal.day)"""
 
 
-@register("chart_month", with_views(f"""
+CHART_MONTH_SQL = with_views(f"""
 WITH {_CHART}
 SELECT CAST(dayofmonth(day) AS BIGINT) AS day_of_month, {d('day')} AS day, CAST(gcash AS DOUBLE) AS gcash,
        CAST("load" AS DOUBLE) AS "load", CAST(products AS DOUBLE) AS products
-FROM chart""", "sales", "sale_items", "digital_service_requests"))
+FROM chart""", "sales", "sale_items", "digital_service_requests")
+
+
+@register("chart_month", CHART_MONTH_SQL)
 def chart_month(t):
     return flat(D.chart_month(t, AS_OF))
 

@@ -8,11 +8,11 @@ from tillpoint import params as P
 from tillpoint.functions.dates import as_utc_instant, shift_days
 from tillpoint.operators.dashboard import notifications
 from tillpoint.plans.present import flat
-from tillpoint.plans.q_digital import notifications_sql
+from tillpoint.plans.q_digital import CHART_MONTH_SQL, notifications_sql
 from tillpoint.plans.registry import register
 from tillpoint.plans.sqlviews import with_views
 from tillpoint.session import cut_lineage
-from tillpoint.streaming import alerts, live_totals, lockouts, sessions
+from tillpoint.streaming import alerts, live_totals, lockouts, month_chart, sessions
 
 
 # Attempts that do reach the limits: every event of a user group's day squeezed into
@@ -147,3 +147,13 @@ def alerts_stream(t):
 def alert_feed_live(t):
     """ST4 + ST5 live feed, drained: running pending counts from the events stream."""
     return flat(alerts.run_alert_feed(t.spark, t.data_dir, P.AS_OF).select("title", "message", "link", "tone"))
+
+
+@register("chart_stream", CHART_MONTH_SQL)
+def chart_stream(t):
+    """ST3 streaming form, drained: GCash, load and products from three streams."""
+    out = live_totals.scratch_path(t.spark, "chart")
+    month_chart.write_arrivals(t, f"{out}/in")
+    live_totals.start_daily_totals(t.spark, t.data_dir, out, {"availableNow": True}).awaitTermination()
+    month_chart.start_products(*month_chart.arrivals(t.spark, f"{out}/in"), out, {"availableNow": True}).awaitTermination()
+    return flat(month_chart.read_chart(t.spark, out, P.AS_OF))
