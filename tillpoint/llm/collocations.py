@@ -216,7 +216,8 @@ def phrases(docs: DataFrame, top: int = TOP) -> DataFrame:
     most = inner.groupBy("lang", "phrase").agg(F.max("n").alias("longest"))
     left = cand.join(most, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longest") < INSIDE * F.col("a"), F.lit(True)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # a plain row_number limit: every task sends at most ``top`` rows of a language
+    # a plain row_number limit: Spark cuts every task's rows by it before they move if
+    # ``top`` is within spark.sql.optimizer.windowGroupLimitThreshold
     best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
