@@ -73,6 +73,14 @@ def test_filters_keep_columns_and_clean_rows(spark, odd, none, make):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_texts_with_one_id_are_judged_one_by_one(make):
+    from tests.llm.conftest import sentence
+    a, b, c = (sentence(k, 60) for k in (11, 12, 13))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, a), (4, sentence(14, 60)), (None, a)]
+    left = [(r.doc_id, r.text) for r in simhash.keep_one(make(rows, extra=True)).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (1, b), (3, c), rows[6], (None, a)], key=str)
+
+
 def test_substring(spark, odd, none):
     cut = {r.doc_id: r for r in substring.remove_repeats(odd.select("doc_id", "text")).collect()}
     assert set(cut) == {5, 6} and cut[5].n_removed == 60 and cut[5].kept_text == ""

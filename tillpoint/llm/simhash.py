@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tillpoint.llm.common import col, prepare, slices, stored, table, texts
 from tillpoint.llm.components import components
@@ -187,35 +188,58 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.array_min("all").alias("b"), F.explode("all").alias("a")).where("a != b").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+def classes_of(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp, component_id, root) of every row of ``docs`` (doc_id, text); ``root``
+    is a fingerprint that names the component, also where ids are used twice."""
     rows = stored(fingerprints(docs, width), "simhash-fp")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-class")
     n, both = bit_counts(classes)
     if n < 2:
-        return rows.join(classes, "fp").select("doc_id", "fp", F.col("rep").alias("component_id"))
+        return rows.join(classes, "fp").select("doc_id", "fp", F.col("rep").alias("component_id"), F.col("fp").alias("root"))
     near = candidates(classes.select("fp"), plan(n, both, DISTANCE, max(n, DESIGN)))
     roots = components(links(near))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.col("root"))
-    named = joined.join(least, "root", "left").select("fp", F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("rep"))).alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    component = F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("rep"))).alias("component_id")
+    named = joined.join(least, "root", "left").select("fp", component, F.coalesce("root", "fp").alias("root"))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    return classes_of(docs, width).select("doc_id", "fp", "component_id")
+
+
+def rows_with_fingerprint(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp, r): the rows of ``docs``, whole, in the struct ``r``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), rows.schema["r"]])
+
+    def run(batches):
+        for b in slices(batches):
+            fp = np.array([fingerprint(t, width) for t in texts(b)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(fp.view(np.int64)), col(b, "r")], names=["doc_id", "fp", "r"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: the least doc_id of each component
-    stays. Repeated rows of one doc_id become one (the least by its columns); rows
-    without a doc_id cannot be named by a link and stay."""
-    found = stored(near_duplicates(docs.select("doc_id", "text")), "simhash-component")
+    stays, of several rows with that id in the component the least by its columns. Where
+    different texts share a doc_id, each is judged by its own fingerprint. Rows without
+    a doc_id cannot be named by a link and stay."""
+    found = stored(classes_of(docs.select("doc_id", "text")), "simhash-component")
     copies = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
     repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeats.isEmpty():
-        return kept.select(docs.columns)
-    again = kept.join(repeats, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    one = again.groupBy(F.col("r.doc_id")).agg(F.min("r").alias("r")).select("r.*")
-    return kept.join(repeats, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+        return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(repeats, "doc_id", "left_anti").join(copies, "doc_id", "left_anti").select(docs.columns)
+    again = rows_with_fingerprint(docs.join(repeats, "doc_id", "left_semi").select(docs.columns))
+    first = found.where("doc_id = component_id").select("doc_id", "fp", "root").distinct()
+    one = again.join(first, ["doc_id", "fp"]).groupBy("doc_id", "root").agg(F.min("r").alias("r")).select("r.*")
+    return once.unionByName(one.select(docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
