@@ -411,6 +411,43 @@ def test_toxicity_learns_spans(spark):
     assert got[2].predicted == 0 == got[3].predicted and got[3].n_spans == 0
 
 
+def test_toxicity_finds_varied_words_and_spares_clean_texts():
+    """Compound words, each in some six toxic texts and by chance in a clean one."""
+    rnd = random.Random(16)
+    pool = [f"{a}{b}{c}" for a in ("lor", "mip", "sut", "ven", "dol", "kra") for b in ("em", "sum", "ta", "ri", "or", "an") for c in ("", "ba", "ke", "nu")]
+    bad = [f"gräm{b}{c}" for b in ("lich", "keit", "ung", "heit", "zu") for c in ("er", "en", "tz", "pf", "sch", "ou", "el", "st", "re", "it", "al", "un")]
+    rows = []
+    for i in range(1000):
+        ws = [rnd.choice(pool) for _ in range(60)]
+        if i % 8 == 0:
+            for at in rnd.sample(range(60), 4):
+                ws[at] = rnd.choice(bad)
+        elif i % 50 == 1:
+            ws[7] = rnd.choice(bad)
+        rows.append((" ".join(ws), int(i % 8 == 0)))
+    model = toxicity.train(rows[:700])
+    hit = toxicity.score_texts([t.encode() for t, _ in rows[700:]], model)[0] >= 0.5
+    truth = np.array([y for _, y in rows[700:]], bool)
+    assert hit[truth].mean() >= 0.9 and hit[~truth].mean() < 0.02
+
+
+def test_toxicity_learns_from_eleven_labels():
+    rnd = random.Random(17)
+    pool = ["".join(rnd.choice("abdeiklmnorstu") for _ in range(7)) for _ in range(2000)]
+    rows = []
+    for i in range(160):
+        ws = [rnd.choice(pool) for _ in range(50)]
+        if i % 8 == 0:
+            for at in rnd.sample(range(50), 4):
+                ws[at] = rnd.choice(["vilebeast", "rottenhag", "gruntling", "smearpot"])
+        rows.append((" ".join(ws), int(i % 8 == 0)))
+    assert sum(y for _, y in rows[:88]) == 11
+    model = toxicity.train(rows[:88])
+    hit = toxicity.score_texts([t.encode() for t, _ in rows[88:]], model)[0] >= 0.5
+    truth = np.array([y for _, y in rows[88:]], bool)
+    assert hit[truth].all() and not hit[~truth].any()
+
+
 def test_lcs():
     rnd = random.Random(8)
     for _ in range(200):

@@ -1,12 +1,13 @@
 """Toxicity (operator 5): a linear-chain CRF over the words of a text.
 
-Two states (clean, toxic); a word's emission is the sum of hashed byte n-gram
-weights, transitions are learned. Document labels become token labels by the
-n-grams that appear in toxic documents and (nearly) never in clean ones
-(likelihood-ratio test); the CRF is then trained on those tagged tokens by
-gradient steps on its exact likelihood. Scoring runs forward-backward over
-every whole text and aggregates the marginals: the noisy-or of all words,
-calibrated to a probability. Words with a marginal of 0.5 or more are the
+Two states (clean, toxic); a word's emission is the sum of the hashed weights of its
+byte n-grams and of the word itself, transitions are learned. Document labels become
+token labels by the n-grams and words that appear in toxic documents and (nearly) never
+in clean ones, at counts where chance explains few of them (:func:`tied`); the CRF is
+then trained on those tagged tokens by gradient steps on its exact likelihood, in one
+task on the bounded sample. Scoring runs forward-backward over
+every whole text and aggregates the marginals: the odds of one toxic word
+and of two different ones, calibrated to a probability. Words with a marginal of 0.5 or more are the
 offending spans, given with code point offsets into the original text.
 
 Defined results: a null or empty text scores like a text without toxic words and
@@ -15,6 +16,7 @@ has no span; without a toxic and a clean training row every score is 0.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -30,18 +32,27 @@ from tillpoint.llm.common import bounded_sample, byte_buffer, col, fold, prepare
 #: most so many characters each.
 SAMPLE = {0: 1200, 1: 600}
 SAMPLE_CHARS = 8_000
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 6, 8)
+#: Of the features taken as toxic at one count, chance explains at most this share.
+FALSE_SHARE = 0.2
 BITS = 21
 EPOCHS = 30
-BACKGROUND = 0.3
-L2 = 4.0
+FOLDS = 3
+BACKGROUND = 0.1
+#: L2 weight for each toxic text of the sample, and the least one.
+L2 = 0.12
+L2_LEAST = 3.0
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams_by_length(words: list[bytes]):
-    """For each n-gram length (word index, feature index) of every byte n-gram of
-    every word; a word's edges count as a character."""
+    """(word index, feature index) of the whole words, then of every byte n-gram of
+    every word, one n-gram length at a time; a word's edges count as a character."""
+    if not words:
+        return
+    whole = pd.util.hash_array(np.array(words, object), categorize=False)
+    yield np.arange(len(words)), (whole >> np.uint64(64 - BITS)).astype(np.int32)
     buf = byte_buffer(words)
     space = buf == 32
     before = np.concatenate(([0], np.cumsum(space, dtype=np.int32)))
@@ -144,14 +155,32 @@ def distinct_rows(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+def tied(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Which features are tied to toxic documents, from the documents of each kind that
+    hold them. A feature is pure if at least 98 of 100 are toxic. The pure features with
+    a total of t documents are taken if chance explains few of them: of all features
+    with that total, a share of at most exp(-llr / 2) (``share`` to the power t, without
+    a clean document) is pure by chance. So the limit follows the number of labels and
+    of features, and the clean documents alone decide how low it goes."""
+    total = toxic + clean
+    size = int(total.max(initial=0)) + 1
+    pure = (total > 0) & (toxic >= 0.98 * total)
+    t = np.arange(1, size)
+    spare = np.floor(0.02 * t)  # clean documents that a pure feature may have
+    a = t - spare
+    llr = a * np.log(a / (t * share)) + np.where(spare > 0, spare * np.log(np.maximum(spare, 1) / (t * (1 - share))), 0)
+    chance = np.where(a > t * share, np.exp(-llr), 1.0) * np.bincount(total.astype(np.int64), minlength=size)[1:]
+    found = np.bincount(total[pure].astype(np.int64), minlength=size)[1:]
+    good = np.concatenate(([False], (found > 0) & (chance <= FALSE_SHARE * found)))
+    return pure & good[total.astype(np.int64)]
+
+
 def token_labels(ids, n_words, grams, doc, toxic_doc) -> np.ndarray:
-    """1 for words of toxic documents that hold an n-gram tied to toxic documents:
-    at least 98 of 100 documents with it are toxic, and the likelihood-ratio
-    statistic against the toxic share of all documents is 36 or more."""
+    """1 for words of toxic documents that are, or hold, a feature :func:`tied` to them;
+    every length of n-grams is judged by itself."""
     pairs = np.unique(doc * np.int64(n_words) + ids)
     p_doc, p_word = pairs // n_words, pairs % n_words
     edges = np.searchsorted(p_doc, np.arange(len(toxic_doc) + 1))
-    share = toxic_doc.mean()
     word_bad = np.zeros(n_words, bool)
     for w, f in grams:  # one n-gram length at a time; words lie in order
         first = np.searchsorted(w, np.arange(n_words + 1))
@@ -160,20 +189,52 @@ def token_labels(ids, n_words, grams, doc, toxic_doc) -> np.ndarray:
             mine = p_word[edges[d] : edges[d + 1]]
             if len(mine):
                 (g1 if toxic_doc[d] else g0)[np.concatenate([f[first[x] : first[x + 1]] for x in mine])] += 1
-        at = np.flatnonzero(g1 >= 0.98 * (g1 + g0))
-        at = at[g1[at] > 0]
-        a, total = g1[at].astype(float), (g1 + g0)[at].astype(float)
-        b = total - a
-        llr = 2 * (a * np.log(a / (total * share)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / (total * (1 - share))), 0))
-        strong = np.zeros(1 << BITS, bool)
-        strong[at[llr >= 36]] = True
-        word_bad[w[strong[f]]] = True
+        word_bad[w[tied(g1, g0, toxic_doc.mean())[f]]] = True
     return (word_bad[ids] & (toxic_doc[doc] > 0)).astype(float)
 
 
 def train(sample: list[tuple[str, int]]) -> dict | None:
-    """Fit on (text, toxic) rows: Adam on the CRF's likelihood with an L2 term."""
+    """Fit on (text, toxic) rows: Adam on the CRF's likelihood with an L2 term. The
+    verdict over a text's words is calibrated on texts that the chain did not see (each
+    fold scored by a chain of the others), so that words which clean texts can hold by
+    chance do not count as they do in the texts that named them."""
     sample = distinct_rows(sample)
+    model = fit_chain(sample)
+    if model is None:
+        return None
+    turn = [zlib.crc32((text or "").encode()) % FOLDS for text, _ in sample]
+    evidence, truth = [], []
+    for k in range(FOLDS):
+        other = fit_chain([r for r, t in zip(sample, turn) if t != k])
+        mine = [r for r, t in zip(sample, turn) if t == k]
+        if other is not None and mine:
+            evidence.append(evidence_of([(text or "").encode() for text, _ in mine], other)[0])
+            truth += [1.0 * (label == 1) for _, label in mine]
+    if not evidence or min(truth) == max(truth):  # too few rows to hold some out
+        evidence = [evidence_of([(text or "").encode() for text, _ in sample], model)[0]]
+        truth = [1.0 * (label == 1) for _, label in sample]
+    return model | {"verdict": calibrate(np.concatenate(evidence), np.array(truth))}
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (none negative) of the evidence and an intercept: logistic regression by
+    Newton steps. A weight that turns negative is 0 from then on."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, free = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        v = p * (1 - p) / len(x) + 1e-9
+        h = (x * v[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(h[np.ix_(free, free)], (x.T @ ((y - p) / len(x)) - 1e-3 * w)[free])
+        w += np.clip(step, -0.5, 0.5)
+        below = (w < 0) & (np.arange(len(w)) < len(w) - 1)
+        w[below], free[below] = 0.0, False
+    return w
+
+
+def fit_chain(sample: list[tuple[str, int]]) -> dict | None:
+    """The CRF of (text, toxic) rows; None without a row of each kind or without words."""
     y_doc = np.array([1.0 * (t == 1) for _, t in sample])
     if not len(sample) or y_doc.min() == y_doc.max():
         return None
@@ -184,6 +245,7 @@ def train(sample: list[tuple[str, int]]) -> dict | None:
     grams, n_words = list(grams_by_length(words)), len(words)
     del words
     y = token_labels(ids, n_words, grams, chain.doc, y_doc)
+    l2 = np.float32(max(L2_LEAST, L2 * y_doc.sum()))
     weights, trans = np.zeros(1 << BITS, np.float32), np.zeros((2, 2))
     bias, start = -4.0, 0.0
     m1, m2 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
@@ -197,7 +259,7 @@ def train(sample: list[tuple[str, int]]) -> dict | None:
         post, fwd, bwd, psi = chain.marginals(word_e[ids], trans, start)
         miss = gold_place - post
         by_word = np.bincount(ids, weights=miss[chain.place], minlength=n_words)
-        g = -L2 * weights
+        g = -l2 * weights
         for w, f in grams:
             g += np.bincount(f, weights=by_word[w], minlength=1 << BITS).astype(np.float32)
         m1 += 0.1 * (g - m1)
@@ -210,43 +272,47 @@ def train(sample: list[tuple[str, int]]) -> dict | None:
         seen = np.bincount((2 * gold_place[prev] + gold_place[later]).astype(int), minlength=4)
         trans += (0.5 * (seen - xi.sum(1)) / (np.maximum(seen, xi.sum(1)) + 10)).reshape(2, 2)
         bias += 0.3 * miss.sum() / (y.sum() + post.sum() + 10)
-    word_e = emissions(n_words, grams, weights) + bias
-    post, *_ = chain.marginals(word_e[ids], trans, start)
-    x = doc_evidence(post[chain.place], chain.doc, len(sizes))
-    a, b = 1.0, 0.0
-    for _ in range(200):  # Platt calibration
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        d = (y_doc - p) / len(x)
-        v = p * (1 - p) / len(x) + 1e-9
-        h = np.array([[np.sum(v * x * x) + 1e-3, np.sum(v * x)], [np.sum(v * x), np.sum(v) + 1e-3]])
-        da, db = np.linalg.solve(h, [np.sum(d * x) - 1e-3 * (a - 1), np.sum(d) - 1e-3 * b])
-        a, b = a + np.clip(da, -0.5, 0.5), b + np.clip(db, -0.5, 0.5)
-    return {"weights": weights.astype(np.float32), "trans": trans, "bias": float(bias), "start": float(start), "platt": (float(max(a, 0.05)), float(b))}
-
-
-def doc_evidence(post: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Log-odds of the noisy-or of the words' marginals, within -12 and 12. The
-    background of marginals under BACKGROUND is left out: over thousands of words
-    it would add up to a toxic verdict that no word supports."""
-    post = np.where(post < BACKGROUND, 0.0, post)
-    none = np.bincount(doc, weights=np.log1p(-np.clip(post, 0, 1 - 1e-12)), minlength=n)
-    none = np.minimum(none, -1e-12)
-    return np.clip(np.log(-np.expm1(none)) - none, -12, 12)
-
-
-def score_texts(batch_texts: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray, Chain]:
-    """Document scores, and each word's marginal in text order."""
+    return {"weights": weights, "trans": trans, "bias": float(bias), "start": float(start)}
+
+
+def doc_evidence(post: np.ndarray, doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Two log-odds a text, within -12 and 12: that it holds a toxic word, and that it
+    holds two different ones, each word by its largest marginal. The background of
+    marginals under BACKGROUND is left out: over thousands of words it would add up to a
+    toxic verdict that no word supports."""
+    at = np.flatnonzero(post >= BACKGROUND)
+    at = at[np.lexsort((-post[at], ids[at], doc[at]))]
+    first = np.ones(len(at), bool)
+    first[1:] = (doc[at[1:]] != doc[at[:-1]]) | (ids[at[1:]] != ids[at[:-1]])
+    at = at[first]
+    p = np.minimum(post[at], 1 - 1e-9)
+    none = np.exp(np.bincount(doc[at], weights=np.log1p(-p), minlength=n))
+    one = none * np.bincount(doc[at], weights=p / (1 - p), minlength=n)
+    odds = lambda miss: np.clip(np.log(np.maximum(1 - miss, 1e-12)) - np.log(np.maximum(miss, 1e-12)), -12, 12)
+    return np.column_stack([odds(none), odds(none + one)])
+
+
+def evidence_of(batch_texts: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray, Chain]:
+    """Evidence of each text, and each word's marginal in text order."""
     ids, words, sizes = tokenise(batch_texts)
     chain = Chain(sizes)
     e = emissions(len(words), grams_by_length(words), model["weights"]) + model["bias"] if len(words) else np.zeros(0)
     post = chain.marginals(e[ids], model["trans"], model["start"])[0][chain.place] if len(ids) else np.zeros(0)
-    a, b = model["platt"]
-    return 1 / (1 + np.exp(-(a * doc_evidence(post, chain.doc, len(sizes)) + b))), post, chain
+    return doc_evidence(post, chain.doc, ids, len(sizes)), post, chain
+
+
+def score_texts(batch_texts: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray, Chain]:
+    """Document scores, and each word's marginal in text order."""
+    x, post, chain = evidence_of(batch_texts, model)
+    w = model["verdict"]
+    return 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))), post, chain
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int | None = 5) -> dict | None:
     """Train on a bounded sample of the labelled documents outside the held-out
-    fold. The sample holds whole texts; only ids travel until it is chosen."""
+    fold. The sample holds whole texts; only ids travel until it is chosen. One task
+    fits the model (its input is the size of SAMPLE at most); the driver gets weights."""
+    prepare(docs.sparkSession)
     seen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out_mod:
         seen = seen.where(fold(F.col("doc_id"), held_out_mod) != 0)
@@ -256,8 +322,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int | None = 5) -> dic
     ids = {r.doc_id: r.toxic for r in chosen.collect()}  # the size of SAMPLE at most
     if not ids:
         return None
-    rows = docs.where(F.col("doc_id").isin(list(ids))).where(F.length("text").between(1, SAMPLE_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    return train(sorted((r.text, ids[r.doc_id]) for r in rows))
+    rows = docs.where(F.col("doc_id").isin(list(ids))).where(F.length("text").between(1, SAMPLE_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        sample = [(text, ids[i]) for b in batches for i, text in zip(col(b, "doc_id").to_pylist(), col(b, "text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sorted(sample)))], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_spans int, spans array<struct<begin:int,end:int,text:string>>"
