@@ -257,12 +257,34 @@ def test_preview_with_duplicated_stored_barcode(spark):
     assert p.count() == 1 and r["existing_id"] == 1 and r["error"] == "Row 2: Barcode already exists."
 
 
-def test_duplicate_rules_by_grouping_set(spark):
-    from tillpoint.jobs.audit import _dup_keys, _dup_keys_by_set
+def test_duplicate_rules_in_one_pass(spark):
+    from tillpoint.jobs import audit as AU
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, None), (4, None), (5, "c"), (5, "c")],
                                "id long, code string")
-    got = {rule: d.first()["violations"] for rule, d in
-           _dup_keys_by_set(df, {"dup_id": F.col("id"), "dup_code": F.col("code")})}
-    want = {"dup_id": _dup_keys(df, F.col("id")).first()["violations"],
-            "dup_code": _dup_keys(df, F.col("code")).first()["violations"]}
-    assert got == want == {"dup_id": 2, "dup_code": 3}
+    got = AU.violations_by_key([(df, [AU.unique("duplicate_sale_id", F.col("id")),
+                                      AU.unique("duplicate_transaction_code", F.col("code"))])])
+    assert sorted(r.n for r in got.collect()) == [2, 3]
+
+
+def test_audit_finds_a_breach_of_every_rule(spark):
+    from types import SimpleNamespace
+
+    from tillpoint.jobs import audit as AU
+    df = spark.createDataFrame
+    t = SimpleNamespace(
+        inventory_items=df([(1, " x ", "A"), (1, "x", "A"), (2, "y", "gone"), (3, "z", None)], "id long, barcode string, category string"),
+        sales=df([(1, "T1", 5.0), (1, "T2", 4.0), (2, "T2", 0.0), (3, "T3", 9.0)], "id long, transaction_code string, total_amount double"),
+        sale_items=df([(1, 1, 3.0), (9, 2, 1.0), (9, 8, 1.0), (None, None, 1.0)], "sale_id long, inventory_item_id long, total double"),
+        sale_digital_items=df([(1, 2.0), (8, 1.0), (None, 1.0)], "sale_id long, total double"),
+        digital_service_requests=df([(1, "R1"), (1, "R2"), (2, "R2"), (3, "R2")], "id long, request_code string"),
+        categories=df([("A",), ("a",), ("B",)], "category_name string"),
+        suppliers=df([("S",), ("S",), ("s",)], "supplier_name string"),
+        users=df([(1, "Ann"), (2, "ann"), (3, "bob")], "id long, username string"),
+        user_devices=df([(1, None), (1, None), (2, None), (2, "2024"), (7, "2024")], "user_id long, revoked_at string"))
+    promos = df([(1, "Net", "p", 1.0), (1, "Net", "p", 0.0), (2, "NET", "p", -1.0)],
+                "network_id long, network_name string, promo_name string, selling_price double")
+    got = {r.rule: r.violations for r in AU.integrity_audit(t, promos).collect()}
+    two = {"sale_total_not_lines", "orphan_sale_item_sale", "promo_price_not_positive"}
+    assert len(got) == 19 and got == {rule: 2 if rule in two else 1 for rule in got}
+    empty = SimpleNamespace(**{k: v.limit(0) for k, v in vars(t).items()})
+    assert {r.violations for r in AU.integrity_audit(empty, promos.limit(0)).collect()} == {0}

@@ -22,3 +22,10 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
 def test_line_aggregates_are_partial_before_the_shuffle(spark, name):
     plan = _plan(E.queries()[name](spark, SMALL))
     assert "partial_sum" in plan
+
+
+def test_audit_reads_each_table_once_for_its_keys(spark):
+    """Sales and their lines are read again for the sums; several tables are views of
+    one file here, so files are read more often than tables."""
+    plan = E.queries()["integrity_audit"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 22
