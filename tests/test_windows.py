@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillpoint.operators.windows import (carry_forward_max, first_by_order, gap_sessions, global_row_number,
+from tillpoint.operators.windows import (_blocks, carry_forward_max, first_by_order, gap_sessions, global_row_number,
                                          next_within_key, prev_within_key)
 
 
@@ -54,3 +54,35 @@ def test_global_row_number_and_first_by_order(spark):
     want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id"))) \
              .filter("r = 1").select("k", "id")
     assert sorted(firsts.collect()) == sorted(want.collect())
+
+
+def test_a_burst_on_one_key_is_cut_into_even_blocks(spark):
+    """A third of all rows on one key inside one second, and many at one instant."""
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 0, base + dt.timedelta(microseconds=rnd.randint(0, 999_999) if i % 2 else 500_000), i) for i in range(10_000)]
+    rows += [(i, rnd.randint(1, 500), base + dt.timedelta(seconds=rnd.randint(0, 10**6)), i) for i in range(10_000, 30_000)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v long").repartition(5)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small blocks, as if the data were large
+    try:
+        sizes = [r["count"] for r in _blocks(df, "k", "ts", "id").groupBy("_rb").count().collect()]
+        assert len(sizes) > 3 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        w = Window.partitionBy("k").orderBy("ts", "id")
+        want = df.select("id", F.lead("ts").over(w).alias("n"), F.lag("ts").over(w).alias("p"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+        got = (next_within_key(df, "k", "ts", "id", "n").select("id", "n").join(prev_within_key(df, "k", "ts", "id", "p").select("id", "p"), "id")
+               .join(carry_forward_max(df, "k", "ts", "id", "v", "c").select("id", "c"), "id"))
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_null_keys_and_times_and_an_empty_table(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, None, t, 5), (2, None, t, 1), (3, 1, None, 2), (4, 1, None, None), (5, 1, t, 1)],
+                               "id long, k long, ts timestamp_ntz, v long")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    for rows in (df, df.limit(0)):
+        want = rows.select("id", F.lead("ts").over(w).alias("n"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+        got = next_within_key(rows, "k", "ts", "id", "n").select("id", "n").join(carry_forward_max(rows, "k", "ts", "id", "v", "c").select("id", "c"), "id")
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))

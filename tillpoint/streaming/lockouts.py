@@ -12,7 +12,7 @@ This is a sequential fold, which no window function expresses. It is
 still split into independent pieces: an attempt more than
 ``max(window, lock)`` after the key's previous attempt always starts from
 a clean state (any window has run out, any lock has ended). So each key's
-history is cut at such gaps (a bucketed gap-and-island pass, see
+history is cut at such gaps (a gap-and-island pass over even blocks, see
 ``operators.windows``), and the chunks are folded in parallel, each by a
 sorted pass with bounded memory. A key under constant attack is still cut
 at every quiet quarter hour; no key is gathered whole.
@@ -73,7 +73,7 @@ def detect_lockouts(attempts: DataFrame, preset: Preset = ACCOUNT) -> DataFrame:
     """
     from tillpoint.session import ship_package
     chunked = gap_sessions(attempts.select("key", "ts", "success"), "key", "ts", "success",
-                           preset.quiet_seconds, "chunk", bucket="minute")
+                           preset.quiet_seconds, "chunk")
     ship_package(attempts.sparkSession)
 
     def fold_partition(batches):

@@ -2,7 +2,7 @@
 
 Each request extends the session's expiry to ``last + 30 min``; a request at
 or after the expiry starts a new session. Batch form: gap-and-island
-(bucketed lag + carry-forward, no per-key window). Streaming form:
+(lag + carry-forward over even blocks, no per-key window). Streaming form:
 ``session_window`` with a gap of 30 min minus 1 µs, because Spark keeps an
 event that lands exactly on the gap in the old session while the
 reference starts a new one.
