@@ -33,7 +33,7 @@ def _load_all() -> None:
     # importing the plan modules fills the registry
     from tillpoint.plans import (  # noqa: F401
         q_accounts, q_digital, q_functions, q_inventory, q_jobs, q_outputs,
-        q_ranking, q_sales, q_streaming,
+        q_ranking, q_reference, q_sales, q_streaming,
     )
 
 
