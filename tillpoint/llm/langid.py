@@ -8,11 +8,13 @@ n-gram presence rows, restricted to n-grams that landmarks have, times the landm
 matrix is its kernel row; times the folded Nyström and ridge weights its scores: two
 matrix products a batch.
 
-Training data: labelled texts of at most TRAIN_CHARS characters of the MAX_LANGS most
-frequent languages, at most TRAIN_PER_LANG a language and about TRAIN_TOTAL in all;
-at most LANDMARKS of them a language and LANDMARKS_TOTAL in all are landmarks. The
-landmark matrix has at most ``1 << BITS`` rows and LANDMARKS_TOTAL columns whatever
-the input (some 10 MB for a few languages).
+Training data: every learned language has its texts, at most TRAIN_PER_LANG of at most
+TRAIN_CHARS characters (about TRAIN_TOTAL in all, with many languages fewer each, at
+least two). A language with too few of them adds whole longer texts, at most
+LONG_PER_LANG (about LONG_TOTAL in all, at least two). LANDMARKS texts a language are
+landmarks, at most LANDMARKS_TOTAL in all, spread over the languages: the landmark
+matrix has at most ``1 << BITS`` rows and LANDMARKS_TOTAL columns whatever the input
+(some 10 MB for a few languages). The weights have one column a language.
 
 Defined results: ``und`` and score 0 for a null text, a text without a letter, or
 without training rows; a tie goes to the first language in code point order. Case,
@@ -24,17 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import bounded_sample, col, fold, prepare, row_hash, slices, table, texts
+from tillpoint.llm.common import col, fold, prepare, row_hash, slices, table, texts
 
 GRAMS = (1, 2, 3)
 BITS = 18
 TRAIN_PER_LANG, TRAIN_TOTAL = 150, 6000
 TRAIN_CHARS = 4000
+LONG_PER_LANG, LONG_TOTAL = 20, 200
 LANDMARKS, LANDMARKS_TOTAL = 32, 200
-MAX_LANGS = 100
 RIDGE = 1e-2
 _LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -59,8 +61,9 @@ class Classifier:
     def __init__(self, rows: list[tuple[np.ndarray, str]]):
         self.langs = sorted({lang for _, lang in rows})
         per = {lang: [g for g, x in rows if x == lang] for lang in self.langs}
-        each = max(2, min(LANDMARKS, LANDMARKS_TOTAL // len(self.langs)))
+        each = max(1, min(LANDMARKS, LANDMARKS_TOTAL // len(self.langs)))
         marks = [g for lang in self.langs for g in per[lang][:each]]
+        marks = marks[:: -(-len(marks) // LANDMARKS_TOTAL)]  # more languages than landmarks
         self.columns = np.full(1 << BITS, -1, np.int32)
         used = np.unique(np.concatenate(marks))
         self.columns[used] = np.arange(len(used))
@@ -98,17 +101,30 @@ class Classifier:
         return [self.langs[i] for i in best], np.clip(scores[np.arange(len(best)), best], 0, 1)
 
 
+def _sample(keys: DataFrame) -> DataFrame:
+    """(doc_id, lang, long) of the training texts: the least hashes of each language.
+    Rows that cannot be among them (by four times the expected hash) go before the
+    window, so a frequent language is no large group."""
+    sizes = keys.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n_short"), F.count_if("long").alias("n_long"))
+    n_langs = max(1, sizes.count())
+    short, long = (max(2, min(a, b // n_langs)) for a, b in ((TRAIN_PER_LANG, TRAIN_TOTAL), (LONG_PER_LANG, LONG_TOTAL)))
+    limit = F.when(~F.col("long"), short).when(F.col("n_short") < short, long).otherwise(0)
+    share = (row_hash(F.col("doc_id"), 1).cast("double") + 2.0**63) / 2.0**64
+    size = F.when(F.col("long"), F.col("n_long")).otherwise(F.col("n_short"))
+    near = keys.join(sizes, "lang").withColumns({"limit": limit, "h": share}).where((F.col("limit") > 0) & (F.col("h") < (4.0 * F.col("limit") + 20) / size))
+    order = Window.partitionBy("lang", "long").orderBy("h", "doc_id")
+    return near.withColumn("r", F.row_number().over(order)).where("r <= limit").select("doc_id", "lang", "long").distinct()
+
+
 def fit(docs: DataFrame, held_out_rest: int | None = 1) -> Classifier | None:
     """Train on a bounded sample of rows with a language outside the held-out fold."""
     prepare(docs.sparkSession)
-    rows = docs.where("lang is not null").where(F.length("text").between(1, TRAIN_CHARS))
+    rows = docs.where("lang is not null").where(F.length("text") >= 1)
     if held_out_rest is not None:
         rows = rows.where(fold(F.col("doc_id"), 3) != held_out_rest)
-    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not known:
-        return None
-    chosen = bounded_sample(rows, "lang", dict.fromkeys(known, min(TRAIN_PER_LANG, TRAIN_TOTAL // len(known))), 1)
-    sample = rows.where(F.col("lang").isin(known)).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", row_hash(F.col("doc_id"), 1).alias("h"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "lang", F.col("text").cast("string").alias("text"), (F.length("text") > TRAIN_CHARS).alias("long"))
+    sample = rows.join(F.broadcast(_sample(rows.drop("text"))), ["doc_id", "lang", "long"])
+    sample = sample.select("lang", row_hash(F.col("doc_id"), 1).alias("h"), "text")
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
@@ -117,7 +133,7 @@ def fit(docs: DataFrame, held_out_rest: int | None = 1) -> Classifier | None:
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*keep), schema)], schema=schema)
 
-    got = sample.mapInArrow(run, "lang string, h long, grams binary").collect()
+    got = sample.mapInArrow(run, "lang string, h long, grams binary").distinct().collect()
     got = sorted({(r.lang, r.h, bytes(r.grams)) for r in got})
     return Classifier([(np.frombuffer(g, "<i4"), lang) for lang, _, g in got]) if got else None
 
