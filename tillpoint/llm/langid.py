@@ -38,6 +38,7 @@ TRAIN_CHARS = 4000
 LONG_PER_LANG, LONG_TOTAL = 20, 200
 LANDMARKS, LANDMARKS_TOTAL = 32, 200
 RIDGE = 1e-2
+FEW_LANGS = 100_000  # up to so many learned values their counts are broadcast
 _LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -107,6 +108,8 @@ def _sample(keys: DataFrame) -> DataFrame:
     window, so a frequent language is no large group."""
     sizes = keys.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n_short"), F.count_if("long").alias("n_long"))
     n_langs = max(1, sizes.count())
+    if n_langs <= FEW_LANGS:  # one short row a language; rows go before any shuffle
+        sizes = F.broadcast(sizes)
     short, long = (max(2, min(a, b // n_langs)) for a, b in ((TRAIN_PER_LANG, TRAIN_TOTAL), (LONG_PER_LANG, LONG_TOTAL)))
     limit = F.when(~F.col("long"), short).when(F.col("n_short") < short, long).otherwise(0)
     share = (row_hash(F.col("doc_id"), 1).cast("double") + 2.0**63) / 2.0**64
