@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tillpoint import params as P
 from tillpoint.functions.normalize import at_least_one, js_trim, name_or_system, normalize_item_status, padded_code, text_or_empty
 from tillpoint.operators.windows import global_row_number
-from tillpoint.session import cut_lineage
+from tillpoint.session import cut_stored
+from tillpoint.sinks.versions import Added
 
 # -- fixed values: messages -------------------------------------------------
 MSG_EMPTY = "Add at least one item to the sale."
@@ -68,17 +69,25 @@ def _digital_lines(carts: DataFrame) -> DataFrame:
 class IngestResult:
     """The ingest's outputs, each built when it is asked for: ``sales``,
     ``sale_items``, ``sale_digital_items``, ``requests`` and ``rejects``. What
-    several outputs need (the looked-up lines, the two numberings) is written once
-    and kept for the others; rejects need no numbering, and sales no requests."""
+    several outputs need (the carts, their lines, the two numberings) is written
+    once and kept for the others; rejects need no numbering, and sales no requests."""
 
     def __init__(self, carts: DataFrame, inventory: DataFrame, sales: DataFrame, requests: DataFrame):
-        self._carts, self._inventory, self._sales, self._requests = carts, inventory, sales, requests
+        self._given, self._inventory, self._sales, self._requests = carts, inventory, sales, requests
+
+    @cached_property
+    def _carts(self) -> DataFrame:
+        return cut_stored(self._given, "carts")
 
     @cached_property
     def _lines(self) -> DataFrame:
         inv = self._inventory.select(F.col("id").alias("inventory_item_id"), F.col("name").alias("inv_name"),
                                      normalize_item_status(F.col("status")).alias("inv_status"))
-        return cut_lineage(_product_lines(self._carts).join(inv, "inventory_item_id", "left"))
+        return cut_stored(_product_lines(self._carts).join(inv, "inventory_item_id", "left"), "cart-lines")
+
+    @cached_property
+    def _digital_given(self) -> DataFrame:
+        return cut_stored(_digital_lines(self._carts), "cart-digital")
 
     @cached_property
     def _verdict(self) -> DataFrame:
@@ -86,7 +95,7 @@ class IngestResult:
                 .when(F.col("inv_status") == P.OUT_OF_STOCK, F.concat(F.col("inv_name"), F.lit(MSG_OUT_OF_STOCK))))
         # one pass over the lines: a cart's first bad line, and that it has lines
         product = self._lines.groupBy("cart_id").agg(F.min_by(bad, F.when(bad.isNotNull(), F.col("pos"))).alias("error"))
-        digital = _digital_lines(self._carts).select("cart_id").distinct().withColumn("_digital", F.lit(True))
+        digital = self._digital_given.select("cart_id").distinct().withColumn("_digital", F.lit(True))
         found = product.withColumn("_product", F.lit(True))
         v = self._carts.select("cart_id").join(found, "cart_id", "left").join(digital, "cart_id", "left")
         empty = F.col("_product").isNull() & F.col("_digital").isNull()
@@ -107,13 +116,13 @@ class IngestResult:
     def _digital(self) -> DataFrame:
         """The accepted carts' digital lines with their sale and request ids."""
         top = self._requests.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-        lines = (_digital_lines(self._carts).join(self._accepted, "cart_id")
+        lines = (self._digital_given.join(self._accepted, "cart_id")
                  .join(self._carts.select("cart_id", "employee_name"), "cart_id"))
         return global_row_number(lines, [F.col("sale_id"), F.col("pos")], "_r").withColumn("request_id", top + F.col("_r"))
 
     @property
     def sales(self) -> DataFrame:
-        lines = self._lines.select("cart_id", "total").unionByName(_digital_lines(self._carts).select("cart_id", "total"))
+        lines = self._lines.select("cart_id", "total").unionByName(self._digital_given.select("cart_id", "total"))
         totals = lines.groupBy("cart_id").agg(F.sum(F.col("total").cast("decimal(38,2)")).alias("total_amount"))
         return self._accepted.join(self._carts, "cart_id").join(totals, "cart_id", "left").select(
             F.col("sale_id").alias("id"), padded_code("S", F.col("sale_id")).alias("transaction_code"),
@@ -158,6 +167,6 @@ def commit_sales(store, carts: DataFrame) -> tuple[int, DataFrame]:
         result = ingest_sales(carts, view.inventory_items, view.sales, view.digital_service_requests)
         more = {"sales": result.sales.drop("cart_id"), "sale_items": result.sale_items,
                 "sale_digital_items": result.sale_digital_items, "digital_service_requests": result.requests.drop("sale_id")}
-        return {n: getattr(view, n).unionByName(df, allowMissingColumns=True) for n, df in more.items()}, result.rejects
+        return {n: Added(df) for n, df in more.items()}, result.rejects
 
     return store.update(job, name="sales")

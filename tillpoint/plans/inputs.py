@@ -106,7 +106,7 @@ def carts(t) -> DataFrame:
                               .otherwise(F.col("l_quantity")).alias("quantity"),
                               F.col("p_retailprice").alias("price")).alias("item")))
     items = lines.groupBy("cart_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))), lambda x: x["item"]).alias("items"))
+        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "item"))), lambda x: x["item"]).alias("items"))
     ev = (t.raw("events").filter(~F.col("event_type").isin("purchase", "signup"))
           .select(F.col("event_id").alias("cart_id"),
                   F.struct(F.concat(F.lit("09"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("mobile_number"),
