@@ -200,3 +200,30 @@ def test_lines_that_arrive_before_their_sale(spark):
     query.awaitTermination()
     assert {str(r.day): str(r.products) for r in MC.products_table(spark, out).read().collect()} == totals[3]
     assert query.lastProgress is None or query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_a_backlog_is_drained_by_slices_of_time(spark):
+    """The join's state holds a slice or two, not the backlog; every line still counts,
+    at an instant with many rows, near a slice's edge and without a time, too."""
+    from decimal import Decimal as D
+    from types import SimpleNamespace
+
+    from tillpoint.streaming import month_chart as MC
+
+    day = dt.datetime(2024, 1, 1)
+    at = [day + dt.timedelta(minutes=m) for k in range(20) for m in (k * 1440, k * 1440, k * 1440 + 5)] + [None]
+    sales = [(i, t and t.date(), t) for i, t in enumerate(at)]
+    lines = [(i, D("1.25") * n) for i in range(len(at)) for n in (1, 2)] + [(999, D("9.00"))]
+    t = SimpleNamespace(spark=spark, sales=spark.createDataFrame(sales, "id long, sale_date date, created_at timestamp_ntz"),
+                        sale_items=spark.createDataFrame(lines, "sale_id long, total decimal(18,2)"))
+    seen = {}
+    for size in (1000, 6):
+        out = live_totals.scratch_path(spark, "slices-test")
+        slices = MC.write_arrivals(t, f"{out}/in", size)
+        query = MC.drain_products(spark, f"{out}/in", slices, out)
+        totals = {r.day: r.products for r in MC.products_table(spark, out).read().collect()}
+        assert totals == {(day + dt.timedelta(days=k)).date(): D("11.25") for k in range(20)}
+        seen[size] = slices, max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+        assert not query.isActive
+    assert seen[1000][0] == 1 and seen[1000][1] >= 3 * 60
+    assert seen[6][0] >= 6 and seen[6][1] <= 80

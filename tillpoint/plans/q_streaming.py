@@ -153,7 +153,7 @@ def alert_feed_live(t):
 def chart_stream(t):
     """ST3 streaming form, drained: GCash, load and products from three streams."""
     out = live_totals.scratch_path(t.spark, "chart")
-    month_chart.write_arrivals(t, f"{out}/in")
+    slices = month_chart.write_arrivals(t, f"{out}/in")
     live_totals.start_daily_totals(t.spark, t.data_dir, out, {"availableNow": True}).awaitTermination()
-    month_chart.start_products(*month_chart.arrivals(t.spark, f"{out}/in"), out, {"availableNow": True}).awaitTermination()
+    month_chart.drain_products(t.spark, f"{out}/in", slices, out)
     return flat(month_chart.read_chart(t.spark, out, P.AS_OF))
