@@ -16,9 +16,11 @@ own list). A run is a 64-bit key. Order by order, a block deals its distinct run
 shards by key (a run at most once a block, so a common one is no large group; the
 number of shards grows with the corpus), and each shard answers each block with its
 runs' training totals, in the order in which they came. Only runs whose shorter runs
-are counted go on. For each counted run one block names its context and suffix; the
-divergence tests are sums by context over the table of them, and the shards answer
-each block what the tree says of its own runs: the tree is nowhere in one place.
+are counted go on. Each counted run is summed up by one block only: with a context's
+next words counted, the blocks deal their parts of its divergence test to the shards
+by the context's key, beside the next order's runs, and the shards add them up and
+answer every block that has the context whether it stays. Totals and contexts kept
+give a block all its probabilities: the tree is nowhere in one place.
 
 Defined results: a null or empty text is the end alone; without training rows every
 probability is 1 and every score 0; repeated rows count as often as they come.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import col, fold, prepare, slices, stored, table, texts
+from tillpoint.llm.binary_output import file_system
+from tillpoint.llm.common import col, fold, prepare, scratch_dir, slices, stored, table, texts
 
 LEAST = 2
 MAX_DEPTH = 3
@@ -57,27 +61,50 @@ def _unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block, train_tokens, payload): documents as hashed words and places in them."""
-    schema = pa.schema([("block", pa.int64()), ("train_tokens", pa.int64()), ("payload", pa.binary())])
+def blocks(docs: DataFrame, folder: str) -> DataFrame:
+    """(block, train_tokens, path, start, size, words): documents as places in the
+    block's list of words, written to a file of the task's own attempt in the shared
+    ``folder``, so that the passes over a block read it in place and shuffle the answers
+    only; ``words`` has the list as sorted hashes, with training counts."""
+    schema = pa.schema([("block", pa.int64()), ("train_tokens", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
-        base, k = TaskContext.get().partitionId() << 32, 0
-        digest = xxhash.xxh64_intdigest
+        base, k, start, file = TaskContext.get().partitionId() << 32, 0, 0, None
+        path = f"{folder}/part-{base >> 32:07d}-{uuid.uuid4().hex}.bin"
+        digest, found = xxhash.xxh64_intdigest, []
         for b in slices(batches, max_bytes=BLOCK_BYTES):
+            if file is None:
+                fs, place = file_system(path)
+                fs.create_dir(place.rpartition("/")[0], recursive=True)
+                file = fs.open_output_stream(place)
             lists = [t.lower().split() for t in texts(b)]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
             flat = np.empty(int(sizes.sum()), object)
             flat[:] = [w for ws in lists for w in (*ws, b"")]  # the end is the empty word
             ids, words = pd.factorize(flat)
-            hashes = np.fromiter((digest(w) or 1 for w in words), np.uint64, len(words))  # 0: not counted
+            hashes, _, places = _distinct(np.fromiter(map(digest, words), np.uint64, len(words)))
+            ids = places[ids]
             held = np.array(col(b, "held_out").to_pylist(), bool)
-            data = _pack(col(b, "doc_id").to_pylist(), held, sizes, hashes, ids.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([int(sizes[~held].sum())]), pa.array([data], pa.binary())], schema=schema)
-            k += 1
+            counts = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(hashes))
+            data = _pack(col(b, "doc_id").to_pylist(), held, sizes, _narrow(ids))
+            file.write(data)
+            found.append((base + k, int(sizes[~held].sum()), path, start, len(data), _pack(_planes(hashes), _narrow(counts))))
+            k, start = k + 1, start + len(data)
+        if file is not None:
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 10) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, train_tokens long, payload binary")
+    return rows.mapInArrow(run, "block long, train_tokens long, path string, start long, size long, words binary")
+
+
+def _payloads(rows: pa.Table):
+    """(block, payload) of rows of :func:`blocks`."""
+    for block, path, start, size in zip(*(rows[c].to_pylist() for c in ("block", "path", "start", "size"))):
+        fs, place = file_system(path)
+        with fs.open_input_file(place) as file:
+            file.seek(start)
+            yield block, file.read(size)
 
 
 class Tree:
@@ -224,152 +251,249 @@ def _first(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def _deal(keys: np.ndarray, shards: int):
-    """(shard, places of its keys) for every shard that has some."""
-    shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-    at = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[at], prepend=-1, append=-1))
+def _split(shard: np.ndarray):
+    """(shard, its places, ascending) for every shard that has some."""
+    at = np.argsort(shard, kind="stable")  # of 16 bits: a radix sort
+    edges = np.flatnonzero(np.diff(shard[at].astype(np.int64), prepend=-1, append=-1))
     for lo, hi in zip(edges, edges[1:]):
         yield int(shard[at[lo]]), at[lo:hi]
 
 
+def _mix(numbers: np.ndarray) -> np.ndarray:
+    """Numbers as 64-bit keys, one to one."""
+    x = numbers.astype(np.uint64) + np.uint64(1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _planes(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as byte planes of their steps, which compress better."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 _PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("ord", pa.int32()), ("payload", pa.binary())])
 _PARTS_DDL = "block long, shard long, ord int, payload binary"
 _COUNTED = pa.schema([*_PARTS, ("n_known", pa.int64())])
-_RUNS = pa.schema([("ord", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("suf", pa.int64()), ("n", pa.int64())])
 
 
 def _rows(out: list, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(schema), schema)], schema=schema)
 
 
+def _distinct(keys: np.ndarray):
+    """The distinct keys, sorted, a place of each and each key's number among them."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    # places in the low bits: a plain sort is several times faster than an argsort
+    at = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    if (keys[at][1:] < keys[at][:-1]).any():  # keys that differ in the low bits only
+        at = np.argsort(keys)
+    new = np.append(True, np.diff(keys[at]) != 0)[: len(keys)]
+    inverse = np.empty(len(keys), np.int32)
+    inverse[at] = np.cumsum(new) - 1
+    return keys[at[new]], at[new], inverse
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the smallest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
 class View:
     """A block's runs up to an order. For each order: the tokens at which one ends
-    (``at``), the distinct keys (``own``, sorted), the token's key among them
-    (``inverse``), the first place in ``at`` of each (``where``), and, as far as the
-    shards have answered, training totals (``total``) and whether the block is the one
-    to name the run (``once``)."""
-
-    def __init__(self, payload: bytes, told: dict, shards: int, upto: int):
-        self.doc_ids, self.held, self.sizes, hashes, ids = _unpack(payload)
-        self.first, self.shards, self.told = _first(self.sizes), shards, told
-        self.key, self.at, self.own, self.inverse, self.where, self.total, self.once = ({} for _ in range(7))
-        self.key[1], self.at[1] = hashes[ids], np.arange(len(ids))
-        self.own[1], inverse = np.unique(hashes, return_inverse=True)
-        self.inverse[1] = inverse[ids]
-        counted = self._answered(1)
+    (``at``), the distinct keys (``own``, sorted; words: by hash) and their shards, the
+    token's key among them (``inverse``; for every token ``slot``, -1: none), a place in
+    ``at`` of each (``where``), and, as far as the shards have answered, training totals
+    (``total``), the rank among the counted runs of the shard (``rank``), whether the block is the one to sum the run up (``once``), ln alpha of the contexts
+    kept (``alpha``, else NaN) and ln P of the run's last word in the longest kept
+    suffix of its context (``p``, of counted runs)."""
+
+    def __init__(self, payload: bytes, told: dict, shards: int, upto: int, scale: float):
+        self.doc_ids, self.held, self.sizes, ids = _unpack(payload)
+        self.first, self.shards, self.told, self.scale = _first(self.sizes), shards, told, scale
+        self.at, self.own, self.inverse, self.where, self.total, self.once, self.slot = ({} for _ in range(7))
+        self.shard, self.rank, self.alpha, self.p = ({} for _ in range(4))
+        kind = np.min_scalar_type(shards)
+        # the words are in the order of the shards, which have answered for all of them
+        sizes = [(s, len(told[1, s][0])) for n, s in sorted(told) if n == 1]
+        self.shard[1] = np.repeat(np.array([s for s, _ in sizes], kind), [k for _, k in sizes])
+        self.at[1], self.inverse[1] = np.arange(len(ids)), ids.astype(np.int32)
+        counted = self._answered(1, len(ids))
+        self.own[1] = _mix(self.rank[1] * shards + self.shard[1])
+        last = key = self.own[1][ids]
         for n in range(2, upto + 1):
-            key = np.append(np.uint64(0), self.key[n - 1][:-1]) * _TURN + self.key[1]
-            self.key[n] = (key ^ (key >> np.uint64(29))) * _TURN + np.uint64(n)
+            key = np.append(np.uint64(0), key[:-1]) * _TURN + last
+            key = (key ^ (key >> np.uint64(29))) * _TURN + np.uint64(n)
             before = np.append(False, counted[:-1])
             before[self.first] = False
             self.at[n] = np.flatnonzero(before & counted)
-            self.own[n], self.where[n], self.inverse[n] = np.unique(self.key[n][self.at[n]], return_index=True, return_inverse=True)
-            counted = self._answered(n)
+            self.own[n], self.where[n], self.inverse[n] = _distinct(key[self.at[n]])
+            self.shard[n] = ((self.own[n] >> np.uint64(40)) % np.uint64(shards)).astype(kind)
+            counted = self._answered(n, len(ids))
 
-    def _answered(self, n: int) -> np.ndarray:
+    def _answered(self, n: int, tokens: int) -> np.ndarray:
         """Tokens at which a counted run of order n ends."""
-        total = np.zeros(len(self.own[n]), np.int64)
-        for shard, x in _deal(self.own[n], self.shards):
+        said, self.rank[n] = np.zeros((2, len(self.shard[n])), np.int64)
+        for shard, x in _split(self.shard[n]):
             if (n, shard) in self.told:
-                total[x] = self.told[n, shard][0]
-        self.total[n], self.once[n] = np.abs(total), total > 0
-        counted = np.zeros(len(self.key[1]), bool)
+                said[x], steps = self.told[n, shard]
+                self.rank[n][x[said[x] >= 2 * LEAST]] = np.cumsum(steps, dtype=np.int64)
+        self.total[n], self.once[n] = said >> 1, (said & 1).astype(bool)
+        self.slot[n] = np.full(tokens, -1, np.int32)
+        self.slot[n][self.at[n]] = self.inverse[n]
+        place = self.counted(n)
+        self.p[n], self.alpha[n] = np.full((2, len(said)), np.nan)
+        if n == 1:
+            self.p[1] = np.log((self.total[1] + SMOOTH) / self.scale)
+        else:
+            ctx, suf = self.around(n, place)
+            new = np.log(self.total[n][place]) - np.log(self.total[n - 1][ctx] + GAMMA)
+            self.p[n][place] = np.where(np.isnan(self.alpha[n - 1][ctx]), self.p[n - 1][suf], new)
+        if n <= MAX_DEPTH and any(k == -n for k, _ in self.told):
+            for shard, x in _split(self.shard[n][place]):
+                if (-n, shard) in self.told:
+                    self.alpha[n][place[x]] = self.told[-n, shard][0]
+        counted = np.zeros(tokens, bool)
         counted[self.at[n]] = (self.total[n] >= LEAST)[self.inverse[n]]
         return counted
 
     def counted(self, n: int) -> np.ndarray:
         return np.flatnonzero(self.total[n] >= LEAST)
 
+    def around(self, n: int, runs: np.ndarray):
+        """The places of the contexts and of the suffixes of runs of order n."""
+        t = self.at[n][self.where[n][runs]]
+        return self.slot[n - 1][t - 1], self.slot[n - 1][t]
+
+    def offer(self, n: int):
+        """(shard, payload): the runs of order n with their training counts."""
+        own = self.own[n]
+        counts = _narrow(np.bincount(self.inverse[n][np.repeat(~self.held, self.sizes)[self.at[n]]], minlength=len(own)))
+        for shard, x in _split(self.shard[n]):
+            yield shard, _pack(_planes(own[x]), counts[x])
+
+    def tests(self, n: int):
+        """(shard, payload): the counted contexts of order n, by steps of their rank in the
+        shard, the number of next words of each to be summed up here, the totals of those that have some, and for each
+        such word its total and ln P in the longest kept suffix."""
+        place = self.counted(n)
+        parts = list(_split(self.shard[n][place]))
+        spot = np.zeros(len(self.own[n]), np.int64)
+        spot[place[np.concatenate([np.zeros(0, np.int64), *(x for _, x in parts)])]] = np.arange(len(place))
+        mine = np.flatnonzero(self.once[n + 1] & (self.total[n + 1] >= LEAST))
+        ctx, suf = self.around(n + 1, mine)
+        at = np.argsort(spot[ctx])
+        counts, old = self.total[n + 1][mine][at], self.p[n][suf[at]]
+        words = np.bincount(spot[ctx], minlength=len(place))
+        ends = np.cumsum(words)
+        lo = 0
+        for shard, x in parts:
+            w, hi = words[lo : lo + len(x)], lo + len(x)
+            rows = slice(ends[lo] - words[lo], ends[hi - 1])
+            yield shard, _pack(_narrow(np.diff(self.rank[n][place[x]], prepend=0)), _narrow(w), _narrow(self.total[n][place[x[w > 0]]]), _narrow(counts[rows]), old[rows])
+            lo = hi
+
+    def adjust(self) -> np.ndarray:
+        """ln of P(token | longest kept suffix) / P_root(token) of every token."""
+        out = np.zeros(len(self.slot[1]))
+        root = self.p[1][self.slot[1]]
+        for n in range(1, MAX_DEPTH + 1):
+            slot = np.append(-1, self.slot[n][:-1])
+            slot[self.first] = -1
+            a = np.append(self.alpha[n], np.nan)[slot]
+            p = np.append(self.p[n + 1], np.nan)[self.slot[n + 1]]
+            out = np.where(np.isnan(a), out, np.where(np.isnan(p), a + out, p - root))
+        return out
+
 
 def _told(found: pa.Table) -> dict:
     return {(n, shard): _unpack(data) for n, shard, data in zip(*(found[c].to_pylist() for c in ("ord", "shard", "payload")))}
 
 
-def _offer(order: int, shards: int):
-    """A block's runs of ``order`` for the shards, with their training counts."""
-
-    def run(payloads: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for block, data in zip(payloads["block"].to_pylist(), payloads["payload"].to_pylist()):
-            v = View(data, _told(found), shards, order)
-            own = v.own[order]
-            n = np.bincount(v.inverse[order], weights=np.repeat(~v.held, v.sizes)[v.at[order]], minlength=len(own)).astype(np.int32)
-            out += [(block, shard, order, _pack(own[x], n[x])) for shard, x in _deal(own, shards)]
-        return _rows(out, _PARTS)
-
-    return run
+def _offer_words(shards: int):
+    """A block's words for the shards, dealt by ranges of the hash."""
 
-
-def _count(offered: pa.Table) -> pa.Table:
-    """One shard: to each block its runs' training totals (0 under LEAST, words apart),
-    negative in all blocks but one."""
-    data = [_unpack(x) for x in offered["payload"].to_pylist()]
-    keys, where, inverse = np.unique(np.concatenate([k for k, _ in data]), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([n for _, n in data])).astype(np.int64)
-    total[total < (1 if offered["ord"][0].as_py() == 1 else LEAST)] = 0
-    answer = -total[inverse]
-    answer[where] = total
-    if len(total) and total.max() < 1 << 31:
-        answer = answer.astype(np.int32)
-    out, lo = [], 0
-    for block, shard, n, (own, _) in zip(offered["block"].to_pylist(), offered["shard"].to_pylist(), offered["ord"].to_pylist(), data):
-        part = answer[lo : lo + len(own)]
-        out.append((block, shard, n, _pack(part), int((part > 0).sum())))
-        lo += len(own)
-    return _rows(out, _COUNTED)
-
-
-def _name(shards: int):
-    """The counted runs that a block is to name."""
-
-    def run(payloads: pa.Table, found: pa.Table) -> pa.Table:
-        tables = [_RUNS.empty_table()]
-        for data in payloads["payload"].to_pylist():
-            v = View(data, _told(found), shards, MAX_DEPTH + 1)
-            for n in v.own:
-                mine = np.flatnonzero(v.once[n] & (v.total[n] >= LEAST))
-                nothing = pa.nulls(len(mine), pa.int64())
-                ctx, suf = nothing, nothing
-                if n > 1:
-                    t = v.at[n][v.where[n][mine]]
-                    ctx, suf = (pa.array(v.key[n - 1][x].view(np.int64)) for x in (t - 1, t))
-                tables.append(pa.Table.from_arrays([pa.array(np.full(len(mine), n, np.int32)), pa.array(v.own[n][mine].view(np.int64)), ctx, suf, pa.array(v.total[n][mine])], schema=_RUNS))
-        return pa.concat_tables(tables)
+    def run(batches):
+        for b in batches:
+            out = []
+            for block, data in zip(col(b, "block").to_pylist(), col(b, "words").to_pylist()):
+                planes, counts = _unpack(data)
+                own = _keys(planes)
+                shard = ((own >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.min_scalar_type(shards))
+                out += [(block, s, 1, _pack(_planes(own[x]), counts[x])) for s, x in _split(shard)]
+            yield from _rows(out, _PARTS).to_batches()
 
     return run
 
 
-def _ask(shards: int):
-    """A block's counted runs for the shards."""
+def _offer(order: int, shards: int, scale: float):
+    """A block's runs of ``order`` for the shards, and its part of the tests of the
+    contexts two orders shorter, whose next words have been counted."""
 
-    def run(payloads: pa.Table, found: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        for block, data in zip(payloads["block"].to_pylist(), payloads["payload"].to_pylist()):
-            v = View(data, _told(found), shards, MAX_DEPTH + 1)
-            for n in v.own:
-                own = v.own[n][v.counted(n)]
-                out += [(block, shard, n, _pack(own[x])) for shard, x in _deal(own, shards)]
+        for block, data in _payloads(rows):
+            v = View(data, _told(found), shards, min(order, MAX_DEPTH + 1), scale)
+            if order <= MAX_DEPTH + 1:
+                out += [(block, shard, order, part) for shard, part in v.offer(order)]
+            if order > 2:
+                out += [(block, shard, 2 - order, part) for shard, part in v.tests(order - 2)]
         return _rows(out, _PARTS)
 
     return run
 
 
-def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """One shard: to each block what the tree says of its runs (ln alpha of a kept
-    context, ln P of a counted next word in one; NaN where it says nothing)."""
-    known = model["key"].to_numpy().view(np.uint64)
-    at = np.argsort(known)
-    known = np.append(known[at], np.uint64(0))
-    values = [np.append(model[c].to_numpy().astype(float)[at], np.nan) for c in ("alpha", "p")]
-    out = []
-    for block, shard, n, data in zip(*(asked[c].to_pylist() for c in ("block", "shard", "ord", "payload"))):
-        keys = _unpack(data)[0]
-        place = np.searchsorted(known[:-1], keys)
-        place = np.where(known[place] == keys, place, len(known) - 1)
-        if (place < len(known) - 1).any():
-            out.append((block, shard, n, _pack(*(v[place] for v in values))))
-    return _rows(out, _PARTS)
+def _totals(data: list, order: int) -> list:
+    """To each block its runs' training totals (0 under LEAST, words apart), doubled,
+    plus 1 in one block that has the run, and the steps of the counted ones' ranks."""
+    keys, where, inverse = _distinct(np.concatenate([_keys(k) for k, _ in data]))
+    total = np.bincount(inverse, weights=np.concatenate([n for _, n in data])).astype(np.int64)
+    total[total < (1 if order == 1 else LEAST)] = 0
+    rank = np.cumsum(total >= LEAST) - 1
+    answer = 2 * total[inverse]
+    answer[where] += total > 0
+    cuts = np.cumsum([len(n) for _, n in data])[:-1]
+    return [(a, np.diff(rank[x[a >= 2 * LEAST]], prepend=0)) for a, x in zip(np.split(answer, cuts), np.split(inverse, cuts))]
+
+
+def _kept(data: list, price: float) -> list:
+    """To each block ln alpha of its contexts, NaN where one does not stay."""
+    sizes = [len(x[0]) for x in data]
+    inverse = np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in data])
+    words = np.concatenate([x[1] for x in data])
+    total, n, old = (np.concatenate([x[k] for x in data]).astype(float) for k in range(2, 5))
+    context = np.zeros(int(inverse.max()) + 1)
+    context[inverse[words > 0]] = total
+    at = np.repeat(inverse, words)
+    own, n, mass, words = (np.bincount(at, weights=w, minlength=len(context)) for w in (n * (np.log(n) - old), n, np.exp(old), np.ones(len(at))))
+    alpha = np.log((1 - n / (context + GAMMA)) / np.maximum(1 - mass, 1e-12))
+    gain = own - n * np.log(context + GAMMA) + np.maximum(0, context - n) * alpha
+    alpha[(words == 0) | ~(gain > price * (words + 1))] = np.nan
+    return np.split(alpha[inverse], np.cumsum(sizes)[:-1])
+
+
+def _count(price: float):
+    """One shard: its answers to each block."""
+
+    def run(offered: pa.Table) -> pa.Table:
+        blocks, shard, orders, payloads = (offered[c].to_pylist() for c in ("block", "shard", "ord", "payload"))
+        out = []
+        for order in sorted(set(orders)):
+            rows = [i for i, n in enumerate(orders) if n == order]
+            data = [_unpack(payloads[i]) for i in rows]
+            answers = _totals(data, order) if order > 0 else _kept(data, price)
+            for i, part in zip(rows, answers):
+                if order > 0:
+                    out.append((blocks[i], shard[i], order, _pack(*map(_narrow, part)), int((part[0] & 1).sum())))
+                elif not np.isnan(part).all():
+                    out.append((blocks[i], shard[i], order, _pack(part), 0))
+        return _rows(out, _COUNTED)
+
+    return run
 
 
 def _gone(df: DataFrame) -> None:
@@ -380,32 +504,6 @@ def _gone(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def grown(runs: dict[int, DataFrame], n_train: int) -> DataFrame:
-    """(key, alpha, p): the tree as rows, from the counted runs (order 1: key, n, p)."""
-    price = 0.5 * math.log(max(n_train, 2))
-    model = runs[1].select("key", F.lit(None).cast("double").alias("alpha"), "p")
-    below, done = runs[1], []
-    for order in range(1, MAX_DEPTH + 1):
-        # ``old``: ln P of the next word in the longest kept suffix of the context
-        rows = stored(runs[order + 1].join(below.select(F.col("key").alias("suf"), F.col("p").alias("old")), "suf"), "pst-old")
-        sums = rows.groupBy("ctx").agg(F.sum(F.col("n") * (F.log("n") - F.col("old"))).alias("own"), F.sum("n").alias("n"), F.sum(F.exp("old")).alias("mass"), F.count(F.lit(1)).alias("words"))
-        tests = sums.join(runs[order].select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx")
-        alpha = F.log((1 - F.col("n") / (F.col("total") + GAMMA)) / F.greatest(1 - F.col("mass"), F.lit(1e-12)))
-        tests = tests.withColumn("alpha", alpha)
-        gain = F.col("own") - F.col("n") * F.log(F.col("total") + GAMMA) + F.greatest(F.lit(0), F.col("total") - F.col("n")) * F.col("alpha")
-        kept = stored(tests.where(gain > price * (F.col("words") + 1)).select("ctx", "total", "alpha"), "pst-kept")
-        new = F.log("n") - F.log(F.col("total") + GAMMA)
-        below = stored(rows.join(kept.select("ctx", "total"), "ctx", "left" if order < MAX_DEPTH else "inner").select("key", F.coalesce(new, F.col("old")).alias("p"), F.col("total").isNotNull().alias("hit")), "pst-p")
-        _gone(rows)
-        done += [kept, below]
-        model = model.unionByName(kept.select(F.col("ctx").alias("key"), "alpha", F.lit(None).cast("double").alias("p")))
-        model = model.unionByName(below.where("hit").select("key", F.lit(None).cast("double").alias("alpha"), "p"))
-    model = stored(model.groupBy("key").agg(F.max("alpha").alias("alpha"), F.max("p").alias("p")), "pst-model")
-    for df in done:
-        _gone(df)
-    return model
-
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -423,63 +521,35 @@ def score(docs: DataFrame) -> DataFrame:
 
 def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    data = stored(blocks(docs), "pst-blocks")
+    data = stored(blocks(docs, f"{scratch_dir(spark)}/pst-{uuid.uuid4().hex}"), "pst-words")
     n_train = int(data.agg(F.sum("train_tokens")).first()[0] or 0)
-    data = data.select("block", "payload")
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_train // SHARD_TOKENS)
-    told = spark.createDataFrame([], _PARTS_DDL)
-    n_known = 0
-    for order in range(1, MAX_DEPTH + 2):
-        offered = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_offer(order, shards), _PARTS_DDL)
-        counted = stored(offered.groupBy("shard").applyInArrow(_count, _PARTS_DDL + ", n_known long"), "pst-counted")
-        if order == 1:
-            n_known = int(counted.agg(F.sum("n_known")).first()[0] or 0)
-        told = told.unionByName(counted.drop("n_known"))
-    scale = n_train + SMOOTH * (n_known + 1)
-    named = stored(data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_name(shards), "ord int, key long, ctx long, suf long, n long"), "pst-runs")
-    runs = {n: named.where(F.col("ord") == n).select("key", "ctx", "suf", "n") for n in range(1, MAX_DEPTH + 2)}
-    runs[1] = runs[1].select("key", "n", F.log((F.col("n") + SMOOTH) / scale).alias("p"))
-    model = grown(runs, n_train)
-    _gone(named)
-    model = model.withColumn("shard", F.shiftrightunsigned("key", 40) % shards)
-    asked = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask(shards), _PARTS_DDL)
-    answers = stored(asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, _PARTS_DDL), "pst-answers")
-    answers = told.unionByName(answers.withColumn("ord", -F.col("ord")))
+    price = 0.5 * math.log(max(n_train, 2))
+    counted_ddl = _PARTS_DDL + ", n_known long"
+    offered = data.select("block", "words").mapInArrow(_offer_words(shards), _PARTS_DDL)
+    counted = stored(offered.groupBy("shard").applyInArrow(_count(price), counted_ddl), "pst-counted")
+    scale = n_train + SMOOTH * (int(counted.agg(F.sum("n_known")).first()[0] or 0) + 1)
+    words, data = data, stored(data.drop("train_tokens", "words"), "pst-blocks")
+    _gone(words)
+    told = counted.drop("n_known")
+    for order in range(2, MAX_DEPTH + 3):
+        offered = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_offer(order, shards, scale), _PARTS_DDL)
+        told = told.unionByName(stored(offered.groupBy("shard").applyInArrow(_count(price), counted_ddl), "pst-counted").drop("n_known"))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(payloads: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         tables = [out.empty_table()]
-        for payload in payloads["payload"].to_pylist():
-            v = View(payload, _told(answers), shards, MAX_DEPTH + 1)
+        for _, payload in _payloads(rows):
+            v = View(payload, _told(found), shards, MAX_DEPTH + 1, scale)
             c = v.total[1][v.inverse[1]]
             base = np.add.reduceat(np.log10((c + SMOOTH) / scale), v.first)
             known = np.add.reduceat((c > 0).astype(np.int64), v.first)
-            extra = np.add.reduceat(_adjust(v), v.first) / math.log(10)
+            extra = np.add.reduceat(v.adjust(), v.first) / math.log(10)
             tables.append(pa.Table.from_arrays([pa.array(v.doc_ids, pa.int64()), pa.array(v.held), pa.array(v.sizes), pa.array(known), pa.array(np.full(len(known), n_train)), pa.array(base), pa.array(base + extra)], schema=out))
         return pa.concat_tables(tables)
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return data.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ddl)
-
-
-def _adjust(v: View) -> np.ndarray:
-    """ln of P(token | longest kept suffix) / P_root(token) of every token; the tree's
-    answers on runs of order n are filed under -n."""
-    alpha, p = {}, {}
-    for n in v.own:
-        place = v.counted(n)
-        said = np.full((2, len(v.own[n])), np.nan)
-        for shard, x in _deal(v.own[n][place], v.shards):
-            if (-n, shard) in v.told:
-                said[:, place[x]] = v.told[-n, shard]
-        alpha[n], p[n] = np.full((2, len(v.key[1])), np.nan)
-        alpha[n][v.at[n]], p[n][v.at[n]] = said[:, v.inverse[n]]
-    out = np.zeros(len(v.key[1]))
-    for n in range(1, MAX_DEPTH + 1):
-        a = np.append(np.nan, alpha[n][:-1])
-        a[v.first] = np.nan
-        out = np.where(np.isnan(a), out, np.where(np.isnan(p[n + 1]), a + out, p[n + 1] - p[1]))
-    return out
+    return data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, ddl)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
