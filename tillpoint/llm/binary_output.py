@@ -24,6 +24,7 @@ repeated rows give repeated records.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -113,10 +114,22 @@ def _simple(word: str) -> str | None:
     return None
 
 
+#: The pre-tokens of a word of visible ASCII characters without capitals.
+_ASCII = re.compile(rb"[!-;=-@\[-~]+")
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _pieces(word: bytes) -> list[bytes] | None:
+    """The pre-tokens of such a word; None for any other, and for one with the sign
+    that special tokens begin with."""
+    return _PIECES.findall(word) if _ASCII.fullmatch(word) else None
+
+
 def word_ids(words: list[bytes], path: str) -> list[bytes]:
     """Ids (little-endian u32) of distinct words, through the worker's cache. Simple
     words, and simple words before a full stop or comma (a pre-token of its own), go
-    straight to the tokenizer's model; the rest through its whole chain."""
+    straight to the tokenizer's model, as do the pre-tokens of other ASCII words; the
+    rest through its whole chain."""
     tok = _tokenizer(path)
     tokenize = tok.model.tokenize
     generations = _CACHES.setdefault(path, [{}, {}])
@@ -136,7 +149,17 @@ def word_ids(words: list[bytes], path: str) -> list[bytes]:
         # bytes.isalpha() holds for ASCII letters only, and those are lower case here
         piece = stem.decode() if stem.isalpha() and stem.islower() else _simple(stem.decode("utf-8", "replace"))
         if piece is None:
-            odd.append(i)
+            pieces = _pieces(w)
+            if pieces is None:
+                odd.append(i)
+                continue
+            ids = b""
+            for name in pieces:
+                part = cache.get(name)
+                if part is None:
+                    part = cache[name] = array("I", [t.id for t in tokenize(name.decode())]).tobytes()
+                ids += part
+            found[i] = cache[w] = ids
             continue
         ids = cache.get(stem) if mark else None
         if ids is None:
@@ -159,7 +182,7 @@ def encode(raw: list[bytes], path: str) -> list[np.ndarray]:
     flat[:] = [w for ws in lists for w in ws]
     which, uniques = pd.factorize(flat)
     coded = word_ids(list(uniques), path)
-    lens = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
+    lens = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     pool = np.frombuffer(b"".join(coded), "<u4")
     first = np.concatenate(([0], np.cumsum(lens)))
     n = lens[which] if len(which) else np.zeros(0, np.int64)
