@@ -176,6 +176,25 @@ def test_mix_takes_near_targets_and_splits_exactly(spark, corpus):
     assert {k: r.target for k, r in goal.items()} == pytest.approx(want)
 
 
+def test_mix_has_small_plans(spark, corpus, monkeypatch):
+    """The driver holds a step's plan and what it broadcasts."""
+    joins, levels, real = [], [], mixing.stored
+
+    def plan(df):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.append(text.count("Join "))
+        levels.append(text.count("Generate explode"))
+
+    def stored(df, label):
+        plan(df)
+        return real(df, label)
+
+    monkeypatch.setattr(mixing, "stored", stored)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 200)
+    plan(mixing.mix(mixing.sized(corpus))[0])
+    assert max(joins) <= 4 and max(levels) <= 2
+
+
 @pytest.mark.parametrize("long", [700, 290, 150])
 def test_mix_with_one_unit_of_most_of_a_source(spark, make, long):
     """Small documents fill what a long one, wherever it is in the permutation, cannot."""

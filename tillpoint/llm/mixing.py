@@ -25,6 +25,9 @@ the hash-derived variates make reruns agree.
 Hot sources: sums are combined before the shuffle, and prefix sums run in hash
 buckets of about 4,096 documents plus one offset a bucket.
 
+Plans stay small, as the driver holds them and what they broadcast: each step is
+stored, and all that is known of the sources is one stored table, joined once a step.
+
 Defined results: a null text has size 0; a null source is a source of its own, last;
 documents of size 0 are drawn like others, which adds no word; no words at all: all
 targets are 0.
@@ -70,7 +73,8 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(units: DataFrame) -> DataFrame:
-    """One row a source: idx, source_size, target, and the units it has."""
+    """One row a source: idx, source_size, target (whole sources, ``passes``, and a
+    ``rest``), and the units it has."""
     per = units.groupBy("skey").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("n_units"))
     by_name, by_ratio = Window.orderBy("skey"), Window.orderBy("ratio", "idx")
     everything = Window.partitionBy(F.lit(1))
@@ -84,7 +88,9 @@ def targets(units: DataFrame) -> DataFrame:
     per = per.withColumn("free", F.min(first).over(everything))
     free = F.col("free.ratio").isNotNull() & (F.struct("ratio", "idx") >= F.struct("free.ratio", "free.idx"))
     target = F.when(free, (3 * F.col("total") - 2 * F.col("free.capped")) * F.col("w") / (2 * F.col("free.weights"))).otherwise(2.0 * F.col("source_size"))
-    return per.select("skey", "idx", "source_size", "n_units", target.cast("double").alias("target"))
+    per = per.select("skey", "idx", "source_size", "n_units", target.cast("double").alias("target"))
+    per = per.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    return per.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
 
 
 def per_source(few: bool):
@@ -116,10 +122,9 @@ def fill(left: DataFrame, state: DataFrame, few: bool) -> DataFrame | None:
     side, unit, more = per_source(few), ["skey", "doc_id", "size", "words", "h"], None
     key = F.struct("doc_id", "size")
     while True:
-        pool = left.join(side(state.select("skey", "gap")), "skey").where("words > 0 and words <= gap")
+        pool = stored(left.join(side(state.select("skey", "gap")), "skey").where("words > 0 and words <= gap"), "mix-left")
         if pool.isEmpty():
             return more
-        pool = stored(pool, "mix-left")
         whole = state.select("skey", "n_units", F.col("gap").alias("rest"))
         rows = placed(pool.where("2 * words <= gap").select(unit), whole, few).join(side(state.select("skey", "rest", "gap")), "skey")
         got = stored(rows.where("ahead + words <= gap").select(*unit, (F.col("rest") - F.col("gap") + F.col("ahead")).alias("at")), "mix-fill")
@@ -139,22 +144,22 @@ def fill(left: DataFrame, state: DataFrame, few: bool) -> DataFrame | None:
 def draws(units: DataFrame, goal: DataFrame, few: bool, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(units with ``ks``: the numbers of the drawn blocks they belong to; sources
     with ``quota``: how many numbers there are)."""
-    goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    side = per_source(few)
-    rows = stored(placed(units, goal, few), "mix-placed").join(side(goal.select("skey", "idx", "passes", "rest", "source_size")), "skey")
+    side, own = per_source(few), ["skey", "idx", "passes", "rest", "source_size"]
+    rows = stored(placed(units, goal, few).join(side(goal.select(own)), "skey"), "mix-placed")
     ahead = "ahead" if whole else "before"
     fits = (F.col("words") <= F.col("rest")) & (F.col(ahead) + F.col("words") <= F.col("rest"))
     gap = rows.where(fits).groupBy("skey").agg(F.sum("words").alias("fit"))
-    goal = goal.join(gap, "skey", "left").withColumn("gap", F.col("rest") - F.coalesce("fit", F.lit(0)))
-    rows = rows.join(side(goal.select("skey", "gap")), "skey")
+    goal = stored(goal.join(gap, "skey", "left").withColumn("gap", F.col("rest") - F.coalesce("fit", F.lit(0))).drop("fit"), "mix-fits")
     miss = F.abs(F.col("words") - F.col("gap"))
-    best = rows.where(~fits & (miss < F.col("gap"))).groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "words")).alias("best"))
-    best = stored(best, "mix-best")
-    rows = rows.join(side(best), "skey", "left")
+    short = rows.where(~fits).join(side(goal.select("skey", "gap")), "skey").where(miss < F.col("gap"))
+    best = short.groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "words")).alias("best"))
+    goal = stored(goal.join(best, "skey", "left"), "mix-best")
     chosen = F.coalesce(F.struct("h", "doc_id", "size").eqNullSafe(F.struct("best.h", "best.doc_id", "best.size")), F.lit(False)) & F.col("best").isNotNull() & ~fits
-    state = goal.join(best, "skey", "left").select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"))
-    more = fill(rows.where(~fits & ~chosen).select("skey", "doc_id", "size", "words", "h"), stored(state, "mix-gap"), few) if whole else None
+    rows = rows.join(side(goal.select("skey", "best")), "skey")
+    more = None
+    if whole:
+        state = goal.select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"))
+        more = fill(rows.where(~fits & ~chosen).select("skey", "doc_id", "size", "words", "h"), state, few)
     rows = rows.withColumn("at", F.when(fits & (F.col("rest") > 0), F.col(ahead)))
     if more is not None:
         more = more.select(F.col("skey").alias("k"), F.struct("doc_id", "size").alias("u"), F.col("at").alias("filled"))
@@ -167,7 +172,7 @@ def draws(units: DataFrame, goal: DataFrame, few: bool, whole: bool) -> tuple[Da
     once = F.when(F.col("at").isNotNull(), F.array(F.col("passes") * blocks + F.floor(F.col("at") / BLOCK_WORDS))).when(chosen, F.array(last)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("skey", "idx", "doc_id", "size", "h", F.concat(again, once).alias("ks"))
     goal = goal.withColumn("quota", F.when(F.col("source_size") > 0, last + 1).otherwise(F.lit(0)).cast("long"))
-    return rows, goal.select("skey", "idx", "source_size", "target", "quota")
+    return stored(rows, "mix-draws"), goal.select("skey", "idx", "source_size", "target", "quota")
 
 
 #: One node: for each source a hypergeometric variate (pop blocks of which k are the
@@ -201,10 +206,12 @@ def leaves(goal: DataFrame, depth: int) -> DataFrame:
     nodes = root.where(F.size("q") > 0).select(F.lit(1).cast("long").alias("node"), "q", F.transform("q", lambda x: x * 0).alias("start"))
     for level in range(depth):
         nodes = nodes.select(F.explode(F.expr(_SPLIT)).alias("s")).select("s.*")
-        if level % 6 == 5:  # a lineage cut, and the nodes spread over tasks
-            nodes = stored(nodes.repartition("node"), "mix-tree")
+        if level % 6 == 5:  # the nodes spread over tasks
+            nodes = nodes.repartition("node")
+        if level % 2:  # a lineage cut: a plan of many levels is large
+            nodes = stored(nodes, "mix-tree")
     flat = nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.posexplode(F.arrays_zip("q", "start")).alias("idx", "s"))
-    return flat.select("idx", "shard", F.col("s.start").alias("start"), F.col("s.q").alias("q"))
+    return stored(flat.select("idx", "shard", F.col("s.start").alias("start"), F.col("s.q").alias("q")), "mix-leaves")
 
 
 def mix(base: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
