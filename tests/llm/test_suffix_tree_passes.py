@@ -48,3 +48,34 @@ def test_a_pass_shuffles_no_text(spark, make):
     table = pa.Table.from_pylist([r.asDict() for r in rows])
     ids = [i for _, data in st._payloads(table) for i in st._unpack(data)[0]]
     assert sorted(ids) == list(range(6)) and sum(r.train_tokens for r in rows) % 3001 == 0
+
+
+def test_answers_are_written_once_and_read_in_place(spark, tmp_path):
+    """A shard's rows hold places of its answers in a file, not the answers."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    own = {b: np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) for b in range(3)}
+    own[1] = own[0]
+    counts = rng.integers(1, 200, len(own[0]))
+    rows = [(b, 7, 2, st._pack(st._planes(k), (counts if b < 2 else np.ones(len(k))).astype(np.uint8))) for b, k in own.items()]
+    found = st._count(1.0, str(tmp_path))(st._rows(rows, st._PARTS))
+    assert sum(len(str(r)) for r in found.to_pylist()) < 1000 < sum(found["size"].to_pylist())
+    assert sum(found["n_known"].to_pylist()) == len(own[0])
+    for b in own:
+        said, steps = st._told(found.filter(pa.compute.equal(found["block"], b)), str(tmp_path))[2, 7]
+        assert (said >> 1 == (0 if b == 2 else 2 * counts)).all() and len(steps) == (0 if b == 2 else len(own[0]))
+
+
+def test_blocks_span_batches(spark, make):
+    """A block is as large as its bytes allow, whatever the Arrow batches are."""
+    from tillpoint.llm.common import scratch_dir
+
+    docs = make([(k, f"a b w{k}") for k in range(90)]).select("doc_id", "text").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = st.blocks(docs, f"{scratch_dir(spark)}/pst-span").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) == 1 and sum(r.train_tokens for r in rows) % 4 == 0

@@ -15,8 +15,9 @@ Spark does the counting. Texts become blocks (words by 64-bit hash against the b
 own list). A run is a 64-bit key. Order by order, a block deals its distinct runs to
 shards by key (a run at most once a block, so a common one is no large group; the
 number of shards grows with the corpus), and each shard answers each block with its
-runs' training totals, in the order in which they came. Only runs whose shorter runs
-are counted go on. Each counted run is summed up by one block only: with a context's
+runs' training totals, in the order in which they came. The answers lie in files of the
+shared folder, which the later passes read in place: only runs and places are shuffled.
+Only runs whose shorter runs are counted go on. Each counted run is summed up by one block only: with a context's
 next words counted, the blocks deal their parts of its divergence test to the shards
 by the context's key, beside the next order's runs, and the shards add them up and
 answer every block that has the context whether it stays. Totals and contexts kept
@@ -47,7 +48,7 @@ from tillpoint.llm.common import col, fold, prepare, scratch_dir, slices, stored
 LEAST = 2
 MAX_DEPTH = 3
 GAMMA = 2.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 SMOOTH = 0.1
 SHARD_TOKENS = 1 << 21
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +62,19 @@ def _unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def _joined(batches):
+    """Batches put together as long as a block holds them."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def blocks(docs: DataFrame, folder: str) -> DataFrame:
     """(block, train_tokens, path, start, size, words): documents as places in the
     block's list of words, written to a file of the task's own attempt in the shared
@@ -72,7 +86,7 @@ def blocks(docs: DataFrame, folder: str) -> DataFrame:
         base, k, start, file = TaskContext.get().partitionId() << 32, 0, 0, None
         path = f"{folder}/part-{base >> 32:07d}-{uuid.uuid4().hex}.bin"
         digest, found = xxhash.xxh64_intdigest, []
-        for b in slices(batches, max_bytes=BLOCK_BYTES):
+        for b in slices(_joined(batches), max_bytes=BLOCK_BYTES):
             if file is None:
                 fs, place = file_system(path)
                 fs.create_dir(place.rpartition("/")[0], recursive=True)
@@ -278,7 +292,8 @@ def _keys(planes: np.ndarray) -> np.ndarray:
 
 _PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("ord", pa.int32()), ("payload", pa.binary())])
 _PARTS_DDL = "block long, shard long, ord int, payload binary"
-_COUNTED = pa.schema([*_PARTS, ("n_known", pa.int64())])
+_PLACES = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("n_known", pa.int64())])
+_PLACES_DDL = "block long, shard long, file string, start long, size long, n_known long"
 
 
 def _rows(out: list, schema: pa.Schema) -> pa.Table:
@@ -410,8 +425,15 @@ class View:
         return out
 
 
-def _told(found: pa.Table) -> dict:
-    return {(n, shard): _unpack(data) for n, shard, data in zip(*(found[c].to_pylist() for c in ("ord", "shard", "payload")))}
+def _told(found: pa.Table, folder: str) -> dict:
+    """By order and shard the answers at the places that a block's rows name."""
+    fs, top = file_system(folder)
+    told = {}
+    for shard, name, start, size in zip(*(found[c].to_pylist() for c in ("shard", "file", "start", "size"))):
+        with fs.open_input_file(f"{top}/{name}") as file:
+            file.seek(start)
+            told |= {(n, shard): part for n, part in _unpack(file.read(size))}
+    return told
 
 
 def _offer_words(shards: int):
@@ -430,14 +452,14 @@ def _offer_words(shards: int):
     return run
 
 
-def _offer(order: int, shards: int, scale: float):
+def _offer(order: int, shards: int, scale: float, folder: str):
     """A block's runs of ``order`` for the shards, and its part of the tests of the
     contexts two orders shorter, whose next words have been counted."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         for block, data in _payloads(rows):
-            v = View(data, _told(found), shards, min(order, MAX_DEPTH + 1), scale)
+            v = View(data, _told(found, folder), shards, min(order, MAX_DEPTH + 1), scale)
             if order <= MAX_DEPTH + 1:
                 out += [(block, shard, order, part) for shard, part in v.offer(order)]
             if order > 2:
@@ -476,22 +498,32 @@ def _kept(data: list, price: float) -> list:
     return np.split(alpha[inverse], np.cumsum(sizes)[:-1])
 
 
-def _count(price: float):
-    """One shard: its answers to each block."""
+def _count(price: float, folder: str):
+    """One shard: its answers to each block, written to a file of the task's own attempt
+    in the shared ``folder``; the rows have their places."""
 
     def run(offered: pa.Table) -> pa.Table:
         blocks, shard, orders, payloads = (offered[c].to_pylist() for c in ("block", "shard", "ord", "payload"))
-        out = []
-        for order in sorted(set(orders)):
+        told, known = {}, {}
+        for order in sorted(set(orders), reverse=True):
             rows = [i for i, n in enumerate(orders) if n == order]
             data = [_unpack(payloads[i]) for i in rows]
-            answers = _totals(data, order) if order > 0 else _kept(data, price)
-            for i, part in zip(rows, answers):
+            for i, part in zip(rows, _totals(data, order) if order > 0 else _kept(data, price)):
                 if order > 0:
-                    out.append((blocks[i], shard[i], order, _pack(*map(_narrow, part)), int((part[0] & 1).sum())))
+                    known[blocks[i]] = int((part[0] & 1).sum())
+                    told.setdefault(blocks[i], []).append((order, tuple(map(_narrow, part))))
                 elif not np.isnan(part).all():
-                    out.append((blocks[i], shard[i], order, _pack(part), 0))
-        return _rows(out, _COUNTED)
+                    told.setdefault(blocks[i], []).append((order, (part,)))
+        name, start, out = f"{uuid.uuid4().hex}.bin", 0, []
+        fs, top = file_system(folder)
+        fs.create_dir(top, recursive=True)
+        with fs.open_output_stream(f"{top}/{name}") as file:
+            for block, parts in told.items():
+                data = _pack(*parts)
+                file.write(data)
+                out.append((block, shard[0], name, start, len(data), known.get(block, 0)))
+                start += len(data)
+        return _rows(out, _PLACES)
 
     return run
 
@@ -521,26 +553,26 @@ def score(docs: DataFrame) -> DataFrame:
 
 def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    data = stored(blocks(docs, f"{scratch_dir(spark)}/pst-{uuid.uuid4().hex}"), "pst-words")
+    folder = f"{scratch_dir(spark)}/pst-{uuid.uuid4().hex}"
+    data = stored(blocks(docs, folder), "pst-words")
     n_train = int(data.agg(F.sum("train_tokens")).first()[0] or 0)
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_train // SHARD_TOKENS)
-    price = 0.5 * math.log(max(n_train, 2))
-    counted_ddl = _PARTS_DDL + ", n_known long"
+    count = _count(0.5 * math.log(max(n_train, 2)), folder)
     offered = data.select("block", "words").mapInArrow(_offer_words(shards), _PARTS_DDL)
-    counted = stored(offered.groupBy("shard").applyInArrow(_count(price), counted_ddl), "pst-counted")
+    counted = stored(offered.groupBy("shard").applyInArrow(count, _PLACES_DDL), "pst-counted")
     scale = n_train + SMOOTH * (int(counted.agg(F.sum("n_known")).first()[0] or 0) + 1)
     words, data = data, stored(data.drop("train_tokens", "words"), "pst-blocks")
     _gone(words)
     told = counted.drop("n_known")
     for order in range(2, MAX_DEPTH + 3):
-        offered = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_offer(order, shards, scale), _PARTS_DDL)
-        told = told.unionByName(stored(offered.groupBy("shard").applyInArrow(_count(price), counted_ddl), "pst-counted").drop("n_known"))
+        offered = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_offer(order, shards, scale, folder), _PARTS_DDL)
+        told = told.unionByName(stored(offered.groupBy("shard").applyInArrow(count, _PLACES_DDL), "pst-counted").drop("n_known"))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         tables = [out.empty_table()]
         for _, payload in _payloads(rows):
-            v = View(payload, _told(found), shards, MAX_DEPTH + 1, scale)
+            v = View(payload, _told(found, folder), shards, MAX_DEPTH + 1, scale)
             c = v.total[1][v.inverse[1]]
             base = np.add.reduceat(np.log10((c + SMOOTH) / scale), v.first)
             known = np.add.reduceat((c > 0).astype(np.int64), v.first)
