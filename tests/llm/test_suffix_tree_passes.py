@@ -79,3 +79,10 @@ def test_blocks_span_batches(spark, make):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(rows) == 1 and sum(r.train_tokens for r in rows) % 4 == 0
+
+
+def test_places_are_dealt_to_all_tasks(spark, make):
+    """Rows of places are few bytes, which Spark would put in one task."""
+    docs = make([(k, f"a b w{k}") for k in range(9)]).select("doc_id", "text")
+    plan = st.score(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2

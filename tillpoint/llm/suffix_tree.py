@@ -564,8 +564,11 @@ def _score(docs: DataFrame) -> DataFrame:
     words, data = data, stored(data.drop("train_tokens", "words"), "pst-blocks")
     _gone(words)
     told = counted.drop("n_known")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a number of its own: rows of places are few bytes, which Spark would put in one task
+    by_block = lambda df: df.repartition(tasks, "block").groupBy("block")
     for order in range(2, MAX_DEPTH + 3):
-        offered = data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_offer(order, shards, scale, folder), _PARTS_DDL)
+        offered = by_block(data).cogroup(by_block(told)).applyInArrow(_offer(order, shards, scale, folder), _PARTS_DDL)
         told = told.unionByName(stored(offered.groupBy("shard").applyInArrow(count, _PLACES_DDL), "pst-counted").drop("n_known"))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -581,7 +584,7 @@ def _score(docs: DataFrame) -> DataFrame:
         return pa.concat_tables(tables)
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return data.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, ddl)
+    return by_block(data).cogroup(by_block(told)).applyInArrow(run, ddl)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
