@@ -195,6 +195,25 @@ def test_mix_has_small_plans(spark, corpus, monkeypatch):
     assert max(joins) <= 4 and max(levels) <= 2
 
 
+def test_mix_has_few_plans(spark, make, monkeypatch):
+    """Every scan, shuffle and broadcast of a step costs the driver blocks of its own."""
+    rows = [(i, sentence(i, 20 + i * 7 % 90), "en", "abc"[i % 3]) for i in range(90)]
+    base, steps, real = mixing.sized(make(rows)).persist(), [], mixing.stored
+
+    def plan(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        text = text.split("== Initial Plan ==")[0]
+        steps.append(text.count("Exchange ") + text.count("Scan parquet"))
+
+    def stored(df, label):
+        plan(df)
+        return real(df, label)
+
+    monkeypatch.setattr(mixing, "stored", stored)
+    plan(mixing.mix(base)[0])
+    assert len(steps) <= 6 and sum(steps) <= 30, steps
+
+
 @pytest.mark.parametrize("long", [700, 290, 150])
 def test_mix_with_one_unit_of_most_of_a_source(spark, make, long):
     """Small documents fill what a long one, wherever it is in the permutation, cannot."""

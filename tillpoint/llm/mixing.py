@@ -25,8 +25,9 @@ the hash-derived variates make reruns agree.
 Hot sources: sums are combined before the shuffle, and prefix sums run in hash
 buckets of about 4,096 documents plus one offset a bucket.
 
-Plans stay small, as the driver holds them and what they broadcast: each step is
-stored, and all that is known of the sources is one stored table, joined once a step.
+Plans stay small and few, as the driver holds them and what they broadcast: each step
+is stored, units carry what is known of their source, and a bucket's offset meets its
+units in their window instead of a join.
 
 Defined results: a null text has size 0; a null source is a source of its own, last;
 documents of size 0 are drawn like others, which adds no word; no words at all: all
@@ -98,68 +99,64 @@ def per_source(few: bool):
     return F.broadcast if few else (lambda df: df)
 
 
-def placed(units: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
-    """Units with the words before them in their source's permutation, and those of
-    them in units that are no larger than the source's rest (``ahead``)."""
-    rows = units.join(per_source(few)(goal.select("skey", "n_units", "rest")), "skey")
-    rows = rows.withColumn("part", F.when(F.col("words") <= F.col("rest"), F.col("words")).otherwise(F.lit(0))).drop("rest")
+def prefix_sums(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """``rows`` (units with their source's ``n_units``) with, for each of ``sums`` (new
+    column: summed one), the sum over the units before them in their source's
+    permutation. A bucket's offsets are a row of their own, the first of its window."""
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_units") / BUCKET_UNITS))
     rows = rows.withColumn("bucket", F.floor(F.col("h") / F.lit(float(1 << 60)) * buckets).cast("long"))
-    sums = rows.groupBy("skey", "bucket").agg(F.sum("words").alias("s"), F.sum("part").alias("t"))
+    totals = rows.groupBy("skey", "bucket").agg(*[F.sum(c).alias(c) for c in sums.values()])
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset"), F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("part_offset"))
-    inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(sums, ["skey", "bucket"])
-    sums = [(F.col(o) + F.coalesce(F.sum(x).over(inside), F.lit(0))).alias(name) for o, x, name in (("offset", "words", "before"), ("part_offset", "part", "ahead"))]
-    return rows.select("skey", "doc_id", "size", "words", "h", *sums)
-
-
-def fill(left: DataFrame, state: DataFrame, few: bool) -> DataFrame | None:
-    """(skey, doc_id, size, at) of the units taken of ``left`` for the gaps of ``state``
-    (skey, n_units, rest, gap), ``at`` being their place in the rest; None if no unit
-    fits. A gap of which a round leaves more than half has no unit of at most half of
-    it left, so the rounds are few."""
+    offsets = totals.select("skey", "bucket", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in sums.values()], F.lit(0).alias("unit"))
+    both = rows.withColumn("unit", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    inside = Window.partitionBy("skey", "bucket").orderBy("unit", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()}).where("unit = 1").drop("unit", "bucket")
+
+
+def same_unit(other: str) -> Column:
+    return F.struct("doc_id", "size").eqNullSafe(F.struct(f"{other}.doc_id", f"{other}.size"))
+
+
+def fill(left: DataFrame, state: DataFrame | None, few: bool) -> DataFrame | None:
+    """(skey, doc_id, size, words, h, at) of the units taken of ``left`` for the gaps of
+    ``state`` (skey, n_units, rest, gap; None if ``left`` has them), ``at`` being their
+    place in the rest; None if no unit fits. A gap of which a round leaves more than half
+    has no unit of at most half of it left, so the rounds are few."""
     side, unit, more = per_source(few), ["skey", "doc_id", "size", "words", "h"], None
-    key = F.struct("doc_id", "size")
-    while True:
-        pool = stored(left.join(side(state.select("skey", "gap")), "skey").where("words > 0 and words <= gap"), "mix-left")
-        if pool.isEmpty():
-            return more
-        whole = state.select("skey", "n_units", F.col("gap").alias("rest"))
-        rows = placed(pool.where("2 * words <= gap").select(unit), whole, few).join(side(state.select("skey", "rest", "gap")), "skey")
-        got = stored(rows.where("ahead + words <= gap").select(*unit, (F.col("rest") - F.col("gap") + F.col("ahead")).alias("at")), "mix-fill")
-        sums = got.groupBy("skey").agg(F.sum("words").alias("fit"))
-        state = state.join(sums, "skey", "left").select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("fit", F.lit(0))).alias("gap"))
-        taken = got.select(F.col("skey").alias("k"), key.alias("u"))
-        left = pool.drop("gap").join(taken, (F.col("skey") == F.col("k")) & key.eqNullSafe(F.col("u")), "left_anti")
-        fits = left.join(side(state.select("skey", "rest", "gap")), "skey").where("words <= gap")
-        one = fits.groupBy("skey").agg(F.min(F.struct(-F.col("words"), "h", "doc_id", "size", "words", (F.col("rest") - F.col("gap")).alias("at"))).alias("o"))
-        one = stored(one.select("skey", *[F.col(f"o.{c}") for c in (*unit[1:], "at")]), "mix-one")
-        more = got.unionByName(one) if more is None else more.unionByName(got).unionByName(one)
-        state = stored(state.join(one.select("skey", F.col("words").alias("w")), "skey", "left").select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("w", F.lit(0))).alias("gap")), "mix-gap")
-        taken = one.select(F.col("skey").alias("k"), key.alias("u"))
-        left = left.join(taken, (F.col("skey") == F.col("k")) & key.eqNullSafe(F.col("u")), "left_anti")
+    left = left if state is None else left.join(side(state), "skey")
+    pool = stored(left.where("words > 0 and words <= gap").select(*unit, "n_units", "rest", "gap"), "mix-left")
+    while not pool.isEmpty():
+        half = prefix_sums(pool.withColumn("part", F.expr("if(2 * words <= gap, words, 0L)")), {"ahead": "part"})
+        rows = stored(half.withColumn("at", F.expr("if(2 * words <= gap and ahead + words <= gap, rest - gap + ahead, null)")).drop("part", "ahead"), "mix-fill")
+        lack = rows.groupBy("skey").agg((F.max("gap") - F.expr("coalesce(sum(words) filter (where at is not null), 0)")).alias("lack"))
+        fits = rows.where("at is null").join(side(lack), "skey").where("words <= lack")
+        one = fits.groupBy("skey").agg(F.max("lack").alias("lack"), F.min(F.struct(-F.col("words"), "h", "doc_id", "size", "words", (F.col("rest") - F.col("lack")).alias("at"))).alias("one"))
+        one = stored(one, "mix-one")
+        got = rows.where("at is not null").select(*unit, "at").unionByName(one.select("skey", *[F.col(f"one.{c}") for c in (*unit[1:], "at")]))
+        more = got if more is None else more.unionByName(got)
+        rows = rows.where("at is null").join(side(one), "skey").where(~same_unit("one")).withColumn("gap", F.col("lack") - F.col("one.words"))
+        pool = stored(rows.where("words <= gap").select(*unit, "n_units", "rest", "gap"), "mix-left")
+    return more
 
 
 def draws(units: DataFrame, goal: DataFrame, few: bool, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(units with ``ks``: the numbers of the drawn blocks they belong to; sources
     with ``quota``: how many numbers there are)."""
-    side, own = per_source(few), ["skey", "idx", "passes", "rest", "source_size"]
-    rows = stored(placed(units, goal, few).join(side(goal.select(own)), "skey"), "mix-placed")
+    side, own = per_source(few), ["skey", "idx", "n_units", "passes", "rest", "source_size"]
+    rows = units.join(side(goal.select(own)), "skey").withColumn("part", F.expr("if(words <= rest, words, 0L)"))
+    rows = stored(prefix_sums(rows, {"before": "words", "ahead": "part"}).drop("part"), "mix-placed")
     ahead = "ahead" if whole else "before"
     fits = (F.col("words") <= F.col("rest")) & (F.col(ahead) + F.col("words") <= F.col("rest"))
-    gap = rows.where(fits).groupBy("skey").agg(F.sum("words").alias("fit"))
-    goal = stored(goal.join(gap, "skey", "left").withColumn("gap", F.col("rest") - F.coalesce("fit", F.lit(0))).drop("fit"), "mix-fits")
+    gap = rows.groupBy("skey").agg((F.max("rest") - F.coalesce(F.sum(F.when(fits, F.col("words"))), F.lit(0))).alias("gap"))
     miss = F.abs(F.col("words") - F.col("gap"))
-    short = rows.where(~fits).join(side(goal.select("skey", "gap")), "skey").where(miss < F.col("gap"))
-    best = short.groupBy("skey").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "words")).alias("best"))
-    goal = stored(goal.join(best, "skey", "left"), "mix-best")
-    chosen = F.coalesce(F.struct("h", "doc_id", "size").eqNullSafe(F.struct("best.h", "best.doc_id", "best.size")), F.lit(False)) & F.col("best").isNotNull() & ~fits
-    rows = rows.join(side(goal.select("skey", "best")), "skey")
+    short = rows.where(~fits).join(side(gap), "skey").where(miss < F.col("gap"))
+    best = F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "words")).alias("best")
+    state = stored(short.groupBy("skey").agg(F.max("gap").alias("gap"), best), "mix-best")
+    rows = rows.join(side(state), "skey", "left")
+    chosen = same_unit("best") & F.col("best").isNotNull() & ~fits
     more = None
     if whole:
-        state = goal.select("skey", "n_units", "rest", (F.col("gap") - F.coalesce("best.words", F.lit(0))).alias("gap"))
-        more = fill(rows.where(~fits & ~chosen).select("skey", "doc_id", "size", "words", "h"), state, few)
+        more = fill(rows.where(~fits & ~chosen).withColumn("gap", F.col("gap") - F.col("best.words")), None, few)
     rows = rows.withColumn("at", F.when(fits & (F.col("rest") > 0), F.col(ahead)))
     if more is not None:
         more = more.select(F.col("skey").alias("k"), F.struct("doc_id", "size").alias("u"), F.col("at").alias("filled"))
@@ -172,7 +169,7 @@ def draws(units: DataFrame, goal: DataFrame, few: bool, whole: bool) -> tuple[Da
     once = F.when(F.col("at").isNotNull(), F.array(F.col("passes") * blocks + F.floor(F.col("at") / BLOCK_WORDS))).when(chosen, F.array(last)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("skey", "idx", "doc_id", "size", "h", F.concat(again, once).alias("ks"))
     goal = goal.withColumn("quota", F.when(F.col("source_size") > 0, last + 1).otherwise(F.lit(0)).cast("long"))
-    return stored(rows, "mix-draws"), goal.select("skey", "idx", "source_size", "target", "quota")
+    return rows, goal.select("skey", "idx", "source_size", "target", "quota")
 
 
 #: One node: for each source a hypergeometric variate (pop blocks of which k are the
@@ -208,10 +205,10 @@ def leaves(goal: DataFrame, depth: int) -> DataFrame:
         nodes = nodes.select(F.explode(F.expr(_SPLIT)).alias("s")).select("s.*")
         if level % 6 == 5:  # the nodes spread over tasks
             nodes = nodes.repartition("node")
-        if level % 2:  # a lineage cut: a plan of many levels is large
+        if level % 2 or level == depth - 1:  # a lineage cut: a plan of many levels is large
             nodes = stored(nodes, "mix-tree")
     flat = nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.posexplode(F.arrays_zip("q", "start")).alias("idx", "s"))
-    return stored(flat.select("idx", "shard", F.col("s.start").alias("start"), F.col("s.q").alias("q")), "mix-leaves")
+    return flat.select("idx", "shard", F.col("s.start").alias("start"), F.col("s.q").alias("q"))
 
 
 def mix(base: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -221,10 +218,9 @@ def mix(base: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     units = base.groupBy("skey", "doc_id", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words")).withColumn("h", order_hash(F.col("doc_id")))
     units = stored(units, "mix-units")
     goal = stored(targets(units), "mix-targets")
-    rows, quotas = draws(units, goal, goal.count() <= FEW_SOURCES, whole)
-    quotas = stored(quotas, "mix-quotas")
-    words = quotas.agg(F.sum("target")).first()[0] or 0.0
-    depth = max(0, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
+    n_sources, words = goal.agg(F.count(F.lit(1)), F.sum("target")).first()
+    rows, quotas = draws(units, goal, n_sources <= FEW_SOURCES, whole)
+    depth = max(0, math.ceil(math.log2(max(1.0, (words or 0.0) / SHARD_WORDS))))
     shares = leaves(quotas, depth).where("q > 0").select("idx", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("q") - 1)).alias("k"))
     copies = rows.select("idx", "skey", "doc_id", "size", F.explode("ks").alias("k"))
     drawn = copies.join(shares, ["idx", "k"]).select("skey", "doc_id", "size", "shard", F.xxhash64(F.lit(SEED), "doc_id", "k").alias("place"))
@@ -233,12 +229,10 @@ def mix(base: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: each row of ``docs`` as often as it was drawn."""
-    base = stored(sized(docs), "mix-sized")
-    drawn, _ = mix(base)
-    times = drawn.groupBy("skey", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    drawn, _ = mix(sized(docs))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")).withColumns({"k": source_key(F.col("r.source")), "s": n_words(F.col("r.text").cast("string")), "d": F.col("r.doc_id").cast("long")})
-    on = keyed.d.eqNullSafe(times.doc_id) & (keyed.k == times.skey) & (keyed.s == times["size"])
-    return keyed.join(times, on).select("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("r.*")
+    on = keyed.d.eqNullSafe(drawn.doc_id) & (keyed.k == drawn.skey) & (keyed.s == drawn["size"])
+    return keyed.join(drawn, on).select("r.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
